@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontamination, quality_rules
 from quire.llm.bpe import bpe_digests
+from quire.llm.common import fresh_dir
+from quire.llm.html_text import main_text
 from quire.llm.token_counts import token_counts
+from quire.llm.warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +23,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fresh_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out, payloads=False).drop("url")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(quality_rules.quality_rules(table(spark, sf_dir, "documents")))
 
@@ -34,6 +47,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
