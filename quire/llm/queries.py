@@ -11,6 +11,7 @@ from quire.llm import decontamination, quality_rules
 from quire.llm.bpe import bpe_digests
 from quire.llm.common import fresh_dir
 from quire.llm.html_text import main_text
+from quire.llm.quality_model import quality_scores
 from quire.llm.token_counts import token_counts
 from quire.llm.warc import read_warc, write_warc
 
@@ -23,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_dir(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), out)
@@ -47,6 +52,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_quality_model": op3_quality_model,
     "op4_warc": op4_warc,
     "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
