@@ -11,6 +11,7 @@ from quire.llm import decontamination, quality_rules
 from quire.llm.bpe import bpe_digests
 from quire.llm.common import fresh_dir
 from quire.llm.html_text import main_text
+from quire.llm.language_model import score_texts
 from quire.llm.quality_model import quality_scores
 from quire.llm.token_counts import token_counts
 from quire.llm.warc import read_warc, write_warc
@@ -50,6 +51,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_model": op3_quality_model,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
+    "op10_language_model": op10_language_model,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": quality_rules.SQL,
