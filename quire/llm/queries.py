@@ -12,6 +12,7 @@ from quire.llm.bpe import bpe_digests
 from quire.llm.common import fresh_dir
 from quire.llm.html_text import main_text
 from quire.llm.language_model import score_texts
+from quire.llm.near_duplicates import near_duplicates
 from quire.llm.quality_model import quality_scores
 from quire.llm.token_counts import token_counts
 from quire.llm.warc import read_warc, write_warc
@@ -39,6 +40,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_texts")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(quality_rules.quality_rules(table(spark, sf_dir, "documents")))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_model": op3_quality_model,
     "op4_warc": op4_warc,
     "op5_html_text": op5_html_text,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
