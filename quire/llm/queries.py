@@ -15,6 +15,7 @@ from quire.llm.language_model import score_texts
 from quire.llm.near_duplicates import near_duplicates
 from quire.llm.quality_model import quality_scores
 from quire.llm.token_counts import token_counts
+from quire.llm.training_order import document_parts, materialise
 from quire.llm.warc import read_warc, write_warc
 
 
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fresh_dir(spark, "shards")
+    return document_parts(materialise(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -61,6 +67,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_training_order": op1_training_order,
     "op2_token_counts": op2_token_counts,
     "op3_quality_model": op3_quality_model,
     "op4_warc": op4_warc,
