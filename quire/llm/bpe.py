@@ -30,7 +30,7 @@ from quire.llm.lexicon import EMPTY, Lexicon, PairTable, compile_words
 SPACE = "\t-\r \x85\xa0  -     　"
 SPLIT_ON, ODD = regex.compile(f"[{SPACE}]+"), regex.compile("[\x1c-\x1f]")
 #: Entries that a worker keeps between batches.
-KEPT = 200_000
+KEPT = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -113,7 +113,16 @@ class WordBpe:
         are normalized in one call."""
         if not chunks:
             return []
-        return [self.pattern.findall(c) for c in self.normalizer.normalize_str("\n".join(chunks)).split(" ")]
+        out, find = [], self.pattern.findall
+        for c in self.normalizer.normalize_str("\n".join(chunks)).split(" "):
+            # most chunks are letters, or letters and one mark; the pattern would say the same
+            if c.isalpha():
+                out.append([c])
+            elif c[:-1].isalpha() and not c[-1].isnumeric():
+                out.append([c[:-1], c[-1]])
+            else:
+                out.append(find(c))
+        return out
 
 
 def encode_words(bpe: WordBpe, lexicon: Lexicon | None, words: list[str]) -> dict[str, bytes]:
@@ -145,41 +154,36 @@ class Encoder:
     def __init__(self, path: str, lexicon_uri: str | None):
         self.bpe = WordBpe(path)
         self.lexicon = Lexicon.open(lexicon_uri) if lexicon_uri else None
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.names = [self.bpe.names[i].encode() for i in range(len(self.bpe.names))]
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > KEPT:
-            self.known.clear()
-        todo = list(chunks)
-        words = self.bpe.words_of(todo)
+    def learn(self, chunks: list[str]) -> None:
+        words = self.bpe.words_of(chunks)
         ids = encode_words(self.bpe, self.lexicon, list({w for ws in words for w in ws}))
-        names = self.bpe.names
-        shown = {w: b" ".join(names[i].encode() for i in np.frombuffer(b, "<u4").tolist()) for w, b in ids.items()}
-        for chunk, ws in zip(todo, words, strict=True):
-            self.known[chunk] = (b"".join([ids[w] for w in ws]), b" ".join([shown[w] for w in ws]))
+        self.known.update(zip(chunks, [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in words], strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Of each text the ids as little-endian uint32 and the decoded text in UTF-8."""
-        bpe, special = self.bpe, self.bpe.special
+        bpe, special, known = self.bpe, self.bpe.special, self.known
         split: list[list[str]] = []
         for text in texts:
             if "<|" in text and len(parts := bpe.special_split.split(text)) > 1:
                 split.append([c for k, p in enumerate(parts) for c in ((p,) if k % 2 else bpe.chunks(p))])
             else:
                 split.append(bpe.chunks(text))
-        new = {c for chunks in split for c in chunks} - self.known.keys()
-        marks = {m for m in new if m in special}
-        whole = self.known
-        if len(whole) + len(new) > KEPT:
-            new |= {c for chunks in split for c in chunks}
-            marks = {m for m in new if m in special}
-        self.learn(new - marks)
+        all_chunks = set().union(*split)
+        new = all_chunks - known.keys()
+        if len(known) + len(new) > KEPT:
+            known.clear()
+            new = all_chunks
+        marks = new & special.keys()
+        self.learn(list(new - marks))
         for m in marks:
-            self.known[m] = (np.array([special[m]], "<u4").tobytes(), m.encode())
-        known = self.known
+            known[m] = np.array([special[m]], "<u4").tobytes()
+        name = self.names.__getitem__
         for chunks in split:
-            got = [known[c] for c in chunks]
-            yield b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])
+            ids = b"".join([known[c] for c in chunks])
+            yield ids, b" ".join(map(name, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(1)
