@@ -378,9 +378,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row of each class, the one with the smallest id, with its columns."""
     marked = near_duplicates(df, id_col, text_col, width, threshold)
-    heads = staged(marked.filter("first").groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("k")), "heads").withColumnRenamed("doc_id", "head_id")
+    heads = staged(marked.filter("first").groupBy(*[F.col(c).alias(f"__head_{c}") for c in ("doc_id", "t1", "t2")]).agg(F.count("*").alias("__head_k")), "heads")
     text = F.col(text_col).cast("string")
-    kept = df.join(heads.withColumnsRenamed({"t1": "head1", "t2": "head2"}), F.col(id_col).eqNullSafe(F.col("head_id")) & (F.xxhash64(text) == F.col("head1")) & (F.xxhash64(text, F.lit(1)) == F.col("head2")))
-    if heads.filter("k > 1").limit(1).collect():  # equal rows: one of them
-        kept = kept.dropDuplicates(["head_id", "head1", "head2"])
-    return kept.select(*[df[c] for c in df.columns])
+    kept = df.join(heads, F.col(id_col).eqNullSafe(F.col("__head_doc_id")) & (F.xxhash64(text) == F.col("__head_t1")) & (F.xxhash64(text, F.lit(1)) == F.col("__head_t2")))
+    if heads.filter("__head_k > 1").limit(1).collect():  # equal rows: one of them
+        kept = kept.dropDuplicates(["__head_doc_id", "__head_t1", "__head_t2"])
+    return kept.select(*df.columns)

@@ -93,13 +93,13 @@ def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", m
     """The rows of ``df`` that the rules keep, with their columns. Texts are measured twice rather than
     written once more."""
     measured = metrics(df, {"host": F.col(host_col).cast("string")}, text_col)
-    strict = staged(host_verdicts(measured, most_rate).filter("strict").select(F.col("host").alias("_strict_host")), "strict")
-    marked = df.join(strict, F.col(host_col).cast("string") == F.col("_strict_host"), "left")
+    strict = staged(host_verdicts(measured, most_rate).filter("strict").select(F.col("host").alias("__strict_host")), "strict")
+    marked = df.join(strict, F.col(host_col).cast("string") == F.col("__strict_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, text_col):
             keep = []
-            for text, host in zip(texts_of(batch, text_col), batch.column("_strict_host").to_pylist(), strict=True):
+            for text, host in zip(texts_of(batch, text_col), batch.column("__strict_host").to_pylist(), strict=True):
                 n, _, symbols, lines, dup, repeated = measure(text)
                 bad = n < 50 or 100 * repeated > 50 * n
                 keep.append(not bad and (host is None or not (10 * symbols > n or 100 * dup > 30 * lines)))
