@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quire.plans import key_queries, queue_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queue_queries.QUERIES, **text_queries.QUERIES, **key_queries.QUERIES}
+ORACLES: dict[str, str] = {**queue_queries.ORACLES, **text_queries.ORACLES, **key_queries.ORACLES}
