@@ -116,12 +116,13 @@ def shard_cells(rows: DataFrame, shards: int) -> tuple[int, int, list[tuple[int,
 
 def write_warc(df: DataFrame, out_uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shards: int | None = None, roll_bytes: int = 256 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Writes a record for each row to ``out_uri`` and returns the manifest. Ids are whole numbers.
-    ``shards``: by default the session's number of shuffle partitions."""
+    ``shards``: by default the session's number of shuffle partitions, or one for each 64 MB if that is more."""
     spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     pages = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), body.alias("payload")).withColumn("sha", F.sha1("payload"))
     narrow = staged(pages.select("page", "sha", F.octet_length("payload").cast("long").alias("n_bytes")), "digests")
+    size = narrow.agg(F.sum("n_bytes")).first()[0] or 0
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
     copies = staged(narrow.groupBy(F.col("sha").alias("copied")).agg(F.count("*").alias("k"), F.min("page").alias("first")).filter("k > 1").select("copied", "first"), "copies")
     lo, width, cells = shard_cells(narrow, shards)
     where = spark.createDataFrame(cells, "cell long, base int, splits int")
