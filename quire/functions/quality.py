@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
+from quire.functions.once import once
 from quire.functions.text import has_loop, occurrences, or_empty, strip
 
 
-def flag_reason(page_type: Column, transcription: Column, footnotes: Column) -> Column:
+def stripped(transcription: Column, footnotes: Column) -> Column:
+    """What the rules look at. There is nothing between the two, and stripping comes first."""
+    return strip(F.concat(or_empty(transcription), or_empty(footnotes)))
+
+
+def flag_reason(page_type: Column, text: Column) -> Column:
     """Why a page result is doubtful; empty if it isn't. The order of the rules matters: pages without text
-    pass first, the length only counts for whole text pages, and stripping comes before everything."""
+    pass first, and the length only counts for whole text pages."""
     kind = strip(or_empty(page_type))
-    text = strip(F.concat(or_empty(transcription), or_empty(footnotes)))
     before, after = fixed.TOO_SHORT.split("{}")
     illegible = occurrences(text, F.lit(fixed.ILLEGIBLE)) * len(fixed.ILLEGIBLE)
     return (
@@ -26,7 +31,8 @@ def flag_reason(page_type: Column, transcription: Column, footnotes: Column) ->
     )
 
 
-def gate(page_type: Column, transcription: Column, footnotes: Column) -> tuple[Column, Column]:
-    """(status, flag_reason)"""
-    reason = flag_reason(page_type, transcription, footnotes)
-    return F.when(reason == "", "done").otherwise("flagged"), reason
+def gate(results: DataFrame) -> DataFrame:
+    """Page results (page_type, transcription, footnotes) with flag_reason and status."""
+    text = once(results, __text=stripped(F.col("transcription"), F.col("footnotes")))
+    judged = once(text, flag_reason=flag_reason(F.col("page_type"), F.col("__text"))).drop("__text")
+    return judged.withColumn("status", F.when(F.col("flag_reason") == "", "done").otherwise("flagged"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
+from quire.functions.once import once
 from quire.functions.text import or_empty, split_cells, truthy
 
 
@@ -18,13 +19,13 @@ def placeholder(page_type: Column) -> Column:
 
 def publish_rows(pages: DataFrame, limit: int = fixed.CELL_CHARS, columns: int = fixed.CELLS) -> DataFrame:
     """Finished pages as rows: book_id, page_no, page_type, cells, footnotes, note, status, truncated."""
-    done = pages.filter(F.col("status").isin(*fixed.FINISHED))
     kind = or_empty(F.col("page_type"))
-    text = F.coalesce(truthy(F.col("transcription")), placeholder(kind))
-    cells, truncated = split_cells(text, columns, limit)
+    done = once(pages.filter(F.col("status").isin(*fixed.FINISHED)), __shown=F.coalesce(truthy(F.col("transcription")), placeholder(kind)))
+    cells, truncated = split_cells(F.col("__shown"), columns, limit)
+    done = once(done, __cells=F.struct(cells.alias("cells"), truncated.alias("truncated")))
     notes = or_empty(F.col("footnotes"))
     notes = F.when(F.length(notes) > limit, F.concat(F.left(notes, F.lit(limit - 40)), F.lit(fixed.NOTES_TRUNCATED))).otherwise(notes)
-    return done.select("book_id", "page_no", kind.alias("page_type"), cells.alias("cells"), notes.alias("footnotes"), F.coalesce(truthy(F.col("note")), truthy(F.col("flag_reason")), F.lit("")).alias("note"), "status", truncated.alias("truncated"))
+    return done.select("book_id", "page_no", kind.alias("page_type"), F.col("__cells.cells").alias("cells"), notes.alias("footnotes"), F.coalesce(truthy(F.col("note")), truthy(F.col("flag_reason")), F.lit("")).alias("note"), "status", F.col("__cells.truncated").alias("truncated"))
 
 
 def row_chars(rows: DataFrame) -> Column:

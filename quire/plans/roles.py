@@ -23,11 +23,20 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as page results: the source is the book; its documents are numbered by id."""
+    """Documents as page results: the source is the book, the id the page."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), book_of("source").alias("book_id"), F.col("doc_id").alias("page_no"), F.lit("text").alias("page_type"), F.col("text").alias("transcription"), F.lit("").alias("footnotes"), "n_chars", "lang")
+
+
+def book_of(source: str):
+    return F.regexp_extract(source, "[0-9]+", 0).cast("long")
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages numbered 1, 2, ... in each book, without their texts."""
     from pyspark.sql import Window as W
 
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("book_id"), n.alias("page_no"), F.lit("text").alias("page_type"), F.col("text").alias("transcription"), F.lit("").alias("footnotes"), "n_chars", "lang")
+    n = F.row_number().over(W.partitionBy("book_id").orderBy("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", book_of("source").alias("book_id"), "n_chars").withColumn("page_no", n)
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +62,8 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "books": "SELECT c_custkey AS id, c_name AS title FROM customer",
     "pages": "SELECT o_custkey AS book_id, o_orderkey AS page_no, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'flagged' END AS status, CASE WHEN o_orderpriority LIKE '1%' THEN 2 ELSE 0 END AS attempts FROM orders",
-    "docs": "SELECT doc_id, source AS book, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, 'text' AS page_type, text AS transcription, n_chars, lang FROM documents",
+    "docs": "SELECT doc_id, source AS book, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS book_id, doc_id AS page_no, 'text' AS page_type, text AS transcription, n_chars, lang FROM documents",
+    "numbered": "SELECT doc_id, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, n_chars FROM documents",
     "outcomes": "SELECT user_id AS key_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, ts, CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'transient' ELSE 'success' END AS outcome, value > 45 AS daily, CASE WHEN value > 10 THEN value END AS retry_after FROM events",
     "keys": """SELECT user_id AS key_id, 'key-' || user_id AS label, 'secret-' || user_id % 97 AS secret, CAST(user_id % 4 * 10 AS INTEGER) AS rpm_limit, user_id % 5 + 1 AS rpd_limit,
       CASE WHEN user_id % 11 = 3 THEN 'dead' WHEN user_id % 7 = 2 THEN 'exhausted' WHEN user_id % 5 = 1 THEN 'cooldown' ELSE 'active' END AS state, user_id % 6 <> 0 AS enabled, used_today, last_used_at,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import classify, fixed, prompts, quality, text
 from quire.operators import export, naming, publish, selection
-from quire.plans.roles import documents, table, with_roles
+from quire.plans.roles import documents, numbered, table, with_roles
 from quire.sources import files
 
 QUERIES, ORACLES = {}, {}
@@ -33,8 +33,7 @@ GATED = rf"gated AS (SELECT *, {REASON} AS flag_reason FROM (SELECT *, {STRIP('t
 
 
 def gated(spark, sf_dir):
-    status, reason = quality.gate(F.col("page_type"), F.col("transcription"), F.col("footnotes"))
-    return documents(spark, sf_dir).withColumns({"status": status, "flag_reason": reason})
+    return quality.gate(documents(spark, sf_dir))
 
 
 @query(with_roles(f"--{GATED} SELECT doc_id, CASE WHEN flag_reason = '' THEN 'done' ELSE 'flagged' END AS status, flag_reason FROM gated", "docs"))
@@ -55,18 +54,18 @@ def review_status(spark, sf_dir):
 
 @query(
     with_roles(
-        """--r AS (SELECT book_id, page_no, n_chars BETWEEN 500 AND 2500 AS hit, CASE WHEN n_chars < 30 THEN 1 END AS bad, row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS a FROM docs),
+        """--r AS (SELECT book_id, page_no, n_chars BETWEEN 500 AND 2500 AS hit, CASE WHEN n_chars < 30 THEN 1 END AS bad, row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS a FROM numbered),
         s AS (SELECT *, hit AND page_no > 15 AND a - 15 <= 20 AS body, hit AND a <= 20 AS any_ FROM r),
         b AS (SELECT book_id, bool_or(body) AS has FROM s GROUP BY book_id),
         h AS (SELECT s.book_id, page_no, has, row_number() OVER (PARTITION BY s.book_id ORDER BY page_no) AS n FROM s JOIN b ON s.book_id = b.book_id WHERE CASE WHEN has THEN body ELSE any_ END)
         SELECT b.book_id, coalesce(string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) FILTER (n <= 3), '') AS pages, CASE WHEN any_value(b.has) THEN 'after front matter' WHEN count(page_no) > 0 THEN 'whole book (fallback)' ELSE 'no text pages found' END AS strategy
         FROM b LEFT JOIN h ON b.book_id = h.book_id GROUP BY b.book_id""",
-        "docs",
+        "numbered",
     )
 )
 def select_text_pages(spark, sf_dir):
     """A document is text between 500 and 2,500 characters; 20 pages are inspected, 3 taken."""
-    p = documents(spark, sf_dir).select("book_id", "page_no", F.when(F.col("n_chars") >= 30, F.col("n_chars").between(500, 2500)).alias("is_text"))
+    p = numbered(spark, sf_dir).select("book_id", "page_no", F.when(F.col("n_chars") >= 30, F.col("n_chars").between(500, 2500)).alias("is_text"))
     got = selection.select_text_pages(p, 3, 15, 20)
     return got.select("book_id", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"), "strategy")
 
@@ -125,16 +124,16 @@ def publish_rows(spark, sf_dir):
 
 @query(
     with_roles(
-        """--n AS (SELECT book_id, page_no, n_chars, row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS i FROM docs),
+        """--n AS (SELECT book_id, page_no, n_chars, row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS i FROM numbered),
         w AS (SELECT book_id, page_no, i, n_chars, 0 AS chunk, 1 AS k, n_chars AS held FROM n WHERE i = 1
           UNION ALL SELECT n.book_id, n.page_no, n.i, n.n_chars, CASE WHEN w.k >= 15 OR w.held + n.n_chars > 20000 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.k >= 15 OR w.held + n.n_chars > 20000 THEN 1 ELSE w.k + 1 END,
           CASE WHEN w.k >= 15 OR w.held + n.n_chars > 20000 THEN n.n_chars ELSE w.held + n.n_chars END FROM w JOIN n ON n.book_id = w.book_id AND n.i = w.i + 1)
         SELECT book_id, page_no, chunk, chunk = max(chunk) OVER (PARTITION BY book_id) AS is_final FROM w""",
-        "docs",
+        "numbered",
     )
 )
 def publish_chunks(spark, sf_dir):
-    got = publish.chunks(documents(spark, sf_dir).select("book_id", "page_no", F.col("n_chars").alias("chars")), 15, 20_000)
+    got = publish.chunks(numbered(spark, sf_dir).select("book_id", "page_no", F.col("n_chars").alias("chars")), 15, 20_000)
     return got.select("book_id", "page_no", "chunk", "is_final")
 
 

@@ -25,8 +25,7 @@ def run_pages(spark: SparkSession, source: str, schema: str, process: Callable[[
 
 def gated(pages: DataFrame) -> DataFrame:
     """A ``process`` for results: adds status and flag_reason."""
-    status, reason = quality.gate(F.col("page_type"), F.col("transcription"), F.col("footnotes"))
-    return pages.withColumns({"status": status, "flag_reason": reason})
+    return quality.gate(pages)
 
 
 def refusal_runs(outcomes: DataFrame) -> DataFrame:
