@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_pairs, by_bytes, filesystem, fresh_dir, texts_of
+from quire.llm.common import as_pairs, by_bytes, discard, filesystem, fresh_dir, most_frequent, staged, texts_of
 from quire.llm.lexicon import EMPTY, Lexicon, PairTable, compile_words
 
 #: The characters that the library's \s matches; Python's split() adds U+001C to U+001F.
@@ -197,7 +197,7 @@ def splitter(path: str) -> WordBpe:
 
 
 def frequent_words(df: DataFrame, tokenizer_path: str, text_col: str, n: int) -> list[str]:
-    """The ``n`` most frequent words over all texts, ties by word; counts are summed in each task first."""
+    """At most ``n`` of the most frequent words over all texts; counts are summed in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = splitter(tokenizer_path)
@@ -220,8 +220,10 @@ def frequent_words(df: DataFrame, tokenizer_path: str, text_col: str, n: int) ->
         yield out()
 
     counted = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
-    return [r.word for r in top.select("word").collect()]
+    words = staged(counted.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    top = [r.word for r in most_frequent(words, n).select("word").collect()]
+    discard(words)
+    return top
 
 
 def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", frequent: int = 50_000) -> str:

@@ -67,6 +67,21 @@ def id_hash(col: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8"))
 
 
+def most_frequent(counted: DataFrame, n: int, count: str = "n") -> DataFrame:
+    """The rows of the highest counts, as many whole steps of a ninth of the count as fit into ``n`` rows. A
+    sort with a limit would send ``n`` rows from each task to the driver; this sends one histogram. ``counted`` is
+    read twice, so it should be a written table."""
+    step = F.floor(F.log2(F.col(count)) * 6)
+    sizes = sorted(((r.step, r.k) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, held = None, 0
+    for s, k in sizes:
+        held += k
+        if held > n:
+            break
+        least = s
+    return counted.filter(F.lit(False) if least is None else step >= least)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``limit`` bytes of text, or of one row."""
     for batch in batches:

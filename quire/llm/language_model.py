@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_pairs, by_bytes, discard, id_hash, staged, texts_of
+from quire.llm.common import as_pairs, by_bytes, discard, id_hash, most_frequent, staged, texts_of
 
 MARK = "▁"
 BASE = np.uint64(0x100000001B3)
@@ -292,7 +292,7 @@ def score_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col
 
     rated = staged(counted.mapInArrow(rate, "word string, n long, c long, lp double"), "rated")
     discard(counted)
-    top = rated.orderBy(F.desc("n"), "word").limit(hot).collect()  # a fixed bound
+    top = most_frequent(rated, hot).collect()  # a fixed bound
     known = spark.sparkContext.broadcast({r.word.encode(): (r.c > 0, float(np.log10(r.c + 1)), r.lp) for r in top})
     id_type = src.schema["doc_id"].dataType.simpleString()
     tail_type = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32())]))

@@ -166,17 +166,20 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64(F.col("of").cast("string"))
     chosen = known.orderBy(order, "of").limit(sample)  # bounded, so it can be broadcast
     rows = as_pairs(df, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "text", "label").orderBy(order, "of", "text").limit(sample)
-    return df.sparkSession.sparkContext.broadcast(fit(rows.toPandas(), vocabulary))
+    ids, vectors, network = fit(rows.toPandas(), vocabulary)
+    digest = xxhash.xxh64_intdigest("\n".join(ids).encode() + vectors.tobytes())
+    return df.sparkSession.sparkContext.broadcast((digest, ids, vectors, network))
 
 
 @lru_cache(1)
-def rows_known(_model_id: int) -> dict[str, int]:
+def rows_known(digest: int) -> dict[str, int]:
+    """A worker may see several models, one after the other; each has its own rows."""
     return {}
 
 
 def score_texts(model, texts: list[str]) -> np.ndarray:
-    ids, vectors, network = model.value
-    return network.scores(features(texts, ids, vectors, rows_known(model.id if hasattr(model, "id") else id(model))).astype(np.float64))
+    digest, ids, vectors, network = model.value
+    return network.scores(features(texts, ids, vectors, rows_known(digest)).astype(np.float64))
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 1, folds: int = 3, sample: int = 6000) -> DataFrame:
