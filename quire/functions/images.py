@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from quire.functions import fixed
 
@@ -83,7 +84,11 @@ def deskewed(gray: np.ndarray) -> np.ndarray:
     return gray if abs(angle) < 0.25 else (255 - rotated(255 - gray.astype(np.float32), angle)).round().astype(np.uint8)
 
 
-@F.pandas_udf("ink_ratio double, empty_row_fraction double, looks_like_text boolean, reason string")
+#: Built without a session, so that the module can be imported before there is one.
+STATS = StructType().add("ink_ratio", DoubleType()).add("empty_row_fraction", DoubleType()).add("looks_like_text", BooleanType()).add("reason", StringType())
+
+
+@F.pandas_udf(STATS)
 def page_stats(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Of (samples, height, width) columns of grey rasters."""
     for samples, height, width in parts:
@@ -91,7 +96,7 @@ def page_stats(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
         yield pd.DataFrame(rows, columns=["ink_ratio", "empty_row_fraction", "looks_like_text", "reason"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def page_skew(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for samples, height, width in parts:
         yield pd.Series([skew_angle(np.frombuffer(s, np.uint8).reshape(int(h), int(w))) for s, h, w in zip(samples, height, width, strict=True)])
