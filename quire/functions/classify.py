@@ -84,11 +84,16 @@ def profile_fields(profile: Column) -> Column:
 
 def mime_type(image_format: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in fixed.MIME.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(image_format)), F.lit("image/png"))
-
-
-def request_body(model: Column, prompt: Column, image: Column, image_format: Column, resolution: Column, schema_json: str) -> Column:
-    """A request as JSON text; the resolution is left out where null."""
-    picture = F.struct(F.lit("image").alias("type"), mime_type(image_format).alias("mime_type"), F.base64(image).alias("data"), resolution.alias("resolution"))
-    content = F.array(F.to_json(picture), F.to_json(F.struct(F.lit("text").alias("type"), prompt.alias("text"))))
-    return F.concat(F.lit('{"model":'), F.to_json(F.array(model)).substr(F.lit(2), F.length(F.to_json(F.array(model))) - 2), F.lit(',"input":['), F.array_join(content, ","), F.lit('],"response_schema":'), F.lit(schema_json), F.lit("}"))
+    return F.coalesce(F.try_element_at(table, image_format), F.lit("image/png"))
+
+
+def request_body(model: Column, prompt: Column, images: Column, image_format: Column, resolution: Column, schema_json: str, thinking: Column | None = None) -> Column:
+    """A request as JSON text: the prompt, then each of ``images`` (array of binary). The resolution and the
+    thinking level are left out where null or empty; nothing is to be stored by the other side."""
+    kind = mime_type(image_format)
+    pictures = F.transform(images, lambda i: F.to_json(F.struct(F.lit("image").alias("type"), F.base64(i).alias("data"), kind.alias("mime_type"), truthy(resolution).alias("resolution"))))
+    content = F.concat(F.array(F.to_json(F.struct(F.lit("text").alias("type"), prompt.alias("text")))), pictures)
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    level = F.lit("") if thinking is None else or_empty(F.concat(F.lit(',"thinking_level":'), quoted(truthy(thinking))))
+    shape = F.lit('],"response_format":{"type":"text","mime_type":"application/json","schema":' + schema_json + "}")
+    return F.concat(F.lit('{"model":'), quoted(model), F.lit(',"store":false,"input":['), F.array_join(content, ","), shape, level, F.lit("}"))

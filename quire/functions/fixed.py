@@ -40,7 +40,7 @@ REASONS = {"blank": "blank", "heavy": "mostly non-text (plate or dark scan)", "i
 SAMPLES, FRONT_PAGES, SCAN_LIMIT = 3, 15, 40
 STRATEGIES = ("after front matter", "whole book (fallback)", "no text pages found")
 MIME = {"png": "image/png", "jpeg": "image/jpeg", "jpg": "image/jpeg", "webp": "image/webp"}
-SKIP_DIRS = (".git", "__pycache__", "node_modules")
+SKIP_DIRS = (".git", "__pycache__", ".Trash", "$RECYCLE.BIN")
 
 # earlier application's backups
 LEGACY_DONE = ("synced", "transcribed_unsynced")

@@ -146,10 +146,13 @@ def test_payloads(spark):
 
 
 def test_request_and_mime(spark):
-    df = spark.createDataFrame([('m "x"', "p", bytearray(b"\x01" * 100), "jpg", None)], "m string, p string, i binary, f string, r string")
-    body = df.select(classify.request_body(F.col("m"), F.col("p"), F.col("i"), F.col("f"), F.col("r"), '{"type":"object"}').alias("b")).first().b
-    got = json.loads(body)
-    assert got["model"] == 'm "x"' and got["input"][0]["mime_type"] == "image/jpeg" and "resolution" not in got["input"][0] and got["response_schema"] == {"type": "object"}
+    df = spark.createDataFrame([('m "x"', "p", [bytearray(b"\x01" * 100), bytearray(b"b")], "jpg", None, "low"), ("m", "p", [], "png", "high", "")], "m string, p string, i array<binary>, f string, r string, t string")
+    c = F.col
+    got = [json.loads(r.b) for r in df.select(classify.request_body(c("m"), c("p"), c("i"), c("f"), c("r"), '{"type":"object"}', c("t")).alias("b")).collect()]
+    assert got[0]["model"] == 'm "x"' and got[0]["store"] is False and got[0]["input"][0] == {"type": "text", "text": "p"} and len(got[0]["input"]) == 3
+    assert got[0]["input"][1]["mime_type"] == "image/jpeg" and "resolution" not in got[0]["input"][1] and got[0]["thinking_level"] == "low"
+    assert got[0]["response_format"] == {"type": "text", "mime_type": "application/json", "schema": {"type": "object"}}
+    assert got[1]["input"] == [{"type": "text", "text": "p"}] and "thinking_level" not in got[1]
     assert one(spark, "tiff", classify.mime_type) == "image/png"
 
 
