@@ -94,6 +94,6 @@ def request_body(model: Column, prompt: Column, images: Column, image_format: Co
     pictures = F.transform(images, lambda i: F.to_json(F.struct(F.lit("image").alias("type"), F.base64(i).alias("data"), kind.alias("mime_type"), truthy(resolution).alias("resolution"))))
     content = F.concat(F.array(F.to_json(F.struct(F.lit("text").alias("type"), prompt.alias("text")))), pictures)
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-    level = F.lit("") if thinking is None else or_empty(F.concat(F.lit(',"thinking_level":'), quoted(truthy(thinking))))
+    level = F.lit("") if thinking is None else F.when(or_empty(thinking) == "", "").otherwise(F.concat(F.lit(',"thinking_level":'), quoted(thinking)))
     shape = F.lit('],"response_format":{"type":"text","mime_type":"application/json","schema":' + schema_json + "}")
     return F.concat(F.lit('{"model":'), quoted(model), F.lit(',"store":false,"input":['), F.array_join(content, ","), shape, level, F.lit("}"))
