@@ -33,3 +33,8 @@ def migrated(df: DataFrame, wanted: dict[str, tuple[str, object]]) -> DataFrame:
     """Columns that aren't there yet, with their defaults; nothing is changed or dropped."""
     have = {c.lower() for c in df.columns}
     return df.withColumns({c: F.lit(default).cast(kind) for c, (kind, default) in wanted.items() if c.lower() not in have})
+
+
+def append(events: DataFrame, path: str) -> None:
+    """Adds events to the log's table."""
+    events.write.mode("append").parquet(path)

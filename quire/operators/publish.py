@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
@@ -59,3 +62,28 @@ def index_rows(books: DataFrame, rows: DataFrame, machine: str = "") -> DataFram
     """One row a book: book, written, split_pages, truncated_pages, total_pages, machine."""
     counts = rows.groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("written"), F.count_if(F.exists(F.slice("cells", 2, fixed.CELLS), lambda c: c != "")).alias("split_pages"), F.count_if("truncated").alias("truncated_pages"))
     return books.join(counts, "id").select("id", F.col("title").alias("book"), "written", "split_pages", "truncated_pages", "total_pages", F.lit(machine).alias("machine"))
+
+
+def accepted(status: Column, body: Column) -> Column:
+    """What is wrong with the receiver's answer; null if it took the rows."""
+    tree = F.try_parse_json(body)
+    ok = F.get_json_object(body, "$.ok") == "true"
+    said = truthy(F.get_json_object(body, "$.error"))
+    return F.when(~status.between(200, 299), F.concat(F.lit("HTTP "), status.cast("string"))).when(tree.isNull(), "the answer isn't JSON").when(~F.coalesce(ok, F.lit(False)), F.coalesce(said, F.lit("the receiver reported an error")))
+
+
+def send_chunks(rows: DataFrame, call: Callable[[int, int, bool, pd.DataFrame], dict], schema: str) -> DataFrame:
+    """``rows``: published rows with chunk and is_final. One call a chunk (book_id, chunk, is_final, its rows in page order);
+    the receiver puts each row where its page belongs, so a chunk that is sent twice changes nothing. A chunk's
+    bounds keep it small. The result is what sends: write it once."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[0]
+        return pd.DataFrame([call(int(first["book_id"]), int(first["chunk"]), bool(first["is_final"]), group.sort_values("page_no"))])
+
+    return rows.groupBy("book_id", "chunk").applyInPandas(run, schema)
+
+
+def save_new_table(spark: SparkSession, df: DataFrame, name: str) -> None:
+    """Makes the table with ``df``'s columns if there is none, then appends."""
+    df.write.mode("append" if spark.catalog.tableExists(name) else "errorifexists").format("parquet").saveAsTable(name)

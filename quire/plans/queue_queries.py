@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
-from quire.operators import legacy, log, queue
-from quire.plans.roles import books, documents, pages, table, with_roles
+from quire.operators import legacy, log, queue, views
+from quire.plans.roles import books, documents, keys, pages, table, with_roles
 
 QUERIES, ORACLES = {}, {}
 
@@ -148,3 +148,32 @@ def legacy_match(spark, sf_dir):
 @query("SELECT c_custkey AS id, c_name AS name, true AS enabled, CAST(250 AS INTEGER) AS rpd_limit FROM customer")
 def migrated_columns(spark, sf_dir):
     return log.migrated(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), {"enabled": ("boolean", True), "rpd_limit": ("int", fixed.RPD), "name": ("string", "")})
+
+
+@query(
+    """SELECT c_custkey AS id, c_name AS title, c_name AS rel_path, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS pages_done, CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS pages_pending, CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS pages_flagged,
+    CAST(0 AS BIGINT) AS pages_failed, c_mktsegment <> 'BUILDING' AS profiled FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name, c_mktsegment"""
+)
+def book_listing(spark, sf_dir):
+    """Building customers have an empty profile, the others one."""
+    c = table(spark, sf_dir, "customer")
+    b = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_name").alias("rel_path"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise("{}").alias("profile_json"))
+    return views.book_listing(b, pages(spark, sf_dir)).drop("total_pages")
+
+
+@query(with_roles("SELECT page_no, status, attempts FROM pages WHERE book_id = 7", "pages"))
+def book_detail(spark, sf_dir):
+    got = views.book_detail(books(spark, sf_dir), pages(spark, sf_dir), 7)
+    return got.select(F.explode("pages").alias("p")).select("p.page_no", "p.status", "p.attempts")
+
+
+@query(
+    with_roles(
+        """SELECT CAST(count(*) FILTER (status = 'pending') AS BIGINT) AS pending, CAST(count(*) FILTER (status = 'done') AS BIGINT) AS done, CAST(count(*) FILTER (status = 'flagged') AS BIGINT) AS flagged, CAST(count(*) AS BIGINT) AS total,
+        (SELECT CAST(count(*) AS BIGINT) FROM keys) AS keys_total, (SELECT CAST(sum(rpd_limit) AS BIGINT) FROM keys WHERE state <> 'dead') AS daily FROM pages""",
+        "pages",
+        "keys",
+    )
+)
+def run_status(spark, sf_dir):
+    return views.status(pages(spark, sf_dir), keys(spark, sf_dir)).select("pending", "done", "flagged", "total", "keys_total", "daily")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import classify, fixed, prompts, quality, text
-from quire.operators import export, naming, publish, selection
+from quire.operators import export, naming, publish, selection, views
 from quire.plans.roles import documents, numbered, table, with_roles
 from quire.sources import files
 
@@ -295,3 +295,15 @@ def image_mime(spark, sf_dir):
 @query(rf"SELECT doc_id, left(regexp_replace({STRIP('text')}, '{SPACE}+', ' ', 'g'), 300) AS preview FROM documents")
 def previews(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT doc_id AS page_no, length(text) > 0 AS has_text FROM documents")
+def sheet_status(spark, sf_dir):
+    return views.sheet_status(rows(spark, sf_dir)).select("page_no", "has_text")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN NULL WHEN 'view' THEN 'HTTP 500' WHEN 'error' THEN 'the answer isn''t JSON' WHEN 'signup' THEN 'no such tab' ELSE 'the receiver reported an error' END AS wrong FROM events")
+def publish_answers(spark, sf_dir):
+    kind = F.col("event_type")
+    body = F.when(kind == "click", '{"ok":true}').when(kind == "error", "<html>").when(kind == "signup", '{"ok":false,"error":"no such tab"}').otherwise('{"ok":false}')
+    return table(spark, sf_dir, "events").select("event_id", publish.accepted(F.when(kind == "view", 500).otherwise(200), body).alias("wrong"))

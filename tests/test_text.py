@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import classify, fixed, images, prompts, quality, text
-from quire.operators import export, naming, publish, selection
+from quire.operators import export, naming, publish, selection, views
 from quire.sources import files, store
 from quire.streaming import pipeline
 
@@ -313,3 +313,46 @@ def test_windows_of_a_stream(spark, tmp_path):
     batch = {tuple(r) for r in pipeline.tumbling_counts(spark.read.parquet(str(tmp_path / "e")), "ts", "1 day", "1 hour", "event_type").collect()}
     got = {tuple(r) for r in spark.table("win").collect()}
     assert got and got <= batch  # the last window isn't closed yet
+
+
+def test_chunks_are_sent_once_each(spark):
+    rows = publish.publish_rows(spark.createDataFrame([(1, i, "done", "text", f"t{i}", "", "", "", "", 0, 0) for i in range(7)], PAGE))
+    at = publish.chunks(rows.withColumn("chars", publish.row_chars(rows)), 3)
+    sent = publish.send_chunks(rows.join(at.drop("chars"), ["book_id", "page_no"]), lambda b, c, final, g: {"chunk": c, "final": final, "pages": ",".join(map(str, g["page_no"]))}, "chunk int, final boolean, pages string")
+    assert sorted(tuple(r) for r in sent.collect()) == [(0, False, "0,1,2"), (1, False, "3,4,5"), (2, True, "6")]
+
+
+def test_views(spark):
+    pages, books = spark.createDataFrame(PAGES, PAGE), spark.createDataFrame([(1, "Boek", "b.pdf", "d/b.pdf", "quick:x", 4), (2, "Leeg", "l.pdf", "a.pdf", "q", 0)], BOOK)
+    assert [(r.id, r.pages_done, r.profiled) for r in views.book_listing(books, pages).collect()] == [(2, 0, False), (1, 2, False)]
+    d = views.book_detail(books, pages, 1).first()
+    assert [p.page_no for p in d.pages] == [1, 2, 3, 4] and d.pages[0].key_label is None and len(d.pages[0]) == 17
+    assert views.book_detail(books, pages, 9).count() == 0 and views.book_detail(books, pages, 2).first().pages is None
+    assert {(r.page_no, r.has_text) for r in views.sheet_status(publish.publish_rows(pages)).collect()} == {(1, True), (2, True), (4, True)}
+    assert [(r.key, r.value) for r in views.config_rows(spark, {"dpi": 300, "model": None}).collect()] == [("dpi", "300"), ("model", None)]
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    import time
+
+    watch = views.Progress()
+    assert watch.snapshot()["state"] == "idle"
+    spark.streams.addListener(watch)
+    try:
+        spark.range(30).write.parquet(str(tmp_path / "in"))
+        pipeline.tail_log(spark, str(tmp_path / "in"), "id long", lambda df, n: df.count(), str(tmp_path / "cp"))
+        for _ in range(100):
+            if watch.snapshot()["state"] == "done":
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watch)
+    assert watch.snapshot() == {"state": "done", "batches": 1, "rows": 30, "error": ""}
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    from quire.operators import log
+
+    log.append(spark.range(3), str(tmp_path / "log"))
+    log.append(spark.range(3, 5), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 5
