@@ -31,6 +31,8 @@ from pyspark.taskcontext import TaskContext
 from quire.llm.common import as_pairs, by_bytes, filesystem, staged, texts_of
 
 ROUNDS = 6
+#: Of the packed table: its pages hold many sequences, which compress better together.
+ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 
 
 class Permutation:
@@ -129,7 +131,7 @@ def materialise(df: DataFrame, out_uri: str, ranks_path: str, pattern: str, key:
     parts. There are at least ``shards`` shards (the session's shuffle partitions), more where one would
     exceed ``shard_bytes``."""
     spark = df.sparkSession
-    table = staged(packed(df, ranks_path, pattern, length, id_col, text_col), "packed")
+    table = staged(packed(df, ranks_path, pattern, length, id_col, text_col), "packed", **ZSTD)
     counts = {r.task: r.n for r in table.groupBy("task").agg(F.count("*").alias("n")).collect()}  # a number a task
     offsets, n = {}, 0
     for task in sorted(counts):
@@ -144,19 +146,23 @@ def materialise(df: DataFrame, out_uri: str, ranks_path: str, pattern: str, key:
     store.create_dir(path, recursive=True)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Permutation(n, key)
+        import zstandard
+
+        order, shrink = Permutation(n, key), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             if batch.num_rows:
                 base = np.array([at.value[t] for t in batch.column("task").to_pylist()], np.int64)
                 slot = order.slots(base + batch.column("place").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // stride).astype(np.int32)), *(batch.column(c) for c in ("n_tokens", "tokens", "parts"))], names=["slot", "shard", "n_tokens", "tokens", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // stride).astype(np.int32)), batch.column("n_tokens"), pa.array([shrink(t) for t in batch.column("tokens").to_pylist()], pa.binary()), batch.column("parts")], names=["slot", "shard", "n_tokens", "tokens", "parts"])
 
     parts = table.schema["parts"].dataType.simpleString()
     dealt = table.mapInArrow(place, f"slot long, shard int, n_tokens int, tokens binary, parts {parts}")
     dealt = dealt.repartitionById(total, F.col("shard")) if total > 1 else dealt.coalesce(1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, folder = filesystem(out_uri)
+        import zstandard
+
+        (own, folder), grow = filesystem(out_uri), zstandard.ZstdDecompressor().decompress
         file, shard, tmp, expect = None, None, "", 0
 
         def close() -> None:
@@ -173,7 +179,7 @@ def materialise(df: DataFrame, out_uri: str, ranks_path: str, pattern: str, key:
                 if slot != expect:
                     raise ValueError(f"slot {slot} found where {expect} belongs")
                 expect += 1
-                file.write(data.ljust(width, b"\0"))
+                file.write(grow(data).ljust(width, b"\0"))
             if batch.num_rows:
                 offset = (batch.column("slot").to_numpy() % stride) * width
                 yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(offset), batch.column("n_tokens"), batch.column("parts")], names=["slot", "shard", "byte_offset", "n_tokens", "parts"])
