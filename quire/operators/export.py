@@ -55,12 +55,23 @@ def page_text(pages: DataFrame) -> Column:
     return F.concat(F.lit("\n--- PDF page "), F.col("page_no").cast("string"), F.lit(" ---\n"), shown)
 
 
+def text_head() -> Column:
+    return F.concat_ws("\n", "title", F.expr("repeat('=', length(title))"), F.concat(F.lit("Source: "), "rel_path"), F.concat(F.col("total_pages").cast("string"), F.lit(" pages")), F.lit(""))
+
+
+def plain_text_parts(pages: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, place, value: the head (place 0) and each page. Written in order of place by ``sources.store.write_named``
+    they are the book's text, whatever its size: no book is ever held as a whole."""
+    head = books.select(F.col("id").alias("book_id"), F.lit(0).cast("long").alias("place"), text_head().alias("value"))
+    return head.union(pages.select("book_id", F.col("page_no").cast("long"), page_text(pages)))
+
+
 def plain_text(pages: DataFrame, books: DataFrame) -> DataFrame:
-    """book_id, text: a title, its underline, the source, the number of pages, then every page in order."""
+    """book_id, text: a title, its underline, the source, the number of pages, then every page in order. For books
+    that fit into a row; else see ``plain_text_parts``."""
     bodies = pages.select("book_id", F.struct("page_no", page_text(pages).alias("t")).alias("p")).groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "\n").alias("body"))
-    head = F.concat_ws("\n", "title", F.expr("repeat('=', length(title))"), F.concat(F.lit("Source: "), "rel_path"), F.concat(F.col("total_pages").cast("string"), F.lit(" pages")), F.lit(""))
     joined = books.withColumnRenamed("id", "book_id").join(bodies, "book_id", "left")
-    return joined.select("book_id", F.concat_ws("\n", head, "body").alias("text"))
+    return joined.select("book_id", F.concat_ws("\n", text_head(), "body").alias("text"))
 
 
 def manifests(pages: DataFrame, books: DataFrame) -> DataFrame:

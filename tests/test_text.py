@@ -108,6 +108,9 @@ def test_export(spark, tmp_path):
     assert shown[1].startswith("Boek\n====\nSource: d/b.pdf\n4 pages\n\n\n--- PDF page 1 ---\n") and "\n\n[Footnotes]\n1 note\n" in shown[1]
     assert "--- PDF page 2 ---\n[BLANK]" in shown[1] and "[not transcribed: pending]" in shown[1] and "[ILLUSTRATION_ONLY]" in shown[1]
     assert shown[2] == "Leeg\n====\nSource: l.pdf\n0 pages\n"
+    parts = export.plain_text_parts(pages, books).select(F.concat(F.lit("t"), "book_id").alias("file"), "place", "value")
+    store.write_named(parts, f"file://{tmp_path}/t").collect()
+    assert (tmp_path / "t" / "t1").read_text() == shown[1] + "\n" and (tmp_path / "t" / "t2").read_text() == shown[2] + "\n"
     m = export.manifests(pages, books)
     by = {r.book_id: r for r in m.collect()}
     assert by[1].page_status_counts == {"done": 2, "flagged": 1, "pending": 1} and by[1].input_tokens == 2400 and by[2].page_status_counts == {}
