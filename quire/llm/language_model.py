@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_pairs, by_bytes, discard, id_hash, most_frequent, staged, texts_of
+from quire.llm.common import as_pairs, by_bytes, discard, gathered, id_hash, most_frequent, staged, texts_of
 
 MARK = "▁"
 BASE = np.uint64(0x100000001B3)
@@ -34,6 +34,8 @@ SLOT = np.uint64(0x9E3779B97F4A7C15)
 LN10 = log(10)
 #: Words of more characters are segmented one at a time.
 LONG = 40
+#: Words segmented together: few enough to hold, enough that arrays pay off.
+BULK = 150_000
 
 
 class Pieces:
@@ -260,7 +262,7 @@ def fit_pieces(words: DataFrame, path: str, ends: int, rounds: int) -> np.ndarra
 
         def expect(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             own, gains = pieces(path), np.zeros(pieces(path).size)
-            for batch in batches:
+            for batch in gathered(batches, BULK):
                 word_log_probabilities(own, batch.column("word").to_pylist(), weights.value, batch.column("c").to_numpy().astype(float), gains)
             used = np.flatnonzero(gains)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(gains[used])], names=["piece", "uses"])
@@ -286,7 +288,7 @@ def score_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col
     end = float(fitted[pieces(model_path).end]) / LN10
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, BULK):
             lp = word_log_probabilities(pieces(model_path), batch.column("word").to_pylist(), weights.value) / LN10
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), batch.column("c"), pa.array(lp, pa.float64())], names=["word", "n", "c", "lp"])
 
