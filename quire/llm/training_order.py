@@ -80,6 +80,17 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), len(ranks)
 
 
+def dictionary(table: DataFrame, sequences: int = 400):
+    """What helps to compress single sequences, from a few of them; None if they are too few or too alike. It has
+    no influence on what is written."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(112 << 10, [r.tokens for r in table.select("tokens").limit(sequences).collect()]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return None
+
+
 PARTS = "array<struct<doc_id: {0}, start: int, n_tokens: int, doc_start: long>>"
 
 
@@ -142,13 +153,15 @@ def materialise(df: DataFrame, out_uri: str, ranks_path: str, pattern: str, key:
     stride = max(1, min(-(-n // least), shard_bytes // width)) if n else 1
     total = -(-n // stride)
     at = spark.sparkContext.broadcast(offsets)
+    hints = spark.sparkContext.broadcast(dictionary(table))
     store, path = filesystem(out_uri)
     store.create_dir(path, recursive=True)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        order, shrink = Permutation(n, key), zstandard.ZstdCompressor(level=3).compress
+        order = Permutation(n, key)
+        shrink = zstandard.ZstdCompressor(level=6, dict_data=hints.value and zstandard.ZstdCompressionDict(hints.value)).compress
         for batch in batches:
             if batch.num_rows:
                 base = np.array([at.value[t] for t in batch.column("task").to_pylist()], np.int64)
@@ -162,7 +175,8 @@ def materialise(df: DataFrame, out_uri: str, ranks_path: str, pattern: str, key:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        (own, folder), grow = filesystem(out_uri), zstandard.ZstdDecompressor().decompress
+        own, folder = filesystem(out_uri)
+        grow = zstandard.ZstdDecompressor(dict_data=hints.value and zstandard.ZstdCompressionDict(hints.value)).decompress
         file, shard, tmp, expect = None, None, "", 0
 
         def close() -> None:
