@@ -384,3 +384,23 @@ def keep_firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     if heads.filter("__head_k > 1").limit(1).collect():  # equal rows: one of them
         kept = kept.dropDuplicates(["__head_doc_id", "__head_t1", "__head_t2"])
     return kept.select(*df.columns)
+
+
+SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT rid, w, least(len(w), 5) AS k FROM docs WHERE len(w) > 0))),
+sizes AS (SELECT rid, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS whole FROM shingles GROUP BY rid),
+common AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+link AS (
+  SELECT x, y, p.whole <> q.whole AS other, p.whole AS xw, q.whole AS yw FROM common JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+both_ AS (SELECT x, y, other, yw FROM link UNION ALL SELECT y, x, other, xw FROM link),
+reach AS (SELECT rid AS s, rid AS t FROM docs UNION SELECT reach.s, both_.y FROM reach JOIN both_ ON reach.t = both_.x),
+class AS (SELECT s, min(doc_id) AS class_id FROM reach JOIN docs ON docs.rid = t GROUP BY s),
+counts AS (SELECT x, count(*) AS n_links, count(DISTINCT CASE WHEN other THEN yw END) AS n_texts FROM both_ GROUP BY x)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_texts, 0) AS BIGINT) AS n_texts
+FROM docs JOIN class ON class.s = docs.rid LEFT JOIN counts ON counts.x = docs.rid
+"""

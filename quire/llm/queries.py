@@ -7,16 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, quality_rules
+from quire.llm import decontamination, near_duplicates as near, quality_rules, warc
 from quire.llm.bpe import bpe_digests
 from quire.llm.common import fresh_dir
 from quire.llm.html_text import main_text
 from quire.llm.language_model import score_texts
-from quire.llm.near_duplicates import near_duplicates
 from quire.llm.quality_model import quality_scores
 from quire.llm.token_counts import token_counts
 from quire.llm.training_order import document_parts, materialise
-from quire.llm.warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +36,8 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_dir(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), out)
-    return read_warc(spark, out, payloads=False).drop("url")
+    warc.write_warc(table(spark, sf_dir, "pages"), out)
+    return warc.read_warc(spark, out, payloads=False).drop("url")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_texts")
+    return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_texts")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_model": op10_language_model,
 }
 ORACLES: dict[str, str] = {
+    "op4_warc": warc.SQL,
+    "op6_ngram_jaccard": near.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op8_decontamination": decontamination.SQL,
 }

@@ -203,3 +203,15 @@ def read_warc(spark: SparkSession, out_uri: str, payloads: bool = True) -> DataF
     files = spark.read.schema(MANIFEST).parquet(f"{out_uri}/_manifest").select("file")
     fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(read, fields)
+
+
+SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
+         row_number() OVER (PARTITION BY page_id, coalesce(html, '')) AS n FROM pages),
+x AS (SELECT *, sha1(h) AS hex, page_id IS NOT DISTINCT FROM first AND n = 1 AS own FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST((i // 4) * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT own THEN first END AS refers_to
+FROM x
+"""

@@ -15,12 +15,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontamination, html_text, language_model, near_duplicates, quality_model, quality_rules, token_counts, training_order, warc
+from quire.llm.common import by_bytes, gathered, most_frequent
 from quire.llm.components import components
 
 LONG = "lorem ipsum dolor sit amet " * 3000
 TEXTS = [
     None, "", "   ", "\n\n", "one", "one two three four", "a\x1cb \x85 c", "no breaks" * 2000, LONG, "ΑΣ Σ İstanbul ﬁ ½", "日本語 テキスト 123４５", "👩‍👩‍👧 ok", "<|endoftext|> in <|startoftext|> text", "<s> </s> <unk> <0x41>",
-    "▁ x ▁▁ y  z", "don't we'll I'M", "line one\nline one\nline two\n", "The end.", "The end.", "\x00nul \x07bell", "&&& *** $$$ %%%", "word " * 100,
+    "▁ x ▁▁ y  z", "don't we'll I'M", "line one\nline one\nline two\n", "The end.", "The end.", "日本語テキスト" * 60, "ab" * 400, "a1b2--c..d9'x''y", "\x00nul \x07bell", "&&& *** $$$ %%%", "word " * 100,
 ]
 #: Columns with names that operators use inside.
 EXTRA = ("cls", "copies", "word", "host", "shard", "token", "grp", "page", "payload", "key", "n", "held_out", "label", "of", "rate")
@@ -50,6 +51,31 @@ def empty(df):
     return df.limit(0)
 
 
+# --- shared helpers
+
+
+def test_most_frequent_takes_whole_steps_from_the_top(spark):
+    rng = random.Random(3)
+    rows = [(i, int(rng.paretovariate(0.7))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "word int, n long")
+    for n in (0, 1, 50, 500, 5000):
+        got = {r.word for r in most_frequent(df, n).collect()}
+        assert len(got) <= n
+        assert not got or min(k for i, k in rows if i in got) > max([0, *(k for i, k in rows if i not in got)])
+    assert most_frequent(df, 5000).count() == 2000 and most_frequent(df.limit(0), 5).count() == 0
+
+
+def test_batches_keep_their_rows():
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"text": ["x" * k for k in range(b, b + 7)]}) for b in (0, 20, 40)]
+    for limit in (1, 50, 10**6):
+        parts = list(by_bytes(iter(batches), "text", limit))
+        assert [t for p in parts for t in p.column("text").to_pylist()] == [t for b in batches for t in b.column("text").to_pylist()]
+        assert all(p.num_rows == 1 or sum(map(len, p.column("text").to_pylist())) <= limit for p in parts)
+    assert [b.num_rows for b in gathered(iter(batches), 10)] == [14, 7] and list(gathered(iter([]), 5)) == []
+
+
 # --- op1
 
 
@@ -205,6 +231,16 @@ def test_main_text_of_an_article():
     assert html_text.extract("<!-- never closed <p>x", set()) == ""
 
 
+def test_deep_and_broken_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    assert html_text.extract("<div>" * 30_000 + "x" + "</section>" * 30_000 + "</div>" * 30_000, set()) == "x"
+    assert html_text.extract("<p>" * 30_000 + "y", set()) == "y"
+    assert html_text.extract('<a href="x' * 20_000, set()) == ""
+    assert time.time() - began < 10
+
+
 def test_template_removes_what_a_hosts_pages_share(spark):
     """Without an article element, blocks of the template go and the varying slots stay."""
     page = "<body><div id=top>Welcome to the site</div><div class=body><p>{}</p><p>{}</p></div><div id=end>All rights reserved</div>"
