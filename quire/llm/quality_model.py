@@ -79,7 +79,7 @@ def word_vectors(texts: list[str], size: int) -> tuple[dict[str, int], np.ndarra
 def features(texts: list[str], ids: dict[str, int], vectors: np.ndarray, rows_of: dict[str, int]) -> np.ndarray:
     """``rows_of``: rows of tokens outside the vocabulary, kept between calls and cleared when large."""
     out = np.zeros((len(texts), WIDTH + EXTRA), np.float32)
-    if len(rows_of) > 300_000:
+    if len(rows_of) > 100_000:
         rows_of.clear()
     get, n = rows_of.get, len(vectors)
     for k, text in enumerate(texts):
@@ -164,7 +164,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (id_hash(F.col(id_col)) % folds != fold))
     known = known.groupBy(F.col(id_col).alias("of")).agg(F.max(label_col).cast("int").alias("label"))
     order = F.xxhash64(F.col("of").cast("string"))
-    chosen = known.orderBy(order, "of").limit(sample)  # bounded, so it can be broadcast
+    # a sort with a limit sends that many rows from each task, so what can't be among the smallest goes before
+    share = min(1.0, (1.2 * sample + 500) / max(known.count(), 1))
+    likely = known.filter(order <= F.lit(int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1))
+    chosen = likely.orderBy(order, "of").limit(sample)  # bounded, so it can be broadcast
     rows = as_pairs(df, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "text", "label").orderBy(order, "of", "text").limit(sample)
     ids, vectors, network = fit(rows.toPandas(), vocabulary)
     digest = xxhash.xxh64_intdigest("\n".join(ids).encode() + vectors.tobytes())
