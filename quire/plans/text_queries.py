@@ -128,7 +128,7 @@ def publish_rows(spark, sf_dir):
         w AS (SELECT book_id, page_no, i, n_chars, 0 AS chunk, 1 AS k, n_chars AS held FROM n WHERE i = 1
           UNION ALL SELECT n.book_id, n.page_no, n.i, n.n_chars, CASE WHEN w.k >= 15 OR w.held + n.n_chars > 20000 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.k >= 15 OR w.held + n.n_chars > 20000 THEN 1 ELSE w.k + 1 END,
           CASE WHEN w.k >= 15 OR w.held + n.n_chars > 20000 THEN n.n_chars ELSE w.held + n.n_chars END FROM w JOIN n ON n.book_id = w.book_id AND n.i = w.i + 1)
-        SELECT book_id, page_no, chunk, chunk = max(chunk) OVER (PARTITION BY book_id) AS is_final FROM w""",
+        SELECT book_id, CAST(page_no AS INTEGER) AS page_no, chunk, chunk = max(chunk) OVER (PARTITION BY book_id) AS is_final FROM w""",
         "numbered",
     )
 )
@@ -263,7 +263,7 @@ def error_classification(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS input_tokens, CASE event_type WHEN 'click' THEN 7 ELSE 0 END AS output_tokens FROM events"""
+    """SELECT event_id, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS input_tokens, CAST(CASE event_type WHEN 'click' THEN 7 ELSE 0 END AS BIGINT) AS output_tokens FROM events"""
 )
 def token_usage(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
