@@ -12,8 +12,9 @@ Null and empty texts have no ids and decode to the empty text. Repeated rows are
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,10 +28,15 @@ from quire.llm.common import as_pairs, by_bytes, discard, filesystem, fresh_dir,
 from quire.llm.lexicon import EMPTY, Lexicon, PairTable, compile_words
 
 #: The characters that the library's \s matches; Python's split() adds U+001C to U+001F.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT_ON, ODD = regex.compile(f"[{SPACE}]+"), regex.compile("[\x1c-\x1f]")
 #: Entries that a worker keeps between batches.
-KEPT = 400_000
+KEPT = 150_000
+#: Words of more bytes are merged one at a time.
+LONG = 256
+#: Of each byte: 0 parts chunks, 1 a letter, 2 a digit, 3 anything else.
+CLASSES = np.array([0 if b == 0x0A else 1 if chr(b).islower() and b < 0x80 else 2 if 0x30 <= b <= 0x39 else 3 for b in range(256)], np.uint8)
+LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
 def byte_letters() -> list[str]:
@@ -66,33 +72,32 @@ class WordBpe:
         self.outer = np.array([vocab[c + end] for c in letters], np.uint32)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.uint32)
+        self.long_pairs: dict[int, int] = {}
         self.made = np.array([vocab[a + b] for a, b in merges] + [0], np.uint32)
         keys, first = np.unique(keys, return_index=True)
         self.merges = PairTable.build(keys, first.astype(np.uint32))
 
-    def merge(self, words: np.ndarray) -> list[bytes]:
-        """Ids, as little-endian bytes, of equally long words given as rows of bytes."""
+    def merge(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of equally long words (rows of bytes): which rows, and their ids, one row each."""
         n, length = words.shape
+        if length > LONG:
+            for row in range(n):
+                yield np.array([row]), self.merge_long(words[row])[None, :]
+            return
         ids = self.inner[words]
         ids[:, -1] = self.outer[words[:, -1]]
-        out: list[bytes] = [b""] * n
         rows = np.arange(n)
         ranks = self.merges.find((ids[:, :-1] << np.uint32(16) | ids[:, 1:]).ravel()).reshape(n, length - 1)
-        while True:
+        while len(rows):
             if ids.shape[1] == 1:
-                best = np.full(len(rows), EMPTY)
-            else:
-                at = ranks.argmin(axis=1)
-                best = ranks[np.arange(len(rows)), at]
-            done = best == EMPTY
-            if done.any():
-                width, flat = 4 * ids.shape[1], ids[done].astype("<u4").tobytes()
-                for k, row in enumerate(rows[done].tolist()):
-                    out[row] = flat[k * width : (k + 1) * width]
-            go = ~done
-            if not go.any():
-                return out
-            rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
+                yield rows, ids
+                return
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
+            go = best != EMPTY
+            if not go.all():
+                yield rows[~go], ids[~go]
+                rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
             each = np.arange(len(rows))
             ids[each, at] = self.made[best]
             columns = np.arange(ids.shape[1] - 1)[None, :]
@@ -105,6 +110,41 @@ class WordBpe:
                     r, c = each[ok], side[ok]
                     ranks[r, c] = self.merges.find(ids[r, c] << np.uint32(16) | ids[r, c + 1])
 
+    def merge_long(self, word: np.ndarray) -> np.ndarray:
+        """One word of any length: a heap of pairs by rank and place over a linked list, n log n."""
+        ids = self.inner[word].tolist()
+        ids[-1] = int(self.outer[word[-1]])
+        n = len(ids)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        left = np.array(ids[:-1], np.uint32) << np.uint32(16) | np.array(ids[1:], np.uint32)
+        heap = [(int(r), i, int(k)) for i, (r, k) in enumerate(zip(self.merges.find(left), left, strict=True)) if r != EMPTY]
+        heapq.heapify(heap)
+        pairs = self.long_pairs
+
+        def push(i: int) -> None:
+            j = after[i]
+            if j >= 0:
+                k = ids[i] << 16 | ids[j]
+                r = pairs.get(k)
+                if r is None:
+                    r = pairs[k] = int(self.merges.find(np.array([k], np.uint32))[0])
+                if r != EMPTY:
+                    heapq.heappush(heap, (r, i, k))
+
+        while heap:
+            r, i, k = heapq.heappop(heap)
+            j = after[i] if ids[i] >= 0 else -1
+            if j < 0 or ids[i] << 16 | ids[j] != k:
+                continue  # one of the two has been merged meanwhile
+            ids[i], ids[j] = int(self.made[r]), -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            if before[i] >= 0:
+                push(before[i])
+            push(i)
+        return np.array([i for i in ids if i >= 0], np.uint32)
+
     def chunks(self, text: str) -> list[str]:
         return [c for c in SPLIT_ON.split(text) if c] if ODD.search(text) else text.split()
 
@@ -115,37 +155,66 @@ class WordBpe:
             return []
         out, find = [], self.pattern.findall
         for c in self.normalizer.normalize_str("\n".join(chunks)).split(" "):
-            # most chunks are letters, or letters and one mark; the pattern would say the same
-            if c.isalpha():
-                out.append([c])
-            elif c[:-1].isalpha() and not c[-1].isnumeric():
-                out.append([c[:-1], c[-1]])
-            else:
-                out.append(find(c))
+            # letters, or letters and one mark, which the pattern would cut the same way
+            out.append([c] if c.isalpha() else [c[:-1], c[-1]] if c[:-1].isalpha() and not c[-1].isnumeric() else find(c))
         return out
 
-
-def encode_words(bpe: WordBpe, lexicon: Lexicon | None, words: list[str]) -> dict[str, bytes]:
-    by_length: dict[int, list[tuple[str, bytes]]] = defaultdict(list)
-    for w in words:
-        by_length[len(b := w.encode())].append((w, b))
-    out: dict[str, bytes] = {}
-    for length, group in by_length.items():
+    def byte_words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, lengths, chunk numbers) of the words of non-empty chunks. ASCII without apostrophes is cut
+        by character class, as the pattern does; other chunks go through the pattern."""
+        easy = np.array([c.isascii() and "'" not in c for c in chunks], bool)
+        where, odd = np.flatnonzero(easy), np.flatnonzero(~easy).tolist()
+        plain = chunks if not odd else [chunks[i] for i in where.tolist()]
+        data = np.frombuffer(("\n".join(plain) + "\n").lower().encode(), np.uint8) if plain else np.zeros(0, np.uint8)
+        kind = CLASSES[data]
+        before = np.concatenate([[0], kind[:-1]]) if len(kind) else kind
+        start = (kind != 0) & ((kind != before) | (kind == 2))
+        bounds = np.flatnonzero(start | (kind == 0))
+        first = start[bounds]
+        starts = bounds[first]
+        lengths = np.append(bounds[1:], len(data))[first] - starts
+        owner = where[np.cumsum(kind == 0)[starts]]
+        if not odd:
+            return data, starts, lengths, owner
+        own = [(w.encode(), k) for k, ws in zip(odd, self.words_of([chunks[i] for i in odd]), strict=True) for w in ws]
+        sizes = np.array([len(w) for w, _ in own], np.int64)
+        more = np.frombuffer(b"".join(w for w, _ in own), np.uint8)
+        at = np.cumsum(sizes) - sizes + len(data)
+        every = np.concatenate([owner, np.array([k for _, k in own], np.int64)])
+        order = np.argsort(every, kind="stable")
+        return np.concatenate([data, more]), np.concatenate([starts, at])[order], np.concatenate([lengths, sizes])[order], every[order]
+
+
+def encode_words(bpe: WordBpe, lexicon: Lexicon | None, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after the other, number of ids of each) of words given as parts of ``data``."""
+    pieces: list[tuple[np.ndarray, np.ndarray]] = []
+    counts = np.zeros(len(starts), np.int64)
+    order = np.argsort(lengths, kind="stable")
+    edges = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        length = int(lengths[order[a]])
         step = max(1, (1 << 22) // length)
-        for k in range(0, len(group), step):
-            part = group[k : k + step]
-            rows = np.frombuffer(b"".join(b for _, b in part), np.uint8).reshape(len(part), length)
-            rank = lexicon.ranks(rows) if lexicon else np.full(len(part), -1)
+        for k in range(a, b, step):
+            words = order[k : min(b, k + step)]
+            rows = data[starts[words][:, None] + np.arange(length)]
+            rank = lexicon.ranks(rows) if lexicon else np.full(len(words), -1)
+            known = np.flatnonzero(rank >= 0)
+            if len(known):
+                lo = lexicon.offsets[rank[known]].astype(np.int64)
+                sizes = lexicon.offsets[rank[known] + 1].astype(np.int64) - lo
+                for n in np.unique(sizes).tolist():
+                    same = sizes == n
+                    pieces.append((words[known[same]], lexicon.ids[lo[same][:, None] + np.arange(n)]))
             new = np.flatnonzero(rank < 0)
-            if lexicon:
-                lo, hi, ids = lexicon.offsets, lexicon.offsets[1:], lexicon.ids
-                for i in np.flatnonzero(rank >= 0).tolist():
-                    r = rank[i]
-                    out[part[i][0]] = ids[lo[r] : hi[r]].tobytes()
             if len(new):
-                for i, ids_ in zip(new.tolist(), bpe.merge(rows[new]), strict=True):
-                    out[part[i][0]] = ids_
-    return out
+                pieces.extend((words[new[r]], ids) for r, ids in bpe.merge(rows[new]))
+    for words, ids in pieces:
+        counts[words] = ids.shape[1]
+    base = np.cumsum(counts) - counts
+    flat = np.empty(int(counts.sum()), "<u4")
+    for words, ids in pieces:
+        flat[base[words][:, None] + np.arange(ids.shape[1])] = ids
+    return flat, counts
 
 
 class Encoder:
@@ -158,9 +227,12 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        words = self.bpe.words_of(chunks)
-        ids = encode_words(self.bpe, self.lexicon, list({w for ws in words for w in ws}))
-        self.known.update(zip(chunks, [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in words], strict=True))
+        data, starts, lengths, owner = self.bpe.byte_words(chunks)
+        flat, counts = encode_words(self.bpe, self.lexicon, data, starts, lengths)
+        ends = 4 * np.cumsum(np.bincount(owner, counts, len(chunks)).astype(np.int64))
+        ids = flat.tobytes()
+        at = ends.tolist()
+        self.known.update(zip(chunks, [ids[i:j] for i, j in zip([0, *at], at, strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Of each text the ids as little-endian uint32 and the decoded text in UTF-8."""
@@ -191,46 +263,38 @@ def encoder(path: str, lexicon_uri: str | None) -> Encoder:
     return Encoder(path, lexicon_uri)
 
 
-@lru_cache(1)
-def splitter(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
-def frequent_words(df: DataFrame, tokenizer_path: str, text_col: str, n: int) -> list[str]:
-    """At most ``n`` of the most frequent words over all texts; counts are summed in each task first."""
+def frequent_words(df: DataFrame, text_col: str, n: int) -> list[bytes]:
+    """At most ``n`` of the most frequent runs of letters (lower-case ASCII, and any bytes from 0x80) over all
+    texts; counts are summed in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = splitter(tokenizer_path)
-        held: Counter[str] = Counter()
+        held: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            chunks = list(held)
-            words: Counter[str] = Counter()
-            for ws, k in zip(bpe.words_of(chunks), map(held.__getitem__, chunks), strict=True):
-                for w in ws:
-                    words[w] += k
+            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+            return batch
 
         for batch in by_bytes(batches, "text"):
             for text in texts_of(batch, "text"):
-                held.update(bpe.chunks(text))
+                held.update(text.encode().translate(LETTERS).split())
             if len(held) > 400_000:
                 yield out()
         yield out()
 
-    counted = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    counted = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long")
     words = staged(counted.groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    top = [r.word for r in most_frequent(words, n).select("word").collect()]
+    top = [bytes(r.word) for r in most_frequent(words, n).select("word").collect()]
     discard(words)
     return top
 
 
 def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", frequent: int = 50_000) -> str:
     """Counts, merges and compiles the frequent words; returns the URI of the file in the shared folder."""
-    words = frequent_words(df, tokenizer_path, text_col, frequent)
-    ids = encode_words(WordBpe(tokenizer_path), None, words)
-    data = compile_words((w, tuple(np.frombuffer(b, "<u4").tolist())) for w, b in sorted((w.encode(), b) for w, b in ids.items()))
+    words = sorted(frequent_words(df, text_col, frequent))
+    sizes = np.array([len(w) for w in words], np.int64)
+    flat, counts = encode_words(WordBpe(tokenizer_path), None, np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    data = compile_words((w, tuple(ids.tolist())) for w, ids in zip(words, np.split(flat, np.cumsum(counts)[:-1]) if words else [], strict=True))
     uri = fresh_dir(df.sparkSession, "lexicon")
     store, path = filesystem(uri)
     store.create_dir(path, recursive=True)
