@@ -36,8 +36,8 @@ def occurrences(c: Column, part: Column) -> Column:
 
 def last_index(c: Column, char: str) -> Column:
     """0-based position of the last ``char``, -1 without one."""
-    back = F.instr(F.reverse(c), char)
-    return F.when(back == 0, -1).otherwise(F.length(c) - back)
+    back = F.nullif(F.instr(F.reverse(c), char), F.lit(0))
+    return F.coalesce(F.length(c) - back, F.lit(-1))
 
 
 def has_loop(c: Column, window: int = fixed.REPEAT_WINDOW, times: int = fixed.REPEAT_TIMES) -> Column:
@@ -64,6 +64,11 @@ def sheet_title(c: Column, most: int = fixed.NAME_CHARS) -> Column:
     return F.left(F.coalesce(truthy(cleaned), F.lit("Book")), F.lit(most))
 
 
+def _if(position: Column, least: int) -> Column:
+    """The position if it is at least that, else null; it is evaluated once."""
+    return F.get(F.filter(F.array(position), lambda p: p >= least), F.lit(0))
+
+
 def split_cells(c: Column, columns: int = fixed.CELLS, limit: int = fixed.CELL_CHARS) -> tuple[Column, Column]:
     """(array of ``columns`` cells, whether text was left over). A cut is at the last newline of the window if
     that is in its second half, else at the last space likewise, else at the limit; newlines at a cut go.
@@ -74,13 +79,16 @@ def split_cells(c: Column, columns: int = fixed.CELLS, limit: int = fixed.CELL_C
     def step(acc: Column, _: Column) -> Column:
         rest = acc["rest"]
         window = F.left(rest, F.lit(limit))
-        line, word = last_index(window, "\n"), last_index(window, " ")
-        cut = F.when(line >= half, line).when(word >= half, word).otherwise(limit).cast("int")
+        cut = F.coalesce(_if(last_index(window, "\n"), half), _if(last_index(window, " "), half), F.lit(limit))
         fits = F.length(rest) <= limit
-        return F.struct(
-            F.concat(acc["cells"], F.array(F.when(fits, rest).otherwise(F.left(rest, cut)))).alias("cells"),
-            F.when(fits, "").otherwise(F.regexp_replace(F.substring(rest, cut + 1, F.length(rest)), r"^\n+", "")).alias("rest"),
-        )
+
+        def at(k: Column) -> Column:
+            return F.struct(
+                F.concat(acc["cells"], F.array(F.when(fits, rest).otherwise(F.left(rest, k)))).alias("cells"),
+                F.when(fits, "").otherwise(F.regexp_replace(F.substring(rest, k + 1, F.length(rest)), r"^\n+", "")).alias("rest"),
+            )
+
+        return F.get(F.transform(F.array(cut), at), F.lit(0))  # the cut is found once
 
     start = F.struct(F.array().cast("array<string>").alias("cells"), or_empty(c).alias("rest"))
     def finish(acc: Column) -> Column:
