@@ -165,10 +165,12 @@ def duplicate_secrets(spark, sf_dir):
     return keys(spark, sf_dir).agg((F.count("secret") != F.count_distinct("secret")).alias("has_duplicates"), (F.count("secret") - F.count_distinct("secret")).alias("extra"))
 
 
-@query(with_roles("SELECT key_id, label, CASE WHEN key_id % 3 = 0 THEN 'new' ELSE secret END AS secret, enabled OR key_id % 3 = 0 AS enabled FROM keys UNION ALL SELECT (SELECT max(key_id) FROM keys) + 1, 'zz-new', 'fresh', true", "keys"))
+@query(with_roles("SELECT key_id, label, CASE WHEN state = 'cooldown' THEN 'new' ELSE secret END AS secret, enabled OR state = 'cooldown' AS enabled FROM keys UNION ALL SELECT (SELECT max(key_id) FROM keys) + 1, 'zz-new', 'fresh', true", "keys"))
 def key_upsert(spark, sf_dir):
-    k = keys(spark, sf_dir).select("key_id", "label", "secret", "rpm_limit", "rpd_limit", "enabled")
-    entries = k.filter("key_id % 3 = 0").select("label", F.lit("new").alias("secret"), "rpm_limit", "rpd_limit").union(spark.createDataFrame([("zz-new", "fresh", 1, 1)], "label string, secret string, rpm_limit int, rpd_limit long"))
+    """Cooling keys get a new secret, and one label is new."""
+    every = keys(spark, sf_dir)
+    k = every.select("key_id", "label", "secret", "rpm_limit", "rpd_limit", "enabled")
+    entries = every.filter("state = 'cooldown'").select("label", F.lit("new").alias("secret"), "rpm_limit", "rpd_limit").union(spark.createDataFrame([("zz-new", "fresh", 1, 1)], "label string, secret string, rpm_limit int, rpd_limit long"))
     return K.upsert_keys(k, entries).select("key_id", "label", "secret", "enabled")
 
 
