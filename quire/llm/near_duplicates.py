@@ -38,7 +38,7 @@ BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
 #: Values compared before each look at the posterior.
 STEP = 20
-BLOCK = 128
+BLOCK = 64
 
 
 def odd_numbers(seed: int, n: int) -> np.ndarray:

@@ -305,7 +305,7 @@ def brute_classes(rows):
     return sorted((i, least[find(x)], links[x]) for x, i in enumerate(ids))
 
 
-@pytest.mark.parametrize("block", [128, 2])
+@pytest.mark.parametrize("block", [64, 2])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     """Blocks of two members deal even small groups over many tasks."""
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
@@ -313,7 +313,7 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     df = documents(spark, rows)
     got = near_duplicates.near_duplicates(df)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_classes(rows)
-    if block == 128:
+    if block == 64:
         kept = near_duplicates.keep_firsts(df)
         assert kept.columns == df.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute_classes(rows)})
