@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
+from quire.functions.once import once
 from quire.functions.text import has_any, or_empty, strip, truthy
 
 #: Types of the response, of a page result and of a book profile.
@@ -44,21 +45,23 @@ def unfenced(text: Column) -> Column:
     return F.when(raw.startswith("```"), closed).otherwise(raw)
 
 
-def page_payload(response: Column) -> Column:
-    """struct(error, result) of a response struct; error is null if the page type is there."""
-    text = model_text(response)
-    raw = unfenced(text)
-    tree = F.try_parse_json(raw)
-    result = F.from_json(raw, PAGE_RESULT)
+def with_payload(df: DataFrame, response: Column, name: str = "payload") -> DataFrame:
+    """Adds struct(error, result) of a response struct; error is null if the page type is there. Text, parsed tree and
+    result are each found once a row."""
     has_step = F.exists(F.coalesce(response["steps"], F.array()), lambda s: s["type"] == "model_output")
+    df = once(df, __step=has_step, __text=model_text(response))
+    df = once(df, __raw=unfenced(F.col("__text")))
+    df = once(df, __kind=F.schema_of_variant(F.try_parse_json("__raw")), __result=F.from_json("__raw", PAGE_RESULT))
     error = (
-        F.when(~has_step, "no output step")
-        .when(text.isNull(), "no text in the output")
-        .when(tree.isNull(), "not valid JSON")
-        .when(~F.schema_of_variant(tree).startswith("OBJECT"), "not an object")
-        .when(truthy(result["page_type"]).isNull(), "no page type")
+        F.when(~F.col("__step"), "no output step")
+        .when(F.col("__text").isNull(), "no text in the output")
+        .when(F.col("__kind").isNull(), "not valid JSON")
+        .when(~F.col("__kind").startswith("OBJECT"), "not an object")
+        .when(truthy(F.col("__result.page_type")).isNull(), "no page type")
     )
-    return F.struct(error.alias("error"), F.when(error.isNull(), result).alias("result"))
+    df = once(df, __error=error)
+    found = F.struct(F.col("__error").alias("error"), F.when(F.col("__error").isNull(), F.col("__result")).alias("result"))
+    return df.withColumn(name, found).drop("__step", "__text", "__raw", "__kind", "__result", "__error")
 
 
 def token_usage(response: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import fixed
 
-#: What ``str.strip()`` removes; the pattern reads the same in Java and RE2.
+#: What ``str.strip()`` removes, as characters and as a pattern that reads the same in Java and RE2.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -21,7 +22,7 @@ def truthy(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:

@@ -282,7 +282,7 @@ def page_payload(spark, sf_dir):
     kind = F.col("event_type")
     text_ = F.when(kind == "click", '{"page_type":"text","transcription":"x"}').when(kind == "view", '```json\n{"page_type":"blank"}\n```').when(kind == "signup", "{oops").otherwise('{"transcription":"x"}')
     steps = F.array(F.struct(F.lit("thought").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.lit("hm").alias("text"))).alias("content")), F.struct(F.when(kind == "error", "other").otherwise("model_output").alias("type"), F.array(F.struct(F.lit("text").alias("type"), text_.alias("text"))).alias("content")))
-    e = table(spark, sf_dir, "events").withColumn("p", classify.page_payload(F.struct(steps.alias("steps"))))
+    e = classify.with_payload(table(spark, sf_dir, "events"), F.struct(steps.alias("steps")), "p")
     return e.select("event_id", F.col("p.result.page_type").alias("page_type"), F.col("p.error").alias("error"))
 
 

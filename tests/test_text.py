@@ -141,7 +141,7 @@ def response(output, kind="model_output", block="text"):
 
 def test_payloads(spark):
     cases = [(response('{"page_type":"text","languages":["nl"]}'), None), (response('```json\n{"page_type":"blank"}\n```'), None), ("{}", "no output step"), (response("x", kind="other"), "no output step"), (response("x", block="image"), "no text in the output"), (response("{oops"), "not valid JSON"), (response("[1]"), "not an object"), (response('{"transcription":"a"}'), "no page type")]
-    df = spark.createDataFrame(cases, "r string, error string").withColumn("p", classify.page_payload(F.from_json("r", classify.RESPONSE)))
+    df = classify.with_payload(spark.createDataFrame(cases, "r string, error string"), F.from_json("r", classify.RESPONSE), "p")
     assert all(r.p.error == r.error and (r.p.result is None) == (r.error is not None) for r in df.collect())
     usage = [('{"usage":{"input_tokens":5,"output_tokens":6}}', 5, 6), ('{"usage_metadata":{"prompt_token_count":5,"candidates_token_count":0,"candidatesTokenCount":2}}', 5, 2), ('{"usageMetadata":{"promptTokenCount":1}}', 1, 0), ('{"usage":{},"usageMetadata":{"promptTokenCount":1}}', 0, 0), ("{}", 0, 0), ('{"usage":7}', 0, 0)]
     df = spark.createDataFrame(usage, "r string, i long, o long").withColumn("u", classify.token_usage(F.col("r")))
