@@ -51,8 +51,7 @@ def index_vector(token: str) -> np.ndarray:
 
 
 def word_vectors(texts: list[str], size: int) -> tuple[dict[str, int], np.ndarray]:
-    tokens = [TOKEN.findall(t) for t in texts]
-    seen = Counter(t for ts in tokens for t in set(ts))
+    seen = Counter(t for text in texts for t in set(TOKEN.findall(text)))
     # shapes are always in, as rows of their own
     shapes = sorted({shape(t) for t in seen})
     names = shapes + [t for t, k in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: max(0, size - len(shapes))] if k >= 3]
@@ -61,17 +60,17 @@ def word_vectors(texts: list[str], size: int) -> tuple[dict[str, int], np.ndarra
     if not n:
         return ids, np.zeros((0, WIDTH), np.float32)
     index = np.stack([index_vector(t) for t in names])
-    together = np.zeros(n * n, np.int64)
-    for k in range(0, len(tokens), 500):
-        rows = [[ids[t] if t in ids else ids[shape(t)] for t in ts] for ts in tokens[k : k + 500]]
+    together = np.zeros(n * n, np.float32)
+    for k in range(0, len(texts), 200):  # tokens are made twice rather than held
+        rows = [[ids[t] if t in ids else ids[shape(t)] for t in TOKEN.findall(text)] for text in texts[k : k + 200]]
         flat = np.array([i for r in rows for i in (*r, *[-1] * WINDOW)], np.int64)  # no window reaches the next text
         for o in range(1, WINDOW + 1):
             a, b = flat[:-o], flat[o:]
             ok = (a >= 0) & (b >= 0)
             codes, k_ = np.unique(a[ok] * n + b[ok], return_counts=True)
             together[codes] += k_
-    both = together.reshape(n, n).astype(np.float32)
-    context = (both + both.T) @ index
+    together = together.reshape(n, n)
+    context = together @ index + together.T @ index
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     return ids, index / np.sqrt(NONZERO) + context
 
