@@ -68,10 +68,11 @@ class Node(NamedTuple):
     token: int
     boiler: bool
     main: bool
+    named: int  # the innermost element that its names call boilerplate, -1 if none
 
 
-def marks(name: str, attrs: str, parent: Node) -> tuple[str, bool, bool]:
-    """Signature of a tag, whether it opens boilerplate, whether it opens the article."""
+def marks(name: str, attrs: str, parent: Node) -> tuple[str, bool, bool, bool]:
+    """Signature of a tag, whether it opens boilerplate, whether it opens the article, whether its names say boilerplate."""
     got: dict[str, str] = {}
     if attrs and ("=" in attrs or "hidden" in attrs):
         for m in ATTR.finditer(attrs):
@@ -79,19 +80,24 @@ def marks(name: str, attrs: str, parent: Node) -> tuple[str, bool, bool]:
     named = f"{got.get('class', '')} {got.get('id', '')}".strip()
     words = {w.lower() for w in WORDS.findall(named)} if named else set()
     role = got.get("role", "").lower()
-    boiler = name in BOILER or role in BOILER_ROLES or bool(words & BOILER_WORDS) and name not in ("html", "body") or "hidden" in got or got.get("aria-hidden", "").lower() == "true"
-    boiler = boiler or (name == "header" or "header" in words and name not in INLINE and name[:1] + name[1:].strip("123456") != "h") and not parent.main
+    boiler = name in BOILER or role in BOILER_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true"
+    boiler = boiler or name == "header" and not parent.main
+    called = bool(words & BOILER_WORDS) and name not in ("html", "body") or "header" in words and name not in INLINE and name[:1] + name[1:].strip("123456") != "h" and not parent.main
     main = name in ("article", "main") or role == "main" or "articlebody" in got.get("itemprop", "").lower()
-    return f"{name}.{re.sub(r'[0-9]+', '0', named)}" if named else name, boiler, main
+    return f"{name}.{re.sub(r'[0-9]+', '0', named)}" if named else name, boiler, main, called and not main
 
 
 def parse(page: str) -> Page:
-    """Tag tokens and text blocks in page order; blocks in boilerplate are left out."""
-    root = Node("", 0, False, False)
+    """Tag tokens and text blocks in page order; blocks in boilerplate elements are left out. Names are weighed
+    once the page is known: an element with most of the article's text, or of the page's where no article has
+    any, isn't what its names say."""
+    root = Node("", 0, False, False, -1)
     stack: list[Node] = [root]
     opened: Counter[str] = Counter()
     tags: list[int] = []
     blocks: list[Block] = []
+    owners: list[int] = []  # of each block its innermost named element
+    named: list[list[int]] = []  # of each named element the one around it, characters, characters in articles
     held: list[str] = []
     owner = root
 
@@ -101,6 +107,7 @@ def parse(page: str) -> Page:
             held.clear()
             if text and not owner.boiler:
                 blocks.append(Block(text, hashed(str(owner.token), text), owner.token, owner.main))
+                owners.append(owner.named)
 
     def add(text: str) -> None:
         nonlocal owner
@@ -136,6 +143,8 @@ def parse(page: str) -> Page:
             if name not in INLINE:
                 flush()
             pop({name}, frozenset() if name not in INLINE else BOUND)
+            if held and (owner.boiler, owner.named) != (stack[-1].boiler, stack[-1].named):
+                flush()
             continue
         if name == "br":
             held and held.append(" ")
@@ -146,21 +155,40 @@ def parse(page: str) -> Page:
             if name in CLOSES:
                 pop(CLOSES[name], frozenset(("ul", "ol", "dl", "table", "select")) - {name})
         parent = stack[-1]
-        sign, boiler, main = marks(name, m["attrs"] or "", parent)
+        sign, boiler, main, called = marks(name, m["attrs"] or "", parent)
         token = hashed(str(parent.token), sign) if name not in INLINE else parent.token
         if name not in INLINE:
             tags.append(token)
-        node = Node(name, token, parent.boiler or boiler, parent.main or main)
+        node = Node(name, token, parent.boiler or boiler, parent.main or main, len(named) if called else parent.named)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
         elif name not in VOID and not (m["attrs"] or "").endswith("/"):
-            if node.boiler != parent.boiler:
+            if called:
+                named.append([parent.named, 0, 0])
+            if node.boiler != parent.boiler or called:
                 flush()
             stack.append(node)
             opened[name] += 1
     flush()
-    return Page(tags, blocks)
+    return Page(tags, [b for b, drop in zip(blocks, dropped(blocks, owners, named), strict=True) if not drop])
+
+
+def dropped(blocks: list[Block], owners: list[int], named: list[list[int]]) -> list[bool]:
+    """Per block whether it lies in an element that is what its names say."""
+    for b, k in zip(blocks, owners, strict=True):
+        if k >= 0:
+            named[k][1] += len(b.text)
+            named[k][2] += len(b.text) * b.main
+    for around, chars, main in reversed(named):  # an element comes after those around it
+        if around >= 0:
+            named[around][1] += chars
+            named[around][2] += main
+    every, articles = sum(len(b.text) for b in blocks), sum(len(b.text) for b in blocks if b.main)
+    gone: list[bool] = []
+    for around, chars, main in named:
+        gone.append(around >= 0 and gone[around] or not (2 * main > articles if articles else 2 * chars > every))
+    return [k >= 0 and gone[k] for k in owners]
 
 
 def host_of(url: Column) -> Column:

@@ -260,6 +260,17 @@ def test_repeated_article_blocks_stay(spark):
     assert all(r.text == f"The same passage.\n\nown {r.page_id}" for r in got)
 
 
+def test_names_drop_no_element_with_the_story():
+    story = "<h1>Head</h1><p>The whole of a story, long enough.</p>"
+    want = "Head\n\nThe whole of a story, long enough."
+    for page in ('<div class="content-sidebar-wrap">{}</div>', '<div class="layout has-sidebar">{}<div class="sidebar">Side</div></div>', '<article class="post has-comments">{}<div class="comments">Nice!</div></article>', '<div id="page-header-menu"><main>{}</main></div>'):
+        assert html_text.extract(page.format(story), set()) == want
+    assert html_text.extract('<div class="ad">A much longer advert than that.</div><article>Word</article>', set()) == "Word"
+    assert html_text.extract('<div class="related"><article>Card</article></div><article>A story</article>', set()) == "A story"
+    assert html_text.extract('<p>Both <span class="ad">Buy</span> stay</p>', set()) == "Both\n\nstay"
+    assert html_text.extract('<div class="ad">' * 30_000 + "x", set()) == "x"
+
+
 # --- op6
 
 
