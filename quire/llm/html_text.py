@@ -1,14 +1,15 @@
 """Main text by equivalence-class template deduction.
 
 Each page becomes tokens: opening tags with their path of ancestors (names, classes, ids) and text blocks with
-theirs. Over all pages of a host, tokens with equal occurrence vectors (how often on which page) form an
-equivalence class; vectors are compared by the sum over pages of a hash of page and count, so they are
-aggregated in two steps, for a host of any size and without leaving out pages. A class that occurs on at least half of the host's pages
-(and on two) is valid. Valid classes nest as their paths do and make up the host's template. On a page,
-the template's tags bound slots; a block is put into the slot of its innermost template tag. Slots in
-boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, comments) go. If slots lie in
-an article or main element, those are the text; else all other slots are, without blocks that belong to the
-template themselves.
+theirs. Over all different contents of a host, tokens with equal occurrence vectors (how often on which content) form
+an equivalence class; vectors are compared by the sum over contents of a hash of content and count, so they are
+aggregated in two steps, for a host of any size and without leaving out pages. A class is of the template if it has
+three tokens or more, is on three contents or more and on at least half of the host's, and comes in
+one order on most of them. On a page where it comes in another order, or crosses a larger class instead of lying
+between two of its tokens, it isn't taken as template. Blocks of the template go. If blocks lie in
+an article or main element, those are the text, of the template or not.
+Blocks in boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, comments) go too; names
+of classes and ids count only for elements without most of the article's text (of the page's, without an article).
 
 Null and empty pages give the empty text. Malformed markup is read as far as it goes. A page without a host
 counts as of the host ''. Repeated rows count each.
@@ -42,6 +43,8 @@ BOILER = frozenset("nav footer aside form script style noscript template button
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments respond reply replies disqus social share sharing related recommended widget pagination pager toolbar".split())
 SALTS = 32
+# A class has so many tokens and is on so many contents at least.
+SIZE, PAGES = 3, 3
 WORDS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 
 
@@ -53,7 +56,7 @@ class Block(NamedTuple):
 
 
 class Page(NamedTuple):
-    tags: list[int]
+    tokens: list[int]  # tags and blocks
     blocks: list[Block]
 
 
@@ -94,8 +97,9 @@ def parse(page: str) -> Page:
     root = Node("", 0, False, False, -1)
     stack: list[Node] = [root]
     opened: Counter[str] = Counter()
-    tags: list[int] = []
+    tokens: list[int] = []
     blocks: list[Block] = []
+    places: list[int] = []  # of each block in tokens
     owners: list[int] = []  # of each block its innermost named element
     named: list[list[int]] = []  # of each named element the one around it, characters, characters in articles
     held: list[str] = []
@@ -108,6 +112,8 @@ def parse(page: str) -> Page:
             if text and not owner.boiler:
                 blocks.append(Block(text, hashed(str(owner.token), text), owner.token, owner.main))
                 owners.append(owner.named)
+                places.append(len(tokens))
+                tokens.append(blocks[-1].token)
 
     def add(text: str) -> None:
         nonlocal owner
@@ -158,7 +164,7 @@ def parse(page: str) -> Page:
         sign, boiler, main, called = marks(name, m["attrs"] or "", parent)
         token = hashed(str(parent.token), sign) if name not in INLINE else parent.token
         if name not in INLINE:
-            tags.append(token)
+            tokens.append(token)
         node = Node(name, token, parent.boiler or boiler, parent.main or main, len(named) if called else parent.named)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -171,7 +177,9 @@ def parse(page: str) -> Page:
             stack.append(node)
             opened[name] += 1
     flush()
-    return Page(tags, [b for b, drop in zip(blocks, dropped(blocks, owners, named), strict=True) if not drop])
+    drop = dropped(blocks, owners, named)
+    gone = {i for i, d in zip(places, drop, strict=True) if d}
+    return Page([t for i, t in enumerate(tokens) if i not in gone], [b for b, d in zip(blocks, drop, strict=True) if not d])
 
 
 def dropped(blocks: list[Block], owners: list[int], named: list[list[int]]) -> list[bool]:
@@ -195,52 +203,102 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def content_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def judged(seen: list[dict]) -> list[tuple[int, int, list[int]]]:
+    """Of a page's tokens that are in classes (at, token, cls, size, chars): per class that nests with the others,
+    a hash of its order and its blocks. Of two classes that cross the smaller one goes."""
+    seen = sorted(seen, key=lambda x: x["at"])
+    last = {x["cls"]: i for i, x in enumerate(seen)}
+    rank = {x["cls"]: (x["size"], x["cls"]) for x in seen}
+    stack: list[int] = []
+    opened, crossed = set(), set()
+    for i, x in enumerate(seen):
+        c = x["cls"]
+        if c not in opened:
+            opened.add(c)
+            stack.append(c)
+        while c not in crossed and stack[-1] != c:
+            top = stack[-1]
+            if top in crossed or last[top] < i or rank[top] < rank[c]:
+                if last[top] > i:
+                    crossed.add(top)
+                stack.pop()
+            else:
+                crossed.add(c)
+    tokens: dict[int, list[int]] = defaultdict(list)
+    blocks: dict[int, list[int]] = defaultdict(list)
+    for x in seen:
+        tokens[x["cls"]].append(x["token"])
+        if x["chars"]:
+            blocks[x["cls"]].append(x["token"])
+    return [(c, hashed(*map(str, t)), blocks[c]) for c, t in tokens.items() if c not in crossed]
+
+
 def templates(pages: DataFrame, support: float) -> DataFrame:
-    """Per host the tokens of its valid classes: host, template (array of long). ``pages``: page, host, html."""
+    """Per host and content of a page its blocks that are of the host's template: host, content, template (array of
+    long). ``pages``: host, content, html."""
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html"):
-            held: dict[str, dict[int, list[int]]] = defaultdict(dict)
-            for page, host, text in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html")), strict=True):
-                own = held[host]
-                got = parse(text or "")
-                counts = Counter(got.tags)
-                counts.update({b.token for b in got.blocks})
-                counts[0] = 1  # stands for the page itself
-                for token, k in counts.items():
-                    x = xxhash.xxh64_intdigest(f"{page}:{k}")
-                    row = own.setdefault(token, [0, 0, 0])
-                    row[0] += 1
-                    row[1] += x & 0x7FFFFFFF
-                    row[2] += x >> 33
-            rows = [(h, t, *v) for h, own in held.items() for t, v in own.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "pages", "v1", "v2"])
-
-    seen = pages.mapInArrow(vectors, "host string, token long, pages long, v1 long, v2 long").groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2")])
-    seen = staged(seen.filter("pages > 1"), "tokens")
+            rows = []
+            for text in batch.column("html").to_pylist():
+                page = parse(text or "")
+                counts = Counter(page.tokens)
+                of = {b.token: b for b in page.blocks}
+                sizes = [len(of[t].text) if t in of else 0 for t in counts]
+                rows.append((sum(len(b.text) for b in page.blocks), len(page.blocks), list(counts), list(counts.values()), sizes, [of[t].slot if t in of else 0 for t in counts]))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["host", "content", "page_chars", "page_blocks", "token", "k", "chars", "slot"])
+
+    contents = pages.mapInArrow(parsed, "host string, content long, page_chars long, page_blocks long, token array<long>, k array<int>, chars array<int>, slot array<long>")
+    contents = contents.dropDuplicates(["host", "content"])
+    contents = staged(contents, "contents")
+    each = contents.select("host", "content", "page_chars", "page_blocks", F.posexplode(F.arrays_zip("token", "k", "chars", "slot")).alias("at", "x")).select("host", "content", "page_chars", "page_blocks", "at", "x.*")
+    x = F.xxhash64("content", "k")
+    seen = each.groupBy("host", "token", "chars", "slot").agg(F.count("*").alias("pages"), F.sum(x.bitwiseAND(0x7FFFFFFF)).alias("v1"), F.sum(F.shiftrightunsigned(x, 33)).alias("v2"), F.sum("k").alias("n"), F.sum("page_chars").alias("page_chars"), F.sum("page_blocks").alias("page_blocks"))
+    seen = staged(seen, "tokens")
     # a large host's tokens are dealt to as many tasks as there are salts
-    sizes = seen.filter("token = 0").select(F.col("host").alias("of"), F.col("pages").alias("all"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    valid = seen.filter("token <> 0").join(sizes, (F.col("host") == F.col("of")) & (F.pmod("token", F.lit(SALTS)) == F.col("salt"))).filter(F.col("pages") >= support * F.col("all"))
-    classes = valid.groupBy("host", "pages", "v1", "v2").agg(F.collect_set("token").alias("tokens"))
-    # as many tokens for a host as two pages have, at support 0.5
-    return staged(classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")), "templates")
+    sizes = contents.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("all")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    valid = seen.filter(F.col("pages") >= PAGES).join(sizes, (F.col("host") == F.col("of")) & (F.pmod("token", F.lit(SALTS)) == F.col("salt"))).drop("of", "salt")
+    text = F.when(F.col("chars") > 0, F.col("n")).otherwise(0)
+    valid = valid.filter(F.col("pages") >= support * F.col("all"))
+    valid = staged(valid.select("host", "token", "chars", "n", "pages", "page_chars", "page_blocks", F.xxhash64("pages", "v1", "v2").alias("cls")), "valid")
+    classes = valid.groupBy(F.col("host").alias("of"), F.col("cls").alias("c")).agg(F.count("*").alias("size"), F.sum(text).alias("blocks"), F.sum(F.col("chars") * F.col("n")).alias("held"), F.first("page_chars").alias("page_chars"), F.first("page_blocks").alias("page_blocks"))
+    classes = classes.filter((F.col("size") >= SIZE) & (F.col("blocks") > 0)).select("of", "c", "size")
+    members = staged(valid.join(classes, (F.col("host") == F.col("of")) & (F.col("cls") == F.col("c"))).select(F.col("host").alias("of"), F.col("token").alias("t"), "cls", "size", "pages"), "members")
+    on_page = each.join(members, (F.col("host") == F.col("of")) & (F.col("token") == F.col("t"))).groupBy("host", "content").agg(F.collect_list(F.struct("at", "token", "cls", "size", "chars", "pages")).alias("seen"))
+
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, content, got in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "seen")), strict=True):
+                pages = {x["cls"]: x["pages"] for x in got}
+                rows += [(host, content, c, pages[c], order, blocks) for c, order, blocks in judged(got)]
+            if rows:
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "content", "cls", "pages", "order", "blocks"])
+
+    placed = staged(on_page.mapInArrow(orders, "host string, content long, cls long, pages long, order long, blocks array<long>"), "placed")
+    usual = placed.groupBy(F.col("host").alias("of"), F.col("cls").alias("c"), F.col("order").alias("o")).agg((2 * F.count("*") > F.first("pages")).alias("most")).filter("most")
+    usual = staged(usual, "usual")
+    out = placed.join(usual, (F.col("host") == F.col("of")) & (F.col("cls") == F.col("c")) & (F.col("order") == F.col("o")), "left_semi")
+    return staged(out.groupBy("host", "content").agg(F.flatten(F.collect_list("blocks")).alias("template")), "templates")
 
 
 def extract(text: str, template: set[int]) -> str:
     page = parse(text)
-    slots: dict[int, list[Block]] = defaultdict(list)
-    for b in page.blocks:
-        slots[b.slot if b.slot in template else 0].append(b)
-    kept = [b for slot in slots.values() for b in slot if b.main]
-    chosen = {id(b) for b in kept} if kept else {id(b) for slot in slots.values() for b in slot if b.token not in template}
-    return "\n\n".join(b.text for b in page.blocks if id(b) in chosen)
+    kept = [b for b in page.blocks if b.main] or [b for b in page.blocks if b.token not in template]
+    return "\n\n".join(b.text for b in kept)
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
-    pages = df.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
-    found = templates(pages.select("page", "host", "html"), support).select(F.col("host").alias("of"), "template")
-    joined = pages.join(found, F.col("host") == F.col("of"), "left").select("page", "url", "html", "template")
+    pages = df.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html")).withColumn("content", content_of(F.col("html")))
+    found = templates(pages.select("host", "content", "html"), support).select(F.col("host").alias("of"), F.col("content").alias("c"), "template")
+    joined = pages.join(found, (F.col("host") == F.col("of")) & (F.col("content") == F.col("c")), "left").select("page", "url", "html", "template")
     id_type = pages.schema["page"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

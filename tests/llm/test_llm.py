@@ -271,6 +271,29 @@ def test_names_drop_no_element_with_the_story():
     assert html_text.extract('<div class="ad">' * 30_000 + "x", set()) == "x"
 
 
+def texts_of_pages(spark, pages):
+    rows = [(i, "http://h.org/", h) for i, h in enumerate(pages)]
+    return {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_classes_are_judged_whole(spark):
+    """Shared blocks stay where they are no class of three tokens, or come in another order on each page."""
+    lines = [f"<p>shared line {k}</p>" for k in range(4)]
+    turned = lambda i: "".join(lines[i % 4 :] + lines[: i % 4])
+    pages = [f"<div class=a>{turned(i)}</div><div class=b><p>own {i} a</p><p>own {i} b</p><p>own {i} c</p><p>own {i} d</p></div>" for i in range(8)]
+    got = texts_of_pages(spark, pages)
+    assert all(got[i].count("shared line") == 4 and f"own {i} d" in got[i] for i in range(8))
+    fixed = texts_of_pages(spark, [p.replace(turned(i), turned(0)) for i, p in enumerate(pages)])
+    assert all(t == "\n\n".join(f"own {i} {x}" for x in "abcd") for i, t in fixed.items())
+    got = texts_of_pages(spark, [f"<p>alone</p><p>own {i}</p>" for i in range(6)])
+    assert got[1] == "alone\n\nown 1"
+
+
+def test_of_crossing_classes_the_smaller_goes():
+    seen = [{"at": i, "token": i, "cls": c, "size": {1: 4, 2: 3, 3: 2}[c], "chars": 5} for i, c in enumerate((1, 3, 3, 2, 1, 2, 1, 2, 1))]
+    assert {c: b for c, _, b in html_text.judged(seen)} == {1: [0, 4, 6, 8], 3: [1, 2]}
+
+
 # --- op6
 
 
