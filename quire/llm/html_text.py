@@ -4,7 +4,9 @@ Each page becomes tokens: opening tags with their path of ancestors (names, clas
 theirs. Over all different contents of a host, tokens with equal occurrence vectors (how often on which content) form
 an equivalence class; vectors are compared by the sum over contents of a hash of content and count, so they are
 aggregated in two steps, for a host of any size and without leaving out pages. A class is of the template if it has
-three tokens or more, is on three contents or more and on at least half of the host's, and comes in
+three tokens or more, is on three contents or more (below
+half of the host's, its blocks count where most of what is in their path repeats), has at most half of the text or
+half of the blocks of its pages, as pages that share more are copies of each other, and comes in
 one order on most of them. On a page where it comes in another order, or crosses a larger class instead of lying
 between two of its tokens, it isn't taken as template. Blocks of the template go. If blocks lie in
 an article or main element, those are the text, of the template or not.
@@ -263,11 +265,14 @@ def templates(pages: DataFrame, support: float) -> DataFrame:
     # a large host's tokens are dealt to as many tasks as there are salts
     sizes = contents.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("all")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     valid = seen.filter(F.col("pages") >= PAGES).join(sizes, (F.col("host") == F.col("of")) & (F.pmod("token", F.lit(SALTS)) == F.col("salt"))).drop("of", "salt")
+    # below the support, blocks of slots that mostly repeat
     text = F.when(F.col("chars") > 0, F.col("n")).otherwise(0)
-    valid = valid.filter(F.col("pages") >= support * F.col("all"))
+    slots = seen.filter("chars > 0").groupBy(F.col("host").alias("of"), F.col("slot").alias("fixed")).agg((2 * F.sum(F.when(F.col("pages") > 1, F.col("n")).otherwise(0)) >= F.sum("n")).alias("repeats")).filter("repeats")
+    valid = valid.join(slots, (F.col("host") == F.col("of")) & (F.col("slot") == F.col("fixed")), "left").filter((F.col("chars") == 0) | (F.col("pages") >= support * F.col("all")) | F.col("repeats"))
     valid = staged(valid.select("host", "token", "chars", "n", "pages", "page_chars", "page_blocks", F.xxhash64("pages", "v1", "v2").alias("cls")), "valid")
+    # pages that share most of their text are copies of each other, not of one template
     classes = valid.groupBy(F.col("host").alias("of"), F.col("cls").alias("c")).agg(F.count("*").alias("size"), F.sum(text).alias("blocks"), F.sum(F.col("chars") * F.col("n")).alias("held"), F.first("page_chars").alias("page_chars"), F.first("page_blocks").alias("page_blocks"))
-    classes = classes.filter((F.col("size") >= SIZE) & (F.col("blocks") > 0)).select("of", "c", "size")
+    classes = classes.filter((F.col("size") >= SIZE) & (F.col("blocks") > 0) & ((2 * F.col("held") <= F.col("page_chars")) | (2 * F.col("blocks") <= F.col("page_blocks")))).select("of", "c", "size")
     members = staged(valid.join(classes, (F.col("host") == F.col("of")) & (F.col("cls") == F.col("c"))).select(F.col("host").alias("of"), F.col("token").alias("t"), "cls", "size", "pages"), "members")
     on_page = each.join(members, (F.col("host") == F.col("of")) & (F.col("token") == F.col("t"))).groupBy("host", "content").agg(F.collect_list(F.struct("at", "token", "cls", "size", "chars", "pages")).alias("seen"))
 

@@ -294,6 +294,17 @@ def test_of_crossing_classes_the_smaller_goes():
     assert {c: b for c, _, b in html_text.judged(seen)} == {1: [0, 4, 6, 8], 3: [1, 2]}
 
 
+def test_copies_count_once_and_sections_have_templates(spark):
+    """Copies are no template of each other, and the menu of a few pages is one."""
+    got = texts_of_pages(spark, ["<div><p>The one story.</p><p>Its end.</p></div>"] * 5 + ["<div><p>Another story.</p></div>"])
+    assert got[0] == got[4] == "The one story.\n\nIts end." and got[5] == "Another story."
+    near = texts_of_pages(spark, ["<div>" + "".join(f"<p>line {k}</p>" for k in range(9)) + f"<p>copy {i}</p></div>" for i in range(5)])
+    assert all(near[i].count("line") == 9 for i in near)
+    menu = lambda s: "<div class=m><ul>" + "".join(f"<li>{s}{k}</li>" for k in range(3)) + "</ul></div>"
+    got = texts_of_pages(spark, [menu("abcd"[i % 4]) + "".join(f"<p>page {i} has text {k}</p>" for k in range(3)) for i in range(16)])
+    assert all(t == "\n\n".join(f"page {i} has text {k}" for k in range(3)) for i, t in got.items())
+
+
 # --- op6
 
 
