@@ -8,8 +8,8 @@ three tokens or more, is on three contents or more (below
 half of the host's, its blocks count where most of what is in their path repeats), has at most half of the text or
 half of the blocks of its pages, as pages that share more are copies of each other, and comes in
 one order on most of them. On a page where it comes in another order, or crosses a larger class instead of lying
-between two of its tokens, it isn't taken as template. Blocks of the template go. If blocks lie in
-an article or main element, those are the text, of the template or not.
+between two of its tokens, it isn't taken as template. Blocks of the template go. If at least half
+of the text that is left lies in article or main elements, that is the main text; else all of it is.
 Blocks in boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, comments) go too; names
 of classes and ids count only for elements without most of the article's text (of the page's, without an article).
 
@@ -294,8 +294,11 @@ def templates(pages: DataFrame, support: float) -> DataFrame:
 
 
 def extract(text: str, template: set[int]) -> str:
-    page = parse(text)
-    kept = [b for b in page.blocks if b.main] or [b for b in page.blocks if b.token not in template]
+    """The blocks that vary; an article or main element that has at least half of their text is all of it."""
+    kept = [b for b in parse(text).blocks if b.token not in template]
+    within = [b for b in kept if b.main]
+    if 2 * sum(len(b.text) for b in within) >= sum(len(b.text) for b in kept):
+        kept = within
     return "\n\n".join(b.text for b in kept)
 
 

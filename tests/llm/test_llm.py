@@ -305,6 +305,13 @@ def test_copies_count_once_and_sections_have_templates(spark):
     assert all(t == "\n\n".join(f"page {i} has text {k}" for k in range(3)) for i, t in got.items())
 
 
+def test_the_template_decides_on_article_pages_too(spark):
+    box = "<div class=by><p>By our staff</p><p>Write to us</p></div>"
+    got = texts_of_pages(spark, [f"<body><article><h1>Head {i}</h1><p>Own text {i}</p><p>More of {i}</p>{box}</article></body>" for i in range(6)])
+    assert all(t == f"Head {i}\n\nOwn text {i}\n\nMore of {i}" for i, t in got.items())
+    assert html_text.extract("<div><p>The story is in a div beside a card.</p></div><article>Card</article>", set()) == "The story is in a div beside a card.\n\nCard"
+
+
 # --- op6
 
 
