@@ -7,7 +7,7 @@ ternary index vector plus those of its neighbours, summed over the training text
 its tokens' vectors with its length, its shares of distinct tokens, of repeated
 lines, of repeated three-token runs and of tokens that repeat the one before. The network is
 fitted to at most ``sample`` labelled rows (a documented bound: those with the smallest hash of the id; where
-ids repeat, of their rows too), a fifth of which only stops the fit and sets the temperature.
+ids repeat, one row of each), a fifth of which only stops the fit and sets the temperature.
 
 Null and empty texts are scored as documents without tokens. Without two classes among the training labels
 every score is the share of label 1 (0.5 without labels). Labels with a null id or value are ignored.
@@ -167,7 +167,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, (1.2 * sample + 500) / max(known.count(), 1))
     likely = known.filter(order <= F.lit(int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1))
     chosen = likely.orderBy(order, "of").limit(sample)  # bounded, so it can be broadcast
-    rows = as_pairs(df, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "text", "label").orderBy(order, "of", "text").limit(sample)
+    # of a repeated id the row of the smallest hash of the text, so no id displaces others
+    rows = as_pairs(df, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("of", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("of", "least.text", "label").orderBy(order, "of").limit(sample)
     ids, vectors, network = fit(rows.toPandas(), vocabulary)
     digest = xxhash.xxh64_intdigest("\n".join(ids).encode() + vectors.tobytes())
     return df.sparkSession.sparkContext.broadcast((digest, ids, vectors, network))

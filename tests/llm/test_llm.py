@@ -173,6 +173,16 @@ def test_classifier_on_odd_tables(spark, odd):
     assert quality_model.quality_scores(empty(odd), mixed).count() == 0
 
 
+def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(quality_model, "fit", lambda rows, *_: held.append(rows) or ({}, np.zeros((0, 64), np.float32), quality_model.Network()))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for hot in (0, 1, 2, 3):
+        rows = [(i, f"text {i}") for i in range(40)] + [(i, f"copy {k}") for i in range(hot, 40, 4) for k in range(50)]
+        quality_model.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels, sample=30)
+    assert all(set(rows["of"]) == set(held[0]["of"]) and len(rows) == len(set(rows["of"])) > 20 for rows in held)
+
+
 # --- op4
 
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>y</p>"), (3, "http://a b/3", "<p>x</p>"), (4, None, None), (5, "u", ""), (5, "u", ""), (7, "u\nv", "é" * 5000), (None, "n", "<p>x</p>"), (None, "n", "only"), (0, "z", "<p>y</p>")]
