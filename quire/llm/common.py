@@ -19,9 +19,12 @@ BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one is made only where none is set, as in tests."""
+    """The shared folder of the cluster; a local one is made only where none is set and all tasks run on this
+    machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quire_dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark._quire_dir = found
     return found.rstrip("/")
@@ -62,6 +65,11 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def id_hash(col: Column) -> Column:
     """crc32 of an id as text; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8"))
@@ -120,7 +128,7 @@ def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
 
 def as_pairs(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only what an operator needs, under fixed names, so other columns can't clash."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return df.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"), *more)
 
 
 import pyarrow.compute  # noqa: E402,F401  (pa.compute is a lazy submodule)

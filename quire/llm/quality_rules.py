@@ -2,12 +2,15 @@
 
 Each text is measured in Arrow batches. Per host, the documents that break any rule are counted; the rates
 are shrunk towards a beta prior that is fitted to all hosts by moments, so a host with few documents needs
-more evidence. A host whose shrunk rate is over ``most_rate`` is strict: its documents must pass every rule;
-elsewhere only the base rules reject. A clean document therefore stays wherever it was found.
+more evidence. A host's verdict is its allowance, the factor by which its documents may exceed the limits of the
+rules for symbols and repeated lines: ``slack`` times the prior's mean over the host's shrunk rate, 1 at least and
+``most`` at most. On a usual host a document is thus rejected at ``slack`` times the limits; where failures are
+``slack`` times as frequent as usual, at the limits themselves. The base rules always reject, and a document that
+breaks no rule stays wherever it was found.
 
 Words are runs of anything but U+0020 and U+0009 to U+000D. Null texts have no words and fail; a document
-without a host is judged alone. Repeated rows count each. Hosts are aggregated in two steps, so one host may
-hold any share of the rows.
+without a host is judged as on a usual one. Repeated rows count each. Hosts are aggregated in two steps, so one host
+may hold any share of the rows. An empty table gives an empty one. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import by_bytes, staged, texts_of
+from quire.llm.common import by_bytes, column, staged, texts_of
 
 SYMBOLS = "#*$%&|<>"
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -43,17 +46,17 @@ def measure(text: str) -> tuple[int, ...]:
     return n, len(text) - blanks, sum(map(text.count, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated
 
 
-def metrics(df: DataFrame, keep: dict[str, Column], text_col: str) -> DataFrame:
-    """The columns of ``keep`` and the measures of each text."""
-    src = df.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("text"))
+def metrics(df: DataFrame, keep: dict[str, Column], text: Column) -> DataFrame:
+    """The columns of ``keep`` and the measures of each text, which goes along only if it is one of them."""
     names = list(keep)
+    src = df.select(*[c.alias(k) for k, c in keep.items()], *([] if "text" in keep else [text.cast("string").alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             got = list(zip(*map(measure, texts_of(batch, "text")), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(g, pa.int64()) for g in got], names=[*names, *METRICS])
 
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "text")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name in names)
     return src.mapInArrow(run, kept + "".join(f", {m} long" for m in METRICS))
 
 
@@ -61,14 +64,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def rule_failed() -> Column:
-    """The base rules, over one symbol in ten words, or over 30 % repeated lines."""
-    return base_failed() | (10 * F.col("n_symbols") > F.col("n_words")) | (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))
+def beyond(allowance: Column) -> Column:
+    """Over one symbol in ten words, or over 30 % repeated lines, each times the allowance."""
+    return (10 * F.col("n_symbols") > allowance * F.col("n_words")) | (100 * F.col("n_dup_lines") > allowance * 30 * F.col("n_lines"))
 
 
-def host_verdicts(measured: DataFrame, most_rate: float) -> DataFrame:
-    """Per host: n, failed, rate (shrunk), strict."""
-    hosts = staged(measured.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(rule_failed().cast("long")).alias("failed")), "hosts")
+def host_verdicts(measured: DataFrame, slack: float, most: float) -> DataFrame:
+    """Per host: n, failed (documents that break any rule), rate (shrunk), allowance."""
+    failed = base_failed() | beyond(F.lit(1.0))
+    hosts = staged(measured.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(failed.cast("long")).alias("failed")), "hosts")
     total = hosts.agg(F.sum("n").alias("docs"), F.sum("failed").alias("bad"), F.count("*").alias("hosts"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("squares")).first()
     if not total.docs:
         mean, weight = 0.0, 1.0
@@ -78,35 +82,31 @@ def host_verdicts(measured: DataFrame, most_rate: float) -> DataFrame:
         spread = max(total.squares / total.docs - mean * mean - noise, 1e-9)
         weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
     rate = (F.col("failed") + mean * weight) / (F.col("n") + weight)
-    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate > most_rate).alias("strict"))
+    usual = F.when(F.col("rate") > 0, F.least(F.lit(float(most)), F.greatest(F.lit(1.0), F.lit(slack * mean) / F.col("rate")))).otherwise(float(most))
+    return hosts.withColumn("rate", rate).withColumn("allowance", usual)
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_rate: float = 0.5) -> DataFrame:
-    """Per row: doc_id, the measures, base_failed, host_rate, kept."""
-    measured = staged(metrics(df, {"doc_id": F.col(id_col), "host": F.col(host_col).cast("string")}, text_col), "rules")
-    verdicts = staged(host_verdicts(measured, most_rate).select("host", "rate", "strict"), "verdicts")
-    strict = F.coalesce(F.col("strict"), F.lit(False))
-    return measured.join(verdicts, "host", "left").select("doc_id", *METRICS, base_failed().alias("base_failed"), F.col("rate").alias("host_rate"), (~base_failed() & ~(strict & rule_failed())).alias("kept"))
+def kept(slack: float) -> Column:
+    """Needs the measures and the host's allowance (null without a host)."""
+    return ~base_failed() & ~beyond(F.coalesce("allowance", F.lit(float(slack))))
 
 
-def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", most_rate: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that the rules keep, with their columns. Texts are measured twice rather than
-    written once more."""
-    measured = metrics(df, {"host": F.col(host_col).cast("string")}, text_col)
-    strict = staged(host_verdicts(measured, most_rate).filter("strict").select(F.col("host").alias("__strict_host")), "strict")
-    marked = df.join(strict, F.col(host_col).cast("string") == F.col("__strict_host"), "left")
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", slack: float = 2.0, most: float = 4.0) -> DataFrame:
+    """Per row: doc_id, the measures, base_failed, host_rate, allowance, kept."""
+    measured = staged(metrics(df, {"doc_id": column(id_col), "host": column(host_col).cast("string")}, column(text_col)), "rules")
+    verdicts = staged(host_verdicts(measured, slack, most).select("host", "rate", "allowance"), "verdicts")
+    return measured.join(verdicts, "host", "left").select("doc_id", *METRICS, base_failed().alias("base_failed"), F.col("rate").alias("host_rate"), "allowance", kept(slack).alias("kept"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text_col):
-            keep = []
-            for text, host in zip(texts_of(batch, text_col), batch.column("__strict_host").to_pylist(), strict=True):
-                n, _, symbols, lines, dup, repeated = measure(text)
-                bad = n < 50 or 100 * repeated > 50 * n
-                keep.append(not bad and (host is None or not (10 * symbols > n or 100 * dup > 30 * lines)))
-            yield batch.filter(pa.array(keep)).select(df_names)
 
-    df_names = df.columns
-    return marked.mapInArrow(run, df.schema)
+def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", slack: float = 2.0, most: float = 4.0) -> DataFrame:
+    """The rows of ``df`` that the rules keep, with their columns. Texts are measured twice rather than
+    written once more."""
+    narrow = metrics(df, {"host": column(host_col).cast("string")}, column(text_col))
+    verdicts = staged(host_verdicts(narrow, slack, most).select("host", "allowance"), "verdicts")
+    # under names of their own, columns can't clash with the measures
+    own = {c: "text" if c == text_col and df.schema[c].dataType.simpleString() == "string" else f"c{i}" for i, c in enumerate(df.columns)}
+    whole = metrics(df, {**{n: column(c) for c, n in own.items()}, "host": column(host_col).cast("string")}, column(text_col))
+    return whole.join(verdicts, "host", "left").filter(kept(slack)).select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def digest(rules: DataFrame) -> DataFrame:
@@ -136,8 +136,10 @@ hosts AS (SELECT source, count(*) AS n, count(*) FILTER (rule_failed) AS failed
 total AS (SELECT sum(n) AS docs, sum(failed) AS bad, count(*) AS hosts, sum(failed * failed / n) AS squares FROM hosts),
 prior AS (
   SELECT bad / docs AS mean, least(greatest((bad / docs) * (1 - bad / docs) / greatest(squares / docs - (bad / docs) * (bad / docs) - (bad / docs) * (1 - bad / docs) * hosts / docs, 1e-9) - 1, 1.0), 1e6) AS weight FROM total),
-strict AS (SELECT source FROM hosts, prior WHERE (failed + mean * weight) / (n + weight) > 0.5)
+verdict AS (
+  SELECT source, least(4.0, greatest(1.0, CASE WHEN (failed + mean * weight) > 0 THEN 2.0 * mean / ((failed + mean * weight) / (n + weight)) ELSE 4.0 END)) AS allowance FROM hosts, prior),
+allowed AS (SELECT ruled.*, CAST(coalesce(allowance, 2.0) AS DOUBLE) AS allowance FROM ruled LEFT JOIN verdict ON ruled.source = verdict.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (rule_failed AND source IS NOT NULL AND source IN (SELECT source FROM strict)) AS kept
-FROM ruled
+       NOT base_failed AND NOT (10 * n_symbols > allowance * n_words OR 100 * n_dup_lines > allowance * 30 * n_lines) AS kept
+FROM allowed
 """

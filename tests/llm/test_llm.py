@@ -424,12 +424,16 @@ def test_measures():
 
 def test_rules_and_host_verdicts(spark, odd):
     good = " ".join(f"w{k}" for k in range(60))
-    noisy = " ".join(f"w{k} ***" for k in range(60))
-    rows = [(i, noisy, "bad.org") for i in range(40)] + [(100, good, "bad.org"), (101, good, "good.org"), (102, noisy, "good.org"), (103, noisy, None)] + [(200 + i, good, "good.org") for i in range(60)]
+    noisy = lambda share: good + " " + "*" * int(60 * share)
+    rows = [(i, noisy(0.15), "bad.org") for i in range(40)] + [(100, good, "bad.org"), (101, good, "good.org"), (102, noisy(0.15), "good.org"), (103, noisy(0.15), None), (104, noisy(0.3), None), (105, noisy(0.3), "good.org"), (106, noisy(0.5), "good.org"), (107, noisy(0.15), "new.org")] + [(200 + i, good, "good.org") for i in range(60)]
     df = documents(spark, rows)
     got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
-    assert not got[0].base_failed and not got[0].kept  # its host fails as a whole
-    assert got[100].kept and got[101].kept and got[102].kept and got[103].kept
+    assert not any(r.base_failed for r in got.values())
+    assert got[0].allowance == 1 and not got[0].kept  # over the limit where failures are frequent
+    assert got[102].allowance == 4 and got[102].kept and got[105].kept and not got[106].kept  # where they are rare
+    assert got[103].kept and not got[104].kept  # without a host, as on a usual one
+    assert got[100].kept and got[101].kept
+    assert got[107].host_rate < got[0].host_rate  # one failure of one is less evidence than forty of forty-one
     assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == {i for i, r in got.items() if r.kept}
     assert quality_rules.keep_good(df).columns == df.columns
     out = quality_rules.quality_rules(odd)
@@ -437,6 +441,30 @@ def test_rules_and_host_verdicts(spark, odd):
     assert quality_rules.quality_rules(empty(odd)).count() == 0 and quality_rules.keep_good(empty(odd)).count() == 0
 
 
+def test_verdicts_match_the_sql_where_hosts_differ(spark, tmp_path):
+    """The query's SQL on a table of good, bad, small and unnamed hosts, where both kinds of verdict change rows."""
+    import duckdb
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(900):
+        host = rng.choice(["a", "b", "bad", "bad", f"small{i % 40}", None])
+        words = [f"w{rng.randint(0, 500)}" for _ in range(rng.choice([30, 80, 120]))]
+        share = rng.choice([0.12, 0.25, 0.5]) if rng.random() < {"bad": 0.8, "a": 0.02}.get(host, 0.2) else 0
+        rows.append((i, " ".join(words) + "#" * int(len(words) * share), host))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    from quire.llm import queries
+
+    got = queries.op7_quality_rules(spark, str(tmp_path)).collect()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = db.execute(quality_rules.SQL).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    host = {i: h for i, _, h in rows}
+    gone = Counter(host[r.doc_id] for r in got if not r.base_failed and not r.kept)
+    assert gone["bad"] > 50 and gone["b"] + gone[None] > 0
+
+
 # --- op8
 
 
