@@ -5,21 +5,31 @@ Windows of one length share a table: a block is the last two words (one word for
 shift table says how far a block that isn't at the end of any window lets the search advance, blocks at the
 end lead to a bucket of windows, and comparing all words confirms an occurrence.
 
-Windows reach the tasks by broadcast in parts of at most ``part_bytes`` of item text, each part a search of
-its own over all documents, so a large benchmark never has to fit at once. Null texts have no words; items
+Items are dealt by hash to parts of about ``part_bytes`` of text; a long item is cut where its windows overlap, so
+no item exceeds a part. Each part is compiled by a task and written to the shared folder. A worker searches ``HELD``
+bytes of documents with one part after the other and holds one part at a time, so a benchmark of any size takes
+the memory of one part; neither the driver nor a broadcast holds any of it. Null texts have no words; items
 without words never occur; a null item id counts as the empty text. Equal windows of several items count
 for each of them. Repeated rows of either table change nothing but the number of rows returned.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_pairs, by_bytes, texts_of
+from quire.llm.common import as_pairs, by_bytes, column, filesystem, fresh_dir, staged, texts_of
+
+#: Bytes of document text that are searched with one part after the other.
+HELD = 8 << 20
+#: Windows of a long item that stay together.
+PIECE = 20_000
 
 #: ASCII letters in lower case, digits and all bytes from 0x80 stay; everything else parts words.
 FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -95,64 +105,117 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_parts(benchmark: DataFrame, width: int, item_col: str, text_col: str, part_bytes: int) -> list:
-    """Broadcasts of compiled windows, each of at most about ``part_bytes`` of text."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def pieces_of(text: str, width: int) -> Iterator[str]:
+    """An item's words, long ones in pieces that have each window of the item once."""
+    words = words_of(text)
+    for start in range(0, max(1, len(words) - width + 1), PIECE):
+        yield b" ".join(words[start : start + PIECE + width - 1]).decode()
+
+
+def benchmark_parts(benchmark: DataFrame, width: int, item_col: str, text_col: str, part_bytes: int) -> list[str]:
+    """Files of compiled windows in the shared folder, each of about ``part_bytes`` of text."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.coalesce(column(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                texts = list(pieces_of(text, width))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(texts), pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
+
+    pieces = staged(items.mapInArrow(cut, "item string, text string").filter("text <> ''").distinct(), "pieces")
+    total = pieces.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     parts = -(-total // part_bytes)
-    mine = lambda k: items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-    return [benchmark.sparkSession.sparkContext.broadcast(compile_items([(r.item, r.text) for r in mine(k).collect()], width)) for k in range(parts)]
+    if not parts:
+        return []
+    out = fresh_dir(spark, "windows")
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(r["part"], r["item"], r["text"]) for batch in batches for r in batch.to_pylist()]
+        store, path = filesystem(out)
+        store.create_dir(path, recursive=True)
+        for part in sorted({r[0] for r in rows}):
+            tmp, name = f"{path}/.{uuid.uuid4().hex}.tmp", f"part-{part:06d}"
+            with store.open_output_stream(tmp) as f:
+                f.write(pickle.dumps(compile_items([(i, t) for p, i, t in rows if p == part], width), pickle.HIGHEST_PROTOCOL))
+            store.move(tmp, f"{path}/{name}")
+            yield pa.RecordBatch.from_pylist([{"file": name}], schema=pa.schema([("file", pa.string())]))
+
+    made = staged(dealt.mapInArrow(build, "file string"), "parts")
+    return [f"{out}/{name}" for name in sorted(r.file for r in made.collect())]  # a name a part
+
+
+@lru_cache(1)
+def matchers_of(file: str) -> list[Matcher]:
+    """A compiled part; a worker keeps the last one only."""
+    store, path = filesystem(file)
+    with store.open_input_stream(path) as f:
+        return pickle.loads(f.read())
+
+
+def searched(texts: list[str], files: list[str]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Per text its number of words, merged spans and items, from one part after the other."""
+    words = [words_of(t) for t in texts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[str]] = [set() for _ in texts]
+    for file in files:
+        if len(files) > 1:
+            matchers = None
+            matchers_of.cache_clear()  # the part before goes before this one comes
+        matchers = matchers_of(file)
+        for k, w in enumerate(words):
+            new, found = hits(matchers, w)
+            if new:
+                spans[k] = merged([*spans[k], *new])
+                items[k] |= found
+    return list(zip(map(len, words), spans, items, strict=True))
 
 
 SPANS = "array<struct<start: int, end: int>>"
 
 
-def find_benchmark(df: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
+def find_benchmark(df: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = 2 << 20) -> DataFrame:
     """Per row: doc_id, n_words, spans (merged word spans that are hit), items (ids as sorted strings)."""
-    parts = benchmark_parts(benchmark, width, item_col, item_text_col, part_bytes)
+    files = benchmark_parts(benchmark, width, item_col, item_text_col, part_bytes)
     src = as_pairs(df, id_col, text_col)
-    id_type = src.schema["doc_id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def step(part):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matchers = part.value if part is not None else []
-            for batch in by_bytes(batches, "text"):
-                counts, spans, items = [], [], []
-                before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if "spans" in batch.schema.names else (([], []) for _ in range(batch.num_rows))
-                for text, (old_spans, old_items) in zip(texts_of(batch, "text"), before, strict=True):
-                    words = words_of(text)
-                    new_spans, new_items = hits(matchers, words)
-                    counts.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in merged([*((s["start"], s["end"]) for s in old_spans), *new_spans])])
-                    items.append(sorted({*old_items, *new_items}))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
-
-        return run
-
-    def last(part):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in step(part)(batches):
-                yield batch.select(["doc_id", "n_words", "spans", "items"])
-
-        return run
-
-    out = src
-    for part in parts[:-1]:
-        out = out.mapInArrow(step(part), f"doc_id {id_type}, text string, n_words long, spans {SPANS}, items array<string>")
-    return out.mapInArrow(last(parts[-1] if parts else None), f"doc_id {id_type}, n_words long, spans {SPANS}, items array<string>")
-
-
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in held(batches, "text", files):
+            counts, spans, items = zip(*searched(texts_of(batch, "text"), files), strict=True)
+            structs = [[{"start": a, "end": b} for a, b in s] for s in spans]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(structs, span_type), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_words long, spans {SPANS}, items array<string>")
+
+
+def held(batches: Iterator[pa.RecordBatch], text: str, files: list[str]) -> Iterator[pa.RecordBatch]:
+    """With several parts, rows are searched in larger batches, as each reads all parts."""
+    if len(files) < 2:
+        yield from by_bytes(batches, text)
+        return
+    rows: list[pa.RecordBatch] = []
+    size = 0
+    for batch in by_bytes(batches, text):
+        rows.append(batch)
+        size += batch.nbytes
+        if size >= HELD:
+            yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+            rows, size = [], 0
+    if rows:
+        yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+
+
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = 2 << 20) -> DataFrame:
     """The rows of ``df``, with all their columns, in which no window occurs."""
-    for part in benchmark_parts(benchmark, width, item_col, item_text_col, part_bytes):
+    files = benchmark_parts(benchmark, width, item_col, item_text_col, part_bytes)
 
-        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            for batch in by_bytes(batches, text_col):
-                yield batch.filter(pa.array([next((False for m in part.value for _ in m.search(w)), True) for w in map(words_of, texts_of(batch, text_col))]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in held(batches, text_col, files):
+            yield batch.filter(pa.array([not spans for _, spans, _ in searched(texts_of(batch, text_col), files)]))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+    return df.mapInArrow(run, df.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

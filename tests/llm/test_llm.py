@@ -504,6 +504,37 @@ def test_decontamination_matches_brute_force(spark, odd, part_bytes):
     assert decontamination.find_benchmark(empty(df), bench).count() == 0
 
 
+def test_long_items_keep_each_window(monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 7)
+    for n in (0, 1, 9, 10, 11, 16, 17, 18, 60):
+        text = " ".join(f"w{k}" for k in range(n))
+        windows = lambda w: [tuple(w[i : i + min(10, len(w))]) for i in range(max(1, len(w) - 9)) if w]
+        got = [w for p in decontamination.pieces_of(text, 10) for w in windows(decontamination.words_of(p))]
+        assert got == windows(decontamination.words_of(text))
+
+
+def test_one_part_is_held_at_a_time(monkeypatch):
+    """However many parts there are, a worker's memory has one of them."""
+    import weakref
+
+    class Part(list):
+        pass
+
+    made = []
+
+    def load(file):
+        assert not [r for r in made if r() is not None]
+        part = Part(decontamination.compile_items([(file, f"needle {file}")], 10))
+        made.append(weakref.ref(part))
+        return part
+
+    from functools import lru_cache
+
+    monkeypatch.setattr(decontamination, "matchers_of", lru_cache(1)(load))
+    got = decontamination.searched(["a needle p3 and needle p7", "none"], [f"p{k}" for k in range(10)])
+    assert [(n, s, sorted(i)) for n, s, i in got] == [(6, [(1, 3), (4, 6)], ["p3", "p7"]), (1, [], [])] and len(made) == 10
+
+
 # --- op9
 
 
