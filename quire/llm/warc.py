@@ -1,12 +1,13 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page id: the id range is cut into equal cells, the cells' payload bytes are summed
-and consecutive cells form about ``shards`` shards of like size, so the cuts follow from the rows and
+Records are range-sorted by page id: the id range is cut into cells of equal powers of two, the cells' payload bytes are
+summed and consecutive cells form about ``shards`` shards of like size, so the cuts follow from the rows and
 ``shards`` alone (no sampling). A cell larger than a shard is split by payload digest. Within a shard records
 are ordered by id and digest; each record is a gzip member of its own, and a file is rolled when its
 compressed size reaches ``roll_bytes``. Headers and digests are made anew. A file is written under a
 temporary name and then moved; a manifest in Parquet, committed last, names the files, so a lost executor or
-a second attempt changes nothing (both attempts write equal bytes).
+a second attempt changes nothing (both attempts write equal bytes); what a failed attempt left under a temporary name
+is removed after the manifest. A task writes one shard. Any 64-bit ids will do.
 
 Of equal payloads the record with the smallest page id is a response and the others are revisits of it;
 empty payloads too. A null payload is empty. Null ids sort last into a shard of their own and are a response
@@ -25,10 +26,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import by_bytes, filesystem, staged
+from quire.llm.common import by_bytes, column, discard, filesystem, staged
 
 MANIFEST = "file string, shard int, part int, records long, bytes long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -92,15 +93,20 @@ class Roller:
         self.part += 1
 
 
+def cell_of(page: Column, shift: int, first: int) -> Column:
+    """A page's cell of 2 ** shift ids, counted from the first; -1 without an id. Shifts of whole numbers are exact
+    and can't overflow, however far apart ids are."""
+    return F.coalesce(F.shiftright(page, shift) - F.lit(first), F.lit(-1))
+
+
 def shard_cells(rows: DataFrame, shards: int) -> tuple[int, int, list[tuple[int, int, int]]]:
-    """(smallest id, cell width, [(cell, first shard, splits)]); cell -1 is for null ids. At most
+    """(shift, first cell's number, [(cell, first shard, splits)]); cell -1 is for null ids. At most
     64 cells for each shard come to the driver."""
     lo, hi = rows.agg(F.min("page"), F.max("page")).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1, -(-(hi - lo + 1) // (64 * shards)))
-    cell = F.coalesce(((F.col("page") - lo) / width).cast("long"), F.lit(-1))
+    shift = next(s for s in range(65) if (hi >> s) - (lo >> s) < 64 * shards)
     # a record costs about a kilobyte besides its payload
-    sizes = sorted((r.cell, r.bytes) for r in rows.groupBy(cell.alias("cell")).agg(F.sum(F.col("n_bytes") + 1000).alias("bytes")).collect())
+    sizes = sorted((r.cell, r.bytes) for r in rows.groupBy(cell_of(F.col("page"), shift, lo >> shift).alias("cell")).agg(F.sum(F.col("n_bytes") + 1000).alias("bytes")).collect())
     target = max(1, -(-sum(b for _, b in sizes) // shards))
     out, shard, held = [], 0, 0
     for c, b in sizes[1:] + sizes[:1] if sizes and sizes[0][0] == -1 else sizes:
@@ -111,31 +117,30 @@ def shard_cells(rows: DataFrame, shards: int) -> tuple[int, int, list[tuple[int,
         held += b
         if splits > 1:
             shard, held = shard + splits, 0
-    return lo, width, out
+    return shift, lo >> shift, out
 
 
 def write_warc(df: DataFrame, out_uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shards: int | None = None, roll_bytes: int = 256 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Writes a record for each row to ``out_uri`` and returns the manifest. Ids are whole numbers.
     ``shards``: by default the session's number of shuffle partitions, or one for each 64 MB if that is more."""
     spark = df.sparkSession
-    body = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
-    pages = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), body.alias("payload")).withColumn("sha", F.sha1("payload"))
+    body = F.encode(F.coalesce(column(payload_col).cast("string"), F.lit("")), "UTF-8")
+    pages = df.select(column(id_col).cast("long").alias("page"), column(url_col).cast("string").alias("url"), body.alias("payload")).withColumn("sha", F.sha1("payload"))
     narrow = staged(pages.select("page", "sha", F.octet_length("payload").cast("long").alias("n_bytes")), "digests")
     size = narrow.agg(F.sum("n_bytes")).first()[0] or 0
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
     copies = staged(narrow.groupBy(F.col("sha").alias("copied")).agg(F.count("*").alias("k"), F.min("page").alias("first")).filter("k > 1").select("copied", "first"), "copies")
-    lo, width, cells = shard_cells(narrow, shards)
+    shift, least, cells = shard_cells(narrow, shards)
     where = spark.createDataFrame(cells, "cell long, base int, splits int")
-    cell = F.coalesce(((F.col("page") - lo) / width).cast("long"), F.lit(-1))
     has = F.col("copied").isNull() | F.col("first").isNull() | (F.col("first") == F.col("page"))
     rows = (
         pages.join(copies, F.col("sha") == F.col("copied"), "left")
-        .withColumn("cell", cell)
+        .withColumn("cell", cell_of(F.col("page"), shift, least))
         .join(F.broadcast(where), "cell")  # at most 64 rows for each shard
         .select((F.col("base") + F.pmod(F.crc32("sha"), F.col("splits"))).cast("int").alias("shard"), "page", "url", "sha", F.octet_length("payload").cast("long").alias("n_bytes"), F.when(has, F.col("payload")).alias("payload"), "first")
     )
     total = max([b + s for _, b, s in cells], default=1)
-    ordered = rows.repartition(max(total, 1), "shard").sortWithinPartitions("shard", F.col("page").asc_nulls_last(), "sha", "url")
+    ordered = rows.repartitionById(max(total, 1), F.col("shard")).sortWithinPartitions("shard", F.col("page").asc_nulls_last(), "sha", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, last, n = Roller(out_uri, roll_bytes), None, 0
@@ -150,6 +155,9 @@ def write_warc(df: DataFrame, out_uri: str, id_col: str = "page_id", url_col: st
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "shard", "part", "records", "bytes"), x, strict=True)) for x in roller.done], schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{out_uri}/_manifest")
+    store, path = filesystem(out_uri)
+    if store.get_file_info(f"{path}/.tmp").type.name == "Directory":  # with what failed attempts left
+        store.delete_dir(f"{path}/.tmp")
     return spark.read.schema(MANIFEST).parquet(f"{out_uri}/_manifest")
 
 
@@ -200,9 +208,10 @@ def read_warc(spark: SparkSession, out_uri: str, payloads: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.schema(MANIFEST).parquet(f"{out_uri}/_manifest").select("file")
+    files = spark.read.schema(MANIFEST).parquet(f"{out_uri}/_manifest").select("file", "shard")
+    shards = (files.agg(F.max("shard")).first()[0] or 0) + 1
     fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(read, fields)
+    return files.repartitionById(shards, F.col("shard")).mapInArrow(read, fields)
 
 
 SQL = """

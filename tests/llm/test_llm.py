@@ -207,7 +207,7 @@ def test_warc_round_trip(spark, tmp_path, shards, roll):
         assert len(responses) == (1 if first.get(h, p) == p else 0)
         assert all(bytes(r.payload).decode() == h and r.refers_to is None for r in responses)
         assert all(r.refers_to == first.get(h, p) for r in own if r.record_type == "revisit")
-    assert not [x for x in (tmp_path / "w" / ".tmp").iterdir()]
+    assert not (tmp_path / "w" / ".tmp").exists()
 
 
 def test_warc_files_are_the_same_each_time(spark, tmp_path):
@@ -223,6 +223,24 @@ def test_warc_files_are_the_same_each_time(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_of_ids_far_apart(spark, tmp_path):
+    ids = [-(2**63), -(2**63) + 1, -5, 0, 2**53, 2**53 + 1, 2**63 - 2, 2**63 - 1]
+    df = spark.createDataFrame([(i, f"u{i}", f"text of {i}" * 50) for i in ids], "page_id long, url string, html string")
+    out = f"file://{tmp_path}/w"
+    (tmp_path / "w" / ".tmp").mkdir(parents=True)
+    (tmp_path / "w" / ".tmp" / "left by a lost attempt").write_bytes(b"x")
+    assert {r.shard for r in warc.write_warc(df, out, shards=4).collect()} >= {0, 1}
+    assert not (tmp_path / "w" / ".tmp").exists()
+    assert sorted(r.page_id for r in warc.read_warc(spark, out).collect()) == ids
+
+
+def test_warc_shards_are_even_and_one_a_task(spark, tmp_path):
+    df = spark.range(1200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("x"), F.repeat(F.col("id").cast("string"), 50)).alias("html"))
+    made = warc.write_warc(df, f"file://{tmp_path}/w", shards=60).collect()
+    assert len({r.shard for r in made}) >= 55 and max(r.records for r in made) <= 3 * 1200 / 60
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 1200
+
+
 # --- op5
 
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="page">
