@@ -2,12 +2,15 @@
 temperature-calibrated probabilities.
 
 A token is a run of letters, of digits or of other visible characters. The ``vocabulary`` most frequent tokens
-of the training texts stand for themselves, all others for their shape. A token's vector is its own sparse
+of the training texts stand for themselves, all others for their shape, of which there are some dozens: the case and
+length of letters, the first character of symbols if it is ASCII. A token's vector is its own sparse
 ternary index vector plus those of its neighbours, summed over the training texts. A document is the mean of
 its tokens' vectors with its length, its shares of distinct tokens, of repeated
 lines, of repeated three-token runs and of tokens that repeat the one before. The network is
-fitted to at most ``sample`` labelled rows (a documented bound: those with the smallest hash of the id; where
-ids repeat, one row of each), a fifth of which only stops the fit and sets the temperature.
+fitted to at most ``sample`` labelled rows of at most ``sample_bytes`` in sum (documented bounds: those with the
+smallest hash of the id; where ids repeat, one row of each; a text that would exceed the bytes is passed over), a
+fifth of which only stops the fit and sets the temperature. So the driver holds ``sample_bytes`` of text and
+``vocabulary`` squared numbers at most, whatever the table holds.
 
 Null and empty texts are scored as documents without tokens. Without two classes among the training labels
 every score is the share of label 1 (0.5 without labels). Labels with a null id or value are ignored.
@@ -27,17 +30,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_pairs, by_bytes, id_hash, texts_of
+from quire.llm.common import as_pairs, by_bytes, column, discard, id_hash, staged, texts_of
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 WIDTH, NONZERO, WINDOW, EXTRA = 64, 8, 2, 5
 
 
+#: What a token outside the vocabulary is taken for; a fixed set, whatever the texts hold.
+SHAPES = ["<9>", "<other>", *(f"<{c}>" for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"), *(f"<{kind}{n}>" for kind in ("A", "Aa", "a") for n in range(5))]
+
+
 def shape(token: str) -> str:
     if token.isdigit():
         return "<9>"
     if not token[0].isalpha():
-        return "<" + token[:2] + ">"
+        return f"<{token[0]}>" if token[0].isascii() else "<other>"
     kind = "A" if token.isupper() and len(token) > 1 else "Aa" if token[0].isupper() else "a"
     return f"<{kind}{min(len(token) // 4, 4)}>"
 
@@ -53,12 +60,9 @@ def index_vector(token: str) -> np.ndarray:
 def word_vectors(texts: list[str], size: int) -> tuple[dict[str, int], np.ndarray]:
     seen = Counter(t for text in texts for t in set(TOKEN.findall(text)))
     # shapes are always in, as rows of their own
-    shapes = sorted({shape(t) for t in seen})
-    names = shapes + [t for t, k in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: max(0, size - len(shapes))] if k >= 3]
+    names = SHAPES + [t for t, k in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: max(0, size - len(SHAPES))] if k >= 3 and t not in SHAPES]
     ids = {t: i for i, t in enumerate(names)}
     n = len(names)
-    if not n:
-        return ids, np.zeros((0, WIDTH), np.float32)
     index = np.stack([index_vector(t) for t in names])
     together = np.zeros(n * n, np.float32)
     for k in range(0, len(texts), 200):  # tokens are made twice rather than held
@@ -158,18 +162,27 @@ def fit(labelled: pd.DataFrame, vocabulary: int = 4096) -> tuple[dict[str, int],
     return ids, vectors, Network().fit(x.astype(np.float64), labelled["label"].to_numpy(np.float64))
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 1, folds: int = 3, sample: int = 6000, vocabulary: int = 4096):
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 1, folds: int = 3, sample: int = 6000, vocabulary: int = 4096, sample_bytes: int = 64 << 20):
     """A broadcast model, fitted to labelled rows outside the held-out fold."""
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (id_hash(F.col(id_col)) % folds != fold))
-    known = known.groupBy(F.col(id_col).alias("of")).agg(F.max(label_col).cast("int").alias("label"))
+    known = labels.select(column(id_col).alias("of"), column(label_col).alias("label")).filter(F.col("of").isNotNull() & F.col("label").isin(0, 1) & (id_hash(F.col("of")) % folds != fold))
+    known = known.groupBy("of").agg(F.max("label").cast("int").alias("label"))
     order = F.xxhash64(F.col("of").cast("string"))
     # a sort with a limit sends that many rows from each task, so what can't be among the smallest goes before
     share = min(1.0, (1.2 * sample + 500) / max(known.count(), 1))
     likely = known.filter(order <= F.lit(int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1))
     chosen = likely.orderBy(order, "of").limit(sample)  # bounded, so it can be broadcast
     # of a repeated id the row of the smallest hash of the text, so no id displaces others
-    rows = as_pairs(df, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("of", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("of", "least.text", "label").orderBy(order, "of").limit(sample)
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes"), "text")).alias("least")
+    found = staged(as_pairs(df, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("of", "label").agg(least).select("of", order.alias("place"), "least.text", "least.bytes", "label"), "sample")
+    fits, held = [], 0
+    for r in found.select("of", "place", "bytes").orderBy("place", "of").collect():  # at most ``sample`` rows
+        if held + (r.bytes or 0) <= sample_bytes:
+            fits.append((r.of,))
+            held += r.bytes or 0
+    own = df.sparkSession.createDataFrame(fits, found.select("of").schema)
+    rows = found.join(F.broadcast(own), "of").select("of", "text", "label", "place").orderBy("place", "of")
     ids, vectors, network = fit(rows.toPandas(), vocabulary)
+    discard(found)
     digest = xxhash.xxh64_intdigest("\n".join(ids).encode() + vectors.tobytes())
     return df.sparkSession.sparkContext.broadcast((digest, ids, vectors, network))
 
@@ -185,9 +198,9 @@ def score_texts(model, texts: list[str]) -> np.ndarray:
     return network.scores(features(texts, ids, vectors, rows_known(digest)).astype(np.float64))
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 1, folds: int = 3, sample: int = 6000) -> DataFrame:
+def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 1, folds: int = 3, sample: int = 6000, vocabulary: int = 4096, sample_bytes: int = 64 << 20) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    model = train(df, labels, id_col, text_col, label_col, fold, folds, sample)
+    model = train(df, labels, id_col, text_col, label_col, fold, folds, sample, vocabulary, sample_bytes)
     src = as_pairs(df, id_col, text_col).select("doc_id", (id_hash(F.col("doc_id")) % folds == fold).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +211,9 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
-def keep_likely(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, fold: int = 1, folds: int = 3) -> DataFrame:
+def keep_likely(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, fold: int = 1, folds: int = 3, vocabulary: int = 4096, sample_bytes: int = 64 << 20) -> DataFrame:
     """The rows of ``df`` with a score of at least ``least``, with their columns."""
-    model = train(df, labels, id_col, text_col, label_col, fold, folds, sample)
+    model = train(df, labels, id_col, text_col, label_col, fold, folds, sample, vocabulary, sample_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, text_col):

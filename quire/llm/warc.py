@@ -155,6 +155,8 @@ def write_warc(df: DataFrame, out_uri: str, id_col: str = "page_id", url_col: st
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "shard", "part", "records", "bytes"), x, strict=True)) for x in roller.done], schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{out_uri}/_manifest")
+    discard(narrow)
+    discard(copies)
     store, path = filesystem(out_uri)
     if store.get_file_info(f"{path}/.tmp").type.name == "Directory":  # with what failed attempts left
         store.delete_dir(f"{path}/.tmp")

@@ -183,6 +183,27 @@ def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
     assert all(set(rows["of"]) == set(held[0]["of"]) and len(rows) == len(set(rows["of"])) > 20 for rows in held)
 
 
+def test_symbols_of_any_number_have_few_vectors():
+    rng = random.Random(9)
+    pairs = sorted({chr(rng.choice([rng.randint(0x2190, 0x2BFF), rng.randint(0x21, 0x2F)])) + chr(rng.randint(0x2190, 0x2BFF)) for _ in range(70_000)})
+    assert len(pairs) > 50_000
+    ids, vectors = quality_model.word_vectors([" ".join(pairs[k::20]) for k in range(20)] * 3, 4096)
+    assert len(ids) == len(vectors) <= 4096 and np.isfinite(vectors).all()
+    assert {quality_model.shape(t) for p in pairs for t in quality_model.TOKEN.findall(p)} <= set(quality_model.SHAPES) and len(quality_model.SHAPES) < 60
+    assert np.isfinite(quality_model.features([*pairs[:50], LONG * 20, ""], ids, vectors, {})).all()
+
+
+def test_the_sample_is_bounded_by_bytes(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(quality_model, "fit", lambda rows, *_: held.append(rows) or ({}, np.zeros((0, 64), np.float32), quality_model.Network()))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, "x" * (100 if i % 3 else 5000)) for i in range(60)], "doc_id long, text string")
+    quality_model.train(docs, labels, sample_bytes=1500)
+    quality_model.train(docs, labels, sample_bytes=10**9)
+    assert 10 <= len(held[0]) <= 15 and held[0]["text"].str.len().sum() <= 1500 and len(held[1]) > 30
+    assert list(held[0]["of"]) == [i for i in held[1]["of"] if i in set(held[0]["of"])]
+
+
 # --- op4
 
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>y</p>"), (3, "http://a b/3", "<p>x</p>"), (4, None, None), (5, "u", ""), (5, "u", ""), (7, "u\nv", "é" * 5000), (None, "n", "<p>x</p>"), (None, "n", "only"), (0, "z", "<p>y</p>")]
