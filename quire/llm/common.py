@@ -49,9 +49,18 @@ def discard(df: DataFrame) -> None:
     """Removes a table made by ``staged`` that no later plan reads."""
     path = getattr(df, "_quire_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def same_place(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, a view of a staged table, which ``discard`` then removes."""
+    df._quire_path = table._quire_path
+    return df
 
 
 def filesystem(uri: str):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, staged
+from quire.llm.common import discard, same_place, staged
 
 
 def _star(edges: DataFrame, name: str) -> DataFrame:
@@ -18,7 +18,9 @@ def _star(edges: DataFrame, name: str) -> DataFrame:
     least = staged(edges.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")), f"{name}-least")
     joined = edges.join(least, F.col("a") == F.col("of"))
     pairs = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-    return pairs.filter("a > b").distinct()
+    out = staged(pairs.filter("a > b").distinct(), name)
+    discard(least)
+    return out
 
 
 def _large(edges: DataFrame, name: str) -> DataFrame:
@@ -26,20 +28,22 @@ def _large(edges: DataFrame, name: str) -> DataFrame:
     both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
     least = staged(both.groupBy(F.col("a").alias("of")).agg(F.least(F.first("a"), F.min("b")).alias("m")), f"{name}-least")
     # the larger end of each edge goes to the smallest neighbour of the smaller end
-    return edges.join(least, F.col("b") == F.col("of")).select("a", F.col("m").alias("b")).filter("a > b").distinct()
+    out = staged(edges.join(least, F.col("b") == F.col("of")).select("a", F.col("m").alias("b")).filter("a > b").distinct(), name)
+    discard(least)
+    return out
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``edges``: a, b (long). Returns node, root (the smallest node of its component) for every node that is
-    in an edge between different nodes and isn't the root itself."""
+    in an edge between different nodes and isn't the root itself; ``discard`` removes it."""
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), name)
     while True:
         parents = now.select(F.col("b").alias("p")).distinct()
         twice = now.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").limit(1)
         chained = now.join(parents, F.col("a") == F.col("p"), "left_semi").select("a").limit(1)
         if not twice.union(chained.withColumn("k", F.lit(0).cast("long"))).limit(1).collect():
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        large = staged(_large(now, name), name)
+            return same_place(now.select(F.col("a").alias("node"), F.col("b").alias("root")), now)
+        large = _large(now, name)
         discard(now)
-        now = staged(_star(large, name), name)
+        now = _star(large, name)
         discard(large)

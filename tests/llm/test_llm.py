@@ -409,18 +409,72 @@ def brute_classes(rows):
 @pytest.mark.parametrize("block", [64, 2])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     """Blocks of two members deal even small groups over many tasks."""
-    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    if block == 2:
+        monkeypatch.setattr(near_duplicates, "GROUP_BLOCK", (2, 3))
+        monkeypatch.setattr(near_duplicates, "BUCKET_BLOCK", (2, 2))
     rows = [(i, t, "s") for i, t in enumerate(TEXTS) if i != 0] + [(i + 100, t, s) for i, t, s in variants(3, 40)] + [(5, TEXTS[5], "s")]
     df = documents(spark, rows)
     got = near_duplicates.near_duplicates(df)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_classes(rows)
     if block == 64:
+        df = df.withColumn("a.b", F.lit("x")).withColumn("c`d", F.lit("y"))
         kept = near_duplicates.keep_firsts(df)
         assert kept.columns == df.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute_classes(rows)})
     assert near_duplicates.near_duplicates(empty(df)).count() == 0
 
 
+def near_copies(n, words=60, seed=5):
+    """Texts that differ in one word each from a common text."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    rows = []
+    for i in range(n):
+        now = list(base)
+        now[rng.randrange(words)] = f"own{i}"
+        rows.append((i, " ".join(now), "s"))
+    return rows
+
+
+def test_a_group_is_shuffled_once_whatever_its_size(spark, monkeypatch):
+    """Rows and bytes that blocks are dealt with grow with the group, not with its square, and nothing is missed."""
+    monkeypatch.setattr(near_duplicates, "GROUP_BLOCK", (16, 16))
+    monkeypatch.setattr(near_duplicates, "BUCKET_BLOCK", (16, 16))
+    sizes = {}
+    for n in (150, 300):
+        folders = []
+        monkeypatch.setattr(near_duplicates, "remove", lambda spark, f: folders.append(sum(p.stat().st_size for p in __import__("pathlib").Path(f.removeprefix("file://")).glob("*"))))
+        rows = near_copies(n)
+        got = near_duplicates.near_duplicates(documents(spark, rows)).collect()
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute_classes(rows)
+        sizes[n] = sum(folders)
+    assert 0 < sizes[300] < 2.5 * sizes[150]
+
+
+def test_connecting_a_bucket_finds_the_components_of_all_pairs():
+    rng = np.random.default_rng(4)
+    least = near_duplicates.least_matches(0.8, 1e-5)
+    for n, centres in ((120, 1), (120, 7), (90, 90)):
+        base = rng.integers(0, 2**16, (centres, near_duplicates.HASHES), dtype=np.uint16)
+        sigs = base[rng.integers(0, centres, n)]
+        noise = rng.random(sigs.shape) < rng.choice([0.05, 0.2, 0.4], (n, 1))
+        sigs = np.where(noise, rng.integers(0, 2**16, sigs.shape, dtype=np.uint16), sigs)
+        every = np.arange(n)
+        a, b = (x.ravel() for x in np.triu_indices(n, 1))
+        want = near_duplicates.tied(n, *near_duplicates.surviving(sigs, a, b, least), every)
+        assert (near_duplicates.tied(n, *near_duplicates.one_component(sigs, least), every) == want).all()
+
+
+def test_exact_links_count_like_sets():
+    rng = random.Random(12)
+    universe = [rng.getrandbits(64) for _ in range(300)]
+    sets = [np.array(sorted(rng.sample(universe, 260) if k % 3 else universe[:280]), np.uint64) for k in range(40)]
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(40) for j in range(i + 1, 40)], strict=True))
+    want = [len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j])) - 1e-9 for i, j in zip(a, b, strict=True)]
+    assert near_duplicates.exact_links(sets, a, b, 0.8).tolist() == want and 0 < sum(want) < len(want)
+    assert near_duplicates.exact_links(sets, a[:5], b[:5], 0.8).tolist() == want[:5]
+
+
 def test_posterior_table():
     least = near_duplicates.least_matches(0.8, 1e-5)
     for n, m in least.items():
