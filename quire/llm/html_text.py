@@ -8,9 +8,16 @@ three tokens or more, is on three contents or more (below
 half of the host's, its blocks count where most of what is in their path repeats), has at most half of the text or
 half of the blocks of its pages, as pages that share more are copies of each other, and comes in
 one order on most of them. On a page where it comes in another order, or crosses a larger class instead of lying
-between two of its tokens, it isn't taken as template. Blocks of the template go. If at least half
-of the text that is left lies in article or main elements, that is the main text; else all of it is.
-Blocks in boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, comments) go too; names
+between two of its tokens, it isn't taken as template. Blocks of the template go.
+
+The sectioning elements of a host's pages, by their place below each other, are the template's slots. One that is on three
+contents or more and has three quarters of the text of the contents that it is on is a main slot. On a page the innermost
+main slot is the article, or the innermost with a main headline that isn't of the template, so a headline above
+the body of the article stays; blocks of all other slots go. This needs no names of elements or classes.
+
+Names are hints for what the template leaves. If at least half of the text that is left lies in article or main
+elements, that is the main text; else all of it is. Blocks in boilerplate elements (menus, headers, footers,
+sidebars, notices, adverts, forms, comments) go too, so hosts with one or two pages have a result; names
 of classes and ids count only for elements without most of the article's text (of the page's, without an article).
 
 Null and empty pages give the empty text. Malformed markup is read as far as it goes. A page without a host
@@ -30,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import by_bytes, staged
+from quire.llm.common import by_bytes, column, discard, staged
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|$)", re.S)
 ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
@@ -44,6 +51,8 @@ BOUND = frozenset("ul ol dl table select body html article section div main asid
 BOILER = frozenset("nav footer aside form script style noscript template button select option textarea iframe svg canvas menu dialog object embed audio video head title".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments respond reply replies disqus social share sharing related recommended widget pagination pager toolbar".split())
+#: Elements that can be a slot.
+SECTIONS = frozenset("body div section article main table tbody tr td center aside nav header footer form".split())
 SALTS = 32
 # A class has so many tokens and is on so many contents at least.
 SIZE, PAGES = 3, 3
@@ -55,11 +64,26 @@ class Block(NamedTuple):
     token: int
     slot: int
     main: bool
+    spot: int  # its innermost section
+    head: bool  # the main headline
+
+
+class Spot(NamedTuple):
+    """A section: its place among the page's, the section around it, and the text below it."""
+
+    token: int
+    around: int
+    chars: int
 
 
 class Page(NamedTuple):
     tokens: list[int]  # tags and blocks
     blocks: list[Block]
+    spots: list[Spot]
+
+    def slots(self) -> list[int]:
+        """The sections that have text, but less than the one around them."""
+        return [i for i, x in enumerate(self.spots) if i and 0 < x.chars < self.spots[x.around].chars]
 
 
 def hashed(*parts: str) -> int:
@@ -74,6 +98,7 @@ class Node(NamedTuple):
     boiler: bool
     main: bool
     named: int  # the innermost element that its names call boilerplate, -1 if none
+    spot: int  # the innermost section
 
 
 def marks(name: str, attrs: str, parent: Node) -> tuple[str, bool, bool, bool]:
@@ -96,7 +121,7 @@ def parse(page: str) -> Page:
     """Tag tokens and text blocks in page order; blocks in boilerplate elements are left out. Names are weighed
     once the page is known: an element with most of the article's text, or of the page's where no article has
     any, isn't what its names say."""
-    root = Node("", 0, False, False, -1)
+    root = Node("", 0, False, False, -1, 0)
     stack: list[Node] = [root]
     opened: Counter[str] = Counter()
     tokens: list[int] = []
@@ -104,6 +129,8 @@ def parse(page: str) -> Page:
     places: list[int] = []  # of each block in tokens
     owners: list[int] = []  # of each block its innermost named element
     named: list[list[int]] = []  # of each named element the one around it, characters, characters in articles
+    places_of: list[list[int]] = [[0, 0, 0]]  # of each section its token, the one around it, characters
+    like: Counter[tuple[int, str]] = Counter()  # of each section how many of a kind are in it
     held: list[str] = []
     owner = root
 
@@ -111,8 +138,9 @@ def parse(page: str) -> Page:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
+            places_of[owner.spot][2] += len(text)
             if text and not owner.boiler:
-                blocks.append(Block(text, hashed(str(owner.token), text), owner.token, owner.main))
+                blocks.append(Block(text, hashed(str(owner.token), text), owner.token, owner.main, owner.spot, opened["h1"] > 0))
                 owners.append(owner.named)
                 places.append(len(tokens))
                 tokens.append(blocks[-1].token)
@@ -167,7 +195,12 @@ def parse(page: str) -> Page:
         token = hashed(str(parent.token), sign) if name not in INLINE else parent.token
         if name not in INLINE:
             tokens.append(token)
-        node = Node(name, token, parent.boiler or boiler, parent.main or main, len(named) if called else parent.named)
+        spot = parent.spot
+        if name in SECTIONS:
+            like[spot, sign] += 1
+            spot = len(places_of)
+            places_of.append([hashed(str(places_of[parent.spot][0]), sign, str(like[parent.spot, sign])), parent.spot, 0])
+        node = Node(name, token, parent.boiler or boiler, parent.main or main, len(named) if called else parent.named, spot)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
@@ -181,7 +214,9 @@ def parse(page: str) -> Page:
     flush()
     drop = dropped(blocks, owners, named)
     gone = {i for i, d in zip(places, drop, strict=True) if d}
-    return Page([t for i, t in enumerate(tokens) if i not in gone], [b for b, d in zip(blocks, drop, strict=True) if not d])
+    for x in reversed(places_of[1:]):  # a section comes after those around it
+        places_of[x[1]][2] += x[2]
+    return Page([t for i, t in enumerate(tokens) if i not in gone], [b for b, d in zip(blocks, drop, strict=True) if not d], [Spot(*x) for x in places_of])
 
 
 def dropped(blocks: list[Block], owners: list[int], named: list[list[int]]) -> list[bool]:
@@ -240,8 +275,8 @@ def judged(seen: list[dict]) -> list[tuple[int, int, list[int]]]:
 
 
 def templates(pages: DataFrame, support: float) -> DataFrame:
-    """Per host and content of a page its blocks that are of the host's template: host, content, template (array of
-    long). ``pages``: host, content, html."""
+    """Per host and content of a page its blocks that are of the host's template, and its sections that are main
+    slots: host, content, template, main (arrays of long; null if none). ``pages``: host, content, html."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html"):
@@ -251,11 +286,12 @@ def templates(pages: DataFrame, support: float) -> DataFrame:
                 counts = Counter(page.tokens)
                 of = {b.token: b for b in page.blocks}
                 sizes = [len(of[t].text) if t in of else 0 for t in counts]
-                rows.append((sum(len(b.text) for b in page.blocks), len(page.blocks), list(counts), list(counts.values()), sizes, [of[t].slot if t in of else 0 for t in counts]))
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["host", "content", "page_chars", "page_blocks", "token", "k", "chars", "slot"])
+                slots = page.slots()
+                rows.append((sum(len(b.text) for b in page.blocks), len(page.blocks), list(counts), list(counts.values()), sizes, [of[t].slot if t in of else 0 for t in counts], page.spots[0].chars, [page.spots[i].token for i in slots], [page.spots[i].chars for i in slots]))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["host", "content", "page_chars", "page_blocks", "token", "k", "chars", "slot", "text", "spot", "below"])
 
-    contents = pages.mapInArrow(parsed, "host string, content long, page_chars long, page_blocks long, token array<long>, k array<int>, chars array<int>, slot array<long>")
+    contents = pages.mapInArrow(parsed, "host string, content long, page_chars long, page_blocks long, token array<long>, k array<int>, chars array<int>, slot array<long>, text long, spot array<long>, below array<long>")
     contents = contents.dropDuplicates(["host", "content"])
     contents = staged(contents, "contents")
     each = contents.select("host", "content", "page_chars", "page_blocks", F.posexplode(F.arrays_zip("token", "k", "chars", "slot")).alias("at", "x")).select("host", "content", "page_chars", "page_blocks", "at", "x.*")
@@ -290,28 +326,57 @@ def templates(pages: DataFrame, support: float) -> DataFrame:
     usual = placed.groupBy(F.col("host").alias("of"), F.col("cls").alias("c"), F.col("order").alias("o")).agg((2 * F.count("*") > F.first("pages")).alias("most")).filter("most")
     usual = staged(usual, "usual")
     out = placed.join(usual, (F.col("host") == F.col("of")) & (F.col("cls") == F.col("c")) & (F.col("order") == F.col("o")), "left_semi")
-    return staged(out.groupBy("host", "content").agg(F.flatten(F.collect_list("blocks")).alias("template")), "templates")
-
-
-def extract(text: str, template: set[int]) -> str:
-    """The blocks that vary; an article or main element that has at least half of their text is all of it."""
-    kept = [b for b in parse(text).blocks if b.token not in template]
-    within = [b for b in kept if b.main]
-    if 2 * sum(len(b.text) for b in within) >= sum(len(b.text) for b in kept):
-        kept = within
+    own = contents.select("host", "content", "text", F.explode(F.arrays_zip("spot", "below")).alias("x")).select("host", "content", "text", "x.*")
+    main = own.groupBy(F.col("host").alias("of"), F.col("spot").alias("s")).agg(F.count("*").alias("pages"), F.sum("below").alias("below"), F.sum("text").alias("text"))
+    main = staged(main.filter((F.col("pages") >= PAGES) & (4 * F.col("below") >= 3 * F.col("text"))).select("of", "s"), "main")
+    slots = own.join(main, (F.col("host") == F.col("of")) & (F.col("spot") == F.col("s")), "left_semi").select("host", "content", F.lit(None).cast("array<long>").alias("blocks"), "spot")
+    both = out.select("host", "content", "blocks", F.lit(None).cast("long").alias("spot")).unionByName(slots)
+    found = staged(both.groupBy("host", "content").agg(F.flatten(F.collect_list("blocks")).alias("template"), F.collect_list("spot").alias("main")), "templates")
+    for table in (contents, seen, valid, members, placed, usual, main):
+        discard(table)
+    return found
+
+
+def within(page: Page, template: set[int], main: set[int]) -> list[Block]:
+    """The blocks of a page's innermost main slot, or of the innermost with a main headline that isn't of the template;
+    all blocks without a main slot."""
+    around = [i for i in page.slots() if page.spots[i].token in main]
+    if not around:
+        return page.blocks
+    headed: set[int] = set()  # sections around a main headline
+    for b in page.blocks:
+        spot = b.spot
+        while b.head and b.token not in template and spot not in headed:
+            headed.add(spot)
+            spot = page.spots[spot].around
+    chosen = max([i for i in around if i in headed] or around)
+    own = [False] * len(page.spots)
+    for i, x in enumerate(page.spots):
+        own[i] = i == chosen or i > chosen and own[x.around]
+    return [b for b in page.blocks if own[b.spot]]
+
+
+def extract(text: str, template: set[int], main: set[int] = frozenset()) -> str:
+    """The blocks of the main slot that vary; an article or main element that has at least half of their text is all
+    of it."""
+    page = parse(text)
+    kept = [b for b in within(page, template, main) if b.token not in template]
+    articles = [b for b in kept if b.main]
+    if 2 * sum(len(b.text) for b in articles) >= sum(len(b.text) for b in kept):
+        kept = articles
     return "\n\n".join(b.text for b in kept)
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
-    pages = df.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html")).withColumn("content", content_of(F.col("html")))
-    found = templates(pages.select("host", "content", "html"), support).select(F.col("host").alias("of"), F.col("content").alias("c"), "template")
-    joined = pages.join(found, (F.col("host") == F.col("of")) & (F.col("content") == F.col("c")), "left").select("page", "url", "html", "template")
+    pages = df.select(column(id_col).alias("page"), column(url_col).cast("string").alias("url"), host_of(column(url_col).cast("string")).alias("host"), column(html_col).cast("string").alias("html")).withColumn("content", content_of(F.col("html")))
+    found = templates(pages.select("host", "content", "html"), support).select(F.col("host").alias("of"), F.col("content").alias("c"), "template", "main")
+    joined = pages.join(found, (F.col("host") == F.col("of")) & (F.col("content") == F.col("c")), "left").select("page", "url", "html", "template", "main")
     id_type = pages.schema["page"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html"):
-            texts = [extract(h or "", set(t or ())) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+            texts = [extract(h or "", set(t or ()), set(m or ())) for h, t, m in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "main")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")

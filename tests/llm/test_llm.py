@@ -361,6 +361,97 @@ def test_the_template_decides_on_article_pages_too(spark):
     assert html_text.extract("<div><p>The story is in a div beside a card.</p></div><article>Card</article>", set()) == "The story is in a div beside a card.\n\nCard"
 
 
+def neutral_pages(n, seed=1, host="h.org"):
+    """Pages without a telling name: a menu, an advert, the story and an end that all vary, in plain elements."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(k))
+    rows = []
+    for i in range(n):
+        story = [words(4), *(words(rng.randint(10, 40)) for _ in range(rng.randint(1, 4)))]
+        menu = "".join(f"<li>{words(1)}" for _ in range(rng.randint(2, 5)))
+        body = f"<h1>{story[0]}</h1><div class=x>{''.join(f'<p>{t}' for t in story[1:])}</div>"
+        rows.append((i, f"http://{host}/{i}", f"<body><div><ul>{menu}</ul></div><div>{words(5)}</div><div>{body}</div><div>{words(4)}</div>", "\n\n".join(story)))
+    return rows
+
+
+def test_the_template_alone_finds_the_story(spark):
+    """Without it, the text of the same pages is another."""
+    rows = neutral_pages(12) + [(100 + i, u, h, t) for i, u, h, t in neutral_pages(2, 2, "few.org")]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    for i, _, page, story in rows:
+        assert html_text.extract(page, set()) != story
+        assert (got[i] == story) == (i < 100)  # two pages show no template
+    assert all(story in got[i] for i, _, _, story in rows)
+
+
+def test_a_headline_of_the_site_opens_no_main_slot(spark):
+    rows = [(i, u, f"<div class=wrap><h1>The Site</h1>{h}</div><div>{i} end</div>") for i, u, h, _ in neutral_pages(8)]
+    rows = [(i, u, h.replace("<body>", "").replace("<h1>w", "<h2>w")) for i, u, h in rows]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("The Site" not in t and "end" not in t for t in got.values())
+    assert html_text.within(html_text.parse("<div>" * 20_000 + "<h1>x</h1>" + "y</div>z" * 20_000), set(), set())
+
+
+def brute_templates(pages, support=0.5):
+    """Per content its template blocks and main slots, from whole occurrence vectors."""
+    parsed = {h: html_text.parse(h) for h in dict.fromkeys(pages)}
+    vectors, n_of, chars, slot_of = defaultdict(dict), Counter(), {}, {}
+    for h, p in parsed.items():
+        for t, k in Counter(p.tokens).items():
+            vectors[t][h] = k
+            n_of[t] += k
+        for b in p.blocks:
+            chars[b.token], slot_of[b.token] = len(b.text), b.slot
+    repeats = defaultdict(lambda: [0, 0])
+    for t in chars:
+        repeats[slot_of[t]][0] += n_of[t] * (len(vectors[t]) > 1)
+        repeats[slot_of[t]][1] += n_of[t]
+    fixed = lambda t: len(vectors[t]) >= support * len(parsed) or 2 * repeats[slot_of[t]][0] >= repeats[slot_of[t]][1]
+    classes = defaultdict(list)
+    for t, v in vectors.items():
+        if len(v) >= 3 and (t not in chars or fixed(t)):
+            classes[tuple(sorted(v.items()))].append(t)
+    good = {}
+    for v, ts in classes.items():
+        blocks, held = sum(n_of[t] for t in ts if t in chars), sum(chars.get(t, 0) * n_of[t] for t in ts)
+        text, every = sum(len(b.text) for h, _ in v for b in parsed[h].blocks), sum(len(parsed[h].blocks) for h, _ in v)
+        if len(ts) >= 3 and blocks and (2 * held <= text or 2 * blocks <= every):
+            good |= {t: (min(ts), len(ts), len(v)) for t in ts}
+    orders, found = defaultdict(Counter), {}
+    for h, p in parsed.items():
+        seen = [{"at": i, "token": t, "cls": good[t][0], "size": good[t][1], "chars": chars.get(t, 0)} for i, t in enumerate(Counter(p.tokens)) if t in good]
+        found[h] = html_text.judged(seen)
+        for c, o, _ in found[h]:
+            orders[c][o] += 1
+    pages_of = {c: n for c, _, n in good.values()}
+    below, text, count = Counter(), Counter(), Counter()
+    for p in parsed.values():
+        for i in p.slots():
+            s = p.spots[i].token
+            below[s], text[s], count[s] = below[s] + p.spots[i].chars, text[s] + p.spots[0].chars, count[s] + 1
+    main = {s for s in count if count[s] >= 3 and 4 * below[s] >= 3 * text[s]}
+    return {h: html_text.extract(h, {t for c, o, ts in found[h] if 2 * orders[c][o] > pages_of[c] for t in ts}, main) for h in parsed}
+
+
+def test_main_text_matches_brute_force(spark):
+    rng = random.Random(11)
+    pick = lambda: rng.choice(["<p>{}</p>", "<div>{}</div>", "<div class=a>{}</div>", "<h1>{}</h1>", "<section>{}</section>", "<li>{}"]).format(rng.choice(["one", "two words", "menu", "about us", "a longer line of text", f"own {rng.randint(0, 99)} text here"]))
+    changed = 0
+    pages = []
+    for _ in range(6):
+        frame = ["".join(pick() for _ in range(rng.randint(1, 4))) for _ in range(3)]
+        pages.append([frame[0] + "<div class=m>" + "".join(pick() for _ in range(rng.randint(1, 8))) + "</div>" + rng.choice([frame[1], frame[2], ""]) + frame[rng.choice([1, 2])] for _ in range(rng.choice([2, 6, 15]))])
+    rows = [(k * 100 + i, f"http://h{k}.org/", h) for k, ps in enumerate(pages) for i, h in enumerate(ps)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    for k, ps in enumerate(pages):
+        want = brute_templates(ps)
+        for i, h in enumerate(ps):
+            assert got[k * 100 + i] == want[h]
+            changed += want[h] != html_text.extract(h, set())
+    assert changed > len(rows) / 4
+
+
 # --- op6
 
 
