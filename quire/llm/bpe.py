@@ -32,6 +32,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT_ON, ODD = regex.compile(f"[{SPACE}]+"), regex.compile("[\x1c-\x1f]")
 #: Entries that a worker keeps between batches.
 KEPT = 150_000
+#: Bytes of chunks and their ids that are kept between calls, and of text that is counted before counts leave a task.
+KEPT_BYTES, COUNTED_BYTES = 48 << 20, 128 << 20
 #: Words of more bytes are merged one at a time.
 LONG = 256
 #: Of each byte: 0 parts chunks, 1 a letter, 2 a digit, 3 anything else.
@@ -72,6 +74,8 @@ class WordBpe:
         self.outer = np.array([vocab[c + end] for c in letters], np.uint32)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.uint32)
+        if max(self.names) >= 1 << 16:
+            raise ValueError("two ids share 32 bits here, so a vocabulary has at most 65,536 entries")
         self.long_pairs: dict[int, int] = {}
         self.made = np.array([vocab[a + b] for a, b in merges] + [0], np.uint32)
         keys, first = np.unique(keys, return_index=True)
@@ -120,6 +124,8 @@ class WordBpe:
         heap = [(int(r), i, int(k)) for i, (r, k) in enumerate(zip(self.merges.find(left), left, strict=True)) if r != EMPTY]
         heapq.heapify(heap)
         pairs = self.long_pairs
+        if len(pairs) > KEPT:
+            pairs.clear()
 
         def push(i: int) -> None:
             j = after[i]
@@ -225,12 +231,14 @@ class Encoder:
         self.lexicon = Lexicon.open(lexicon_uri) if lexicon_uri else None
         self.names = [self.bpe.names[i].encode() for i in range(len(self.bpe.names))]
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def learn(self, chunks: list[str]) -> None:
         data, starts, lengths, owner = self.bpe.byte_words(chunks)
         flat, counts = encode_words(self.bpe, self.lexicon, data, starts, lengths)
         ends = 4 * np.cumsum(np.bincount(owner, counts, len(chunks)).astype(np.int64))
         ids = flat.tobytes()
+        self.size += len(ids) + sum(map(len, chunks))
         at = ends.tolist()
         self.known.update(zip(chunks, [ids[i:j] for i, j in zip([0, *at], at, strict=False)], strict=True))
 
@@ -245,8 +253,9 @@ class Encoder:
                 split.append(bpe.chunks(text))
         all_chunks = set().union(*split)
         new = all_chunks - known.keys()
-        if len(known) + len(new) > KEPT:
+        if len(known) + len(new) > KEPT or self.size > KEPT_BYTES:
             known.clear()
+            self.size = 0
             new = all_chunks
         marks = new & special.keys()
         self.learn(list(new - marks))
@@ -275,11 +284,14 @@ def frequent_words(df: DataFrame, text_col: str, n: int) -> list[bytes]:
             held.clear()
             return batch
 
+        size = 0
         for batch in by_bytes(batches, "text"):
             for text in texts_of(batch, "text"):
                 held.update(text.encode().translate(LETTERS).split())
-            if len(held) > 400_000:
+            size += batch.nbytes
+            if len(held) > 400_000 or size > COUNTED_BYTES:
                 yield out()
+                size = 0
         yield out()
 
     counted = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long")

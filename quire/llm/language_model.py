@@ -241,11 +241,14 @@ def count_words(src: DataFrame) -> DataFrame:
             held[1].clear()
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["word", "n", "c"])
 
+        size = 0
         for batch in by_bytes(batches, "text"):
             for text, out_of in zip(texts_of(batch, "text"), batch.column("held_out").to_pylist(), strict=True):
                 held[out_of].update(words_of(text))
-            if len(held[0]) + len(held[1]) > 400_000:
+            size += batch.nbytes
+            if len(held[0]) + len(held[1]) > 400_000 or size > 128 << 20:  # words may be long
                 yield out()
+                size = 0
         yield out()
 
     return src.select("text", "held_out").mapInArrow(count, "word string, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
@@ -294,7 +297,7 @@ def score_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col
 
     rated = staged(counted.mapInArrow(rate, "word string, n long, c long, lp double"), "rated")
     discard(counted)
-    top = most_frequent(rated, hot).collect()  # a fixed bound
+    top = most_frequent(rated, hot).filter(F.octet_length("word") <= 64).collect()  # a fixed bound in rows and bytes
     known = spark.sparkContext.broadcast({r.word.encode(): (r.c > 0, float(np.log10(r.c + 1)), r.lp) for r in top})
     id_type = src.schema["doc_id"].dataType.simpleString()
     tail_type = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32())]))

@@ -67,7 +67,7 @@ def count_batch(texts: list[str], path: str, part_chars: int, batch_bytes: int)
             if part:
                 parts.append(part)
                 owners.append(i)
-                held += len(part)
+                held += len(part.encode())
                 if held >= batch_bytes:
                     flush()
     flush()

@@ -6,7 +6,8 @@ number for each sequence (its task's offset plus its place). A keyed Feistel net
 four permutes the numbers; values outside the range are encrypted again until they fall inside (cycle
 walking), so slots are a bijection that anyone with the key can compute. Shard s holds the slots from
 s * stride on; each is written by one task, sequentially, under a temporary name that is then moved. An index in
-Parquet, committed last, says which part of which document is where. Any run of slots is read
+Parquet says which part of which document is where; the layout, moved to its name last, makes the folder readable.
+What a run that failed left there is replaced, a finished folder is refused. Any run of slots is read
 sequentially from any slot on, so a training run resumes at a number.
 
 The order depends on the rows, the key and how the input is dealt to tasks; the packed table keeps it through
@@ -18,17 +19,19 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from quire.llm.common import as_pairs, by_bytes, filesystem, staged, texts_of
+from quire.llm.common import as_pairs, by_bytes, discard, filesystem, staged, texts_of
 
 ROUNDS = 6
 #: Of the packed table: its pages hold many sequences, which compress better together.
@@ -156,6 +159,11 @@ def materialise(df: DataFrame, out_uri: str, ranks_path: str, pattern: str, key:
     hints = spark.sparkContext.broadcast(dictionary(table))
     store, path = filesystem(out_uri)
     store.create_dir(path, recursive=True)
+    own_files = [f for f in store.get_file_info(fs.FileSelector(path)) if re.fullmatch(r"shard-\d+\.bin|_layout\.json|\..*\.tmp", f.base_name)]
+    if any(f.base_name == "_layout.json" for f in own_files):
+        raise ValueError(f"{out_uri} already holds an order")
+    for f in own_files:
+        store.delete_file(f.path)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -200,9 +208,11 @@ def materialise(df: DataFrame, out_uri: str, ranks_path: str, pattern: str, key:
         close()
 
     index = f"slot long, shard int, byte_offset long, n_tokens int, parts {parts}"
-    dealt.sortWithinPartitions("slot").mapInArrow(write, index).write.parquet(f"{out_uri}/_index")
-    with store.open_output_stream(f"{path}/_layout.json") as f:
+    dealt.sortWithinPartitions("slot").mapInArrow(write, index).write.mode("overwrite").parquet(f"{out_uri}/_index")
+    discard(table)
+    with store.open_output_stream(f"{path}/.layout.tmp") as f:
         f.write(json.dumps({"sequences": n, "length": length, "bytes_per_token": width // length, "stride": stride, "key": key, "end": end}).encode())
+    store.move(f"{path}/.layout.tmp", f"{path}/_layout.json")
     return spark.read.schema(index).parquet(f"{out_uri}/_index")
 
 

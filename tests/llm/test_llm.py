@@ -107,8 +107,27 @@ def test_training_order_round_trip(spark, odd, tmp_path):
             assert sorted(t for _, p in parts for t in p) == sorted(want * 2)
         else:
             assert [t for _, p in parts for t in p] == want
+    with pytest.raises(ValueError, match="already"):
+        training_order.materialise(odd, f"file://{tmp_path}/o", path, public_tokenizers.PATTERN)
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "shard-000009.bin").write_bytes(b"of a run that failed")
     assert training_order.materialise(empty(odd), f"file://{tmp_path}/e", path, public_tokenizers.PATTERN).count() == 0
-    assert list(training_order.SlotReader(f"file://{tmp_path}/e").read()) == []
+    assert list(training_order.SlotReader(f"file://{tmp_path}/e").read()) == [] and not list((tmp_path / "e").glob("shard-*"))
+    # slots by a plain version of the permutation
+    order = training_order.Permutation(len(seqs), 1)
+    keys, half = [int(k) for k in order.keys], int(order.half)
+    mix = lambda x: (y := ((x ^ x >> 33) * 0xFF51AFD7ED558CCD) % 2**64, z := ((y ^ y >> 33) * 0xC4CEB9FE1A85EC53) % 2**64, z ^ z >> 33)[-1]
+
+    def slot(x):
+        while True:
+            left, right = x >> half, x % 2**half
+            for k in keys:
+                left, right = right, left ^ mix((right + k) % 2**64) % 2**half
+            x = right << half | left
+            if x < len(seqs):
+                return x
+
+    assert [slot(i) for i in range(len(seqs))] == order.slots(np.arange(len(seqs))).tolist()
 
 
 # --- op2
@@ -741,6 +760,17 @@ def test_bpe_is_the_librarys(odd):
     assert bpe.bpe_digests(empty(odd), path).count() == 0
 
 
+def test_bpe_keeps_little_between_calls(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = bpe.Encoder(path, None)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 10_000)
+    texts = ["".join(chr(97 + (i * k) % 26) for k in range(300)) + str(i) for i in range(60)]
+    want = [a for a, _ in enc.encode(texts)]
+    for k in range(0, 60, 5):
+        assert [a for a, _ in enc.encode(texts[k : k + 5])] == want[k : k + 5]
+        assert enc.size < 10_000 + 5 * 2_000 and sum(map(len, enc.known)) <= enc.size
+
+
 def test_lexicon_holds_exactly_its_words():
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))).encode() for _ in range(500)})
