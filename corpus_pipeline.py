@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import bpe_encode
-from quire.llm.common import staged
+from quire.llm.common import discard, staged
 from quire.llm.decontamination import drop_contaminated
 from quire.llm.near_duplicates import keep_firsts
 from quire.llm.quality_model import keep_likely
@@ -55,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        kept = staged(stage(spark, docs, sf_dir), name)
+        discard(docs)  # what this stage read
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
