@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,6 +130,14 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def filtered(df: DataFrame, text_col: str, batches: Callable[[Iterator[pa.RecordBatch], str], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What ``batches`` (a generator over record batches and the text's name there) leaves of the rows of ``df``, whose
+    columns may have any names: while in Python they go by number."""
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    text = f"c{df.columns.index(text_col)}"
+    return numbered.mapInArrow(lambda rows: batches(rows, text), numbered.schema).toDF(*df.columns)
+
+
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
     """Null counts as empty."""
     return [x or "" for x in batch.column(text).to_pylist()]

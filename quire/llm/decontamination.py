@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_pairs, by_bytes, column, filesystem, fresh_dir, staged, texts_of
+from quire.llm.common import as_pairs, by_bytes, column, filesystem, filtered, fresh_dir, staged, texts_of
 
 #: Bytes of document text that are searched with one part after the other.
 HELD = 8 << 20
@@ -211,11 +211,11 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, width: int = 10, text
     """The rows of ``df``, with all their columns, in which no window occurs."""
     files = benchmark_parts(benchmark, width, item_col, item_text_col, part_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in held(batches, text_col, files):
-            yield batch.filter(pa.array([not spans for _, spans, _ in searched(texts_of(batch, text_col), files)]))
+    def run(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+        for batch in held(batches, text, files):
+            yield batch.filter(pa.array([not spans for _, spans, _ in searched(texts_of(batch, text), files)]))
 
-    return df.mapInArrow(run, df.schema)
+    return filtered(df, text_col, run)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_pairs, by_bytes, column, discard, id_hash, staged, texts_of
+from quire.llm.common import as_pairs, by_bytes, column, discard, filtered, id_hash, staged, texts_of
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 WIDTH, NONZERO, WINDOW, EXTRA = 64, 8, 2, 5
@@ -211,12 +211,13 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
-def keep_likely(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, fold: int = 1, folds: int = 3, vocabulary: int = 4096, sample_bytes: int = 64 << 20) -> DataFrame:
-    """The rows of ``df`` with a score of at least ``least``, with their columns."""
-    model = train(df, labels, id_col, text_col, label_col, fold, folds, sample, vocabulary, sample_bytes)
+def keep_likely(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, fold: int = 1, folds: int = 3, vocabulary: int = 4096, sample_bytes: int = 64 << 20, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``df`` with a score of at least ``least``, with their columns. The model learns from the labelled rows
+    of ``learn_from`` (``df`` itself if not given): what a stage before has kept may lack one of the classes."""
+    model = train(df if learn_from is None else learn_from, labels, id_col, text_col, label_col, fold, folds, sample, vocabulary, sample_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text_col):
-            yield batch.filter(pa.array(score_texts(model, texts_of(batch, text_col)) >= least))
+    def run(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, text):
+            yield batch.filter(pa.array(score_texts(model, texts_of(batch, text)) >= least))
 
-    return df.mapInArrow(run, df.schema)
+    return filtered(df, text_col, run)
