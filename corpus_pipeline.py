@@ -24,7 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_likely(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # the rules before have taken most of the documents that are labelled 0
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return keep_likely(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn_from=labelled)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
