@@ -26,7 +26,8 @@ def failure(status: Column, body: Column, headers: Column) -> Column:
         .when(status >= 500, "TransientError")
         .otherwise("BadResponse")
     )
-    header = F.coalesce(truthy(F.try_element_at(headers, F.lit("Retry-After"))), truthy(F.try_element_at(headers, F.lit("retry-after"))))
+    named = F.filter(F.map_entries(headers), lambda h: F.lower(h["key"]) == "retry-after")  # headers ignore case
+    header = truthy(F.get(named, F.lit(0))["value"])
     return F.struct(kind.alias("kind"), F.when(status == 429, header.try_cast("double")).alias("retry_after"), F.left(or_empty(body), F.lit(fixed.SNIPPET)).alias("message"))
 
 
@@ -68,13 +69,14 @@ def token_usage(response: Column) -> Column:
     """struct(input, output) of a response as JSON text. The first usage object counts, whichever of its spellings
     is there; zero counts as missing."""
     out = F.lit(None).cast("struct<input: long, output: long>")
+    tree = F.try_parse_json(response)
 
     def first_of(container: str, names: tuple[str, ...]) -> Column:
-        got = [F.nullif(F.get_json_object(response, f"$.{container}.{n}").try_cast("long"), F.lit(0).cast("long")) for n in names]
+        got = [F.nullif(F.try_variant_get(tree, f"$.{container}.{n}", "double").cast("long"), F.lit(0).cast("long")) for n in names]
         return F.coalesce(*got, F.lit(0).cast("long"))
 
     for container in fixed.USAGE_FIELDS:
-        is_object = F.get_json_object(response, f"$.{container}").startswith("{")
+        is_object = F.schema_of_variant(F.try_variant_get(tree, f"$.{container}", "variant")).startswith("OBJECT")
         out = F.coalesce(out, F.when(is_object, F.struct(first_of(container, fixed.INPUT_FIELDS).alias("input"), first_of(container, fixed.OUTPUT_FIELDS).alias("output"))))
     return F.coalesce(out, F.struct(F.lit(0).cast("long").alias("input"), F.lit(0).cast("long").alias("output")))
 

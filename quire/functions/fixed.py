@@ -28,6 +28,10 @@ WORKING_KEYS, RPM, RPD, REFUSALS, LEARN_FROM = 5, 10, 250, 4, 10
 BACKOFF, MAX_BACKOFF, TRANSIENT_COOLDOWN = 15.0, 300.0, 30.0
 DAILY_MARKERS = ("perday", "per day", "requests_per_day", "requestsperday", "daily limit")
 DEAD_MARKERS = ("api_key_invalid", "api key not valid", "api_key", "permission_denied", "unauthenticated", "consumer_suspended", "project_denied", "billing", "disabled", "service_disabled")
+SPENT = "Daily allowance spent"
+LEARNED = "Daily limit reached at {} requests (learned from repeated 429s)"
+PARKED = "Refused repeatedly after only {} request(s) today — parked until the next reset"
+WAITING, SERVER_ERROR, REJECTED = "Rate limited, waiting {}s", "Server error, retrying: {}", "Key rejected: {}"
 USAGE_FIELDS = ("usage", "usage_metadata", "usageMetadata")
 INPUT_FIELDS = ("input_tokens", "prompt_token_count", "promptTokenCount")
 OUTPUT_FIELDS = ("output_tokens", "candidates_token_count", "candidatesTokenCount")

@@ -21,6 +21,15 @@ def seconds_to_reset(ts: Column, zone: str = fixed.ZONE) -> tuple[Column, Column
     return wall.cast("long"), F.timestamp_diff("SECOND", ts.cast("timestamp_ntz"), midnight)
 
 
+def whole_hours(seconds: Column) -> Column:
+    return F.floor(seconds / 3600).cast("long")
+
+
+def latency_ms(started: Column, ended: Column) -> Column:
+    """Whole milliseconds between two times in seconds."""
+    return F.floor((ended - started) * 1000).cast("long")
+
+
 def spacing(rpm: Column) -> Column:
     """Seconds between requests; none for a limit of zero or less."""
     return F.when(rpm <= 0, 0.0).otherwise(60.0 / rpm)

@@ -86,8 +86,22 @@ def manifest_json(manifest: DataFrame) -> Column:
     return F.to_json(F.struct("book_id", *[have(manifest, c).alias(c) for c in ("title", "file_name", "rel_path", "fingerprint", "file_size")], "total_pages", "page_status_counts", F.struct(F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output")).alias("tokens")), {"ignoreNullFields": "false"})
 
 
+def index_parts(manifest: DataFrame, summary: DataFrame, file: str = "index.json") -> DataFrame:
+    """file, place, value of the index for ``sources.store.write_named``: a head, a line a book, an end. No task holds
+    more than a line, however many books there are."""
+    counts = manifest.agg(F.count("*").alias("n"), F.min("book_id").alias("least"))
+    queue = summary.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n"))))).alias("queue"))  # a few statuses
+    row = lambda place, value: (F.lit(file).alias("file"), place.cast("long").alias("place"), value.alias("value"))
+    head = counts.crossJoin(queue).select(*row(F.lit(-(2**63)), F.concat(F.lit('{"book_count":'), F.col("n").cast("string"), F.lit(',"queue":'), "queue", F.lit(',"books":['))))
+    line = F.to_json(F.struct("book_id", "title", "total_pages", "page_status_counts"))
+    lines = manifest.crossJoin(F.broadcast(counts)).select(*row(F.col("book_id"), F.concat(F.when(F.col("book_id") == F.col("least"), "").otherwise(","), line)))
+    end = counts.select(*row(F.lit(2**63 - 1), F.lit("]}")))
+    return head.union(lines).union(end)
+
+
 def index(manifest: DataFrame, summary: DataFrame) -> DataFrame:
-    """One JSON text over all manifests (a line a book, as any index) and the queue's counts."""
+    """One JSON text over all manifests and the queue's counts, for as many books as fit into a row; else see
+    ``index_parts``."""
     line = F.struct("book_id", F.to_json(F.struct("book_id", "title", "total_pages", "page_status_counts")).alias("json"))
     books = manifest.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(line)).alias("books"))
     queue = summary.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n"))))).alias("queue"))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, quota
-from quire.functions.text import has_any, masked, or_empty
+from quire.functions.text import has_any, masked, or_empty, strip, truthy
+from quire.operators.numbering import numbered
 
 STATE = "struct<state: string, used_on: date, used_today: long, rpd_limit: long, refusals: int, cooldown_until: double, last_used_at: double, last_error: string>"
 
@@ -28,6 +29,11 @@ def rolled(s: Column, day: Column) -> Column:
     ).cast(STATE)
 
 
+def filled(message: str, value: Column) -> Column:
+    head, tail = message.split("{}")
+    return F.concat(F.lit(head), value.cast("string"), F.lit(tail))
+
+
 def stepped(before: Column, o: Column) -> Column:
     """One outcome: struct(seq, ts, day, daily, outcome, message, retry_after, rpd)."""
     s = rolled(before, o["day"])
@@ -52,13 +58,13 @@ def stepped(before: Column, o: Column) -> Column:
         .otherwise(s["state"])
     )
     error = (
-        F.when(success, F.when(counted >= limit, "Daily allowance spent").otherwise(""))
-        .when(limited & spent & learned, F.concat(F.lit("Daily limit reached at "), used.cast("string"), F.lit(" requests (learned from repeated 429s)")))
-        .when(limited & spent & refused & ~at_limit, F.concat(F.lit("Refused repeatedly after only "), used.cast("string"), F.lit(" request(s) today — parked until the next reset")))
-        .when(limited & spent, "Daily allowance spent")
-        .when(limited, F.concat(F.lit("Rate limited, waiting "), wait.cast("int").cast("string"), F.lit("s")))
-        .when(transient, F.concat(F.lit("Server error, retrying: "), F.left(or_empty(o["message"]), F.lit(120))))
-        .when(kind == "dead", F.concat(F.lit("Key rejected: "), F.left(or_empty(o["message"]), F.lit(200))))
+        F.when(success, F.when(counted >= limit, fixed.SPENT).otherwise(""))
+        .when(limited & spent & learned, filled(fixed.LEARNED, used))
+        .when(limited & spent & refused & ~at_limit, filled(fixed.PARKED, used))
+        .when(limited & spent, fixed.SPENT)
+        .when(limited, filled(fixed.WAITING, wait.cast("int")))
+        .when(transient, filled(fixed.SERVER_ERROR, F.left(or_empty(o["message"]), F.lit(120))))
+        .when(kind == "dead", filled(fixed.REJECTED, F.left(or_empty(o["message"]), F.lit(200))))
         .when(kind == "revive", "")
         .otherwise(s["last_error"])
     )
@@ -96,7 +102,7 @@ def expire(keys: DataFrame, now: float, day: Column) -> DataFrame:
     over = (F.col("state") == "cooldown") & (F.col("cooldown_until") <= now)
     df = df.withColumns({"state": F.when(over, "active").otherwise(F.col("state")), "last_error": F.when(over, "").otherwise(F.col("last_error"))})
     spent = (F.col("state") == "active") & (F.col("used_today") >= F.col("rpd_limit"))
-    return df.withColumns({"state": F.when(spent, "exhausted").otherwise(F.col("state")), "last_error": F.when(spent, "Daily allowance spent").otherwise(F.col("last_error"))})
+    return df.withColumns({"state": F.when(spent, "exhausted").otherwise(F.col("state")), "last_error": F.when(spent, fixed.SPENT).otherwise(F.col("last_error"))})
 
 
 def eligible(keys: DataFrame) -> DataFrame:
@@ -113,8 +119,10 @@ def with_availability(keys: DataFrame) -> DataFrame:
     return keys.withColumn("available_at", quota.available_at(c("enabled"), c("state"), c("used_today"), c("rpd_limit"), c("cooldown_until"), c("last_used_at"), c("rpm_limit")))
 
 
-def acquire(keys: DataFrame, now: float, size: int = fixed.WORKING_KEYS) -> DataFrame:
-    """The ready key of the working set that rested longest, ties by id; no row if none is ready."""
+def acquire(keys: DataFrame, now: float, size: int = fixed.WORKING_KEYS, day: Column | None = None) -> DataFrame:
+    """The ready key of the working set that rested longest, ties by id; no row if none is ready. With ``day``, what has
+    expired by ``now`` is applied first, so after midnight spent keys are handed out again."""
+    keys = keys if day is None else expire(keys, now, day)
     return with_availability(working_set(keys, size)).filter(F.col("available_at") <= now).orderBy("last_used_at", "key_id").limit(1).withColumn("last_used_at", F.lit(now))
 
 
@@ -166,16 +174,58 @@ def upsert_keys(keys: DataFrame, entries: DataFrame) -> DataFrame:
     fresh = entries.select("label", *[F.col(c).alias(f"new_{c}") for c in ("secret", "rpm_limit", "rpd_limit")])
     known = keys.join(fresh, "label", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in ("secret", "rpm_limit", "rpd_limit")}).withColumn("enabled", F.col("enabled") | F.col("new_secret").isNotNull())
     known = known.select(*keys.columns)
-    top = keys.agg(F.coalesce(F.max("key_id"), F.lit(0)).alias("top"))
-    added = fresh.join(keys, "label", "left_anti").crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(W.orderBy("label"))).cast("long").alias("key_id"), "label", F.col("new_secret").alias("secret"), F.col("new_rpm_limit").alias("rpm_limit"), F.col("new_rpd_limit").alias("rpd_limit"), F.lit(True).alias("enabled"))
+    top = keys.agg(F.coalesce(F.max("key_id"), F.lit(0))).first()[0]
+    added = numbered(fresh.join(keys.select("label"), "label", "left_anti"), "label", "key_id", top).select("key_id", "label", F.col("new_secret").alias("secret"), F.col("new_rpm_limit").alias("rpm_limit"), F.col("new_rpd_limit").alias("rpd_limit"), F.lit(True).alias("enabled"))
     return known.unionByName(added, allowMissingColumns=True)
 
 
 def valid_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable, skipped): an entry needs a label and a secret that aren't blank."""
-    from quire.functions.text import strip
-
     e = entries.withColumns({"label": strip(or_empty(F.col("label"))), "secret": strip(or_empty(F.col("secret")))})
     good = (F.col("label") != "") & (F.col("secret") != "")
     clean = e.withColumns({"rpm_limit": F.greatest(F.lit(0), F.coalesce("rpm_limit", F.lit(fixed.RPM))), "rpd_limit": F.greatest(F.lit(1), F.coalesce("rpd_limit", F.lit(fixed.RPD)))})
     return clean.filter(good), e.filter(~good)
+
+
+def edit(keys: DataFrame, edits: DataFrame) -> DataFrame:
+    """``edits``: label, rpm_limit, rpd_limit, enabled, secret (null or blank: as before), one a label. Limits are clamped, what
+    was used today stays, and an exhausted key whose new limit isn't reached is active again."""
+    e = edits.select("label", *[F.col(c).alias(f"new_{c}") for c in ("rpm_limit", "rpd_limit", "enabled", "secret")], F.lit(True).alias("edited"))
+    k = keys.join(e, "label", "left").withColumns(
+        {"rpm_limit": F.when(F.col("new_rpm_limit").isNull(), F.col("rpm_limit")).otherwise(F.greatest(F.lit(0), "new_rpm_limit")), "rpd_limit": F.when(F.col("new_rpd_limit").isNull(), F.col("rpd_limit")).otherwise(F.greatest(F.lit(1), "new_rpd_limit")), "enabled": F.coalesce("new_enabled", "enabled"), "secret": F.coalesce(truthy(strip(F.col("new_secret"))), "secret")}
+    )
+    back = F.col("edited") & (F.col("state") == "exhausted") & (F.col("used_today") < F.col("rpd_limit"))
+    k = k.withColumns({"state": F.when(back, "active").otherwise(F.col("state")), **({"last_error": F.when(back, "").otherwise(F.col("last_error"))} if "last_error" in keys.columns else {})})
+    return k.select(*keys.columns)
+
+
+def without(keys: DataFrame, gone: DataFrame) -> DataFrame:
+    """``gone``: label. The keys that stay."""
+    return keys.join(gone, "label", "left_anti")
+
+
+def duplicate_secrets(keys: DataFrame) -> DataFrame:
+    """One row: whether a secret is there twice, and how many keys are too many."""
+    return keys.agg((F.count("secret") != F.count_distinct("secret")).alias("has_duplicates"), (F.count("secret") - F.count_distinct("secret")).alias("extra"))
+
+
+def used_so_far(requests: DataFrame, key: str, ts: str, *ties: str) -> Column:
+    """The number of a request among its key's of the quota day, as a column of ``requests``."""
+    return F.row_number().over(W.partitionBy(key, quota.quota_day(F.col(ts))).orderBy(ts, *ties)).cast("long")
+
+
+def refusals_in_a_row(outcomes: DataFrame) -> DataFrame:
+    """``outcomes`` with ``run``, the refusals since the key's last success: islands by a running count of successes, a
+    running count inside each."""
+    order = W.partitionBy("key_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("key_id", "__island").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    islands = outcomes.withColumn("__island", F.sum((F.col("outcome") == "success").cast("long")).over(order))
+    return islands.withColumn("run", F.sum((F.col("outcome") == "rate_limited").cast("long")).over(inside)).drop("__island")
+
+
+def too_soon(requests: DataFrame, key: str, ts: str, rpm: Column, *ties: str) -> DataFrame:
+    """``requests`` with ``too_soon``: closer to the key's one before than its limit a minute allows."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    before = F.lag(ts).over(W.partitionBy(key).orderBy(ts, *ties))
+    gap = micros(F.col(ts)) - micros(F.col("__before"))
+    return requests.withColumn("__before", before).withColumn("too_soon", F.coalesce(gap < quota.spacing(rpm) * 1e6, F.lit(False))).drop("__before")

@@ -41,16 +41,20 @@ def chunks(rows: DataFrame, most_rows: int = fixed.CHUNK_ROWS, most_chars: int =
     over the bound is a chunk of its own), and whether the chunk is the book's last. A book is an array
     of three numbers a page, never its texts."""
     item = F.struct("page_no", "chars")
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("rows"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("sizes"))
 
     def step(s: Column, x: Column) -> Column:
         full = (s["rows"] >= most_rows) | ((s["rows"] > 0) & (s["held"] + x["chars"] > most_chars))
-        chunk = s["chunk"] + F.when(full, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), F.when(full, 1).otherwise(s["rows"] + 1).alias("rows"), F.when(full, x["chars"]).otherwise(s["held"] + x["chars"]).alias("held"), F.concat(s["out"], F.array(chunk)).alias("out"))
+        # the array is only copied where a chunk ends
+        return F.struct(F.when(full, 1).otherwise(s["rows"] + 1).alias("rows"), F.when(full, x["chars"]).otherwise(s["held"] + x["chars"]).alias("held"), F.when(full, F.concat(s["sizes"], F.array(s["rows"]))).otherwise(s["sizes"]).alias("sizes"))
 
     books = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    packed = books.select("book_id", "items", F.aggregate("items", start, step, lambda s: s["out"]).alias("at"))
-    return packed.select("book_id", F.array_max("at").alias("last"), F.explode(F.arrays_zip("items", "at")).alias("z")).select("book_id", F.col("z.items.page_no").alias("page_no"), F.col("z.items.chars").alias("chars"), F.col("z.at").alias("chunk"), (F.col("z.at") == F.col("last")).alias("is_final"))
+    packed = books.select("book_id", "items", F.aggregate("items", start, step, lambda s: F.concat(s["sizes"], F.array(s["rows"]))).alias("sizes"))
+    # where each chunk begins: a running sum, by a fold that keeps only the sum in each step
+    each = packed.select("book_id", "items", F.size("sizes").alias("n"), F.posexplode("sizes").alias("chunk", "rows"), "sizes")
+    first = F.aggregate(F.slice("sizes", F.lit(1), F.col("chunk")), F.lit(1), lambda n, k: n + k)
+    own = each.select("book_id", "chunk", (F.col("chunk") == F.col("n") - 1).alias("is_final"), F.explode(F.slice("items", first, F.col("rows"))).alias("x"))
+    return own.select("book_id", "x.page_no", "x.chars", "chunk", "is_final")
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from quire.functions import fixed
 from quire.functions.text import or_empty
+from quire.operators.numbering import numbered
 
 KEY = ["book_id", "page_no"]
 CHANGE = "book_id long, page_no int, seq long, kind string, ts double, status string, page_type string, transcription string, footnotes string, note string, input_tokens int, output_tokens int, reason string, error string"
-STATE = "struct<status: string, attempts: int, page_type: string, transcription: string, footnotes: string, note: string, input_tokens: int, output_tokens: int, flag_reason: string, last_error: string, claimed_at: double, updated_at: double>"
+STATE = "struct<status: string, attempts: int, flag_reason: string, last_error: string, claimed_at: double, updated_at: double>"
 
 
 def fold(changes: DataFrame, max_attempts: int = fixed.MAX_ATTEMPTS) -> DataFrame:
-    """The current pages: each page's few changes in order of ``seq``, whatever order the log is in."""
-    fields = ["seq", "kind", "ts", "status", "page_type", "transcription", "footnotes", "note", "input_tokens", "output_tokens", "reason", "error"]
-    log = F.array_sort(F.collect_list(F.struct(*fields)))
-    empty = F.from_json(F.lit('{"status":"pending","attempts":0,"input_tokens":0,"output_tokens":0,"flag_reason":"","last_error":""}'), STATE)
+    """The current pages: each page's few changes in order of ``seq``, whatever order the log is in. Texts are those of
+    the last commit, chosen without collecting the others'."""
+    short = F.left("error", F.lit(fixed.LAST_ERROR)).alias("error")
+    log = F.array_sort(F.collect_list(F.struct("seq", "kind", "ts", "status", "reason", short)))
+    empty = F.from_json(F.lit('{"status":"pending","attempts":0,"flag_reason":"","last_error":""}'), STATE)
+    commit = F.when(F.col("kind") == "commit", F.col("seq"))
+    result = F.max_by(F.struct("page_type", "transcription", "footnotes", "note", "input_tokens", "output_tokens"), commit)
 
     def step(s: Column, c: Column) -> Column:
         kind = c["kind"]
@@ -35,23 +39,19 @@ def fold(changes: DataFrame, max_attempts: int = fixed.MAX_ATTEMPTS) -> DataFram
             .otherwise(s["status"])
         )
         commit = kind == "commit"
-        new = lambda name, default=None: F.when(commit, F.coalesce(c[name], F.lit(default)) if default is not None else c[name]).otherwise(s[name]).alias(name)
         return F.struct(
             status.alias("status"),
             F.when(kind == "fail", failed).when(kind == "requeue", 0).otherwise(s["attempts"]).cast("int").alias("attempts"),
-            new("page_type"),
-            new("transcription", ""),
-            new("footnotes", ""),
-            new("note", ""),
-            new("input_tokens", 0),
-            new("output_tokens", 0),
             F.when(commit, or_empty(c["reason"])).when(kind == "requeue", "").otherwise(s["flag_reason"]).alias("flag_reason"),
             F.when(commit | (kind == "requeue"), "").when(kind == "fail", F.left(or_empty(c["error"]), F.lit(fixed.LAST_ERROR))).otherwise(s["last_error"]).alias("last_error"),
             F.when(kind == "claim", c["ts"]).when(kind == "create", s["claimed_at"]).alias("claimed_at"),
             c["ts"].alias("updated_at"),
         ).cast(STATE)
 
-    return changes.groupBy(*KEY).agg(F.aggregate(log, empty, step).alias("s")).select(*KEY, "s.*")
+    folded = changes.groupBy(*KEY).agg(F.aggregate(log, empty, step).alias("s"), result.alias("r"))
+    text = lambda name: F.when(F.col("r").isNotNull(), or_empty(F.col(f"r.{name}"))).alias(name)
+    count = lambda name: F.coalesce(f"r.{name}", F.lit(0)).alias(name)
+    return folded.select(*KEY, "s.status", "s.attempts", "r.page_type", text("transcription"), text("footnotes"), text("note"), count("input_tokens"), count("output_tokens"), "s.flag_reason", "s.last_error", "s.claimed_at", "s.updated_at")
 
 
 def claim_batch(pages: DataFrame, books: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
@@ -108,17 +108,15 @@ def book_rollup(books: DataFrame, pages: DataFrame, statuses: tuple[str, ...] =
 
 def register_books(books: DataFrame, scanned: DataFrame, now: float) -> DataFrame:
     """All books after a scan, with ``created``. A known rel_path keeps id, title, profile and created_at; new ones get
-    the next ids in order of rel_path. Only new books (a scan's growth) are numbered on one partition."""
-    from pyspark.sql import Window as W
-
+    the next ids in order of rel_path."""
     meta = ["file_name", "fingerprint", "file_size", "total_pages"]
     fresh = scanned.select("rel_path", "title", *[F.col(c).alias(f"new_{c}") for c in meta])
     known = books.join(fresh.drop("title"), "rel_path", "left").select(
         "id", "rel_path", *[F.coalesce(f"new_{c}", c).alias(c) for c in meta], "title", "profile_json", "created_at", F.when(F.col("new_file_name").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"), F.lit(False).alias("created")
     )
-    top = books.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    added = fresh.join(books.select("rel_path"), "rel_path", "left_anti").crossJoin(F.broadcast(top)).select(
-        (F.col("top") + F.row_number().over(W.orderBy("rel_path"))).cast("long").alias("id"), "rel_path", *[F.col(f"new_{c}").alias(c) for c in meta], "title", F.lit(None).cast("string").alias("profile_json"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(True).alias("created")
+    top = books.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = numbered(fresh.join(books.select("rel_path"), "rel_path", "left_anti"), "rel_path", "id", top).select(
+        "id", "rel_path", *[F.col(f"new_{c}").alias(c) for c in meta], "title", F.lit(None).cast("string").alias("profile_json"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(True).alias("created")
     )
     return known.unionByName(added)
 

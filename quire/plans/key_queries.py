@@ -40,10 +40,8 @@ def pacific_usage(spark, sf_dir):
 
 @query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles' AS DATE) ORDER BY ts, event_id) AS BIGINT) AS used_so_far FROM events")
 def daily_counter(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id", quota.quota_day(F.col("ts"))).orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(w).cast("long").alias("used_so_far"))
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", K.used_so_far(e, "user_id", "ts", "event_id").alias("used_so_far"))
 
 
 @query(
@@ -57,25 +55,14 @@ def quota_reset(spark, sf_dir):
 
 @query(with_roles("--i AS (SELECT *, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY key_id ORDER BY seq) AS island FROM outcomes) SELECT event_id, CAST(sum(CASE WHEN outcome = 'rate_limited' THEN 1 ELSE 0 END) OVER (PARTITION BY key_id, island ORDER BY seq) AS BIGINT) AS run FROM (SELECT i.*, e.event_id FROM i JOIN (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events) e ON e.user_id = key_id AND e.s = seq)", "outcomes"))
 def consecutive_errors(spark, sf_dir):
-    """Refusals since the last success: islands by a running count of successes, a running count inside each."""
-    from pyspark.sql import Window as W
-
-    o = outcomes(spark, sf_dir)
-    order = W.partitionBy("key_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    i = o.withColumn("island", F.sum((F.col("outcome") == "success").cast("long")).over(order))
-    inside = W.partitionBy("key_id", "island").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return i.select("event_id", F.sum((F.col("outcome") == "rate_limited").cast("long")).over(inside).alias("run"))
+    """Refusals since the last success."""
+    return K.refusals_in_a_row(outcomes(spark, sf_dir)).select("event_id", "run")
 
 
 @query(with_roles("--g AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, before IS NOT NULL AND epoch_us(ts) - epoch_us(before) < 6000000 AS too_soon FROM g", "keys"))
 def request_pacing(spark, sf_dir):
     """Requests closer to the one before than ten a minute allows."""
-    from pyspark.sql import Window as W
-
-    before = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    gap = F.coalesce(micros(F.col("ts")) - micros(F.col("before")) < quota.spacing(F.lit(fixed.RPM)) * 1e6, F.lit(False))
-    return table(spark, sf_dir, "events").withColumn("before", before).select("event_id", gap.alias("too_soon"))
+    return K.too_soon(table(spark, sf_dir, "events"), "user_id", "ts", F.lit(fixed.RPM), "event_id").select("event_id", "too_soon")
 
 
 @query(with_roles("SELECT event_id, least(300.0, coalesce(CASE WHEN value > 10 THEN value END, 15.0 * (event_id % 30))) AS seconds FROM events", "keys"))
@@ -162,7 +149,7 @@ def eta_days(spark, sf_dir):
 
 @query(with_roles("SELECT count(secret) <> count(DISTINCT secret) AS has_duplicates, CAST(count(secret) - count(DISTINCT secret) AS BIGINT) AS extra FROM keys", "keys"))
 def duplicate_secrets(spark, sf_dir):
-    return keys(spark, sf_dir).agg((F.count("secret") != F.count_distinct("secret")).alias("has_duplicates"), (F.count("secret") - F.count_distinct("secret")).alias("extra"))
+    return K.duplicate_secrets(keys(spark, sf_dir))
 
 
 @query(with_roles("SELECT key_id, label, CASE WHEN state = 'cooldown' THEN 'new' ELSE secret END AS secret, enabled OR state = 'cooldown' AS enabled FROM keys UNION ALL SELECT (SELECT max(key_id) FROM keys) + 1, 'zz-new', 'fresh', true", "keys"))

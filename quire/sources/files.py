@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions import fixed
 from quire.functions.text import stem_of
@@ -90,19 +92,58 @@ def read_env(path: str, environ: dict[str, str] | None = None) -> dict[str, str]
     return {k: env.get(k, v) for k, v in found.items()}
 
 
+def kind_of(error: Exception) -> str:
+    """The failure class of an exception: time-outs and the network are the service's fault, an answer that can't be
+    read is the page's."""
+    return "TransientError" if isinstance(error, OSError) else "BadResponse"
+
+
+def guarded(call: Callable[[dict], dict], row: dict) -> dict:
+    """``call(row)`` with latency_ms; where it raises, the row's own fields with kind and message."""
+    began = time.monotonic()
+    try:
+        out = call(row)
+    except (OSError, ValueError) as e:
+        out = row | {"kind": kind_of(e), "message": str(e)[: fixed.SNIPPET]}
+    return {"latency_ms": int((time.monotonic() - began) * 1000)} | out
+
+
 def call_pages(pages: DataFrame, call: Callable[[dict], dict], schema: str, at_once: int) -> DataFrame:
-    """``call`` on each row, from at most ``at_once`` tasks. Calls may be metered: write the result before it is used
-    twice, and give each row its own (book, page, attempt) so that a repeated task can be recognised."""
+    """``call`` on each row, from at most ``at_once`` tasks. A call that times out, finds no network or gets an answer that
+    isn't JSON makes a row with kind and message instead of failing the task. Calls may be metered: write the
+    result before it is used twice, and give each row its own (book, page, attempt) so that a repeated task can be
+    recognised."""
+    names = [f.name for f in StructType.fromDDL(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [call(r) for r in batch.to_dict("records")]
+            rows = [guarded(call, r) for r in batch.to_dict("records")]
             if rows:
-                yield pd.DataFrame(rows)
+                yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names).astype(object)
 
     return pages.repartition(at_once).mapInPandas(run, schema)
 
 
+def render_pages(pages: DataFrame, render: Callable[[str, int, float], bytes], dpi: int, at_once: int, path_col: str = "path") -> DataFrame:
+    """``pages``: book_id, page_no, path. Adds image and error, from ``render(path, page number, scale)``; the scale is that of
+    a page measured in points. A page that can't be rendered has an error and the others go on."""
+    scale = dpi / fixed.DPI
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in pages.schema]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(len(batch)):  # one image at a time is held
+                one = batch.iloc[k : k + 1].copy()
+                image, error = None, None
+                try:
+                    image = render(one[path_col].iloc[0], int(one["page_no"].iloc[0]), scale)
+                except Exception as e:  # a page's fault, whatever the library raises
+                    error = str(e)[: fixed.SNIPPET]
+                yield one.assign(image=pd.Series([image], index=one.index, dtype=object), error=pd.Series([error], index=one.index, dtype=object))
+
+    return pages.repartition(at_once).mapInPandas(run, ", ".join([*fields, "image binary", "error string"]))
+
+
 def call_books(samples: DataFrame, call: Callable[[int, pd.DataFrame], dict], schema: str, key: str = "book_id") -> DataFrame:
     """One call on all sample pages of a book; samples are a few pages each."""
 

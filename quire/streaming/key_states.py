@@ -45,21 +45,21 @@ def advance(key: Key, outcome: str, ts: float, day: str, daily: bool = False, me
         key = key._replace(last_used_at=max(key.last_used_at, ts))
     if outcome == "success":
         key = key._replace(used_today=key.used_today + 1, refusals=0, last_error="")
-        return key._replace(state="exhausted", last_error="Daily allowance spent") if key.used_today >= key.rpd_limit else key
+        return key._replace(state="exhausted", last_error=fixed.SPENT) if key.used_today >= key.rpd_limit else key
     if outcome == "rate_limited":
         key = key._replace(refusals=key.refusals + 1)
         at_limit, refused = key.used_today >= key.rpd_limit, key.refusals >= fixed.REFUSALS
         if not (daily or at_limit or refused):
             wait = min(fixed.MAX_BACKOFF, retry_after or fixed.BACKOFF * key.refusals)
-            return key._replace(state="cooldown", cooldown_until=ts + wait, last_error=f"Rate limited, waiting {int(wait)}s")
+            return key._replace(state="cooldown", cooldown_until=ts + wait, last_error=fixed.WAITING.format(int(wait)))
         if refused and not at_limit and key.used_today >= fixed.LEARN_FROM:
-            return key._replace(state="exhausted", rpd_limit=key.used_today, last_error=f"Daily limit reached at {key.used_today} requests (learned from repeated 429s)")
+            return key._replace(state="exhausted", rpd_limit=key.used_today, last_error=fixed.LEARNED.format(key.used_today))
         few = refused and not at_limit
-        return key._replace(state="exhausted", last_error=f"Refused repeatedly after only {key.used_today} request(s) today — parked until the next reset" if few else "Daily allowance spent")
+        return key._replace(state="exhausted", last_error=fixed.PARKED.format(key.used_today) if few else fixed.SPENT)
     if outcome == "transient":
-        return key._replace(state="cooldown", cooldown_until=ts + fixed.TRANSIENT_COOLDOWN, last_error=f"Server error, retrying: {(message or '')[:120]}")
+        return key._replace(state="cooldown", cooldown_until=ts + fixed.TRANSIENT_COOLDOWN, last_error=fixed.SERVER_ERROR.format((message or "")[:120]))
     if outcome == "dead":
-        return key._replace(state="dead", last_error=f"Key rejected: {(message or '')[:200]}")
+        return key._replace(state="dead", last_error=fixed.REJECTED.format((message or "")[:200]))
     if outcome == "revive":
         return key._replace(state="active", refusals=0, cooldown_until=0.0, last_error="")
     if outcome == "edit":
