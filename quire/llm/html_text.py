@@ -69,11 +69,12 @@ class Block(NamedTuple):
 
 
 class Spot(NamedTuple):
-    """A section: its place among the page's, the section around it, and the text below it."""
+    """A section: its place among the page's, the section around it, the text below it, and what hints leave of that."""
 
     token: int
     around: int
     chars: int
+    kept: int
 
 
 class Page(NamedTuple):
@@ -129,7 +130,7 @@ def parse(page: str) -> Page:
     places: list[int] = []  # of each block in tokens
     owners: list[int] = []  # of each block its innermost named element
     named: list[list[int]] = []  # of each named element the one around it, characters, characters in articles
-    places_of: list[list[int]] = [[0, 0, 0]]  # of each section its token, the one around it, characters
+    places_of: list[list[int]] = [[0, 0, 0, 0]]  # of each section its token, the one around it, characters, those that stay
     like: Counter[tuple[int, str]] = Counter()  # of each section how many of a kind are in it
     held: list[str] = []
     owner = root
@@ -199,7 +200,7 @@ def parse(page: str) -> Page:
         if name in SECTIONS:
             like[spot, sign] += 1
             spot = len(places_of)
-            places_of.append([hashed(str(places_of[parent.spot][0]), sign, str(like[parent.spot, sign])), parent.spot, 0])
+            places_of.append([hashed(str(places_of[parent.spot][0]), sign, str(like[parent.spot, sign])), parent.spot, 0, 0])
         node = Node(name, token, parent.boiler or boiler, parent.main or main, len(named) if called else parent.named, spot)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -214,8 +215,11 @@ def parse(page: str) -> Page:
     flush()
     drop = dropped(blocks, owners, named)
     gone = {i for i, d in zip(places, drop, strict=True) if d}
+    for b, d in zip(blocks, drop, strict=True):
+        places_of[b.spot][3] += 0 if d else len(b.text)
     for x in reversed(places_of[1:]):  # a section comes after those around it
         places_of[x[1]][2] += x[2]
+        places_of[x[1]][3] += x[3]
     return Page([t for i, t in enumerate(tokens) if i not in gone], [b for b, d in zip(blocks, drop, strict=True) if not d], [Spot(*x) for x in places_of])
 
 
@@ -287,11 +291,11 @@ def templates(pages: DataFrame, support: float) -> DataFrame:
                 of = {b.token: b for b in page.blocks}
                 sizes = [len(of[t].text) if t in of else 0 for t in counts]
                 slots = page.slots()
-                rows.append((sum(len(b.text) for b in page.blocks), len(page.blocks), list(counts), list(counts.values()), sizes, [of[t].slot if t in of else 0 for t in counts], page.spots[0].chars, [page.spots[i].token for i in slots], [page.spots[i].chars for i in slots]))
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["host", "content", "page_chars", "page_blocks", "token", "k", "chars", "slot", "text", "spot", "below"])
+                rows.append((sum(len(b.text) for b in page.blocks), len(page.blocks), list(counts), list(counts.values()), sizes, [of[t].slot if t in of else 0 for t in counts], page.spots[0].chars, [page.spots[i].token for i in slots], [page.spots[i].chars for i in slots], [page.spots[i].kept for i in slots]))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["host", "content", "page_chars", "page_blocks", "token", "k", "chars", "slot", "text", "spot", "below", "kept"])
 
-    contents = pages.mapInArrow(parsed, "host string, content long, page_chars long, page_blocks long, token array<long>, k array<int>, chars array<int>, slot array<long>, text long, spot array<long>, below array<long>")
+    contents = pages.mapInArrow(parsed, "host string, content long, page_chars long, page_blocks long, token array<long>, k array<int>, chars array<int>, slot array<long>, text long, spot array<long>, below array<long>, kept array<long>")
     contents = contents.dropDuplicates(["host", "content"])
     contents = staged(contents, "contents")
     each = contents.select("host", "content", "page_chars", "page_blocks", F.posexplode(F.arrays_zip("token", "k", "chars", "slot")).alias("at", "x")).select("host", "content", "page_chars", "page_blocks", "at", "x.*")
@@ -326,12 +330,14 @@ def templates(pages: DataFrame, support: float) -> DataFrame:
     usual = placed.groupBy(F.col("host").alias("of"), F.col("cls").alias("c"), F.col("order").alias("o")).agg((2 * F.count("*") > F.first("pages")).alias("most")).filter("most")
     usual = staged(usual, "usual")
     out = placed.join(usual, (F.col("host") == F.col("of")) & (F.col("cls") == F.col("c")) & (F.col("order") == F.col("o")), "left_semi")
-    own = contents.select("host", "content", "text", F.explode(F.arrays_zip("spot", "below")).alias("x")).select("host", "content", "text", "x.*")
+    own = contents.select("host", "content", "text", "page_chars", F.explode(F.arrays_zip("spot", "below", "kept")).alias("x")).select("host", "content", "text", "page_chars", "x.*")
     main = own.groupBy(F.col("host").alias("of"), F.col("spot").alias("s")).agg(F.count("*").alias("pages"), F.sum("below").alias("below"), F.sum("text").alias("text"))
     main = staged(main.filter((F.col("pages") >= PAGES) & (4 * F.col("below") >= 3 * F.col("text"))).select("of", "s"), "main")
-    slots = own.join(main, (F.col("host") == F.col("of")) & (F.col("spot") == F.col("s")), "left_semi").select("host", "content", F.lit(None).cast("array<long>").alias("blocks"), "spot")
-    both = out.select("host", "content", "blocks", F.lit(None).cast("long").alias("spot")).unionByName(slots)
-    found = staged(both.groupBy("host", "content").agg(F.flatten(F.collect_list("blocks")).alias("template"), F.collect_list("spot").alias("main")), "templates")
+    slots = own.join(main, (F.col("host") == F.col("of")) & (F.col("spot") == F.col("s")), "left_semi").select("host", "content", F.lit(None).cast("array<long>").alias("blocks"), "spot", (F.col("kept") < F.col("page_chars")).alias("cuts"))
+    both = out.select("host", "content", "blocks", F.lit(None).cast("long").alias("spot"), F.lit(False).alias("cuts")).unionByName(slots)
+    # where no main slot leaves out any text that hints leave, the slots change nothing and the page needs no row
+    both = both.groupBy("host", "content").agg(F.flatten(F.collect_list("blocks")).alias("template"), F.collect_list("spot").alias("main"), F.max("cuts").alias("cuts"))
+    found = staged(both.filter(F.col("cuts") | (F.size("template") > 0)).drop("cuts"), "templates")
     for table in (contents, seen, valid, members, placed, usual, main):
         discard(table)
     return found
