@@ -1,19 +1,24 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer numpy network with
 temperature-calibrated probabilities.
 
-A token is a run of letters, of digits or of other visible characters. The ``vocabulary`` most frequent tokens
-of the training texts stand for themselves, all others for their shape, of which there are some dozens: the case and
-length of letters, the first character of symbols if it is ASCII. A token's vector is its own sparse
-ternary index vector plus those of its neighbours, summed over the training texts. A document is the mean of
+A token is a run of letters, of digits or of other visible characters. The ``vocabulary`` tokens that occur in most
+documents stand for themselves (if they are in three at least and of at most ``LONGEST`` characters), all others for
+their shape, of which there are some dozens: the case and length of letters, the first character of symbols if it is
+ASCII. A token's vector is its own sparse ternary index vector plus those of its neighbours, summed over all
+documents, labelled or not: tasks count documents per token, then sum neighbours per token, and both are whole
+numbers, so the vectors don't depend on how the rows are dealt. A document is the mean of
 its tokens' vectors with its length, its shares of distinct tokens, of repeated
-lines, of repeated three-token runs and of tokens that repeat the one before. The network is
-fitted to at most ``sample`` labelled rows of at most ``sample_bytes`` in sum (documented bounds: those with the
-smallest hash of the id; where ids repeat, one row of each; a text that would exceed the bytes is passed over), a
-fifth of which only stops the fit and sets the temperature. So the driver holds ``sample_bytes`` of text and
-``vocabulary`` squared numbers at most, whatever the table holds.
+lines, of repeated three-token runs and of tokens that repeat the one before.
+
+Only the network is fitted to a sample: at most ``sample`` labelled rows of at most ``sample_bytes`` in sum (documented
+bounds: those with the smallest hash of the id; where ids repeat, one row of each; a text that would exceed the
+bytes is passed over), a fifth of which only stops the fit and sets the temperature. So the driver holds
+``sample_bytes`` of text and ``vocabulary`` vectors at most, and a task ``vocabulary`` squared counts, whatever the
+table holds.
 
 Null and empty texts are scored as documents without tokens. Without two classes among the training labels
-every score is the share of label 1 (0.5 without labels). Labels with a null id or value are ignored.
+every score is the share of label 1 (0.5 without labels). Labels with a null id or value are ignored. Repeated rows count each
+in the statistics.
 """
 
 from __future__ import annotations
@@ -30,10 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_pairs, by_bytes, column, discard, filtered, id_hash, staged, texts_of
+from quire.llm.common import as_pairs, by_bytes, column, discard, filtered, id_hash, most_frequent, staged, texts_of
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 WIDTH, NONZERO, WINDOW, EXTRA = 64, 8, 2, 5
+#: Characters of the longest token that may stand for itself, and tokens that a task counts or remembers at once.
+LONGEST, HELD = 64, 100_000
 
 
 #: What a token outside the vocabulary is taken for; a fixed set, whatever the texts hold.
@@ -57,46 +64,120 @@ def index_vector(token: str) -> np.ndarray:
     return out
 
 
-def word_vectors(texts: list[str], size: int) -> tuple[dict[str, int], np.ndarray]:
-    seen = Counter(t for text in texts for t in set(TOKEN.findall(text)))
-    # shapes are always in, as rows of their own
-    names = SHAPES + [t for t, k in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: max(0, size - len(SHAPES))] if k >= 3 and t not in SHAPES]
-    ids = {t: i for i, t in enumerate(names)}
-    n = len(names)
-    index = np.stack([index_vector(t) for t in names])
-    together = np.zeros(n * n, np.float32)
-    for k in range(0, len(texts), 200):  # tokens are made twice rather than held
-        rows = [[ids[t] if t in ids else ids[shape(t)] for t in TOKEN.findall(text)] for text in texts[k : k + 200]]
-        flat = np.array([i for r in rows for i in (*r, *[-1] * WINDOW)], np.int64)  # no window reaches the next text
+def frequent_tokens(src: DataFrame, size: int) -> list[str]:
+    """The tokens that occur in most texts of ``src`` (a column text), as many whole steps of ``most_frequent`` as fit
+    beside the shapes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        for batch in by_bytes(batches, "text"):
+            for text in texts_of(batch, "text"):
+                held.update(t for t in set(TOKEN.findall(text)) if len(t) <= LONGEST)
+            if len(held) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["token", "n"])
+                held = Counter()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["token", "n"])
+
+    counted = staged(src.mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3"), "tokens")
+    top = most_frequent(counted, max(0, size - len(SHAPES))).collect()  # at most ``size`` tokens
+    discard(counted)
+    return [r.token for r in sorted(top, key=lambda r: (-r.n, r.token))]
+
+
+def ids_of(tokens: list[str]) -> dict[str, int]:
+    """Shapes are always in, as rows of their own."""
+    return {t: i for i, t in enumerate(dict.fromkeys([*SHAPES, *tokens]))}
+
+
+def rows_of(tokens: list[str], ids: dict[str, int], known: dict[str, int]) -> list[int]:
+    """A row for each token, -1 if there is none even for its shape. ``known``: those found before."""
+    rows = list(map(known.get, tokens))
+    if None in rows:
+        for i, r in enumerate(rows):
+            if r is None:
+                t = tokens[i]
+                r = ids.get(t)
+                rows[i] = r = ids.get(shape(t), -1) if r is None else r
+                if len(t) <= LONGEST:
+                    known[t] = r
+    return rows
+
+
+class Neighbours:
+    """How often which token follows which within the window."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids, self.known = ids, {}
+        self.together = np.zeros(len(ids) ** 2, np.int32)
+
+    def add(self, texts: list[str]) -> None:
+        if len(self.known) > HELD:
+            self.known.clear()
+        rows: list[int] = []
+        for text in texts:
+            rows += rows_of(TOKEN.findall(text), self.ids, self.known)
+            rows += [-1] * WINDOW  # no window reaches the next text
+        flat = np.array(rows, np.int64)
         for o in range(1, WINDOW + 1):
             a, b = flat[:-o], flat[o:]
             ok = (a >= 0) & (b >= 0)
-            codes, k_ = np.unique(a[ok] * n + b[ok], return_counts=True)
-            together[codes] += k_
-    together = together.reshape(n, n)
-    context = together @ index + together.T @ index
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
-    return ids, index / np.sqrt(NONZERO) + context
+            np.add.at(self.together, a[ok] * len(self.ids) + b[ok], 1)
 
+    def sums(self, index: np.ndarray) -> np.ndarray:
+        """The index vectors of each token's neighbours on both sides, summed: whole numbers."""
+        n = len(self.ids)
+        pairs, wide = self.together.reshape(n, n), index.astype(np.float64)
+        parts = [pairs[k : k + 512] @ wide + pairs[:, k : k + 512].T @ wide for k in range(0, n, 512)]
+        return np.concatenate(parts).astype(np.int64)
 
-def features(texts: list[str], ids: dict[str, int], vectors: np.ndarray, rows_of: dict[str, int]) -> np.ndarray:
-    """``rows_of``: rows of tokens outside the vocabulary, kept between calls and cleared when large."""
+
+def neighbour_sums(src: DataFrame, ids: dict[str, int], index: np.ndarray) -> np.ndarray:
+    """``Neighbours.sums`` over all texts of ``src`` (a column text)."""
+    shared = src.sparkSession.sparkContext.broadcast((ids, index))  # ``vocabulary`` rows
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, vectors = shared.value
+        found = None
+        for batch in by_bytes(batches, "text"):
+            found = found or Neighbours(own)
+            found.add(texts_of(batch, "text"))
+        if found is not None:
+            sums = found.sums(vectors)
+            used = np.flatnonzero(sums.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(sums[used, i]) for i in range(WIDTH))], names=["id", *(f"v{i}" for i in range(WIDTH))])
+
+    own = src.mapInArrow(add, "id long" + "".join(f", v{i} long" for i in range(WIDTH)))
+    got = own.groupBy("id").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(WIDTH))).collect()  # ``vocabulary`` rows
+    out = np.zeros((len(ids), WIDTH), np.int64)
+    for r in got:
+        out[r[0]] = r[1:]
+    return out
+
+
+def vectors_of(index: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    context = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
+    return (index / np.sqrt(NONZERO) + context).astype(np.float32)
+
+
+def word_vectors(src: DataFrame, size: int) -> tuple[dict[str, int], np.ndarray]:
+    """Rows and vectors of the tokens of all texts of ``src`` (a column text)."""
+    ids = ids_of(frequent_tokens(src, size))
+    index = np.stack([index_vector(t) for t in ids])
+    return ids, vectors_of(index, neighbour_sums(src, ids, index))
+
+
+def features(texts: list[str], ids: dict[str, int], vectors: np.ndarray, known: dict[str, int]) -> np.ndarray:
+    """``known``: rows of tokens, kept between calls and cleared when large."""
     out = np.zeros((len(texts), WIDTH + EXTRA), np.float32)
-    if len(rows_of) > 100_000:
-        rows_of.clear()
-    get, n = rows_of.get, len(vectors)
+    if len(known) > HELD:
+        known.clear()
+    n = len(vectors)
     for k, text in enumerate(texts):
         tokens = TOKEN.findall(text)
         if not tokens:
             continue
-        rows = []
-        for t in tokens:
-            r = get(t)
-            if r is None:
-                r = ids.get(t)
-                r = rows_of[t] = ids.get(shape(t), -1) if r is None else r
-            rows.append(r)
-        counts = np.bincount(np.array(rows) + 1, minlength=n + 1)[1:]
+        counts = np.bincount(np.array(rows_of(tokens, ids, known)) + 1, minlength=n + 1)[1:]
         lines = [x for x in text.split("\n") if x.strip()]
         grams = len(tokens) - 2
         out[k, :WIDTH] = counts @ vectors / len(tokens)
@@ -154,16 +235,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(labelled: pd.DataFrame, vocabulary: int = 4096) -> tuple[dict[str, int], np.ndarray, Network]:
+def fit(labelled: pd.DataFrame, ids: dict[str, int], vectors: np.ndarray) -> Network:
     """``labelled``: text, label (0 or 1), in a fixed order."""
-    texts = [t or "" for t in labelled["text"]]
-    ids, vectors = word_vectors(texts, vocabulary)
-    x = features(texts, ids, vectors, {})
-    return ids, vectors, Network().fit(x.astype(np.float64), labelled["label"].to_numpy(np.float64))
+    x = features([t or "" for t in labelled["text"]], ids, vectors, {})
+    return Network().fit(x.astype(np.float64), labelled["label"].to_numpy(np.float64))
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 1, folds: int = 3, sample: int = 6000, vocabulary: int = 4096, sample_bytes: int = 64 << 20):
-    """A broadcast model, fitted to labelled rows outside the held-out fold."""
+    """A broadcast model: word vectors of all rows, and a network fitted to labelled rows outside the held-out fold."""
     known = labels.select(column(id_col).alias("of"), column(label_col).alias("label")).filter(F.col("of").isNotNull() & F.col("label").isin(0, 1) & (id_hash(F.col("of")) % folds != fold))
     known = known.groupBy("of").agg(F.max("label").cast("int").alias("label"))
     order = F.xxhash64(F.col("of").cast("string"))
@@ -181,21 +260,22 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             held += r.bytes or 0
     own = df.sparkSession.createDataFrame(fits, found.select("of").schema)
     rows = found.join(F.broadcast(own), "of").select("of", "text", "label", "place").orderBy("place", "of")
-    ids, vectors, network = fit(rows.toPandas(), vocabulary)
+    ids, vectors = word_vectors(as_pairs(df, id_col, text_col).select("text"), vocabulary)
+    network = fit(rows.toPandas(), ids, vectors)
     discard(found)
     digest = xxhash.xxh64_intdigest("\n".join(ids).encode() + vectors.tobytes())
     return df.sparkSession.sparkContext.broadcast((digest, ids, vectors, network))
 
 
 @lru_cache(1)
-def rows_known(digest: int) -> dict[str, int]:
+def tokens_known(digest: int) -> dict[str, int]:
     """A worker may see several models, one after the other; each has its own rows."""
     return {}
 
 
 def score_texts(model, texts: list[str]) -> np.ndarray:
     digest, ids, vectors, network = model.value
-    return network.scores(features(texts, ids, vectors, rows_known(digest)).astype(np.float64))
+    return network.scores(features(texts, ids, vectors, tokens_known(digest)).astype(np.float64))
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 1, folds: int = 3, sample: int = 6000, vocabulary: int = 4096, sample_bytes: int = 64 << 20) -> DataFrame:

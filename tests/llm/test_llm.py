@@ -194,7 +194,7 @@ def test_classifier_on_odd_tables(spark, odd):
 
 def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
     held = []
-    monkeypatch.setattr(quality_model, "fit", lambda rows, *_: held.append(rows) or ({}, np.zeros((0, 64), np.float32), quality_model.Network()))
+    monkeypatch.setattr(quality_model, "fit", lambda rows, *_: held.append(rows) or quality_model.Network())
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     for hot in (0, 1, 2, 3):
         rows = [(i, f"text {i}") for i in range(40)] + [(i, f"copy {k}") for i in range(hot, 40, 4) for k in range(50)]
@@ -202,19 +202,46 @@ def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
     assert all(set(rows["of"]) == set(held[0]["of"]) and len(rows) == len(set(rows["of"])) > 20 for rows in held)
 
 
-def test_symbols_of_any_number_have_few_vectors():
+def test_symbols_of_any_number_have_few_vectors(spark):
     rng = random.Random(9)
     pairs = sorted({chr(rng.choice([rng.randint(0x2190, 0x2BFF), rng.randint(0x21, 0x2F)])) + chr(rng.randint(0x2190, 0x2BFF)) for _ in range(70_000)})
     assert len(pairs) > 50_000
-    ids, vectors = quality_model.word_vectors([" ".join(pairs[k::20]) for k in range(20)] * 3, 4096)
+    texts = [" ".join(pairs[k::20]) for k in range(20)] * 3
+    ids, vectors = quality_model.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"), 4096)
     assert len(ids) == len(vectors) <= 4096 and np.isfinite(vectors).all()
     assert {quality_model.shape(t) for p in pairs for t in quality_model.TOKEN.findall(p)} <= set(quality_model.SHAPES) and len(quality_model.SHAPES) < 60
     assert np.isfinite(quality_model.features([*pairs[:50], LONG * 20, ""], ids, vectors, {})).all()
 
 
+def test_word_vectors_are_of_all_texts(spark, monkeypatch):
+    """Counts and sums against loops over all tokens, however the rows are dealt."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("", "x", "Y", "zzz", "zzzzzz")] + ["<!>", "..", "7", "__", "w" * 65, "é"]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(len(words))], k=rng.randint(0, 60))) for _ in range(300)] + [None, "", "a b a b " * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    ids, vectors = quality_model.word_vectors(df.repartition(1), 80)
+    seen = Counter(t for text in texts for t in set(quality_model.TOKEN.findall(text or "")) if len(t) <= 64)
+    own = [t for t in ids if t not in quality_model.SHAPES]
+    assert 10 < len(own) <= 80 - len(quality_model.SHAPES) and "w" * 65 not in ids
+    assert min(seen[t] for t in own) > max(k for t, k in seen.items() if t not in ids)
+    index = {t: quality_model.index_vector(t) for t in ids}
+    want = {t: np.zeros(64) for t in ids}
+    for text in texts:
+        names = [t if t in ids else quality_model.shape(t) for t in quality_model.TOKEN.findall(text or "")]
+        for i, t in enumerate(names):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(names):
+                    want[t] += index[names[j]]
+    sums = quality_model.neighbour_sums(df, ids, np.stack(list(index.values())))
+    assert all((sums[i] == want[t]).all() for t, i in ids.items()) and any(want[t].any() for t in own)
+    monkeypatch.setattr(quality_model, "HELD", 3)
+    again, same = quality_model.word_vectors(df.repartition(5), 80)
+    assert again == ids and list(again) == list(ids) and (same == vectors).all()
+
+
 def test_the_sample_is_bounded_by_bytes(spark, monkeypatch):
     held = []
-    monkeypatch.setattr(quality_model, "fit", lambda rows, *_: held.append(rows) or ({}, np.zeros((0, 64), np.float32), quality_model.Network()))
+    monkeypatch.setattr(quality_model, "fit", lambda rows, *_: held.append(rows) or quality_model.Network())
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     docs = spark.createDataFrame([(i, "x" * (100 if i % 3 else 5000)) for i in range(60)], "doc_id long, text string")
     quality_model.train(docs, labels, sample_bytes=1500)
