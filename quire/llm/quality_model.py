@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,8 +38,9 @@ from quire.llm.common import as_pairs, by_bytes, column, discard, filtered, id_h
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 WIDTH, NONZERO, WINDOW, EXTRA = 64, 8, 2, 5
-#: Characters of the longest token that may stand for itself, and tokens that a task counts or remembers at once.
-LONGEST, HELD = 64, 100_000
+#: Characters of the longest token that may stand for itself; tokens that a task counts or remembers at once, and of how
+#: many bytes of text it counts them.
+LONGEST, HELD, HELD_BYTES = 64, 200_000, 64 << 20
 
 
 #: What a token outside the vocabulary is taken for; a fixed set, whatever the texts hold.
@@ -70,14 +70,21 @@ def frequent_tokens(src: DataFrame, size: int) -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            own = {t: n for t, n in held.items() if len(t) <= LONGEST}
+            return pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], names=["token", "n"])
+
         for batch in by_bytes(batches, "text"):
             for text in texts_of(batch, "text"):
-                held.update(t for t in set(TOKEN.findall(text)) if len(t) <= LONGEST)
-            if len(held) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["token", "n"])
-                held = Counter()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["token", "n"])
+                held.update(set(TOKEN.findall(text)))
+            size += batch.nbytes
+            if len(held) > HELD or size > HELD_BYTES:
+                yield out()
+                held.clear()
+                size = 0
+        yield out()
 
     counted = staged(src.mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3"), "tokens")
     top = most_frequent(counted, max(0, size - len(SHAPES))).collect()  # at most ``size`` tokens
@@ -90,66 +97,101 @@ def ids_of(tokens: list[str]) -> dict[str, int]:
     return {t: i for i, t in enumerate(dict.fromkeys([*SHAPES, *tokens]))}
 
 
-def rows_of(tokens: list[str], ids: dict[str, int], known: dict[str, int]) -> list[int]:
-    """A row for each token, -1 if there is none even for its shape. ``known``: those found before."""
-    rows = list(map(known.get, tokens))
-    if None in rows:
-        for i, r in enumerate(rows):
-            if r is None:
-                t = tokens[i]
-                r = ids.get(t)
-                rows[i] = r = ids.get(shape(t), -1) if r is None else r
-                if len(t) <= LONGEST:
-                    known[t] = r
-    return rows
+class Rows(dict):
+    """The row of any token; that after the last, of no vector, if there is none even for its shape. Tokens outside the
+    vocabulary are remembered until they are too many."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__(ids)
+        self.ids = ids
+
+    def __reduce__(self):
+        return Rows, (self.ids,)
+
+    def __missing__(self, token: str) -> int:
+        row = self.ids.get(shape(token), len(self.ids))
+        if len(token) <= LONGEST:
+            if len(self) > HELD + len(self.ids):
+                self.clear()
+                self.update(self.ids)
+            self[token] = row
+        return row
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, tokens)), "<u2" if len(self.ids) < 1 << 16 else "<u4")
+
+
+def measures(text: str, tokens: list[str]) -> tuple[float, ...]:
+    """What a document is judged by beside its vector; zeros without tokens."""
+    if not tokens:
+        return (0.0,) * EXTRA
+    lines = [x for x in text.split("\n") if x.strip()]
+    grams = len(tokens) - 2
+    runs = 1 - len(set(zip(tokens, tokens[1:], tokens[2:], strict=False))) / grams if grams > 0 else 0.0
+    return float(np.log1p(len(tokens))), len(set(tokens)) / len(tokens), 1 - len(set(lines)) / max(len(lines), 1), runs, sum(map(str.__eq__, tokens, tokens[1:])) / len(tokens)
+
+
+def encode(texts: list[str], rows: Rows) -> tuple[list[np.ndarray], list[tuple[float, ...]]]:
+    tokens = [TOKEN.findall(text) for text in texts]
+    return [rows.of(t) for t in tokens], list(map(measures, texts, tokens))
+
+
+def encoded(src: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """``src`` (doc_id, text) as doc_id, rows (little-endian) and measures, written once and read by what follows."""
+    shared = src.sparkSession.sparkContext.broadcast(Rows(ids))  # ``vocabulary`` entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            rows, extra = encode(texts_of(batch, "text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(extra, pa.list_(pa.float64()))], names=["doc_id", "rows", "measures"])
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return staged(src.mapInArrow(run, f"doc_id {kind}, rows binary, measures array<double>"), "encoded", compression="zstd")
+
+
+def rows_in(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
+    """The rows of an encoded batch, for ``n`` vectors."""
+    return [np.frombuffer(r, "<u2" if n < 1 << 16 else "<u4") for r in batch.column("rows").to_pylist()]
 
 
 class Neighbours:
-    """How often which token follows which within the window."""
+    """How often which token follows which within the window, for ``n`` tokens."""
 
-    def __init__(self, ids: dict[str, int]):
-        self.ids, self.known = ids, {}
-        self.together = np.zeros(len(ids) ** 2, np.int32)
-
-    def add(self, texts: list[str]) -> None:
-        if len(self.known) > HELD:
-            self.known.clear()
-        rows: list[int] = []
-        for text in texts:
-            rows += rows_of(TOKEN.findall(text), self.ids, self.known)
-            rows += [-1] * WINDOW  # no window reaches the next text
-        flat = np.array(rows, np.int64)
+    def __init__(self, n: int):
+        self.n, self.together = n, np.zeros(n * n, np.int32)
+
+    def add(self, texts: list[np.ndarray]) -> None:
+        between = np.full(WINDOW, self.n)  # no window reaches the next text
+        flat = np.concatenate([part for rows in texts for part in (rows, between)]).astype(np.int64)
         for o in range(1, WINDOW + 1):
             a, b = flat[:-o], flat[o:]
-            ok = (a >= 0) & (b >= 0)
-            np.add.at(self.together, a[ok] * len(self.ids) + b[ok], 1)
+            ok = (a < self.n) & (b < self.n)
+            np.add.at(self.together, a[ok] * self.n + b[ok], 1)
 
     def sums(self, index: np.ndarray) -> np.ndarray:
         """The index vectors of each token's neighbours on both sides, summed: whole numbers."""
-        n = len(self.ids)
-        pairs, wide = self.together.reshape(n, n), index.astype(np.float64)
-        parts = [pairs[k : k + 512] @ wide + pairs[:, k : k + 512].T @ wide for k in range(0, n, 512)]
+        pairs, wide = self.together.reshape(self.n, self.n), index.astype(np.float64)
+        parts = [pairs[k : k + 512] @ wide + pairs[:, k : k + 512].T @ wide for k in range(0, self.n, 512)]
         return np.concatenate(parts).astype(np.int64)
 
 
-def neighbour_sums(src: DataFrame, ids: dict[str, int], index: np.ndarray) -> np.ndarray:
-    """``Neighbours.sums`` over all texts of ``src`` (a column text)."""
-    shared = src.sparkSession.sparkContext.broadcast((ids, index))  # ``vocabulary`` rows
+def neighbour_sums(table: DataFrame, index: np.ndarray) -> np.ndarray:
+    """``Neighbours.sums`` over all documents of an encoded table."""
+    shared, n = table.sparkSession.sparkContext.broadcast(index), len(index)  # ``vocabulary`` rows
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vectors = shared.value
         found = None
-        for batch in by_bytes(batches, "text"):
-            found = found or Neighbours(own)
-            found.add(texts_of(batch, "text"))
+        for batch in by_bytes(batches, "rows"):
+            found = found or Neighbours(n)
+            found.add(rows_in(batch, n))
         if found is not None:
-            sums = found.sums(vectors)
+            sums = found.sums(shared.value)
             used = np.flatnonzero(sums.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(sums[used, i]) for i in range(WIDTH))], names=["id", *(f"v{i}" for i in range(WIDTH))])
 
-    own = src.mapInArrow(add, "id long" + "".join(f", v{i} long" for i in range(WIDTH)))
+    own = table.select("rows").mapInArrow(add, "id long" + "".join(f", v{i} long" for i in range(WIDTH)))
     got = own.groupBy("id").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(WIDTH))).collect()  # ``vocabulary`` rows
-    out = np.zeros((len(ids), WIDTH), np.int64)
+    out = np.zeros((n, WIDTH), np.int64)
     for r in got:
         out[r[0]] = r[1:]
     return out
@@ -160,28 +202,28 @@ def vectors_of(index: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return (index / np.sqrt(NONZERO) + context).astype(np.float32)
 
 
-def word_vectors(src: DataFrame, size: int) -> tuple[dict[str, int], np.ndarray]:
-    """Rows and vectors of the tokens of all texts of ``src`` (a column text)."""
-    ids = ids_of(frequent_tokens(src, size))
+def word_vectors(src: DataFrame, size: int) -> tuple[dict[str, int], np.ndarray, DataFrame]:
+    """Rows and vectors of the tokens of all texts of ``src`` (doc_id, text), and its encoded table."""
+    ids = ids_of(frequent_tokens(src.select("text"), size))
     index = np.stack([index_vector(t) for t in ids])
-    return ids, vectors_of(index, neighbour_sums(src, ids, index))
+    table = encoded(src, ids)
+    return ids, vectors_of(index, neighbour_sums(table, index)), table
 
 
-def features(texts: list[str], ids: dict[str, int], vectors: np.ndarray, known: dict[str, int]) -> np.ndarray:
-    """``known``: rows of tokens, kept between calls and cleared when large."""
-    out = np.zeros((len(texts), WIDTH + EXTRA), np.float32)
-    if len(known) > HELD:
-        known.clear()
+def features(rows: list[np.ndarray], measured: list[tuple[float, ...]], vectors: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), WIDTH + EXTRA))
     n = len(vectors)
-    for k, text in enumerate(texts):
-        tokens = TOKEN.findall(text)
-        if not tokens:
+    wide = np.vstack([vectors, np.zeros((1, WIDTH), np.float32)])  # the last row is of no token
+    for k, own in enumerate(rows):
+        if not len(own):
             continue
-        counts = np.bincount(np.array(rows_of(tokens, ids, known)) + 1, minlength=n + 1)[1:]
-        lines = [x for x in text.split("\n") if x.strip()]
-        grams = len(tokens) - 2
-        out[k, :WIDTH] = counts @ vectors / len(tokens)
-        out[k, WIDTH:] = np.log1p(len(tokens)), len(set(tokens)) / len(tokens), 1 - len(set(lines)) / max(len(lines), 1), 1 - len(set(zip(tokens, tokens[1:], tokens[2:], strict=False))) / grams if grams > 0 else 0, sum(map(str.__eq__, tokens, tokens[1:])) / len(tokens)
+        if len(own) <= n:
+            total = wide[own].sum(axis=0, dtype=np.float64)
+        else:  # a long text has no more rows than there are vectors
+            total = np.bincount(own, minlength=n + 1).astype(np.float64) @ wide
+        out[k, :WIDTH] = total / len(own)
+    if len(rows):
+        out[:, WIDTH:] = measured
     return out
 
 
@@ -237,12 +279,13 @@ class Network:
 
 def fit(labelled: pd.DataFrame, ids: dict[str, int], vectors: np.ndarray) -> Network:
     """``labelled``: text, label (0 or 1), in a fixed order."""
-    x = features([t or "" for t in labelled["text"]], ids, vectors, {})
-    return Network().fit(x.astype(np.float64), labelled["label"].to_numpy(np.float64))
+    x = features(*encode([t or "" for t in labelled["text"]], Rows(ids)), vectors)
+    return Network().fit(x, labelled["label"].to_numpy(np.float64))
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 1, folds: int = 3, sample: int = 6000, vocabulary: int = 4096, sample_bytes: int = 64 << 20):
-    """A broadcast model: word vectors of all rows, and a network fitted to labelled rows outside the held-out fold."""
+    """A broadcast model, word vectors of all rows and a network fitted to labelled rows outside the held-out fold; and the
+    encoded table of ``df``."""
     known = labels.select(column(id_col).alias("of"), column(label_col).alias("label")).filter(F.col("of").isNotNull() & F.col("label").isin(0, 1) & (id_hash(F.col("of")) % folds != fold))
     known = known.groupBy("of").agg(F.max("label").cast("int").alias("label"))
     order = F.xxhash64(F.col("of").cast("string"))
@@ -260,32 +303,21 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             held += r.bytes or 0
     own = df.sparkSession.createDataFrame(fits, found.select("of").schema)
     rows = found.join(F.broadcast(own), "of").select("of", "text", "label", "place").orderBy("place", "of")
-    ids, vectors = word_vectors(as_pairs(df, id_col, text_col).select("text"), vocabulary)
+    ids, vectors, table = word_vectors(as_pairs(df, id_col, text_col), vocabulary)
     network = fit(rows.toPandas(), ids, vectors)
     discard(found)
-    digest = xxhash.xxh64_intdigest("\n".join(ids).encode() + vectors.tobytes())
-    return df.sparkSession.sparkContext.broadcast((digest, ids, vectors, network))
-
-
-@lru_cache(1)
-def tokens_known(digest: int) -> dict[str, int]:
-    """A worker may see several models, one after the other; each has its own rows."""
-    return {}
-
-
-def score_texts(model, texts: list[str]) -> np.ndarray:
-    digest, ids, vectors, network = model.value
-    return network.scores(features(texts, ids, vectors, tokens_known(digest)).astype(np.float64))
+    return df.sparkSession.sparkContext.broadcast((Rows(ids), vectors, network)), table
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 1, folds: int = 3, sample: int = 6000, vocabulary: int = 4096, sample_bytes: int = 64 << 20) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    model = train(df, labels, id_col, text_col, label_col, fold, folds, sample, vocabulary, sample_bytes)
-    src = as_pairs(df, id_col, text_col).select("doc_id", (id_hash(F.col("doc_id")) % folds == fold).alias("held_out"), "text")
+    model, table = train(df, labels, id_col, text_col, label_col, fold, folds, sample, vocabulary, sample_bytes)
+    src = table.select("doc_id", (id_hash(F.col("doc_id")) % folds == fold).alias("held_out"), "rows", "measures")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            s = score_texts(model, texts_of(batch, "text"))
+        _, vectors, network = model.value
+        for batch in by_bytes(batches, "rows"):
+            s = network.scores(features(rows_in(batch, len(vectors)), batch.column("measures").to_pylist(), vectors))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
@@ -294,10 +326,12 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def keep_likely(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, fold: int = 1, folds: int = 3, vocabulary: int = 4096, sample_bytes: int = 64 << 20, learn_from: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` with a score of at least ``least``, with their columns. The model learns from the labelled rows
     of ``learn_from`` (``df`` itself if not given): what a stage before has kept may lack one of the classes."""
-    model = train(df if learn_from is None else learn_from, labels, id_col, text_col, label_col, fold, folds, sample, vocabulary, sample_bytes)
+    model, table = train(df if learn_from is None else learn_from, labels, id_col, text_col, label_col, fold, folds, sample, vocabulary, sample_bytes)
+    discard(table)
 
     def run(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+        rows, vectors, network = model.value  # a worker keeps the rows it has found
         for batch in by_bytes(batches, text):
-            yield batch.filter(pa.array(score_texts(model, texts_of(batch, text)) >= least))
+            yield batch.filter(pa.array(network.scores(features(*encode(texts_of(batch, text), rows), vectors)) >= least))
 
     return filtered(df, text_col, run)

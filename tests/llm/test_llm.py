@@ -207,10 +207,10 @@ def test_symbols_of_any_number_have_few_vectors(spark):
     pairs = sorted({chr(rng.choice([rng.randint(0x2190, 0x2BFF), rng.randint(0x21, 0x2F)])) + chr(rng.randint(0x2190, 0x2BFF)) for _ in range(70_000)})
     assert len(pairs) > 50_000
     texts = [" ".join(pairs[k::20]) for k in range(20)] * 3
-    ids, vectors = quality_model.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"), 4096)
+    ids, vectors, _ = quality_model.word_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4096)
     assert len(ids) == len(vectors) <= 4096 and np.isfinite(vectors).all()
     assert {quality_model.shape(t) for p in pairs for t in quality_model.TOKEN.findall(p)} <= set(quality_model.SHAPES) and len(quality_model.SHAPES) < 60
-    assert np.isfinite(quality_model.features([*pairs[:50], LONG * 20, ""], ids, vectors, {})).all()
+    assert np.isfinite(quality_model.features(*quality_model.encode([*pairs[:50], LONG * 20, "", "\0"], quality_model.Rows(ids)), vectors)).all()
 
 
 def test_word_vectors_are_of_all_texts(spark, monkeypatch):
@@ -218,8 +218,8 @@ def test_word_vectors_are_of_all_texts(spark, monkeypatch):
     rng = random.Random(4)
     words = [f"{a}{b}" for a in "abcdefgh" for b in ("", "x", "Y", "zzz", "zzzzzz")] + ["<!>", "..", "7", "__", "w" * 65, "é"]
     texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(len(words))], k=rng.randint(0, 60))) for _ in range(300)] + [None, "", "a b a b " * 5000]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    ids, vectors = quality_model.word_vectors(df.repartition(1), 80)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids, vectors, table = quality_model.word_vectors(df.repartition(1), 80)
     seen = Counter(t for text in texts for t in set(quality_model.TOKEN.findall(text or "")) if len(t) <= 64)
     own = [t for t in ids if t not in quality_model.SHAPES]
     assert 10 < len(own) <= 80 - len(quality_model.SHAPES) and "w" * 65 not in ids
@@ -232,10 +232,10 @@ def test_word_vectors_are_of_all_texts(spark, monkeypatch):
             for j in (i - 2, i - 1, i + 1, i + 2):
                 if 0 <= j < len(names):
                     want[t] += index[names[j]]
-    sums = quality_model.neighbour_sums(df, ids, np.stack(list(index.values())))
+    sums = quality_model.neighbour_sums(table, np.stack(list(index.values())))
     assert all((sums[i] == want[t]).all() for t, i in ids.items()) and any(want[t].any() for t in own)
     monkeypatch.setattr(quality_model, "HELD", 3)
-    again, same = quality_model.word_vectors(df.repartition(5), 80)
+    again, same, _ = quality_model.word_vectors(df.repartition(5), 80)
     assert again == ids and list(again) == list(ids) and (same == vectors).all()
 
 
