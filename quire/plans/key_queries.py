@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, quota
@@ -168,6 +169,53 @@ def key_entries(spark, sf_dir):
     return K.valid_entries(e)[0].select("label", "rpm_limit", "rpd_limit")
 
 
+@query(
+    with_roles(
+        """--e AS (SELECT *, key_id % 3 = 0 AS edited, CASE WHEN key_id % 3 = 0 THEN greatest(0, rpm_limit - 15) ELSE rpm_limit END AS rpm, CASE WHEN key_id % 6 = 0 THEN greatest(1, rpd_limit - 4) ELSE rpd_limit END AS rpd FROM keys)
+        SELECT key_id, label, CASE WHEN key_id % 9 = 0 THEN 'changed' ELSE secret END AS secret, rpm AS rpm_limit, rpd AS rpd_limit, CASE WHEN edited AND state = 'exhausted' AND used_today < rpd THEN 'active' ELSE state END AS state, CASE WHEN key_id % 6 = 3 THEN false ELSE enabled END AS enabled, used_today FROM e""",
+        "keys",
+    )
+)
+def key_edit(spark, sf_dir):
+    """Every third key: a lower pace, some with a lower allowance, a blank or a new secret, or switched off."""
+    every, i = keys(spark, sf_dir), F.col("key_id")
+    edits = every.filter(i % 3 == 0).select("label", (F.col("rpm_limit") - 15).alias("rpm_limit"), F.when(i % 6 == 0, F.col("rpd_limit") - 4).alias("rpd_limit"), F.when(i % 6 == 3, False).alias("enabled"), F.when(i % 9 == 0, " changed ").otherwise("  ").alias("secret"))
+    return K.edit(every, edits).select("key_id", "label", "secret", "rpm_limit", "rpd_limit", "state", "enabled", "used_today")
+
+
+@query(with_roles("SELECT key_id, label FROM keys WHERE state <> 'dead'", "keys"))
+def key_delete(spark, sf_dir):
+    every = keys(spark, sf_dir)
+    return K.without(every, every.filter("state = 'dead'").select("label")).select("key_id", "label")
+
+
+@query(
+    with_roles(
+        f"""--d AS (SELECT *, key_id % 4 = 1 AS fresh, CASE WHEN key_id % 4 = 1 THEN 0 ELSE used_today END AS used, CASE WHEN key_id % 4 = 1 AND state = 'exhausted' THEN 'active' WHEN state = 'cooldown' AND cooldown_until <= {NOW} THEN 'active' ELSE state END AS s,
+        CASE WHEN key_id % 4 = 1 AND state = 'exhausted' OR state = 'cooldown' AND cooldown_until <= {NOW} THEN '' ELSE 'was ' || state END AS e FROM keys)
+        SELECT key_id, CASE WHEN s = 'active' AND used >= rpd_limit THEN 'exhausted' ELSE s END AS state, CAST(used AS BIGINT) AS used_today, CAST(CASE WHEN fresh THEN 0 ELSE 2 END AS INTEGER) AS refusals, CASE WHEN s = 'active' AND used >= rpd_limit THEN '{fixed.SPENT}' ELSE e END AS last_error FROM d""",
+        "keys",
+    )
+)
+def expired_keys(spark, sf_dir):
+    """Every fourth key was last used the day before."""
+    day = F.lit("2024-05-02").cast("date")
+    before = keys(spark, sf_dir).withColumns({"used_on": F.when(F.col("key_id") % 4 == 1, F.date_sub(day, 1)).otherwise(day), "refusals": F.lit(2), "last_error": F.concat(F.lit("was "), "state")})
+    return K.expire(before, now_of(spark, sf_dir), day).select("key_id", "state", "used_today", "refusals", "last_error")
+
+
+@query(
+    """SELECT user_id, event_id, CAST((epoch_us(ts) - epoch_us(before)) // 1000 AS BIGINT) AS latency_ms, CAST((epoch_us(ts) - epoch_us(before)) // 3600000000 AS BIGINT) AS hours
+    FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)"""
+)
+def event_latency(spark, sf_dir):
+    """Whole milliseconds and hours since the user's event before."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(20, 0)") / F.lit(1_000_000).cast("decimal(7, 0)")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", seconds.alias("at"))
+    e = e.withColumn("before", F.lag("at").over(W.partitionBy("user_id").orderBy("at", "event_id")))
+    return e.select("user_id", "event_id", quota.latency_ms(F.col("before"), F.col("at")).alias("latency_ms"), quota.whole_hours(F.col("at") - F.col("before")).alias("hours"))
+
+
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     """Extension: tumbling windows."""

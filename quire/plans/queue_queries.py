@@ -103,6 +103,15 @@ def delete_cascade(spark, sf_dir):
     return queue.without_book(books(spark, sf_dir), pages(spark, sf_dir), gone)[1].select("book_id", "page_no")
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN '{\"segment\":\"' || c_mktsegment || '\"}' WHEN c_acctbal < 0 THEN 'old' END AS profile_json FROM customer")
+def set_profiles(spark, sf_dir):
+    """Building customers get a profile; of the others some have one."""
+    c = table(spark, sf_dir, "customer")
+    known = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, "old").alias("profile_json"))
+    found = c.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.to_json(F.struct(F.col("c_mktsegment").alias("segment"))).alias("profile_json"))
+    return queue.with_profiles(known, found).select("id", "profile_json")
+
+
 @query("SELECT event_id AS id, event_type AS level FROM events WHERE event_id > 5000 ORDER BY event_id DESC LIMIT 200")
 def event_tail(spark, sf_dir):
     return log.tail(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("level")), 5000, 200)
