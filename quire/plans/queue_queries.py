@@ -77,15 +77,18 @@ def change_log_fold(spark, sf_dir):
     return queue.fold(changes).select("book_id", "attempts", "status")
 
 
-@query("SELECT c_custkey AS id, c_name AS rel_path, c_acctbal < 0 AS created FROM customer")
+@query(
+    """WITH k AS (SELECT max(c_custkey) AS top FROM customer WHERE c_acctbal >= 0)
+    SELECT c_custkey AS id, c_name AS rel_path, false AS created, c_nationkey + 1 AS total_pages, 'old' AS title, 0.0 AS created_at, CASE WHEN c_nationkey > 3 THEN 9.0 ELSE 0.0 END AS updated_at FROM customer WHERE c_acctbal >= 0
+    UNION ALL SELECT top + row_number() OVER (ORDER BY c_name), c_name, true, c_nationkey + 1, 'new', 9.0, 9.0 FROM customer, k WHERE c_acctbal < 0 AND c_nationkey > 3"""
+)
 def register_books(spark, sf_dir):
-    """Customers with a balance are known; a scan sees all of them."""
+    """Customers with a balance are known; a scan sees those of all nations but the first four."""
     c = table(spark, sf_dir, "customer")
-    meta = [F.col("c_name").alias("rel_path"), F.col("c_name").alias("file_name"), F.lit("f").alias("fingerprint"), F.lit(1).cast("long").alias("file_size"), F.lit(3).alias("total_pages"), F.col("c_name").alias("title")]
-    known = c.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), *meta, F.lit(None).cast("string").alias("profile_json"), F.lit(0.0).alias("created_at"), F.lit(0.0).alias("updated_at"))
-    got = queue.register_books(known, c.select(*meta), 9.0)
-    # new ids follow the largest known one; the customer's own key takes their place for the comparison
-    return got.join(c.select(F.col("c_name").alias("rel_path"), "c_custkey"), "rel_path").select(F.col("c_custkey").alias("id"), "rel_path", "created")
+    meta = [F.col("c_name").alias("rel_path"), F.col("c_name").alias("file_name"), F.lit("f").alias("fingerprint"), F.lit(1).cast("long").alias("file_size"), (F.col("c_nationkey") + 1).alias("total_pages")]
+    known = c.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), *meta, F.lit("old").alias("title"), F.lit(None).cast("string").alias("profile_json"), F.lit(0.0).alias("created_at"), F.lit(0.0).alias("updated_at"))
+    got = queue.register_books(known, c.filter("c_nationkey > 3").select(*meta, F.lit("new").alias("title")), 9.0)
+    return got.select("id", "rel_path", "created", "total_pages", "title", "created_at", "updated_at")
 
 
 @query(with_roles("SELECT id AS book_id, CAST(p AS INTEGER) AS page_no, 'pending' AS status FROM (SELECT id, unnest(range(1, 4)) AS p FROM books) WHERE NOT EXISTS (SELECT 1 FROM (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY page_no) AS n FROM pages) x WHERE x.book_id = id AND n = p)", "books", "pages"))
@@ -145,13 +148,18 @@ def legacy_import(spark, sf_dir):
     return legacy.report(legacy.plan(backup, here)).na.fill(-1, ["book_id"])
 
 
-@query("SELECT n, CAST(sum(CASE WHEN b.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS by_any, CAST(count(*) AS BIGINT) AS books FROM (SELECT doc_id, lang AS n FROM documents) a LEFT JOIN (SELECT doc_id FROM labels) b USING (doc_id) GROUP BY n")
+@query(
+    """WITH known AS (SELECT doc_id AS id, 'f' || doc_id % 300 AS file_name, CASE quality WHEN 1 THEN 'p/' ELSE 'q/' END || doc_id AS rel_path FROM labels)
+    SELECT d.doc_id AS n, coalesce(k.id, m.id) AS book_id FROM documents d LEFT JOIN known k ON k.rel_path = 'p/' || d.doc_id
+    LEFT JOIN (SELECT file_name, arg_max(id, rel_path) AS id FROM known GROUP BY file_name) m ON m.file_name = 'f' || d.doc_id % 300"""
+)
 def legacy_match(spark, sf_dir):
-    """Books matched by path where labelled with quality 1, by file name where labelled 0, else not."""
+    """Books matched by path where labelled with quality 1, else by a file name that several books share."""
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    backup = d.select(F.col("lang").alias("name"), F.concat(F.lit("f"), F.col("doc_id")).alias("file_name"), F.concat(F.lit("p/"), F.col("doc_id")).alias("rel_path"))
-    known = lab.select(F.col("doc_id").alias("id"), F.concat(F.lit("f"), F.col("doc_id")).alias("file_name"), F.when(F.col("quality") == 1, F.concat(F.lit("p/"), F.col("doc_id"))).otherwise(F.concat(F.lit("q/"), F.col("doc_id"))).alias("rel_path"))
-    return legacy.match_books(backup, known).groupBy(F.col("name").alias("n")).agg(F.count("book_id").alias("by_any"), F.count("*").alias("books"))
+    name = F.concat(F.lit("f"), F.col("doc_id") % 300)
+    backup = d.select(F.col("doc_id").alias("name"), name.alias("file_name"), F.concat(F.lit("p/"), F.col("doc_id")).alias("rel_path"))
+    known = lab.select(F.col("doc_id").alias("id"), name.alias("file_name"), F.concat(F.when(F.col("quality") == 1, "p/").otherwise("q/"), F.col("doc_id")).alias("rel_path"))
+    return legacy.match_books(backup, known).select(F.col("name").alias("n"), "book_id")
 
 
 @query("SELECT c_custkey AS id, c_name AS name, true AS enabled, CAST(250 AS INTEGER) AS rpd_limit FROM customer")
