@@ -63,8 +63,11 @@ def failure_escalation(spark, sf_dir):
 @query(
     """WITH e AS (SELECT user_id AS book_id, ts, event_id, event_type AS k FROM events),
     r AS (SELECT *, sum(CASE WHEN k = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ts, event_id) AS epoch FROM e),
-    a AS (SELECT book_id, arg_max(k, (ts, event_id)) AS last, count(*) FILTER (k = 'error' AND epoch = top) AS attempts FROM (SELECT *, max(epoch) OVER (PARTITION BY book_id) AS top FROM r) GROUP BY book_id)
-    SELECT book_id, CAST(attempts AS INTEGER) AS attempts, CASE last WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'in_progress' WHEN 'error' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE 'pending' END AS status FROM a"""
+    a AS (SELECT book_id, arg_max(k, (ts, event_id)) AS last, arg_max(event_id, (ts, event_id)) FILTER (k = 'purchase') AS text, floor(epoch(max(ts))) AS updated_at, count(*) FILTER (k = 'error' AND epoch = top) AS attempts,
+      arg_max(CASE k WHEN 'error' THEN 'err ' || event_id ELSE '' END, (ts, event_id)) FILTER (k IN ('purchase', 'error', 'signup')) AS last_error, arg_max(CASE k WHEN 'purchase' THEN 'why ' || event_id ELSE '' END, (ts, event_id)) FILTER (k IN ('purchase', 'signup')) AS flag_reason
+      FROM (SELECT *, max(epoch) OVER (PARTITION BY book_id) AS top FROM r) GROUP BY book_id)
+    SELECT book_id, CAST(attempts AS INTEGER) AS attempts, CASE last WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'in_progress' WHEN 'error' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE 'pending' END AS status,
+      CAST(text AS VARCHAR) AS transcription, coalesce(flag_reason, '') AS flag_reason, coalesce(last_error, '') AS last_error, CASE last WHEN 'view' THEN updated_at END AS claimed_at, updated_at FROM a"""
 )
 def change_log_fold(spark, sf_dir):
     """Events as changes of one page a user: purchase commits, view claims, click releases, error fails, signup requeues."""
@@ -73,8 +76,11 @@ def change_log_fold(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kind = F.create_map(*[F.lit(x) for x in ("purchase", "commit", "view", "claim", "click", "release", "error", "fail", "signup", "requeue")])[F.col("event_type")]
     none = lambda t, c: F.lit(None).cast(t).alias(c)
-    changes = e.select(F.col("user_id").alias("book_id"), F.lit(1).alias("page_no"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), kind.alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("ts"), F.lit("done").alias("status"), *[none("string", c) for c in ("page_type", "transcription", "footnotes", "note")], none("int", "input_tokens"), none("int", "output_tokens"), none("string", "reason"), F.lit("e").alias("error"))
-    return queue.fold(changes).select("book_id", "attempts", "status")
+    named = lambda head, c: F.concat(F.lit(head), F.col("event_id").cast("string")).alias(c)
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
+    changes = e.select(F.col("user_id").alias("book_id"), F.lit(1).alias("page_no"), seq.alias("seq"), kind.alias("kind"), at.alias("ts"), F.lit("done").alias("status"), none("string", "page_type"), named("", "transcription"), *[none("string", c) for c in ("footnotes", "note")], none("int", "input_tokens"), none("int", "output_tokens"), named("why ", "reason"), named("err ", "error"))
+    return queue.fold(changes).select("book_id", "attempts", "status", "transcription", "flag_reason", "last_error", "claimed_at", "updated_at")
 
 
 @query(
