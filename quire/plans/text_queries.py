@@ -117,9 +117,9 @@ def rows(spark, sf_dir):
     return publish.publish_rows(gated(spark, sf_dir).withColumn("note", F.lit("")), 4500)
 
 
-@query(with_roles(f"--{GATED}, {CELLS} SELECT book_id, page_no, page_type, CAST(length(c1) + length(c2) + length(c3) + length(last) AS BIGINT) AS chars, flag_reason AS note, CASE WHEN flag_reason = '' THEN 'done' ELSE 'flagged' END AS status, truncated FROM cells JOIN (SELECT doc_id, flag_reason FROM gated) USING (doc_id)", "docs"))
+@query(with_roles(f"--{GATED}, {CELLS} SELECT book_id, page_no, page_type, CAST(length(c1) + length(c2) + length(c3) + length(last) AS BIGINT) AS chars, md5(concat_ws('|', c1, c2, c3, last)) AS cells_md5, flag_reason AS note, CASE WHEN flag_reason = '' THEN 'done' ELSE 'flagged' END AS status, truncated FROM cells JOIN (SELECT doc_id, flag_reason FROM gated) USING (doc_id)", "docs"))
 def publish_rows(spark, sf_dir):
-    return rows(spark, sf_dir).select("book_id", "page_no", "page_type", F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + F.length(c)).alias("chars"), "note", "status", "truncated")
+    return rows(spark, sf_dir).select("book_id", "page_no", "page_type", F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + F.length(c)).alias("chars"), F.md5(F.array_join("cells", "|")).alias("cells_md5"), "note", "status", "truncated")
 
 
 @query(
