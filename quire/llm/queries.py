@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, near_duplicates as near, quality_rules, warc
+from quire.llm import band_join, decontamination, near_duplicates as near, quality_rules, warc
 from quire.llm.bpe import bpe_digests
 from quire.llm.common import fresh_dir
 from quire.llm.html_text import main_text
@@ -64,6 +64,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return band_join.near_prices(table(spark, sf_dir, "items"), table(spark, sf_dir, "sale_lines"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": op1_training_order,
     "op2_token_counts": op2_token_counts,
@@ -75,10 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_language_model": op10_language_model,
+    "op13_band_join": op13_band_join,
 }
 ORACLES: dict[str, str] = {
     "op4_warc": warc.SQL,
     "op6_ngram_jaccard": near.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op8_decontamination": decontamination.SQL,
+    "op13_band_join": band_join.SQL,
 }
