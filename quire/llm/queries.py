@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import band_join, decontamination, near_duplicates as near, periodic_runs, quality_rules, warc
+from quire.llm import band_join, decontamination, near_duplicates as near, periodic_runs, quality_rules, source_schedule, warc
 from quire.llm.bpe import bpe_digests
 from quire.llm.common import fresh_dir
 from quire.llm.html_text import main_text
@@ -64,6 +64,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_schedule.taken_words(source_schedule.mix(table(spark, sf_dir, "documents")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=periodic_runs.planted))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_language_model": op10_language_model,
+    "op11_source_schedule": op11_source_schedule,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_band_join": op13_band_join,
 }
