@@ -81,22 +81,31 @@ def stepped(before: Column, o: Column) -> Column:
     return F.when(dead, before).otherwise(after)
 
 
+STATE_FIELDS = ["state", "used_on", "used_today", "rpd_limit", "refusals", "cooldown_until", "last_used_at", "last_error"]
+
+
+def fresh(rpd_limit: Column) -> Column:
+    """The state of a key that has had no outcome."""
+    return F.struct(F.lit("active").alias("state"), F.lit(None).cast("date").alias("used_on"), F.lit(0).cast("long").alias("used_today"), rpd_limit.cast("long").alias("rpd_limit"), F.lit(0).alias("refusals"), F.lit(0.0).alias("cooldown_until"), F.lit(0.0).alias("last_used_at"), F.lit("").alias("last_error")).cast(STATE)
+
+
 def fold_outcomes(keys: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Key states after their outcomes, in order of ``seq``. ``keys``: key_id, rpd_limit (and any others);
-    ``outcomes``: key_id, seq, ts (timestamp), outcome, message, retry_after, rpd. A key's outcomes are few:
+    """Key states after their outcomes, in order of ``seq``. ``keys``: key_id, rpd_limit (and any others); with the columns of a
+    state they go on from it. ``outcomes``: key_id, seq, ts (timestamp), outcome, message, retry_after, rpd. A key's outcomes are few:
     its daily allowance bounds them."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     own = outcomes.withColumn("o", F.struct("seq", seconds.alias("ts"), quota.quota_day(F.col("ts").cast("timestamp_ntz")).alias("day"), has_any(F.col("message"), fixed.DAILY_MARKERS).alias("daily"), "outcome", "message", "retry_after", F.col("rpd").cast("long").alias("rpd")))
     logs = own.groupBy("key_id").agg(F.array_sort(F.collect_list("o")).alias("log"))
-    start = F.struct(F.lit("active").alias("state"), F.lit(None).cast("date").alias("used_on"), F.lit(0).cast("long").alias("used_today"), F.col("rpd_limit").cast("long").alias("rpd_limit"), F.lit(0).alias("refusals"), F.lit(0.0).alias("cooldown_until"), F.lit(0.0).alias("last_used_at"), F.lit("").alias("last_error")).cast(STATE)
+    known = [c for c in STATE_FIELDS if c in keys.columns]
+    start = F.struct(*STATE_FIELDS).cast(STATE) if len(known) == len(STATE_FIELDS) else fresh(F.col("rpd_limit"))
     joined = keys.join(logs, "key_id", "left")
     folded = joined.withColumn("s", F.when(F.col("log").isNull(), start).otherwise(F.aggregate("log", start, stepped)))
-    return folded.drop("log", "rpd_limit").select("*", "s.*").drop("s")
+    return folded.drop("log", *(known if len(known) == len(STATE_FIELDS) else ["rpd_limit"])).select("*", "s.*").drop("s")
 
 
 def expire(keys: DataFrame, now: float, day: Column) -> DataFrame:
     """The states at ``now``: day rolled over, cooldowns ended, spent allowances noticed."""
-    names = ["state", "used_on", "used_today", "rpd_limit", "refusals", "cooldown_until", "last_used_at", "last_error"]
+    names = STATE_FIELDS
     s = rolled(F.struct(*names).cast(STATE), day)
     df = keys.withColumn("s", s).drop(*names).select("*", "s.*").drop("s")
     over = (F.col("state") == "cooldown") & (F.col("cooldown_until") <= now)
@@ -168,6 +177,25 @@ def lease(pages: DataFrame, keys: DataFrame, size: int = fixed.WORKING_KEYS) ->
     return ranked.join(slots, "rank").drop("rank")
 
 
+def paced_slots(keys: DataFrame, now: float, horizon: float, size: int = fixed.WORKING_KEYS, most: int = 10) -> DataFrame:
+    """key_id, at, spacing, rank: the times from ``now`` to ``now + horizon`` at which keys of the working set may be used, ``most`` of a
+    key, as many as remain of its day and each its spacing after the one before, in order of time; of equal times
+    the key that rested longest is first."""
+    c = F.col
+    first = F.greatest(c("available_at"), F.lit(now))
+    own = with_availability(working_set(keys, size)).filter(c("available_at") <= now + horizon).withColumns({"spacing": quota.spacing(c("rpm_limit")), "first": first})
+    in_time = F.when(c("spacing") > 0, F.floor((now + horizon - c("first")) / c("spacing")) + 1).otherwise(F.lit(most))
+    n = F.least(quota.remaining(c("rpd_limit"), c("used_today")), in_time.cast("long"), F.lit(most).cast("long"))
+    slots = own.filter(n > 0).select("key_id", "first", "spacing", "last_used_at", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("turn")).withColumn("at", c("first") + c("turn") * c("spacing"))
+    return slots.select("key_id", "at", "spacing", F.row_number().over(W.orderBy("at", "turn", "last_used_at", "key_id")).alias("rank"))
+
+
+def paced_lease(pages: DataFrame, keys: DataFrame, now: float, horizon: float, size: int = fixed.WORKING_KEYS, most: int = 10) -> DataFrame:
+    """Pages with the key that may process them and the time at which it may: ``size * most`` of them at most."""
+    ranked = pages.orderBy("book_id", "page_no").limit(size * most).withColumn("rank", F.row_number().over(W.orderBy("book_id", "page_no")))
+    return ranked.join(paced_slots(keys, now, horizon, size, most), "rank").drop("rank")
+
+
 def upsert_keys(keys: DataFrame, entries: DataFrame) -> DataFrame:
     """``entries``: label, secret, rpm_limit, rpd_limit. Known labels keep id and usage and are enabled again; others get
     the next ids in order of label."""

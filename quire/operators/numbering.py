@@ -1,4 +1,4 @@
-"""Consecutive numbers in a given order, without sorting everything on one task."""
+"""Ranges of ordered rows: consecutive numbers, without sorting everything on one task."""
 
 from __future__ import annotations
 
@@ -8,20 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges that are numbered side by side.
+from quire.sources.shared import written
+
+#: Ranges that are worked on side by side.
 RANGES = 64
 
 
+def ranged(df: DataFrame, by: list[str], ranges: int = RANGES) -> DataFrame:
+    """``df`` with ``__range``, in order of ``by``: cut at the rows with the smallest hashes of ``by``, so the cuts follow from the
+    rows alone, however they are dealt. Rows that are equal in ``by`` stay together."""
+    order = F.struct(*by)
+    known = reduce(lambda a, c: a & c, [F.col(c).isNotNull() for c in by])
+    cuts = sorted(tuple(r) for r in df.select(*by).filter(known).orderBy(F.xxhash64(*by), *by).limit(ranges - 1).collect())
+    types = [df.schema[c].dataType for c in by]
+    place = reduce(lambda n, cut: n + (order >= F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, types, by, strict=True)])).cast("int"), cuts, F.lit(0))
+    return df.withColumn("__range", F.coalesce(place, F.lit(0)))
+
+
 def numbered(df: DataFrame, by: str, name: str = "n", after: int = 0) -> DataFrame:
-    """``df`` with ``after`` + 1, ``after`` + 2, ... in order of ``by``, whose values differ. The rows are cut into ranges at
-    values that the smallest hashes choose, so the cuts follow from the rows alone and are few; each range is
-    numbered by itself, and a running sum over the ranges' counts makes the numbers consecutive."""
-    value = F.col(by)
-    cuts = sorted(r[0] for r in df.select(by).filter(value.isNotNull()).orderBy(F.xxhash64(by), by).limit(RANGES - 1).collect())
-    place = reduce(lambda n, cut: n + (value >= F.lit(cut)).cast("int"), cuts, F.lit(0))
-    dealt = df.withColumn("__range", F.coalesce(place, F.lit(0)))
-    counts = dealt.groupBy(F.col("__range").alias("__of")).agg(F.count("*").alias("__rows"))  # at most RANGES rows
-    before = F.sum("__rows").over(W.orderBy("__of").rowsBetween(W.unboundedPreceding, -1))
-    starts = counts.select("__of", F.coalesce(before, F.lit(0)).alias("__start"))
+    """``df`` with ``after`` + 1, ``after`` + 2, ... in order of ``by``, whose values differ. The rows are made once, into a table of the
+    shared folder; each range is numbered by itself, and a running sum over the ranges' counts makes the numbers
+    consecutive."""
+    dealt = ranged(written(df, "numbered"), [by])
+    counts = {r[0]: r[1] for r in dealt.groupBy("__range").count().collect()}  # at most RANGES rows
+    starts, at = [], after
+    for k in range(RANGES):
+        starts.append(at)
+        at += counts.get(k, 0)
     own = F.row_number().over(W.partitionBy("__range").orderBy(by))
-    return dealt.withColumn("__own", own).join(F.broadcast(starts), F.col("__range") == F.col("__of")).withColumn(name, (F.col("__start") + F.col("__own") + after).cast("long")).drop("__range", "__own", "__of", "__start")
+    return dealt.withColumn(name, (F.get(F.array(*map(F.lit, starts)), F.col("__range")) + own).cast("long")).drop("__range")

@@ -18,40 +18,71 @@ CHANGE = "book_id long, page_no int, seq long, kind string, ts double, status st
 STATE = "struct<status: string, attempts: int, flag_reason: string, last_error: string, claimed_at: double, updated_at: double>"
 
 
+STATE_FIELDS = ["status", "attempts", "flag_reason", "last_error", "claimed_at", "updated_at"]
+EMPTY = '{"status":"pending","attempts":0,"flag_reason":"","last_error":""}'
+
+
+def stepped(s: Column, c: Column, max_attempts: int) -> Column:
+    """A page's state after one change: struct(seq, kind, ts, status, reason, error)."""
+    kind = c["kind"]
+    failed = s["attempts"] + 1
+    status = (
+        F.when(kind == "claim", "in_progress")
+        .when(kind == "commit", c["status"])
+        .when(kind == "fail", F.when(failed >= max_attempts, "failed").otherwise("pending"))
+        .when(kind.isin("create", "release", "requeue"), "pending")
+        .when((kind == "stale_reset") & (s["status"] == "in_progress"), "pending")
+        .otherwise(s["status"])
+    )
+    commit = kind == "commit"
+    return F.struct(
+        status.alias("status"),
+        F.when(kind == "fail", failed).when(kind == "requeue", 0).otherwise(s["attempts"]).cast("int").alias("attempts"),
+        F.when(commit, or_empty(c["reason"])).when(kind == "requeue", "").otherwise(s["flag_reason"]).alias("flag_reason"),
+        F.when(commit | (kind == "requeue"), "").when(kind == "fail", F.left(or_empty(c["error"]), F.lit(fixed.LAST_ERROR))).otherwise(s["last_error"]).alias("last_error"),
+        F.when(kind == "claim", c["ts"]).when(kind == "create", s["claimed_at"]).alias("claimed_at"),
+        c["ts"].alias("updated_at"),
+    ).cast(STATE)
+
+
+def logs(changes: DataFrame) -> tuple[Column, Column]:
+    """Aggregates of a page's changes: without texts in order of ``seq``, and the number of the last commit."""
+    short = F.left("error", F.lit(fixed.LAST_ERROR)).alias("error")
+    return F.array_sort(F.collect_list(F.struct("seq", "kind", "ts", "status", "reason", short))), F.max(F.when(F.col("kind") == "commit", F.col("seq")))
+
+
 def fold(changes: DataFrame, max_attempts: int = fixed.MAX_ATTEMPTS) -> DataFrame:
     """The current pages: each page's few changes in order of ``seq``, whatever order the log is in. Texts are those of
     the last commit, chosen without collecting the others'."""
-    short = F.left("error", F.lit(fixed.LAST_ERROR)).alias("error")
-    log = F.array_sort(F.collect_list(F.struct("seq", "kind", "ts", "status", "reason", short)))
-    empty = F.from_json(F.lit('{"status":"pending","attempts":0,"flag_reason":"","last_error":""}'), STATE)
+    log, _ = logs(changes)
     commit = F.when(F.col("kind") == "commit", F.col("seq"))
     result = F.max_by(F.struct("page_type", "transcription", "footnotes", "note", "input_tokens", "output_tokens"), commit)
+    folded = changes.groupBy(*KEY).agg(F.aggregate(log, F.from_json(F.lit(EMPTY), STATE), lambda s, c: stepped(s, c, max_attempts)).alias("s"), result.alias("r"))
+    return folded.select(*KEY, "s.status", "s.attempts", *texts_of("r"), "s.flag_reason", "s.last_error", "s.claimed_at", "s.updated_at")
+
+
+def texts_of(result: str) -> list[Column]:
+    """What a result holds, with the defaults of a page without one."""
+    text = lambda name: F.when(F.col(result).isNotNull(), or_empty(F.col(f"{result}.{name}"))).alias(name)
+    count = lambda name: F.coalesce(f"{result}.{name}", F.lit(0)).alias(name)
+    return [F.col(f"{result}.page_type"), text("transcription"), text("footnotes"), text("note"), count("input_tokens"), count("output_tokens")]
+
+
+def fold_onto(pages: DataFrame, changes: DataFrame, max_attempts: int = fixed.MAX_ATTEMPTS) -> DataFrame:
+    """``pages`` (the states of a snapshot) after later changes, without texts; ``committed`` is the number of the change that
+    holds a page's text. Changes of pages that the snapshot lacks begin them. Equal to the fold of all changes."""
+    log, last = logs(changes)
+    later = changes.groupBy(*KEY).agg(log.alias("__log"), last.alias("__last"))
+    begun = F.when(F.col("status").isNotNull(), F.struct(*STATE_FIELDS).cast(STATE)).otherwise(F.from_json(F.lit(EMPTY), STATE))
+    s = F.aggregate(F.coalesce("__log", F.array().cast("array<struct<seq: bigint, kind: string, ts: double, status: string, reason: string, error: string>>")), begun, lambda s, c: stepped(s, c, max_attempts))
+    rest = [c for c in pages.columns if c not in (*KEY, *STATE_FIELDS, "committed")]
+    return pages.join(later, KEY, "full").withColumn("__s", s).select(*KEY, *[F.col(f"__s.{c}").alias(c) for c in STATE_FIELDS], F.coalesce("__last", "committed").alias("committed"), *rest)
+
 
-    def step(s: Column, c: Column) -> Column:
-        kind = c["kind"]
-        failed = s["attempts"] + 1
-        status = (
-            F.when(kind == "claim", "in_progress")
-            .when(kind == "commit", c["status"])
-            .when(kind == "fail", F.when(failed >= max_attempts, "failed").otherwise("pending"))
-            .when(kind.isin("create", "release", "requeue"), "pending")
-            .when((kind == "stale_reset") & (s["status"] == "in_progress"), "pending")
-            .otherwise(s["status"])
-        )
-        commit = kind == "commit"
-        return F.struct(
-            status.alias("status"),
-            F.when(kind == "fail", failed).when(kind == "requeue", 0).otherwise(s["attempts"]).cast("int").alias("attempts"),
-            F.when(commit, or_empty(c["reason"])).when(kind == "requeue", "").otherwise(s["flag_reason"]).alias("flag_reason"),
-            F.when(commit | (kind == "requeue"), "").when(kind == "fail", F.left(or_empty(c["error"]), F.lit(fixed.LAST_ERROR))).otherwise(s["last_error"]).alias("last_error"),
-            F.when(kind == "claim", c["ts"]).when(kind == "create", s["claimed_at"]).alias("claimed_at"),
-            c["ts"].alias("updated_at"),
-        ).cast(STATE)
-
-    folded = changes.groupBy(*KEY).agg(F.aggregate(log, empty, step).alias("s"), result.alias("r"))
-    text = lambda name: F.when(F.col("r").isNotNull(), or_empty(F.col(f"r.{name}"))).alias(name)
-    count = lambda name: F.coalesce(f"r.{name}", F.lit(0)).alias(name)
-    return folded.select(*KEY, "s.status", "s.attempts", "r.page_type", text("transcription"), text("footnotes"), text("note"), count("input_tokens"), count("output_tokens"), "s.flag_reason", "s.last_error", "s.claimed_at", "s.updated_at")
+def with_texts(pages: DataFrame, changes: DataFrame) -> DataFrame:
+    """States with the text that they name, as ``fold`` returns them."""
+    texts = changes.filter("kind = 'commit'").select(*KEY, F.col("seq").alias("committed"), F.struct("page_type", "transcription", "footnotes", "note", "input_tokens", "output_tokens").alias("r"))
+    return pages.join(texts, [*KEY, "committed"], "left").select(*KEY, "status", "attempts", *texts_of("r"), "flag_reason", "last_error", "claimed_at", "updated_at")
 
 
 def claim_batch(pages: DataFrame, books: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Callable, Iterator
+from http.client import HTTPException
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,18 +94,22 @@ def read_env(path: str, environ: dict[str, str] | None = None) -> dict[str, str]
 
 
 def kind_of(error: Exception) -> str:
-    """The failure class of an exception: time-outs and the network are the service's fault, an answer that can't be
-    read is the page's."""
-    return "TransientError" if isinstance(error, OSError) else "BadResponse"
+    """The failure class of an exception: an answer that can't be read is the page's fault, also where a client's error for
+    it is one of the network too; time-outs, the network and broken protocols are the service's. What a client raises otherwise
+    is taken for an answer that it couldn't read."""
+    if isinstance(error, ValueError):
+        return "BadResponse"
+    return "TransientError" if isinstance(error, (OSError, HTTPException)) else "BadResponse"
 
 
-def guarded(call: Callable[[dict], dict], row: dict) -> dict:
-    """``call(row)`` with latency_ms; where it raises, the row's own fields with kind and message."""
+def guarded(call: Callable[..., dict], row: dict, *more) -> dict:
+    """``call(row)`` with latency_ms; where it raises, the row's own fields with kind and message. A call may be metered, so
+    no error of it may fail the task and have it repeated."""
     began = time.monotonic()
     try:
-        out = call(row)
-    except (OSError, ValueError) as e:
-        out = row | {"kind": kind_of(e), "message": str(e)[: fixed.SNIPPET]}
+        out = call(row, *more)
+    except Exception as e:
+        out = row | {"kind": kind_of(e), "message": (str(e) or type(e).__name__)[: fixed.SNIPPET]}
     return {"latency_ms": int((time.monotonic() - began) * 1000)} | out
 
 
@@ -145,9 +150,13 @@ def render_pages(pages: DataFrame, render: Callable[[str, int, float], bytes], d
 
 
 def call_books(samples: DataFrame, call: Callable[[int, pd.DataFrame], dict], schema: str, key: str = "book_id") -> DataFrame:
-    """One call on all sample pages of a book; samples are a few pages each."""
+    """One call on all sample pages of a book; samples are a few pages each. A call that fails makes a row with kind and
+    message, where the schema has them, and the other books go on."""
+    names = [f.name for f in StructType.fromDDL(schema)]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([call(int(group[key].iloc[0]), group)])
+        book = int(group[key].iloc[0])
+        got = guarded(lambda row, pages: call(row[key], pages), {key: book}, group)
+        return pd.DataFrame([{n: got.get(n) for n in names}], columns=names).astype(object)
 
     return samples.groupBy(key).applyInPandas(run, schema)

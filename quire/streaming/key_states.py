@@ -1,14 +1,21 @@
-"""Key states as a stream: the same transitions as the batch fold in ``operators/keys.py``, one outcome at a time."""
+"""Key states as a stream: the same transitions as the batch fold in ``operators/keys.py``, with timers for what time alone
+changes: at the quota day's midnight usage is cleared and a spent key is back, a cooldown ends when it is over, and a key
+that has had a whole day without outcomes and would begin as it is now is forgotten.
+
+Timers go by the watermark, so a stream that is run again gives the same rows; with ``processing`` they go by the clock.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from typing import NamedTuple
+from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.functions import fixed, quota
 from quire.functions.text import has_any
@@ -26,6 +33,8 @@ class Key(NamedTuple):
 
 
 STATE = "state string, used_on string, used_today long, rpd_limit long, refusals int, cooldown_until double, last_used_at double, last_error string"
+#: ``seq``: the key's last outcome; ``at``: when it changed; ``why``: outcome, midnight, cooldown or forgotten.
+OUT = f"key_id long, seq long, at double, why string, {STATE}"
 
 
 def on_day(key: Key, day: str) -> Key:
@@ -67,20 +76,87 @@ def advance(key: Key, outcome: str, ts: float, day: str, daily: bool = False, me
     return key
 
 
-def key_states(outcomes: DataFrame, rpd_limit: int = fixed.RPD) -> DataFrame:
-    """Stream of each key's state after each micro-batch that has outcomes of it: key_id, seq (of the last one) and the
-    state. ``outcomes``: key_id, seq, ts, outcome, message, retry_after, rpd."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    day = quota.quota_day(F.col("ts").cast("timestamp_ntz")).cast("string")
-    rows = outcomes.select("key_id", "seq", seconds.alias("ts"), day.alias("day"), has_any(F.col("message"), fixed.DAILY_MARKERS).alias("daily"), "outcome", "message", "retry_after", "rpd")
+def expired(key: Key, now: float, day: str) -> Key:
+    """A key at ``now`` without an outcome, as ``operators/keys.py:expire`` has it."""
+    key = on_day(key, day)
+    if key.state == "cooldown" and key.cooldown_until <= now:
+        key = key._replace(state="active", last_error="")
+    if key.state == "active" and key.used_today >= key.rpd_limit:
+        key = key._replace(state="exhausted", last_error=fixed.SPENT)
+    return key
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = Key(*state.get) if state.exists else Key(rpd_limit=rpd_limit)
-        seq = -1
-        for r in pd.concat(list(parts)).sort_values("seq").itertuples():
-            now = advance(now, r.outcome, r.ts, r.day, bool(r.daily), r.message, None if pd.isna(r.retry_after) else r.retry_after, None if pd.isna(r.rpd) else int(r.rpd))
-            seq = r.seq
-        state.update(tuple(now))
-        yield pd.DataFrame([(key[0], seq, *now)], columns=["key_id", "seq", *Key._fields])
 
-    return rows.groupBy("key_id").applyInPandasWithState(step, f"key_id long, seq long, {STATE}", STATE, "append", GroupStateTimeout.NoTimeout)
+def day_at(at: float, zone: str) -> tuple[str, float]:
+    """The quota day of a time, and when the next one begins."""
+    local = dt.datetime.fromtimestamp(at, ZoneInfo(zone))
+    after = dt.datetime.combine(local.date() + dt.timedelta(days=1), dt.time(), ZoneInfo(zone))
+    return local.date().isoformat(), after.timestamp()
+
+
+class KeyDays(StatefulProcessor):
+    """One key's state, and one timer: midnight, or the end of its cooldown if that is before."""
+
+    def __init__(self, rpd_limit: int, zone: str):
+        self.rpd_limit, self.zone = rpd_limit, zone
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("key", f"seq long, {STATE}")
+
+    def _now(self) -> tuple[int, Key]:
+        if not self.kept.exists():
+            return -1, Key(rpd_limit=self.rpd_limit)
+        seq, *rest = self.kept.get()
+        return seq, Key(*rest)
+
+    def _keep(self, seq: int, key: Key, at: float) -> None:
+        self.kept.update((seq, *key))
+        _, midnight = day_at(at, self.zone)
+        due = min([midnight, *([key.cooldown_until] if key.state == "cooldown" and key.cooldown_until > at else [])])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-int(-due * 1000 // 1))
+
+    def _row(self, key_id: int, seq: int, at: float, why: str, key: Key) -> pd.DataFrame:
+        return pd.DataFrame([(key_id, seq, at, why, *key)], columns=["key_id", "seq", "at", "why", *Key._fields])
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        r = initialState.iloc[0]
+        own = Key(*[r[c] if not isinstance(t, int) else int(r[c]) for c, t in zip(Key._fields, Key(), strict=True)])
+        self._keep(int(r["seq"]), own, float(r["at"]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seq, now = self._now()
+        at = 0.0
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            now = advance(now, r.outcome, r.at, r.day, bool(r.daily), r.message, None if pd.isna(r.retry_after) else r.retry_after, None if pd.isna(r.rpd) else int(r.rpd))
+            seq, at = r.seq, max(at, r.at)
+        self._keep(seq, now, at)
+        yield self._row(key[0], seq, at, "outcome", now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seq, before = self._now()
+        at = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        day, _ = day_at(at, self.zone)
+        ended, _ = day_at(at - 1, self.zone)
+        now = expired(before, at, day)
+        idle = day_at(before.last_used_at, self.zone)[0] < ended
+        if ended != day and idle and now._replace(used_on="", last_used_at=0.0, cooldown_until=0.0) == Key(rpd_limit=self.rpd_limit):
+            self.kept.clear()
+            yield self._row(key[0], seq, at, "forgotten", now)
+            return
+        self._keep(seq, now, at)
+        yield self._row(key[0], seq, at, "midnight" if ended != day else "cooldown", now)
+
+
+def key_states(outcomes: DataFrame, rpd_limit: int = fixed.RPD, late: str = "1 hour", zone: str = fixed.ZONE, initial: DataFrame | None = None, processing: bool = False) -> DataFrame:
+    """Stream of each key's state whenever it changes: once a micro-batch that has outcomes of it, and at its timers. ``outcomes``:
+    key_id, seq, ts, outcome, message, retry_after, rpd; those later than ``late`` behind the newest are dropped. ``initial``: key_id, seq, at and a
+    state, as a batch has folded them, to go on from. The session needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``)."""
+    at = F.col("ts").cast("timestamp")
+    day = quota.quota_day(F.col("ts").cast("timestamp_ntz"), zone).cast("string")
+    rows = outcomes.select(at.alias("event_at"), "key_id", "seq", (F.unix_micros(at) / 1e6).alias("at"), day.alias("day"), has_any(F.col("message"), fixed.DAILY_MARKERS).alias("daily"), "outcome", "message", "retry_after", "rpd")
+    rows = rows if processing else rows.withWatermark("event_at", late)
+    begun = None if initial is None else initial.select("key_id", "seq", "at", *[F.col(c).cast("string").alias(c) if c == "used_on" else F.col(c) for c in Key._fields]).groupBy("key_id")
+    return rows.groupBy("key_id").transformWithStateInPandas(KeyDays(rpd_limit, zone), OUT, "Update", "ProcessingTime" if processing else "EventTime", begun)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import classify, quota
 from quire.operators import export, keys as K, numbering, publish, queue
-from quire.sources import files, store
+from quire.sources import buckets, commits, files, store
 from quire.streaming import run
 
 START = 1_700_000_000.0
@@ -45,70 +45,257 @@ def client():
     return answer
 
 
-class Clock:
-    def __init__(self):
-        self.now, self.waits = START, 0
+def clock_at(start=START):
+    """A clock that only waiting moves. Of no module, so that tasks get copies that go on from the driver's time."""
 
-    def __call__(self):
-        return self.now
+    class Clock:
+        now = start
 
-    def wait(self, seconds):
-        self.waits += 1
-        self.now += seconds
+        def __call__(self):
+            return self.now
+
+        def wait(self, seconds):
+            self.now += seconds
+
+    return Clock()
+
+
+def follows(clock, also=lambda what, number, rows: None):
+    """A ``log`` that takes the driver's clock to the last call of a batch."""
+
+    def hear(what, number, rows):
+        if what == "results":
+            clock.now = max(clock.now, rows.agg(F.max("called_at")).first()[0] or 0.0)
+        also(what, number, rows)
+
+    return hear
+
+
+KEYS = "key_id long, secret string, rpm_limit int, rpd_limit long, enabled boolean"
+
+
+def answered():
+    """Every page is read."""
+    import json
+
+    def answer(row):
+        result = json.dumps({"page_type": "text", "transcription": f"The whole text of page {row['page_no']} by {row['secret']}."})
+        body = {"steps": [{"type": "model_output", "content": [{"type": "text", "text": result}]}], "usage": {"input_tokens": 1, "output_tokens": 2}}
+        return {"status": 200, "body": json.dumps(body), "headers": {}}
+
+    return answer
+
+
+def outcomes_in(spark, folder):
+    return run.Folder(spark, folder).log("outcomes", run.OUTCOME)
 
 
 def test_a_run_to_the_end(spark, tmp_path):
     folder = f"file://{tmp_path}/run"
     pages = spark.createDataFrame([*((1, p) for p in range(1, 6)), (2, 1)], "book_id long, page_no int")
-    keys = spark.createDataFrame([(k, str(tmp_path), 0, 50 if k != 4 else 4, True) for k in (1, 2, 3, 4)], "key_id long, secret string, rpm_limit int, rpd_limit long, enabled boolean")
-    run.start(spark, folder, pages, START)
-    clock, heard = Clock(), Counter()
+    keys = spark.createDataFrame([(k, str(tmp_path), 0, 50 if k != 4 else 4, True) for k in (1, 2, 3, 4)], KEYS)
+    run.start(spark, folder, pages, START, bucket_pages=4)
+    run.start(spark, folder, pages.limit(1), START)  # it has a queue
+    clock, heard = clock_at(), Counter()
 
-    def dies(what, batch, rows):
+    def dies(what, number, rows):
         heard[what] += 1
-        if what == "results" and batch == 2:
+        if what == "results" and heard[what] == 2:
             raise RuntimeError("the driver is lost")
 
     with pytest.raises(RuntimeError):
-        run.run_queue(spark, folder, keys, client(), clock, clock.wait, calls_a_key=1, log=dies)
+        run.run_queue(spark, folder, keys, client(), clock, clock.wait, calls_a_key=1, log=follows(clock, dies))
     before = (tmp_path / "calls").read_text().splitlines()
+    assert run.progress(spark, folder)["batches_out"] == 1
     clock.now += 1
     assert run.run_queue(spark, folder, keys, client(), clock, clock.wait, calls_a_key=2, stop=lambda: True) == "stopped"
-    assert run.run_queue(spark, folder, keys, client(), clock, clock.wait, calls_a_key=2, log=lambda w, b, r: heard.update([w])) == "done"
+    assert (tmp_path / "calls").read_text().splitlines() == before  # the answers that were there counted
+    run.cancel(spark.newSession(), folder)
+    assert run.run_queue(spark, folder, keys, client(), clock, clock.wait) == "cancelled"
+    run.cancel(spark, folder, on=False)
+    assert run.run_queue(spark, folder, keys, client(), clock, clock.wait, calls_a_key=2, log=follows(clock, lambda w, b, r: heard.update([w]))) == "done"
     calls = (tmp_path / "calls").read_text().splitlines()
-    assert calls[: len(before)] == before and heard["outcomes"] == heard["changes"] >= 3
+    assert calls[: len(before)] == before and heard["outcomes"] == heard["changes"] >= 3 and heard["keys"] >= 3
+    assert run.progress(spark, folder) == {"pending": 0, "in_progress": 0, "done": 4, "flagged": 1, "failed": 1, "total": 6, "batches_out": 0}
 
-    batches = len(list((tmp_path / "run" / "outcomes").glob("batch=*")))
-    tables = run.Folder(spark, folder)
-    got = {(r.book_id, r.page_no): r for r in queue.fold(tables.all("changes", queue.CHANGE, batches)).collect()}
+    got = {(r.book_id, r.page_no): r for r in run.pages_of(spark, folder).collect()}
     assert len(got) == 6 and {r.status for r in got.values()} == {"done", "flagged", "failed"}
     for (_, p), r in got.items():
         assert (r.status, r.attempts) == {4: ("failed", 3), 5: ("flagged", 0)}.get(p, ("done", 0))
         assert p in (4, 5) or (r.transcription == f"The whole text of page {p}, long enough." and (r.input_tokens, r.output_tokens) == (12, 3))
         assert p != 4 or (r.last_error.startswith("not JSON") and r.transcription is None)
     # every call is one outcome of its key
-    outcomes = tables.all("outcomes", run.OUTCOME, batches).collect()
+    outcomes = outcomes_in(spark, folder).collect()
     assert Counter(o.key_id for o in outcomes) == Counter(int(c.split()[0]) for c in calls)
-    day = quota.quota_day(F.timestamp_seconds(F.lit(clock.now)).cast("timestamp_ntz"))
-    state = {r.key_id: r for r in K.fold_outcomes(keys, tables.all("outcomes", run.OUTCOME, batches)).collect()}
+    state = {r.key_id: r for r in states_in(spark, folder)}
     assert state[3].state == "dead" and state[2].state == "exhausted" and state[2].used_today == 0
     assert state[4].used_today <= 4 and state[1].used_today + state[4].used_today == sum(o.outcome == "success" for o in outcomes)
+    assert all(r.out == 0 for r in state.values())
     # the next day the exhausted key is handed out again, the dead one isn't
     later = clock.now + 2 * 86400
     tomorrow = quota.quota_day(F.timestamp_seconds(F.lit(later)).cast("timestamp_ntz"))
-    only = K.fold_outcomes(keys, tables.all("outcomes", run.OUTCOME, batches)).filter("key_id IN (2, 3)")
+    tables = run.Folder(spark, folder)
+    only = run.key_states(tables.read(run.KEYS, [tables.commits.head()[1]["keys"]]), keys).filter("key_id IN (2, 3)")
     assert K.acquire(only, later).count() == 0 and [r.key_id for r in K.acquire(only, later, day=tomorrow).collect()] == [2]
-    assert day is not None
+
+
+def states_in(spark, folder):
+    tables = run.Folder(spark, folder)
+    return tables.read(run.KEYS, [tables.commits.head()[1]["keys"]]).collect()
 
 
 def test_a_run_without_usable_keys_ends(spark, tmp_path):
     folder = f"file://{tmp_path}/run"
     run.start(spark, folder, spark.createDataFrame([(1, 1)], "book_id long, page_no int"), START)
-    keys = spark.createDataFrame([(3, str(tmp_path), 0, 50, True)], "key_id long, secret string, rpm_limit int, rpd_limit long, enabled boolean")
-    clock = Clock()
+    keys = spark.createDataFrame([(3, str(tmp_path), 0, 50, True)], KEYS)
+    clock = clock_at()
     assert run.run_queue(spark, folder, keys, client(), clock, clock.wait) == "no keys"
-    pages = queue.fold(run.Folder(spark, folder).all("changes", queue.CHANGE, 2)).collect()
-    assert [(r.status, r.attempts) for r in pages] == [("pending", 0)]
+    assert [(r.status, r.attempts) for r in run.pages_of(spark, folder).collect()] == [("pending", 0)]
+
+
+def test_a_run_keeps_the_pace_and_grows_with_its_changes_only(spark, tmp_path):
+    """Ten calls a minute at most, in any minute; what a batch writes and keeps doesn't depend on how many came before."""
+    folder, secret = f"file://{tmp_path}/run", "SECRET-of-the-key-0123456789"
+    run.start(spark, folder, spark.createDataFrame([(b, p) for b in (1, 2) for p in range(1, 24)], "book_id long, page_no int"), START, bucket_pages=12)
+    keys = spark.createDataFrame([(1, secret, 10, 100, True), (2, secret + "x", 7, 100, True)], KEYS)
+    clock, sizes = clock_at(), []
+
+    def size(what, number, rows):
+        if what == "keys":
+            files = [f for f in (tmp_path / "run").rglob("*") if f.is_file()]
+            sizes.append((sum(f.stat().st_size for f in files if "/pages/" in str(f) or "/keys/" in str(f)), len(files)))
+
+    spark.conf.set("spark.sql.parquet.compression.codec", "uncompressed")
+    try:
+        assert run.run_queue(spark, folder, keys, answered(), clock, clock.wait, horizon=30.0, log=follows(clock, size)) == "done"
+    finally:
+        spark.conf.unset("spark.sql.parquet.compression.codec")
+    at = {k: sorted(o.ts.timestamp() for o in outcomes_in(spark, folder).collect() if o.key_id == k) for k in (1, 2)}
+    assert len(at[1]) + len(at[2]) == 46
+    for key, rpm in ((1, 10), (2, 7)):
+        assert all(b - a >= 60 / rpm - 0.001 for a, b in zip(at[key], at[key][1:], strict=False))
+        assert max(sum(a <= t < a + 59.99 for t in at[key]) for a in at[key]) <= rpm
+        assert at[key][-1] - at[key][0] <= 60 / rpm * len(at[key]) + 31  # and it doesn't dawdle
+    assert len(sizes) >= 5 and sizes[-1][0] <= 1.5 * sizes[len(sizes) // 2][0]
+    for f in (tmp_path / "run").rglob("*"):
+        assert not f.is_file() or secret.encode() not in f.read_bytes(), f
+    texts = run.pages_of(spark, folder).filter("status = 'done'").collect()
+    assert len(texts) == 46 and all(r.transcription.endswith("by ….") or r.transcription.endswith("by …x.") for r in texts)
+
+
+def test_drivers_share_a_queue(spark, tmp_path):
+    """Two drivers claim from one folder at once: no page is out twice, none is lost."""
+    import threading
+
+    folder = f"file://{tmp_path}/run"
+    run.start(spark, folder, spark.createDataFrame([(1, p) for p in range(1, 25)], "book_id long, page_no int"), START, bucket_pages=6)
+    said = {}
+
+    def drive(name, key):
+        session = spark.newSession()
+        keys = session.createDataFrame([(key, f"s{key}", 0, 100, True)], KEYS)
+        clock = clock_at()
+        said[name] = run.run_queue(session, folder, keys, answered(), clock, clock.wait, calls_a_key=4, owner=name)
+
+    threads = [threading.Thread(target=drive, args=(n, k)) for k, n in enumerate(("a", "b"), 1)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert said == {"a": "done", "b": "done"}
+    changes = run.Folder(spark, folder).log("changes", queue.CHANGE)
+    assert sorted(r.page_no for r in changes.collect()) == list(range(1, 25))  # each page once
+    outcomes = Counter(o.key_id for o in outcomes_in(spark, folder).collect())
+    assert sum(outcomes.values()) == 24 and {r.key_id: r.used_today for r in states_in(spark, folder)} == dict(outcomes)
+    numbers = run.Folder(spark, folder).commits.numbers()
+    assert numbers == list(range(numbers[0], numbers[-1] + 1))
+
+
+def test_pages_of_a_lost_driver_are_given_back(spark, tmp_path):
+    folder = f"file://{tmp_path}/run"
+    run.start(spark, folder, spark.createDataFrame([(1, p) for p in range(1, 4)], "book_id long, page_no int"), START)
+    keys = spark.createDataFrame([(1, "s", 0, 3, True)], KEYS)  # too short to be told from text
+    tables = run.Folder(spark, folder)
+    assert run.claim(tables, keys, START, "lost", 60.0, 2, 5, 3) == ("claimed", None)
+    assert run.progress(spark, folder)["in_progress"] == 2 and states_in(spark, folder)[0].out == 2
+    assert run.reset_stale(spark, folder, START, START + 9) == 0
+    assert run.reset_stale(spark, folder, START + 1, START + 9) == 2
+    assert run.progress(spark, folder)["pending"] == 3 and states_in(spark, folder)[0].out == 0
+    clock = clock_at(START + 10)
+    assert run.run_queue(spark, folder, keys, answered(), clock, clock.wait) == "done"
+
+
+def test_the_first_commit_of_a_number_stays(spark, tmp_path):
+    log = commits.Commits(spark, f"file://{tmp_path}/c")
+    assert log.head() == (-1, {}) and log.put(0, {"a": 1}) and not log.put(0, {"a": 2})
+    seen = []
+
+    def step(number, head):
+        seen.append(number)
+        if len(seen) == 1:  # another is faster
+            log.put(number + 1, {"a": "other"})
+        return {"a": [head["a"], "mine"]}
+
+    assert log.change(step) == (2, {"a": ["other", "mine"]}) and seen == [0, 1]
+    assert log.change(lambda number, head: None) is None and log.numbers() == [0, 1, 2]
+    assert not [f for f in (tmp_path / "c").iterdir() if f.name.endswith(".tmp")]
+
+
+def test_an_upsert_touches_the_buckets_of_its_keys(spark, tmp_path):
+    table = buckets.BucketTable(spark, f"file://{tmp_path}/t", ["book_id", "page_no"], 16)
+    rows = [(b, p, f"v{b}.{p}") for b in range(40) for p in range(50)]
+    schema = "book_id long, page_no int, text string"
+    table.upsert(spark.createDataFrame(rows, schema))
+    before = table.commits.head()[1]["files"]
+    new = [(3, 7, "new"), (99, 1, "added")]
+    version = table.upsert(spark.createDataFrame(new, schema))
+    after = table.commits.head()[1]["files"]
+    assert version == 1 and 1 <= sum(before.get(b) != d for b, d in after.items()) <= 2
+    want = {(b, p): t for b, p, t in [*rows, *new]}
+    assert {(r.book_id, r.page_no): r.text for r in table.read().collect()} == want
+    assert {(r.book_id, r.page_no): r.text for r in table.read(0).collect()} == {(b, p): t for b, p, t in rows}  # as it was
+    assert [r.text for r in table.lookup(book_id=3, page_no=7).collect()] == ["new"] and table.lookup(book_id=3, page_no=777).count() == 0
+
+    def fails(x):
+        raise RuntimeError("no")
+
+    bad = spark.createDataFrame(new, schema).withColumn("text", F.udf(fails, "string")("text"))
+    with pytest.raises(Exception, match="no"):
+        table.upsert(bad)
+    assert table.commits.head()[0] == 1 and not [f for f in (tmp_path / "t").iterdir() if f.name.startswith("_new")]
+    # a faster writer: what it wrote stays
+    real = table.commits.put
+
+    def slow(number, content):
+        table.commits.put = real
+        buckets.BucketTable(spark, table.path, table.keys).upsert(spark.createDataFrame([(3, 7, "theirs"), (3, 8, "theirs")], schema))
+        return real(number, content)
+
+    table.commits.put = slow
+    assert table.upsert(spark.createDataFrame([(3, 7, "mine")], schema)) == 3
+    got = {(r.book_id, r.page_no): r.text for r in table.read().collect()}
+    assert got == want | {(3, 7): "mine", (3, 8): "theirs"}
+    table.retire(1)
+    assert {(r.book_id, r.page_no): r.text for r in table.read().collect()} == got and table.commits.numbers() == [3]
+
+
+def test_errors_of_a_client_have_a_kind(spark):
+    from http.client import IncompleteRead
+
+    class BothWays(OSError, ValueError):
+        pass
+
+    kinds = [files.kind_of(e) for e in (TimeoutError(), BothWays(), ValueError(), IncompleteRead(b""), KeyError("x"))]
+    assert kinds == ["TransientError", "BadResponse", "BadResponse", "TransientError", "BadResponse"]
+
+    def profile(book, pages):
+        if book == 2:
+            raise TimeoutError("no answer")
+        return {"book_id": book, "n": len(pages)}
+
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "book_id long, page_no int")
+    got = {r.book_id: (r.n, r.kind, r.message) for r in files.call_books(rows, profile, "book_id long, n long, kind string, message string").collect()}
+    assert got == {1: (2, None, None), 2: (None, "TransientError", "no answer")}
 
 
 def test_numbers_are_consecutive_in_order(spark):
@@ -161,13 +348,27 @@ def test_the_index_is_written_line_by_line(spark, tmp_path):
     assert json.loads((tmp_path / "none" / "index.json").read_text())["books"] == []
 
 
-def test_chunks_of_a_long_book(spark):
-    sizes = [(k * 37) % 900 for k in range(2000)]
-    got = publish.chunks(spark.createDataFrame([(1, k + 1, c) for k, c in enumerate(sizes)], "book_id long, page_no int, chars long"), 9, 2000).orderBy("page_no").collect()
-    want, chunk, rows, held = [], 0, 0, 0
-    for c in sizes:
-        if rows >= 9 or rows and held + c > 2000:
-            chunk, rows, held = chunk + 1, 0, 0
-        rows, held = rows + 1, held + c
-        want.append(chunk)
-    assert [r.chunk for r in got] == want and [r.is_final for r in got] == [c == chunk for c in want]
+def chunks_plainly(rows, most_rows, most_chars):
+    """``rows``: (book, page, chars)."""
+    out, last = {}, {}
+    for b, p, c in sorted(rows):
+        chunk, n, held = last.get(b, (0, 0, 0))
+        if n >= most_rows or n and held + c > most_chars:
+            chunk, n, held = chunk + 1, 0, 0
+        last[b] = (chunk, n + 1, held + c)
+        out[b, p] = chunk
+    return {(b, p, c, out[b, p], out[b, p] == last[b][0]) for b, p, c in rows}
+
+
+def test_chunks_of_books_of_any_size(spark):
+    """One book over many ranges, books of one row, rows over the bound, rows of no length; ranges shorter than a chunk."""
+    import random
+
+    rng = random.Random(3)
+    one = [(1, k + 1, (k * 37) % 900) for k in range(2000)]
+    few = [(b, p, rng.choice([0, 0, 5, 300, 2500])) for b in range(90) for p in range(rng.choice([1, 2, 9, 40]))]
+    flat = [(7, p, 0) for p in range(700)]
+    for rows, most_rows, most_chars, ranges in ((one, 9, 2000, 64), (one, 500, 10**9, 64), (few, 7, 2000, 16), (few + [(200, p, 10) for p in range(900)], 150, 2000, 64), (flat, 150, 10, 64), (few[:1], 5, 5, 64), ([], 5, 5, 64)):
+        df = spark.createDataFrame(rows, "book_id long, page_no int, chars long").repartition(3)
+        got = publish.chunks(df, most_rows, most_chars, ranges).select("book_id", "page_no", "chars", "chunk", "is_final").collect()
+        assert len(got) == len(rows) and set(map(tuple, got)) == chunks_plainly(rows, most_rows, most_chars)
