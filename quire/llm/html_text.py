@@ -13,7 +13,8 @@ between two of its tokens, it isn't taken as template. Blocks of the template go
 The sectioning elements of a host's pages, by their place below each other, are the template's slots. One that is on three
 contents or more and has three quarters of the text of the contents that it is on is a main slot. On a page the innermost
 main slot is the article, or the innermost with a main headline that isn't of the template, so a headline above
-the body of the article stays; blocks of all other slots go. This needs no names of elements or classes.
+the body of the article stays; blocks of all other slots go. This needs no names of elements or classes. A slot with
+less than half of a page's own text is none there: that page has another layout than its host's others.
 
 Names are hints for what the template leaves. If at least half of the text that is left lies in article or main
 elements, that is the main text; else all of it is. Blocks in boilerplate elements (menus, headers, footers,
@@ -345,8 +346,9 @@ def templates(pages: DataFrame, support: float) -> DataFrame:
 
 def within(page: Page, template: set[int], main: set[int]) -> list[Block]:
     """The blocks of a page's innermost main slot, or of the innermost with a main headline that isn't of the template;
-    all blocks without a main slot."""
-    around = [i for i in page.slots() if page.spots[i].token in main]
+    all blocks without a main slot. A section that is a main slot of the host counts only where it has at least half of
+    what hints leave of this page, so a page of another layout, or with a section more, loses no text."""
+    around = [i for i in page.slots() if page.spots[i].token in main and 2 * page.spots[i].kept >= page.spots[0].kept]
     if not around:
         return page.blocks
     headed: set[int] = set()  # sections around a main headline

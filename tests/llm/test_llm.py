@@ -431,6 +431,22 @@ def test_the_template_alone_finds_the_story(spark):
     assert all(story in got[i] for i, _, _, story in rows)
 
 
+def test_a_page_of_another_layout_keeps_its_story(spark):
+    """Twenty pages have the story in the first div. One has a banner there and the story in the second, with and without an
+    article element; one has a notice before the story; all keep it."""
+    story = lambda k: " ".join(f"Sentence {j} of story {k} tells something of its own." for j in range(12))
+    usual = {k: f"<body><div><p>{story(k)}</p></div><div><p>More of site {k}</p></div></body>" for k in range(20)}
+    odd = {
+        20: f"<body><div><p>A banner of the day</p></div><div><p>{story(20)}</p></div></body>",
+        21: f"<body><div><p>A banner of the week</p></div><div><article><p>{story(21)}</p></article></div></body>",
+        22: f"<body><div><p>Read this first</p></div><div><p>{story(22)}</p></div><div><p>More of site 22</p></div></body>",
+    }
+    rows = [(k, "http://two.example/x", h) for k, h in {**usual, **odd}.items()]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == story(k) for k in usual)
+    assert all(story(k) in got[k] for k in odd) and got[21] == story(21)
+
+
 def test_a_headline_of_the_site_opens_no_main_slot(spark):
     rows = [(i, u, f"<div class=wrap><h1>The Site</h1>{h}</div><div>{i} end</div>") for i, u, h, _ in neutral_pages(8)]
     rows = [(i, u, h.replace("<body>", "").replace("<h1>w", "<h2>w")) for i, u, h in rows]
