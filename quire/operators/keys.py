@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import fixed, quota
 from quire.functions.text import has_any, masked, or_empty, strip, truthy
-from quire.operators.numbering import numbered
+from quire.operators.numbering import RANGES, numbered, running
 
 STATE = "struct<state: string, used_on: date, used_today: long, rpd_limit: long, refusals: int, cooldown_until: double, last_used_at: double, last_error: string>"
 
@@ -251,6 +251,22 @@ def refusals_in_a_row(outcomes: DataFrame) -> DataFrame:
     return islands.withColumn("run", F.sum((F.col("outcome") == "rate_limited").cast("long")).over(inside)).drop("__island")
 
 
+def refusals_by_ranges(outcomes: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """``refusals_in_a_row`` for keys of any number of outcomes: the refusals so far less those by the last success, both
+    running numbers that ranges of one key carry on."""
+    o = outcomes.withColumn("__refused", (F.col("outcome") == "rate_limited").cast("long"))
+    o = running(o, ["key_id"], ["seq"], sums={"__so_far": "__refused"}, ranges=ranges)
+    o = o.withColumn("__by_success", F.when(F.col("outcome") == "success", F.col("__so_far")))
+    o = running(o, ["key_id"], ["seq"], tops={"__before": "__by_success"}, ranges=ranges)
+    return o.withColumn("run", F.col("__so_far") - F.coalesce("__before", F.lit(0))).select(*outcomes.columns, "run")
+
+
+def used_by_ranges(requests: DataFrame, key: str, ts: str, *ties: str, ranges: int = RANGES) -> DataFrame:
+    """``requests`` with ``used_so_far``, the number of each among its key's of the quota day, however many one key has."""
+    r = requests.withColumns({"__day": quota.quota_day(F.col(ts)), "__one": F.lit(1).cast("long")})
+    return running(r, [key, "__day"], [ts, *ties], sums={"used_so_far": "__one"}, ranges=ranges).select(*requests.columns, "used_so_far")
+
+
 def too_soon(requests: DataFrame, key: str, ts: str, rpm: Column, *ties: str) -> DataFrame:
     """``requests`` with ``too_soon``: closer to the key's one before than its limit a minute allows."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))

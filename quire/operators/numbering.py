@@ -37,3 +37,47 @@ def numbered(df: DataFrame, by: str, name: str = "n", after: int = 0) -> DataFra
         at += counts.get(k, 0)
     own = F.row_number().over(W.partitionBy("__range").orderBy(by))
     return dealt.withColumn(name, (F.get(F.array(*map(F.lit, starts)), F.col("__range")) + own).cast("long")).drop("__range")
+
+
+def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str] | None = None, tops: dict[str, str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """``df`` with running sums (new name: column) and running maxima (new name: column) in each ``group``, in order of ``order``, each row's
+    own value included. A group of any size is dealt to ranges: each sums its rows by itself, and what the ranges before have of the
+    group that one begins with, a number for each range, is added. No group is on one task as a whole. Together ``group``
+    and ``order`` tell rows apart, and ``order`` holds no nulls; rows of a null group are one range."""
+    sums, tops = sums or {}, tops or {}
+    by = [*group, *order]
+    dealt = ranged(written(df, "running"), by, ranges)
+    inside = W.partitionBy("__range", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    ends = [F.sum(c).alias(n) for n, c in sums.items()] + [F.max(c).alias(n) for n, c in tops.items()]
+    found = dealt.groupBy("__range", *group).agg(*ends)
+    edge = W.partitionBy("__range")
+    here = F.struct(*group)
+    ends_of = found.withColumns({"__first": here == F.min(here).over(edge), "__last": here == F.max(here).over(edge)}).filter("__first OR __last")
+    carried: dict[int, tuple] = {}
+    held, of = None, None
+    at: dict[int, list] = {}
+    for r in ends_of.collect():  # two rows at most for each range
+        at.setdefault(r["__range"], []).append(r)
+    plus = lambda a, b: [x if y is None else y if x is None else x + y for x, y in zip(a[: len(sums)], b[: len(sums)], strict=True)] + [x if y is None else y if x is None else max(x, y) for x, y in zip(a[len(sums) :], b[len(sums) :], strict=True)]
+    for k in sorted(at):
+        first, last = next(r for r in at[k] if r["__first"]), next(r for r in at[k] if r["__last"])
+        name, values = tuple(first[c] for c in group), [first[n] for n in (*sums, *tops)]
+        if name == of:
+            carried[k] = (name, held)
+            values = plus(held, values)
+        if not first["__last"]:
+            name, values = tuple(last[c] for c in group), [last[n] for n in (*sums, *tops)]
+        of, held = name, values
+    out = dealt.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()} | {n: F.max(c).over(inside) for n, c in tops.items()})
+    if carried:
+        types = {n: out.schema[n].dataType for n in (*sums, *tops)}
+        rows = [(k, *name, *values) for k, (name, values) in carried.items()]
+        fields = ["__of int", *[f"__g{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(group)], *[f"__c{i} {t.simpleString()}" for i, t in enumerate(types.values())]]
+        add = df.sparkSession.createDataFrame(rows, ", ".join(fields))  # a row for each range
+        same = F.col("__range") == F.col("__of")
+        for i, c in enumerate(group):
+            same = same & (F.col(c) == F.col(f"__g{i}"))
+        out = out.join(F.broadcast(add), same, "left")
+        joined = {n: (F.coalesce(n, F.lit(0).cast(types[n])) + F.col(f"__c{i}") if n in sums else F.greatest(n, f"__c{i}")) for i, n in enumerate(types)}
+        out = out.withColumns({n: F.when(F.col(f"__c{i}").isNull(), F.col(n)).otherwise(joined[n]) for i, n in enumerate(types)})
+    return out.select(*df.columns, *sums, *tops)

@@ -52,6 +52,16 @@ def sheet_status(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("page_no").isNotNull()).select("book_id", "page_no", (F.length(F.coalesce(F.get("cells", F.lit(0)), F.lit(""))) > 0).alias("has_text"))
 
 
+def setting(settings: DataFrame, key: str) -> DataFrame:
+    """value of one setting; no row if there is none. The key is pushed down to the files."""
+    return settings.filter(F.col("key") == key).select("value")
+
+
+def book_profile(books: DataFrame, book_id: int) -> DataFrame:
+    """One row for a book that there is: profile_json (null: not profiled yet) and whether it was profiled."""
+    return books.filter(F.col("id") == book_id).select("id", "profile_json", F.coalesce(F.col("profile_json") != "", F.lit(False)).alias("profiled"))
+
+
 class Progress(StreamingQueryListener):
     """Counts of a running query, for a snapshot from any thread."""
 

@@ -60,7 +60,7 @@ def failure_escalation(spark, sf_dir):
     return queue.fail(p, p.select("book_id", "page_no", F.lit("render error").alias("error")), 3.0).select("book_id", "page_no", "attempts", "status", "last_error")
 
 
-@query(
+CHANGE_LOG_SQL = (
     """WITH e AS (SELECT user_id AS book_id, ts, event_id, event_type AS k FROM events),
     r AS (SELECT *, sum(CASE WHEN k = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ts, event_id) AS epoch FROM e),
     a AS (SELECT book_id, arg_max(k, (ts, event_id)) AS last, arg_max(event_id, (ts, event_id)) FILTER (k = 'purchase') AS text, floor(epoch(max(ts))) AS updated_at, count(*) FILTER (k = 'error' AND epoch = top) AS attempts,
@@ -69,7 +69,9 @@ def failure_escalation(spark, sf_dir):
     SELECT book_id, CAST(attempts AS INTEGER) AS attempts, CASE last WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'in_progress' WHEN 'error' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE 'pending' END AS status,
       CAST(text AS VARCHAR) AS transcription, coalesce(flag_reason, '') AS flag_reason, coalesce(last_error, '') AS last_error, CASE last WHEN 'view' THEN updated_at END AS claimed_at, updated_at FROM a"""
 )
-def change_log_fold(spark, sf_dir):
+
+
+def events_as_changes(spark, sf_dir):
     """Events as changes of one page a user: purchase commits, view claims, click releases, error fails, signup requeues."""
     from pyspark.sql import Window as W
 
@@ -80,7 +82,13 @@ def change_log_fold(spark, sf_dir):
     seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
     changes = e.select(F.col("user_id").alias("book_id"), F.lit(1).alias("page_no"), seq.alias("seq"), kind.alias("kind"), at.alias("ts"), F.lit("done").alias("status"), none("string", "page_type"), named("", "transcription"), *[none("string", c) for c in ("footnotes", "note")], none("int", "input_tokens"), none("int", "output_tokens"), named("why ", "reason"), named("err ", "error"))
-    return queue.fold(changes).select("book_id", "attempts", "status", "transcription", "flag_reason", "last_error", "claimed_at", "updated_at")
+    return changes
+
+
+@query(CHANGE_LOG_SQL)
+def change_log_fold(spark, sf_dir):
+    """All changes at once."""
+    return queue.fold(events_as_changes(spark, sf_dir)).select("book_id", "attempts", "status", "transcription", "flag_reason", "last_error", "claimed_at", "updated_at")
 
 
 @query(
