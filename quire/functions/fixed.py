@@ -35,7 +35,7 @@ WAITING, SERVER_ERROR, REJECTED = "Rate limited, waiting {}s", "Server error, re
 USAGE_FIELDS = ("usage", "usage_metadata", "usageMetadata")
 INPUT_FIELDS = ("input_tokens", "prompt_token_count", "promptTokenCount")
 OUTPUT_FIELDS = ("output_tokens", "candidates_token_count", "candidatesTokenCount")
-MAX_ATTEMPTS, KEPT_EVENTS, MOST_EVENTS = 3, 5000, 1000
+MAX_ATTEMPTS, PROFILE_TRIES, KEPT_EVENTS, MOST_EVENTS = 3, 3, 5000, 1000
 SNIPPET, LAST_ERROR = 400, 1000
 
 # page images

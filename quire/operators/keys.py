@@ -103,6 +103,75 @@ def fold_outcomes(keys: DataFrame, outcomes: DataFrame) -> DataFrame:
     return folded.drop("log", *(known if len(known) == len(STATE_FIELDS) else ["rpd_limit"])).select("*", "s.*").drop("s")
 
 
+def fold_by_ranges(keys: DataFrame, outcomes: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """``fold_outcomes`` for keys of any number of outcomes, whose times follow ``seq``: no key's outcomes are on one task or in one array.
+
+    What an outcome does depends on few numbers, each of them running: whether the key was dead (the last of dead and
+    revive), the day's successes, the day's refusals since the last success, and the limit, which is the smallest of what was
+    given last and what was learned since. Ranges of a key carry them on. With these each outcome says by itself what it sets, and a
+    key is what was set last; a spent one is back after a later day's outcome or an edit above its use."""
+    c, kind = F.col, F.col("outcome")
+    by_hand = kind.isin("revive", "edit")
+    o = outcomes.select("key_id", "seq", (F.unix_micros(c("ts").cast("timestamp")) / 1e6).alias("at"), quota.quota_day(c("ts").cast("timestamp_ntz")).alias("day"), has_any(c("message"), fixed.DAILY_MARKERS).alias("daily"), "outcome", "message", "retry_after", c("rpd").cast("long").alias("rpd"))
+    o = o.withColumn("mark", F.when(kind.isin("dead", "revive"), 2 * c("seq") + (kind == "dead").cast("int")))
+    o = running(o, ["key_id"], ["seq"], tops={"marked": "mark"}, ranges=ranges, own=False)
+    o = o.filter(by_hand | ~F.coalesce(c("marked") % 2 == 1, F.lit(False)))  # a dead key only answers to hands
+    o = o.withColumns({"is_success": (kind == "success").cast("long"), "is_refusal": (kind == "rate_limited").cast("long"), "is_edit": (kind == "edit").cast("long")})
+    o = running(o, ["key_id"], ["seq"], sums={"epoch": "is_edit"}, ranges=ranges)
+    o = running(o, ["key_id", "day"], ["seq"], sums={"used": "is_success", "refused": "is_refusal"}, ranges=ranges)
+    o = running(o.withColumn("base", F.when(kind.isin("success", "revive"), c("refused"))), ["key_id", "day"], ["seq"], tops={"based": "base"}, ranges=ranges)
+    o = o.withColumn("runs", c("refused") - F.coalesce("based", F.lit(0)))
+    o = o.withColumns({"minus": F.when((kind == "rate_limited") & (c("runs") >= fixed.REFUSALS) & (c("used") >= fixed.LEARN_FROM), -c("used")), "granted": F.when(kind == "edit", c("rpd"))})
+    # an edit is the first of its epoch, so what comes later has its limit before it
+    o = running(o, ["key_id", "epoch"], ["seq"], tops={"given": "granted", "learned": "minus"}, ranges=ranges, own=False)
+    limits = keys.select(c("key_id").alias("of"), c("rpd_limit").cast("long").alias("first_limit"))
+    o = o.join(limits, c("key_id") == c("of")).withColumn("limit", F.least(F.coalesce("given", "first_limit"), F.coalesce(-c("learned"), F.lit(2**62))))
+    refused, at_limit = c("runs") >= fixed.REFUSALS, c("used") >= c("limit")
+    success, limited, transient = kind == "success", kind == "rate_limited", kind == "transient"
+    spent, few = c("daily") | at_limit | refused, refused & ~at_limit
+    learned, wait = few & (c("used") >= fixed.LEARN_FROM), quota.backoff(c("retry_after"), c("runs").cast("double"))
+    o = o.withColumns(
+        {
+            "sets": F.when(success, F.when(at_limit, "exhausted")).when(limited, F.when(spent, "exhausted").otherwise("cooldown")).when(transient, "cooldown").when(kind == "dead", "dead").when(kind == "revive", "active"),
+            "says": F.when(success, F.when(at_limit, fixed.SPENT).otherwise(""))
+            .when(limited & spent & learned, filled(fixed.LEARNED, c("used")))
+            .when(limited & spent & few, filled(fixed.PARKED, c("used")))
+            .when(limited & spent, fixed.SPENT)
+            .when(limited, filled(fixed.WAITING, wait.cast("int")))
+            .when(transient, filled(fixed.SERVER_ERROR, F.left(or_empty(c("message")), F.lit(120))))
+            .when(kind == "dead", filled(fixed.REJECTED, F.left(or_empty(c("message")), F.lit(200))))
+            .when(kind == "revive", ""),
+            "cools": F.when(limited & ~spent, c("at") + wait).when(transient, c("at") + fixed.TRANSIENT_COOLDOWN).when(kind == "revive", 0.0),
+            "leaves": F.when(limited & spent & learned, c("used")).when(kind == "edit", c("rpd")).otherwise(c("limit")),
+            "frees": (kind == "edit") & (c("used") < c("rpd")),
+        }
+    )
+    latest = lambda value, ok: F.max_by(value, F.when(ok, c("seq")))
+    ends = o.groupBy(c("key_id").alias("of")).agg(
+        latest(F.struct("seq", "sets", "day"), c("sets").isNotNull()).alias("set"),
+        latest(F.struct("says", "day"), c("says").isNotNull()).alias("said"),
+        latest(F.struct("seq", "day"), c("frees")).alias("freed"),
+        latest(c("cools"), c("cools").isNotNull()).alias("cool"),
+        F.max(F.when(~by_hand, c("at"))).alias("last_at"),
+        F.max_by(F.struct("used", "runs", "day", "leaves"), "seq").alias("end"),
+    )
+    was_spent = F.coalesce(c("set.sets") == "exhausted", F.lit(False))
+    freed = F.coalesce((c("freed.seq") > c("set.seq")) & (c("freed.day") == c("set.day")), F.lit(False))
+    rolled = was_spent & ~freed & (c("end.day") != c("set.day"))
+    after = F.struct(
+        F.when(was_spent & (freed | rolled), "active").otherwise(F.coalesce("set.sets", F.lit("active"))).alias("state"),
+        c("end.day").alias("used_on"),
+        c("end.used").alias("used_today"),
+        c("end.leaves").alias("rpd_limit"),
+        c("end.runs").cast("int").alias("refusals"),
+        F.coalesce("cool", F.lit(0.0)).alias("cooldown_until"),
+        F.coalesce("last_at", F.lit(0.0)).alias("last_used_at"),
+        F.when(rolled & (c("said.day") == c("set.day")), "").otherwise(F.coalesce("said.says", F.lit(""))).alias("last_error"),
+    ).cast(STATE)
+    out = keys.join(ends, c("key_id") == c("of"), "left").withColumn("s", F.when(c("of").isNull(), fresh(c("rpd_limit"))).otherwise(after))
+    return out.select(*[x for x in keys.columns if x not in STATE_FIELDS], "s.*")
+
+
 def expire(keys: DataFrame, now: float, day: Column) -> DataFrame:
     """The states at ``now``: day rolled over, cooldowns ended, spent allowances noticed."""
     names = STATE_FIELDS

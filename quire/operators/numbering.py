@@ -39,15 +39,15 @@ def numbered(df: DataFrame, by: str, name: str = "n", after: int = 0) -> DataFra
     return dealt.withColumn(name, (F.get(F.array(*map(F.lit, starts)), F.col("__range")) + own).cast("long")).drop("__range")
 
 
-def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str] | None = None, tops: dict[str, str] | None = None, ranges: int = RANGES) -> DataFrame:
-    """``df`` with running sums (new name: column) and running maxima (new name: column) in each ``group``, in order of ``order``, each row's
-    own value included. A group of any size is dealt to ranges: each sums its rows by itself, and what the ranges before have of the
+def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str] | None = None, tops: dict[str, str] | None = None, ranges: int = RANGES, own: bool = True) -> DataFrame:
+    """``df`` with running sums (new name: column) and running maxima (new name: column) in each ``group``, in order of ``order``, with or
+    without each row's ``own`` value; null before the first value. A group of any size is dealt to ranges: each sums its rows by itself, and what the ranges before have of the
     group that one begins with, a number for each range, is added. No group is on one task as a whole. Together ``group``
     and ``order`` tell rows apart, and ``order`` holds no nulls; rows of a null group are one range."""
     sums, tops = sums or {}, tops or {}
     by = [*group, *order]
     dealt = ranged(written(df, "running"), by, ranges)
-    inside = W.partitionBy("__range", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("__range", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if own else -1)
     ends = [F.sum(c).alias(n) for n, c in sums.items()] + [F.max(c).alias(n) for n, c in tops.items()]
     found = dealt.groupBy("__range", *group).agg(*ends)
     edge = W.partitionBy("__range")

@@ -159,7 +159,7 @@ _DEAD = "(w.state = 'dead' AND o.kind NOT IN ('revive', 'edit'))"
 _WAIT = f"least(300.0, coalesce(o.retry_after, 15.0 * {_RUNS}))"
 
 
-@query(
+KEY_LIFE_SQL = (
     with_roles(
         f"""--o AS (SELECT key_id, seq, epoch_us(ts) / 1e6 AS at, CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles' AS DATE) AS d, daily, retry_after, CASE WHEN seq % 23 = 5 THEN 'dead' WHEN seq % 23 = 11 THEN 'revive' WHEN seq % 17 = 3 THEN 'edit' ELSE outcome END AS kind, CAST(4 + seq % 9 AS BIGINT) AS rpd FROM outcomes),
         w AS (SELECT DISTINCT key_id, CAST(0 AS BIGINT) AS seq, 'active' AS state, CAST(NULL AS DATE) AS day, CAST(0 AS BIGINT) AS used, CAST(12 AS BIGINT) AS lim, 0 AS refusals, CAST(0.0 AS DOUBLE) AS cool, CAST(0.0 AS DOUBLE) AS last_used, '' AS err FROM o
@@ -178,14 +178,30 @@ _WAIT = f"least(300.0, coalesce(o.retry_after, 15.0 * {_RUNS}))"
         "outcomes",
     )
 )
-def key_life(spark, sf_dir):
-    """Every transition of a key: rejected, revived and edited ones too, with all messages and times, on from a snapshot half way."""
+
+
+def life_of_keys(spark, sf_dir):
+    """Keys, and outcomes of every kind: rejected, revived and edited ones too."""
     s = F.col("seq")
     kind = F.when(s % 23 == 5, "dead").when(s % 23 == 11, "revive").when(s % 17 == 3, "edit").otherwise(F.col("outcome"))
-    message = F.when(F.col("message") == "Requests per day", F.col("message")).otherwise(F.concat(F.lit("said "), s.cast("string")))
-    o = outcomes(spark, sf_dir).withColumns({"outcome": kind, "message": F.when(kind == "rate_limited", F.col("message")).otherwise(message), "rpd": F.when(kind == "edit", 4 + s % 9)})
+    o = outcomes(spark, sf_dir).withColumns({"outcome": kind, "rpd": F.when(kind == "edit", 4 + s % 9)})
     o = o.withColumn("message", F.when(F.col("outcome").isin("transient", "dead"), F.concat(F.lit("said "), s.cast("string"))).otherwise(F.col("message")))
-    k = o.select("key_id").distinct().withColumn("rpd_limit", F.lit(12).cast("long"))
-    half = written(K.fold_outcomes(k, o.filter(s <= 7)), "half")
-    done = K.fold_outcomes(half, o.filter(s > 7))
-    return done.select("key_id", "state", F.date_format("used_on", "yyyy-MM-dd").alias("used_on"), "used_today", "rpd_limit", "refusals", F.round("cooldown_until", 3).alias("cooldown_until"), F.round("last_used_at", 3).alias("last_used_at"), "last_error")
+    return o.select("key_id").distinct().withColumn("rpd_limit", F.lit(12).cast("long")), o
+
+
+def life(states):
+    return states.select("key_id", "state", F.date_format("used_on", "yyyy-MM-dd").alias("used_on"), "used_today", "rpd_limit", "refusals", F.round("cooldown_until", 3).alias("cooldown_until"), F.round("last_used_at", 3).alias("last_used_at"), "last_error")
+
+
+@query(KEY_LIFE_SQL)
+def key_life(spark, sf_dir):
+    """Every transition of a key, with all messages and times, on from a snapshot half way."""
+    k, o = life_of_keys(spark, sf_dir)
+    half = written(K.fold_outcomes(k, o.filter("seq <= 7")), "half")
+    return life(K.fold_outcomes(half, o.filter("seq > 7")))
+
+
+@query(KEY_LIFE_SQL)
+def key_life_by_ranges(spark, sf_dir):
+    """The same for keys of any number of outcomes."""
+    return life(K.fold_by_ranges(*life_of_keys(spark, sf_dir)))

@@ -32,6 +32,7 @@ from quire.operators import keys as K
 from quire.operators import queue
 from quire.sources.commits import Commits, Hadoop
 from quire.sources.files import guarded
+from quire.streaming.profiles import Profiles, profiled
 
 LEASE = "book_id long, page_no int, bucket int, key_id long, at double, spacing double"
 ANSWER = "book_id long, page_no int, key_id long, called_at double, status int, body string, headers map<string,string>, kind string, message string, latency_ms long"
@@ -41,6 +42,7 @@ KEYS = "key_id long, state string, used_on date, used_today long, rpd_limit long
 #: What a failure is to the key; a page that was not called is neither a success nor a failure.
 TO_KEY = {"RateLimited": "rate_limited", "KeyRejected": "dead", "TransientError": "transient", "BadResponse": "success"}
 NOT_CALLED = "NotCalled"
+CALLED = ["book_id", "page_no", "key_id", "called_at", "kind", "message", "retry_after"]
 #: Pages of a bucket, as a rule; versions of the state that stay.
 BUCKET_PAGES, KEPT = 100_000, 5
 #: Characters of what can be told from other text as a secret.
@@ -84,6 +86,11 @@ class Folder:
         """States of the pages of some buckets."""
         return self.read(PAGES, [head["buckets"][b]["files"] for b in only])
 
+    def folded(self, head: dict, leases: DataFrame, changes: DataFrame, max_attempts: int, name: str) -> dict[str, dict]:
+        """New entries of the buckets of leased pages, after their changes."""
+        touched = [str(r[0]) for r in leases.filter("page_no > 0").select("bucket").distinct().collect()]
+        return self.write_buckets(queue.fold_onto(self.buckets(head, touched), changes, max_attempts), name) if touched else {}
+
     def retire(self) -> None:
         """Removes states that only versions before the last few name."""
         numbers = self.commits.numbers()
@@ -104,9 +111,9 @@ def names_of(schema: str) -> list[str]:
 
 
 def change_of(pages: DataFrame, seq: int, kind: str, now: float) -> DataFrame:
-    """The same change of all pages."""
+    """The same change of all pages; page 0 stands for a book's profile and has no state."""
     own = {"book_id": F.col("book_id"), "page_no": F.col("page_no"), "seq": F.lit(seq).cast("long"), "kind": F.lit(kind), "ts": F.lit(now)}
-    return pages.select(*[own.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in StructType.fromDDL(queue.CHANGE)])
+    return pages.filter("page_no > 0").select(*[own.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in StructType.fromDDL(queue.CHANGE)])
 
 
 def start(spark: SparkSession, folder: str, new_pages: DataFrame, now: float, bucket_pages: int = BUCKET_PAGES) -> None:
@@ -147,11 +154,10 @@ def classified(answers: DataFrame) -> DataFrame:
 
 def judged(answers: DataFrame) -> DataFrame:
     """Classified answers with their payload and its gate; an answer without a result is a bad response."""
-    names = ["book_id", "page_no", "key_id", "called_at", "kind", "message", "retry_after"]
     body = F.when(F.col("kind").isNull(), F.col("body"))
-    a = answers.select(*names, F.from_json(body, RESPONSE).alias("response"), token_usage(body).alias("usage"))
+    a = answers.select(*CALLED, F.from_json(body, RESPONSE).alias("response"), token_usage(body).alias("usage"))
     a = with_payload(a, F.col("response")).withColumns({"kind": F.coalesce("kind", F.when(F.col("payload.error").isNotNull(), "BadResponse")), "message": F.coalesce("message", "payload.error")})
-    return quality.gate(a.select(*names, "usage", "payload.result.*"))
+    return quality.gate(a.select(*CALLED, "usage", "payload.result.*"))
 
 
 def changes_of(done: DataFrame, seq: int, now: float) -> DataFrame:
@@ -170,9 +176,9 @@ def outcomes_of(done: DataFrame) -> DataFrame:
     return called.select("key_id", place.cast("long").alias("seq"), F.timestamp_micros((F.col("called_at") * 1e6).cast("long")).alias("ts"), outcome.alias("outcome"), F.when(F.col("kind") != "BadResponse", F.col("message")).alias("message"), "retry_after", F.lit(None).cast("long").alias("rpd"))
 
 
-def call_leases(leases: DataFrame, call: Callable[[dict], dict], secrets: dict[int, str], clock: Callable[[], float], wait: Callable[[float], None], at_once: int) -> DataFrame:
+def call_leases(leases: DataFrame, call: Callable[[dict], dict], secrets: dict[int, str], known: dict[int, dict], clock: Callable[[], float], wait: Callable[[float], None], at_once: int) -> DataFrame:
     """Each lease's call, none before its time nor sooner after the key's last one than its spacing, a key's calls all in one
-    task. After a call that fails through the key or the service its other leases aren't called."""
+    task, with what is ``known`` of its book. After a call that fails through the key or the service its other leases aren't called."""
     names = names_of(ANSWER)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +196,9 @@ def call_leases(leases: DataFrame, call: Callable[[dict], dict], secrets: dict[i
                     wait(delay)
                 at = clock()
                 next_at[key] = at + r["spacing"]
-                out = guarded(call, row | {"secret": secrets.get(key)}) | row | {"called_at": at}
+                of_book = known.get(r["book_id"], {})
+                more = {"secret": secrets.get(key)} | ({k: v for k, v in of_book.items() if (k == "sample_pages") == (r["page_no"] == 0)})
+                out = guarded(call, row | more) | row | {"called_at": at}
                 for name in ("body", "message"):  # neither an echo nor an error may carry the secret into a file
                     if len(secrets.get(key) or "") >= SECRET and out.get(name):
                         out[name] = out[name].replace(secrets[key], "…")
@@ -203,7 +211,7 @@ def call_leases(leases: DataFrame, call: Callable[[dict], dict], secrets: dict[i
     return leases.repartition(at_once, "key_id").sortWithinPartitions("at", "key_id").mapInPandas(run, ANSWER)
 
 
-def claim(run: Folder, keys: DataFrame, now: float, owner: str, horizon: float, calls_a_key: int, size: int, max_attempts: int) -> tuple[str, float | None]:
+def claim(run: Folder, keys: DataFrame, now: float, owner: str, horizon: float, calls_a_key: int, size: int, max_attempts: int, profiles: Profiles | None = None) -> tuple[str, float | None]:
     """Takes the next pages out: ("claimed", None), ("done", None), ("no keys", None) or ("wait", seconds)."""
     day = quota.quota_day(F.timestamp_seconds(F.lit(now)).cast("timestamp_ntz"))
     said: tuple[str, float | None] = ("claimed", None)
@@ -226,19 +234,20 @@ def claim(run: Folder, keys: DataFrame, now: float, owner: str, horizon: float,
         states = run.put(f"keys/v{batch}", K.expire(key_states(stored, keys), now, day).coalesce(1))
         free = states.withColumn("rpd_limit", F.col("rpd_limit") - F.col("out"))  # what other batches have out is spoken for
         pending = run.buckets(head, first).filter("status = 'pending'").select("book_id", "page_no", "bucket")
+        if profiles:
+            pending = profiles.candidates(pending, size * calls_a_key, [b for x in head["out"].values() for b in x["books"]])
         leases = run.put(f"leases/{batch}", K.paced_lease(pending, free, now, horizon, size, calls_a_key).select(*names_of(LEASE)).coalesce(1))
-        touched = [str(r[0]) for r in leases.select("bucket").distinct().collect()]  # as many as the batch has leases, at most
-        if not touched:
+        taken = leases.select("book_id", "page_no", "bucket").collect()  # ``size * calls_a_key`` leases at most
+        if not taken:
             seconds = K.next_available_in(free, now, size).first()[0]
-            said = ("no keys", None) if seconds is None else ("wait", seconds)
+            said = ("no keys", None) if seconds is None else ("wait", max(seconds, 0.0 if not profiles else 1.0))  # others may be asking for profiles
             return None
-        claims = change_of(leases, 2 * (number + 1), "claim", now)
-        entries = run.write_buckets(queue.fold_onto(run.buckets(head, touched), claims, max_attempts), f"pages/v{batch}")
-        taken = leases.groupBy("key_id").agg(F.max("at").alias("last_at"), F.count("*").alias("n"))
-        after = states.join(taken, "key_id", "left").withColumns({"last_used_at": F.greatest("last_used_at", F.coalesce("last_at", F.lit(0.0))), "out": F.col("out") + F.coalesce("n", F.lit(0))})
+        entries = run.folded(head, leases, change_of(leases, 2 * (number + 1), "claim", now), max_attempts, f"pages/v{batch}")
+        used = leases.groupBy("key_id").agg(F.max("at").alias("last_at"), F.count("*").alias("n"))
+        after = states.join(used, "key_id", "left").withColumns({"last_used_at": F.greatest("last_used_at", F.coalesce("last_at", F.lit(0.0))), "out": F.col("out") + F.coalesce("n", F.lit(0))})
         others = stored.join(states.select("key_id"), "key_id", "left_anti")  # of drivers with other keys
         run.put(f"keys/w{batch}", after.select(*names_of(KEYS)).unionByName(others).coalesce(1))
-        return {"buckets": head["buckets"] | entries, "keys": f"keys/w{batch}", "out": head["out"] | {batch: {"owner": owner, "since": now, "number": number + 1}}}
+        return {"buckets": head["buckets"] | entries, "keys": f"keys/w{batch}", "out": head["out"] | {batch: {"owner": owner, "since": now, "number": number + 1, "books": [r.book_id for r in taken if r.page_no == 0]}}}
 
     got = run.commits.change(step)
     for k, batch in enumerate(tried, 1):
@@ -248,20 +257,29 @@ def claim(run: Folder, keys: DataFrame, now: float, owner: str, horizon: float,
     return said
 
 
-def finish(run: Folder, batch: str, since: dict, keys: DataFrame, call, clock, wait, at_once: int, max_attempts: int, log) -> None:
+def finish(run: Folder, batch: str, since: dict, keys: DataFrame, call, clock, wait, at_once: int, max_attempts: int, log, profiles: Profiles | None = None) -> None:
     """Calls the leases of a batch that is out and commits what came of it; it counts once, whatever is repeated."""
     leases = run.read(LEASE, [f"leases/{batch}"])
     used = [r[0] for r in leases.select("key_id").distinct().collect()]  # keys of the working set
     secrets = {r.key_id: r.secret for r in keys.filter(F.col("key_id").isin(used)).select("key_id", "secret").collect()}
-    answers = run.made(f"results/{batch}", lambda: call_leases(leases, call, secrets, clock, wait, at_once))
+    known = profiles.known([r[0] for r in leases.select("book_id").distinct().collect()]) if profiles else {}
+    answers = run.made(f"results/{batch}", lambda: call_leases(leases, call, secrets, known, clock, wait, at_once))
     log("results", since["number"], answers)
-    done = run.put(f"judged/{batch}", judged(run.put(f"classified/{batch}", classified(answers))))
+    said = run.put(f"classified/{batch}", classified(answers))
+    done = run.put(f"judged/{batch}", judged(said.filter("page_no > 0")))
+    called = done.select(*CALLED)
+    if profiles:
+        asked = run.put(f"asked/{batch}", profiled(said.filter("page_no = 0"), CALLED))
+        called = called.unionByName(asked.select(*CALLED))
+        if since["books"]:
+            profiles.save(asked.filter(~F.col("kind").eqNullSafe(NOT_CALLED)))
+            log("profiles", since["number"], asked)
     changes = run.made(f"changes/{batch}", lambda: changes_of(done, 2 * since["number"] + 1, since["since"]))
-    outcomes = run.made(f"outcomes/{batch}", lambda: outcomes_of(done))
+    outcomes = run.made(f"outcomes/{batch}", lambda: outcomes_of(called))
     log("changes", since["number"], changes)
     log("outcomes", since["number"], outcomes)
     settle(run, batch, leases, changes, outcomes, max_attempts, log)
-    for name in ("results", "classified", "judged"):
+    for name in ("results", "classified", "judged", "asked"):
         run.files.remove(f"{name}/{batch}")
 
 
@@ -274,8 +292,7 @@ def settle(run: Folder, batch: str, leases: DataFrame, changes: DataFrame, outco
             return None
         name = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
         tried.append(name)
-        touched = [str(r[0]) for r in leases.select("bucket").distinct().collect()]
-        entries = run.write_buckets(queue.fold_onto(run.buckets(head, touched), changes, max_attempts), f"pages/v{name}")
+        entries = run.folded(head, leases, changes, max_attempts, f"pages/v{name}")
         back = leases.groupBy("key_id").agg(F.count("*").alias("n"))
         states = K.fold_outcomes(run.read(KEYS, [head["keys"]]), outcomes).join(back, "key_id", "left").withColumn("out", F.greatest(F.lit(0).cast("long"), F.col("out") - F.coalesce("n", F.lit(0))))
         run.put(f"keys/w{name}", states.select(*names_of(KEYS)).coalesce(1))
@@ -304,22 +321,25 @@ def run_queue(
     log: Callable[[str, int, DataFrame], None] = lambda what, number, rows: None,
     stop: Callable[[], bool] = lambda: False,
     owner: str = "run",
+    samples: DataFrame | None = None,
 ) -> str:
     """Runs a started queue; returns why it ended: ``done`` (no page is pending), ``no keys`` (none will be ready today),
     ``stopped`` or ``cancelled``. ``keys``: key_id, secret, rpm_limit, rpd_limit, enabled. ``call`` gets book_id, page_no, key_id and secret and
     returns status, body, headers. A batch has the leases of the next ``horizon`` seconds, ``calls_a_key`` of a key at most. ``clock`` and ``wait``
     go to the tasks too. ``log`` hears of each table that a batch has made, key states too; ``stop`` is asked before each batch. ``owner``
-    names this driver among those that work on the folder at the same time."""
+    names this driver among those that work on the folder at the same time. With ``samples`` (book_id, pages, strategy) each book is profiled
+    first: a call with page_no 0 gets its ``sample_pages``, and the calls of its pages get the ``profile``, as JSON."""
     run = Folder(spark, folder)
+    profiles = None if samples is None else Profiles(spark, folder, samples)
     while True:
         for batch, since in run.commits.head()[1]["out"].items():
             if since["owner"] == owner:
-                finish(run, batch, since, keys, call, clock, wait, size, max_attempts, log)
+                finish(run, batch, since, keys, call, clock, wait, size, max_attempts, log, profiles)
         if stop():
             return "stopped"
         if run.files.exists("cancel"):
             return "cancelled"
-        said, seconds = claim(run, keys, clock(), owner, horizon, calls_a_key, size, max_attempts)
+        said, seconds = claim(run, keys, clock(), owner, horizon, calls_a_key, size, max_attempts, profiles)
         if said == "wait":
             wait(seconds)
         elif said != "claimed":

@@ -1,5 +1,6 @@
 """Running sums and maxima over ranges: groups larger than a range, groups of one row, ties of values."""
 
+import datetime as dt
 import random
 
 from quire.operators import keys as K
@@ -27,3 +28,24 @@ def test_one_key_with_most_outcomes(spark):
     o = spark.createDataFrame(rows, "key_id long, seq long, outcome string").repartition(5)
     want = {(r.key_id, r.seq): r.run for r in K.refusals_in_a_row(o).collect()}
     assert {(r.key_id, r.seq): r.run for r in K.refusals_by_ranges(o).collect()} == want
+
+
+def test_the_fold_of_a_key_over_ranges(spark):
+    """Every kind of outcome, over many days, most of one key: equal to the fold that holds a key's outcomes in order."""
+    rng, now, rows = random.Random(11), dt.datetime(2026, 3, 1, 12), []
+    for seq in range(1500):
+        now += dt.timedelta(minutes=rng.choice([1, 2, 2, 5, 30, 200]))
+        kind = rng.choices(["success", "rate_limited", "transient", "dead", "revive", "edit"], [62, 30, 3, 0.4, 1.5, 2])[0]
+        if seq % 200 > 170:  # refusals in a row, so that limits are learned
+            kind = "rate_limited"
+        rows.append((rng.choices([1, 2, 3, 4, 5], [70, 10, 10, 5, 5])[0], seq, now, kind, rng.choice(["", "per day", "slow down", None]) if kind == "rate_limited" else "m", rng.choice([None, 0.0, 42.0, 900.0]), rng.randint(5, 40) if kind == "edit" else None))
+    keys = spark.createDataFrame([(k, 30 if k < 4 else 12) for k in range(1, 8)], "key_id long, rpd_limit long")
+    schema = "key_id long, seq long, ts timestamp, outcome string, message string, retry_after double, rpd long"
+    names = ["key_id", *K.STATE_FIELDS]
+    learned = 0
+    for n in (1500, 1180, 391, 60, 0):
+        o = spark.createDataFrame(rows[:n], schema).repartition(4)
+        want = sorted(tuple(r) for r in K.fold_outcomes(keys, o).select(*names).collect())
+        assert sorted(tuple(r) for r in K.fold_by_ranges(keys, o).select(*names).collect()) == want
+        learned += sum(r[4] not in (12, 30) for r in want)
+    assert learned

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import classify, quota
 from quire.operators import export, keys as K, numbering, publish, queue
 from quire.sources import buckets, commits, files, store
-from quire.streaming import run
+from quire.streaming import profiles, run
 
 START = 1_700_000_000.0
 
@@ -225,6 +225,49 @@ def test_pages_of_a_lost_driver_are_given_back(spark, tmp_path):
     assert run.run_queue(spark, folder, keys, answered(), clock, clock.wait) == "done"
 
 
+def test_books_are_profiled_before_their_pages(spark, tmp_path):
+    """Book 1 has a profile, book 2 no text pages, book 3 fails three times, book 4 is refused once; pages wait for it."""
+
+    def profiler(path):
+        import json
+        import os
+
+        def answer(row):
+            book, page = row["book_id"], row["page_no"]
+            with open(f"{path}/calls", "a") as f:
+                f.write(json.dumps([book, page, row.get("sample_pages"), row.get("profile")]) + "\n")
+            text = json.dumps({"page_type": "text", "transcription": f"Page {page} of book {book}, at some length."})
+            if page == 0:
+                if book == 3:
+                    raise ValueError("not JSON")
+                if book == 4 and not os.path.exists(f"{path}/refused"):
+                    open(f"{path}/refused", "w").close()
+                    return {"status": 429, "body": "slow down", "headers": {}}
+                text = json.dumps({"primary_language": "Latin", "era": "unknown", "script": "latin"})
+            return {"status": 200, "body": json.dumps({"steps": [{"type": "model_output", "content": [{"type": "text", "text": text}]}]}), "headers": {}}
+
+        return answer
+
+    folder = f"file://{tmp_path}/run"
+    run.start(spark, folder, spark.createDataFrame([(b, p) for b in (1, 2, 3, 4) for p in (1, 2)], "book_id long, page_no int"), START)
+    keys = spark.createDataFrame([(1, "a-secret-of-one", 0, 100, True), (2, "a-secret-of-two", 0, 100, True)], KEYS)
+    samples = spark.createDataFrame([(1, [16, 17], "after front matter"), (2, [], "no text pages found"), (3, [1], "whole book (fallback)"), (4, [2], "whole book (fallback)")], "book_id long, pages array<int>, strategy string")
+    clock = clock_at()
+    assert run.run_queue(spark, folder, keys, profiler(str(tmp_path)), clock, clock.wait, log=follows(clock), samples=samples) == "done"
+    calls = [json.loads(x) for x in (tmp_path / "calls").read_text().splitlines()]
+    asked = Counter(b for b, p, _, _ in calls if p == 0)
+    assert asked == {1: 1, 3: 3, 4: 2} and [s for b, p, s, _ in calls if (b, p) == (1, 0)] == [[16, 17]]
+    for b in (1, 4):
+        last = max(i for i, c in enumerate(calls) if c[:2] == [b, 0])
+        assert all(i > last and json.loads(c[3]) == {"primary_language": "Latin", "era": "", "script": "latin"} for i, c in enumerate(calls) if c[0] == b and c[1] > 0)
+    assert {c[3] for c in calls if c[0] == 2} == {"{}"} and {c[3] for c in calls if c[0] == 3 and c[1]} == {None}
+    assert run.progress(spark, folder)["done"] == 8
+    outcomes = outcomes_in(spark, folder).collect()
+    assert len(outcomes) == len(calls)  # profile calls count for the keys
+    stored = {r.book_id: (r.profile_json is not None, r.attempts, r.sample_pages) for r in profiles.Profiles(spark, folder, samples).stored().collect()}
+    assert stored == {1: (True, 0, [16, 17]), 2: (True, 0, []), 3: (False, 3, [1]), 4: (True, 0, [2])}
+
+
 def test_the_first_commit_of_a_number_stays(spark, tmp_path):
     log = commits.Commits(spark, f"file://{tmp_path}/c")
     assert log.head() == (-1, {}) and log.put(0, {"a": 1}) and not log.put(0, {"a": 2})
