@@ -220,3 +220,25 @@ def planted(key: object, words: list[bytes]) -> list[bytes]:
     p = 1 + (n - a) // (3 + g % 8)
     tail = words[a : a + p]
     return words[:a] + (tail * ((n - a) // p + 1))[: n - a]
+
+
+#: All equal five-word sequences at a distance of at most a quarter of a text are paired; pairs of one distance in a row are a run.
+SQL = r"""WITH RECURSIVE steps AS (SELECT CAST(range AS BIGINT) AS k, CAST(range AS BIGINT) AS c, 0 AS s FROM range(256)
+  UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, s + 1 FROM steps WHERE s < 8),
+tab AS (SELECT list(c ORDER BY k) AS t FROM steps WHERE s = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h FROM documents, tab),
+n AS (SELECT *, len(ws) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM n),
+p AS (SELECT *, CASE WHEN n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+i AS (SELECT r, n, h, a, p, ws, unnest(range(n)) AS i FROM p),
+w AS (SELECT r, n, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS w FROM i),
+f AS (SELECT r, n, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS f FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+m AS (SELECT x.r, x.i, y.i - x.i AS q FROM f x JOIN f y ON x.r = y.r AND x.f = y.f AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+c AS (SELECT r, q, min(i) AS s, max(i) - min(i) + 5 + q AS len FROM s GROUP BY r, q, island HAVING max(i) - min(i) + 5 + q >= greatest(6, 4 * q)),
+u AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.r = c.r AND b.q < c.q AND b.s <= c.s AND b.s + b.len >= c.s + c.len)),
+t AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines, min((-len, s, q)) AS best FROM u GROUP BY r),
+k AS (SELECT w.r, string_agg(w, ' ' ORDER BY i) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.r = w.r AND w.i >= u.s + u.q AND w.i < u.s + u.len) GROUP BY w.r)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best[2] AS BIGINT) AS start, CAST(-best[1] AS BIGINT) AS length, CAST(best[3] AS BIGINT) AS period, CAST(1000 * -best[1] // best[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t ON t.r = d.r LEFT JOIN k ON k.r = d.r"""

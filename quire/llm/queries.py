@@ -96,5 +96,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": near.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op8_decontamination": decontamination.SQL,
+    "op12_periodic_runs": periodic_runs.SQL,
     "op13_band_join": band_join.SQL,
 }
