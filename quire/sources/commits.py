@@ -96,10 +96,16 @@ class Commits:
         return self.files.put_if_absent(f"{number:08d}.json", json.dumps(content))
 
     def change(self, step: Callable[[int, dict], dict | None]) -> tuple[int, dict] | None:
-        """``step(head's number, its content)`` makes the next commit, again after each race that is lost; None ends it without one."""
+        """``step(head's number, its content)`` makes the next commit, again after each race that is lost; None ends it without one. A
+        step that fails because others have meanwhile retired what its head names is taken again from the new head."""
         while True:
             number, content = self.head()
-            new = step(number, content)
+            try:
+                new = step(number, content)
+            except Exception:
+                if self.numbers()[-1:] == ([number] if number >= 0 else []):
+                    raise
+                continue
             if new is None:
                 return None
             if self.put(number + 1, new):

@@ -281,6 +281,16 @@ def test_the_first_commit_of_a_number_stays(spark, tmp_path):
 
     assert log.change(step) == (2, {"a": ["other", "mine"]}) and seen == [0, 1]
     assert log.change(lambda number, head: None) is None and log.numbers() == [0, 1, 2]
+
+    def late(number, head):
+        if number == 2:  # its files went when others moved on
+            log.put(3, {"a": "moved on"})
+            raise FileNotFoundError("retired")
+        return {"a": "late"}
+
+    assert log.change(late) == (4, {"a": "late"})
+    with pytest.raises(ZeroDivisionError):
+        log.change(lambda number, head: {"a": 1 / 0})
     assert not [f for f in (tmp_path / "c").iterdir() if f.name.endswith(".tmp")]
 
 
