@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -118,7 +119,7 @@ class Rows(dict):
         return row
 
     def of(self, tokens: list[str]) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, tokens)), "<u2" if len(self.ids) < 1 << 16 else "<u4")
+        return np.fromiter(map(self.__getitem__, tokens), "<u2" if len(self.ids) < 1 << 16 else "<u4", len(tokens))
 
 
 def measures(text: str, tokens: list[str]) -> tuple[float, ...]:
@@ -128,7 +129,7 @@ def measures(text: str, tokens: list[str]) -> tuple[float, ...]:
     lines = [x for x in text.split("\n") if x.strip()]
     grams = len(tokens) - 2
     runs = 1 - len(set(zip(tokens, tokens[1:], tokens[2:], strict=False))) / grams if grams > 0 else 0.0
-    return float(np.log1p(len(tokens))), len(set(tokens)) / len(tokens), 1 - len(set(lines)) / max(len(lines), 1), runs, sum(map(str.__eq__, tokens, tokens[1:])) / len(tokens)
+    return float(np.log1p(len(tokens))), len(set(tokens)) / len(tokens), 1 - len(set(lines)) / max(len(lines), 1), runs, sum(map(eq, tokens, tokens[1:])) / len(tokens)
 
 
 def encode(texts: list[str], rows: Rows) -> tuple[list[np.ndarray], list[tuple[float, ...]]]:
@@ -166,13 +167,21 @@ class Neighbours:
         for o in range(1, WINDOW + 1):
             a, b = flat[:-o], flat[o:]
             ok = (a < self.n) & (b < self.n)
-            np.add.at(self.together, a[ok] * self.n + b[ok], 1)
+            pairs, times = np.unique(a[ok] * self.n + b[ok], return_counts=True)
+            self.together[pairs] += times.astype(np.int32)
 
     def sums(self, index: np.ndarray) -> np.ndarray:
-        """The index vectors of each token's neighbours on both sides, summed: whole numbers."""
-        pairs, wide = self.together.reshape(self.n, self.n), index.astype(np.float64)
-        parts = [pairs[k : k + 512] @ wide + pairs[:, k : k + 512].T @ wide for k in range(0, self.n, 512)]
-        return np.concatenate(parts).astype(np.int64)
+        """The index vectors of each token's neighbours on both sides, summed: whole numbers. Only pairs that occur and the few
+        places of an index vector that aren't 0 are looked at."""
+        at = np.flatnonzero(self.together)
+        times = self.together[at]
+        out = np.zeros(self.n * WIDTH)
+        places = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
+        signs = np.take_along_axis(index, places, axis=1)
+        for own, other in ((at // self.n, at % self.n), (at % self.n, at // self.n)):
+            for k in range(NONZERO):
+                out += np.bincount(own * WIDTH + places[other, k], times * signs[other, k], self.n * WIDTH)
+        return out.reshape(self.n, WIDTH).astype(np.int64)
 
 
 def neighbour_sums(table: DataFrame, index: np.ndarray) -> np.ndarray:
