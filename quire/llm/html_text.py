@@ -1,22 +1,23 @@
 """Main text by equivalence-class template deduction.
 
-Each page becomes tokens: opening tags with their path of ancestors (names, classes, ids) and text blocks with
-theirs. Over all different contents of a host, tokens with equal occurrence vectors (how often on which content) form
+Each page becomes tokens: opening tags with their path of ancestors (names, classes, ids), sectioning elements by their
+place below each other, and all text blocks with their path, those in menus, notices and the like too. Over all different contents of a host, tokens with equal occurrence vectors (how often on which content) form
 an equivalence class; vectors are compared by the sum over contents of a hash of content and count, so they are
 aggregated in two steps, for a host of any size and without leaving out pages. A class is of the template if it has
 three tokens or more, is on three contents or more (below
 half of the host's, its blocks count where most of what is in their path repeats), has at most half of the text or
 half of the blocks of its pages, as pages that share more are copies of each other, and comes in
-one order on most of them. On a page where it comes in another order, or crosses a larger class instead of lying
-between two of its tokens, it isn't taken as template. Blocks of the template go.
+one order on most of them, openings and ends of sections alike. On a page where it comes in another order, or crosses a larger
+class instead of lying between two of its tokens, it isn't taken as template. Blocks of the template go.
 
-The sectioning elements of a host's pages, by their place below each other, are the template's slots. One that is on three
-contents or more and has three quarters of the text of the contents that it is on is a main slot. On a page the innermost
+The template's slots lie between the opening and the end of a section in such a class. One that
+has three quarters of the text of the contents on which its class is in place is a main slot. A section that is in no valid class,
+or whose class isn't in place on a page, is no slot there. On a page the innermost
 main slot is the article, or the innermost with a main headline that isn't of the template, so a headline above
 the body of the article stays; blocks of all other slots go. This needs no names of elements or classes. A slot with
 less than half of a page's own text is none there: that page has another layout than its host's others.
 
-Names are hints for what the template leaves. If at least half of the text that is left lies in article or main
+Names are hints for what the template leaves (``hints`` false: they aren't asked). If at least half of the text that is left lies in article or main
 elements, that is the main text; else all of it is. Blocks in boilerplate elements (menus, headers, footers,
 sidebars, notices, adverts, forms, comments) go too, so hosts with one or two pages have a result; names
 of classes and ids count only for elements without most of the article's text (of the page's, without an article).
@@ -67,15 +68,18 @@ class Block(NamedTuple):
     main: bool
     spot: int  # its innermost section
     head: bool  # the main headline
+    hint: bool  # its names say boilerplate
 
 
 class Spot(NamedTuple):
-    """A section: its place among the page's, the section around it, the text below it, and what hints leave of that."""
+    """A section: its place among the page's, the section around it, the text below it, what hints leave of that, and
+    the number of tokens before its end."""
 
     token: int
     around: int
     chars: int
     kept: int
+    end: int
 
 
 class Page(NamedTuple):
@@ -119,19 +123,18 @@ def marks(name: str, attrs: str, parent: Node) -> tuple[str, bool, bool, bool]:
     return f"{name}.{re.sub(r'[0-9]+', '0', named)}" if named else name, boiler, main, called and not main
 
 
-def parse(page: str) -> Page:
-    """Tag tokens and text blocks in page order; blocks in boilerplate elements are left out. Names are weighed
+def parse(page: str, hints: bool = True) -> Page:
+    """Tag tokens and text blocks in page order. Names are weighed
     once the page is known: an element with most of the article's text, or of the page's where no article has
-    any, isn't what its names say."""
+    any, isn't what its names say. Without ``hints`` no block has any."""
     root = Node("", 0, False, False, -1, 0)
     stack: list[Node] = [root]
     opened: Counter[str] = Counter()
     tokens: list[int] = []
     blocks: list[Block] = []
-    places: list[int] = []  # of each block in tokens
     owners: list[int] = []  # of each block its innermost named element
     named: list[list[int]] = []  # of each named element the one around it, characters, characters in articles
-    places_of: list[list[int]] = [[0, 0, 0, 0]]  # of each section its token, the one around it, characters, those that stay
+    places_of: list[list[int]] = [[0, 0, 0, 0, 0]]  # of each section its token, the one around it, characters, those that stay, its end
     like: Counter[tuple[int, str]] = Counter()  # of each section how many of a kind are in it
     held: list[str] = []
     owner = root
@@ -141,10 +144,9 @@ def parse(page: str) -> Page:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             places_of[owner.spot][2] += len(text)
-            if text and not owner.boiler:
-                blocks.append(Block(text, hashed(str(owner.token), text), owner.token, owner.main, owner.spot, opened["h1"] > 0))
+            if text:
+                blocks.append(Block(text, hashed(str(owner.token), text), owner.token, owner.main, owner.spot, opened["h1"] > 0, owner.boiler))
                 owners.append(owner.named)
-                places.append(len(tokens))
                 tokens.append(blocks[-1].token)
 
     def add(text: str) -> None:
@@ -159,6 +161,9 @@ def parse(page: str) -> Page:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
                 opened.subtract(n.name for n in stack[k:])
+                for n in stack[k:]:
+                    if n.name in SECTIONS:
+                        places_of[n.spot][4] = len(tokens)
                 del stack[k:]
                 return
             if stack[k].name in bound:
@@ -194,14 +199,17 @@ def parse(page: str) -> Page:
                 pop(CLOSES[name], frozenset(("ul", "ol", "dl", "table", "select")) - {name})
         parent = stack[-1]
         sign, boiler, main, called = marks(name, m["attrs"] or "", parent)
+        if not hints:
+            boiler = main = called = False
         token = hashed(str(parent.token), sign) if name not in INLINE else parent.token
-        if name not in INLINE:
-            tokens.append(token)
         spot = parent.spot
         if name in SECTIONS:
             like[spot, sign] += 1
             spot = len(places_of)
-            places_of.append([hashed(str(places_of[parent.spot][0]), sign, str(like[parent.spot, sign])), parent.spot, 0, 0])
+            places_of.append([hashed(str(places_of[parent.spot][0]), sign, str(like[parent.spot, sign])), parent.spot, 0, 0, 0])
+            tokens.append(places_of[spot][0])
+        elif name not in INLINE:
+            tokens.append(token)
         node = Node(name, token, parent.boiler or boiler, parent.main or main, len(named) if called else parent.named, spot)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -214,14 +222,15 @@ def parse(page: str) -> Page:
             stack.append(node)
             opened[name] += 1
     flush()
-    drop = dropped(blocks, owners, named)
-    gone = {i for i, d in zip(places, drop, strict=True) if d}
-    for b, d in zip(blocks, drop, strict=True):
-        places_of[b.spot][3] += 0 if d else len(b.text)
+    weighed = [(b, k) for b, k in zip(blocks, owners, strict=True) if not b.hint]
+    drop = iter(dropped([b for b, _ in weighed], [k for _, k in weighed], named))
+    blocks = [b if b.hint else b._replace(hint=next(drop)) for b in blocks]
+    for b in blocks:
+        places_of[b.spot][3] += 0 if b.hint else len(b.text)
     for x in reversed(places_of[1:]):  # a section comes after those around it
         places_of[x[1]][2] += x[2]
         places_of[x[1]][3] += x[3]
-    return Page([t for i, t in enumerate(tokens) if i not in gone], [b for b, d in zip(blocks, drop, strict=True) if not d], [Spot(*x) for x in places_of])
+    return Page(tokens, blocks, [Spot(t, around, chars, kept, end or len(tokens)) for t, around, chars, kept, end in places_of])
 
 
 def dropped(blocks: list[Block], owners: list[int], named: list[list[int]]) -> list[bool]:
@@ -279,69 +288,101 @@ def judged(seen: list[dict]) -> list[tuple[int, int, list[int]]]:
     return [(c, hashed(*map(str, t)), blocks[c]) for c, t in tokens.items() if c not in crossed]
 
 
-def templates(pages: DataFrame, support: float) -> DataFrame:
+#: A content's different tokens in columns: place of the first, number, characters of a block, blocks without a hint, path of a
+#: block; of a slot its end, its text and what hints leave of it (-1 in place of the end: no slot).
+TOKENS = {"at": pa.int32(), "token": pa.int64(), "k": pa.int32(), "chars": pa.int32(), "plain": pa.int32(), "slot": pa.int64(), "end": pa.int32(), "below": pa.int64(), "kept": pa.int64()}
+PLACED = {"host": pa.string(), "content": pa.int64(), "text": pa.int64(), "page_chars": pa.int64(), "cls": pa.int64(), "pages": pa.int64(), "order": pa.int64(), "blocks": pa.list_(pa.int64()), "spot": pa.list_(pa.int64()), "below": pa.list_(pa.int64()), "kept": pa.list_(pa.int64())}
+
+
+def token_rows(page: Page) -> list[tuple[int, ...]]:
+    """The columns of ``TOKENS`` for each different token, in order of their first places."""
+    first: dict[int, int] = {}
+    for i, t in enumerate(page.tokens):
+        first.setdefault(t, i)
+    counts, plain = Counter(page.tokens), Counter(b.token for b in page.blocks if not b.hint)
+    of = {b.token: b for b in page.blocks}
+    slots = {page.spots[i].token: page.spots[i] for i in page.slots()}
+    rows = []
+    for t, i in first.items():
+        chars, path = (len(of[t].text), of[t].slot) if t in of else (0, 0)
+        end, below, kept = (slots[t].end, slots[t].chars, slots[t].kept) if t in slots else (-1, 0, 0)
+        rows.append((i, t, counts[t], chars, plain[t], path, end, below, kept))
+    return rows
+
+
+def on_a_page(got: list[dict]) -> list[tuple[int, int, int, list[int], list[int], list[int], list[int]]]:
+    """Per class that nests on a page: class, contents with it, hash of its order, blocks without a hint, slots, their texts
+    and what hints leave of those. A slot's end is a token of its class too; of ends in one place the inner slot's is first."""
+    got = sorted(got, key=lambda x: x["at"])
+    opened = [{**x, "at": 2 * x["at"]} for x in got]
+    ends = [{**x, "at": 2 * x["end"] - 1, "token": ~x["token"], "chars": 0} for x in reversed(got) if x["end"] >= 0]
+    plain = {x["token"] for x in got if x["plain"]}
+    slots: dict[int, list[dict]] = defaultdict(list)
+    for x in got:
+        if x["end"] >= 0:
+            slots[x["cls"]].append(x)
+    pages = {x["cls"]: x["pages"] for x in got}
+    return [(c, pages[c], order, [b for b in blocks if b in plain], *([x[f] for x in slots[c]] for f in ("token", "below", "kept"))) for c, order, blocks in judged(opened + ends)]
+
+
+def templates(pages: DataFrame, support: float, hints: bool = True) -> DataFrame:
     """Per host and content of a page its blocks that are of the host's template, and its sections that are main
     slots: host, content, template, main (arrays of long; null if none). ``pages``: host, content, html."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html"):
-            rows = []
+            sums, columns = [], []
             for text in batch.column("html").to_pylist():
-                page = parse(text or "")
-                counts = Counter(page.tokens)
-                of = {b.token: b for b in page.blocks}
-                sizes = [len(of[t].text) if t in of else 0 for t in counts]
-                slots = page.slots()
-                rows.append((sum(len(b.text) for b in page.blocks), len(page.blocks), list(counts), list(counts.values()), sizes, [of[t].slot if t in of else 0 for t in counts], page.spots[0].chars, [page.spots[i].token for i in slots], [page.spots[i].chars for i in slots], [page.spots[i].kept for i in slots]))
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["host", "content", "page_chars", "page_blocks", "token", "k", "chars", "slot", "text", "spot", "below", "kept"])
-
-    contents = pages.mapInArrow(parsed, "host string, content long, page_chars long, page_blocks long, token array<long>, k array<int>, chars array<int>, slot array<long>, text long, spot array<long>, below array<long>, kept array<long>")
-    contents = contents.dropDuplicates(["host", "content"])
-    contents = staged(contents, "contents")
-    each = contents.select("host", "content", "page_chars", "page_blocks", F.posexplode(F.arrays_zip("token", "k", "chars", "slot")).alias("at", "x")).select("host", "content", "page_chars", "page_blocks", "at", "x.*")
+                page = parse(text or "", hints)
+                own = [len(b.text) for b in page.blocks if not b.hint]
+                sums.append((sum(own), len(own), page.spots[0].chars))
+                columns.append(list(zip(*token_rows(page), strict=True)) or [()] * len(TOKENS))
+            arrays = [pa.array(c, pa.int64()) for c in zip(*sums, strict=True)] + [pa.array(map(list, c), pa.list_(t)) for c, t in zip(zip(*columns, strict=True), TOKENS.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), *arrays], names=["host", "content", "page_chars", "page_blocks", "text", *TOKENS])
+
+    lists = ", ".join(f"{c} array<{'int' if t == pa.int32() else 'long'}>" for c, t in TOKENS.items())
+    contents = pages.mapInArrow(parsed, f"host string, content long, page_chars long, page_blocks long, text long, {lists}")
+    contents = staged(contents.dropDuplicates(["host", "content"]), "contents")
+    whole = ("host", "content", "page_chars", "page_blocks", "text")
+    each = contents.select(*whole, F.explode(F.arrays_zip(*TOKENS)).alias("x")).select(*whole, "x.*")
     x = F.xxhash64("content", "k")
-    seen = each.groupBy("host", "token", "chars", "slot").agg(F.count("*").alias("pages"), F.sum(x.bitwiseAND(0x7FFFFFFF)).alias("v1"), F.sum(F.shiftrightunsigned(x, 33)).alias("v2"), F.sum("k").alias("n"), F.sum("page_chars").alias("page_chars"), F.sum("page_blocks").alias("page_blocks"))
-    seen = staged(seen, "tokens")
+    sums = (F.count("*").alias("pages"), F.sum(x.bitwiseAND(0x7FFFFFFF)).alias("v1"), F.sum(F.shiftrightunsigned(x, 33)).alias("v2"), F.sum("k").alias("n"), F.sum("plain").alias("plain"), F.max("end").alias("end"), F.sum("page_chars").alias("page_chars"), F.sum("page_blocks").alias("page_blocks"))
+    seen = staged(each.groupBy("host", "token", "chars", "slot").agg(*sums), "tokens")
     # a large host's tokens are dealt to as many tasks as there are salts
     sizes = contents.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("all")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     valid = seen.filter(F.col("pages") >= PAGES).join(sizes, (F.col("host") == F.col("of")) & (F.pmod("token", F.lit(SALTS)) == F.col("salt"))).drop("of", "salt")
     # below the support, blocks of slots that mostly repeat
-    text = F.when(F.col("chars") > 0, F.col("n")).otherwise(0)
     slots = seen.filter("chars > 0").groupBy(F.col("host").alias("of"), F.col("slot").alias("fixed")).agg((2 * F.sum(F.when(F.col("pages") > 1, F.col("n")).otherwise(0)) >= F.sum("n")).alias("repeats")).filter("repeats")
     valid = valid.join(slots, (F.col("host") == F.col("of")) & (F.col("slot") == F.col("fixed")), "left").filter((F.col("chars") == 0) | (F.col("pages") >= support * F.col("all")) | F.col("repeats"))
-    valid = staged(valid.select("host", "token", "chars", "n", "pages", "page_chars", "page_blocks", F.xxhash64("pages", "v1", "v2").alias("cls")), "valid")
+    valid = staged(valid.select("host", "token", "chars", "plain", "end", "pages", "page_chars", "page_blocks", F.xxhash64("pages", "v1", "v2").alias("cls")), "valid")
     # pages that share most of their text are copies of each other, not of one template
-    classes = valid.groupBy(F.col("host").alias("of"), F.col("cls").alias("c")).agg(F.count("*").alias("size"), F.sum(text).alias("blocks"), F.sum(F.col("chars") * F.col("n")).alias("held"), F.first("page_chars").alias("page_chars"), F.first("page_blocks").alias("page_blocks"))
-    classes = classes.filter((F.col("size") >= SIZE) & (F.col("blocks") > 0) & ((2 * F.col("held") <= F.col("page_chars")) | (2 * F.col("blocks") <= F.col("page_blocks")))).select("of", "c", "size")
+    classes = valid.groupBy(F.col("host").alias("of"), F.col("cls").alias("c")).agg(F.count("*").alias("size"), F.max((F.col("plain") > 0) | (F.col("end") >= 0)).alias("matters"), F.sum("plain").alias("blocks"), F.sum(F.col("chars") * F.col("plain")).alias("held"), F.first("page_chars").alias("page_chars"), F.first("page_blocks").alias("page_blocks"))
+    classes = classes.filter((F.col("size") >= SIZE) & F.col("matters") & ((2 * F.col("held") <= F.col("page_chars")) | (2 * F.col("blocks") <= F.col("page_blocks")))).select("of", "c", "size")
     members = staged(valid.join(classes, (F.col("host") == F.col("of")) & (F.col("cls") == F.col("c"))).select(F.col("host").alias("of"), F.col("token").alias("t"), "cls", "size", "pages"), "members")
-    on_page = each.join(members, (F.col("host") == F.col("of")) & (F.col("token") == F.col("t"))).groupBy("host", "content").agg(F.collect_list(F.struct("at", "token", "cls", "size", "chars", "pages")).alias("seen"))
+    found = each.join(members, (F.col("host") == F.col("of")) & (F.col("token") == F.col("t")))
+    on_page = found.groupBy("host", "content", "text", "page_chars").agg(F.collect_list(F.struct("at", "token", "cls", "size", "chars", "pages", "plain", "end", "below", "kept")).alias("seen"))
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, content, got in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "seen")), strict=True):
-                pages = {x["cls"]: x["pages"] for x in got}
-                rows += [(host, content, c, pages[c], order, blocks) for c, order, blocks in judged(got)]
+            rows = [(*key, *placed) for *key, got in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "text", "page_chars", "seen")), strict=True) for placed in on_a_page(got)]
             if rows:
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "content", "cls", "pages", "order", "blocks"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PLACED.values(), strict=True)], names=list(PLACED))
 
-    placed = staged(on_page.mapInArrow(orders, "host string, content long, cls long, pages long, order long, blocks array<long>"), "placed")
+    placed = staged(on_page.mapInArrow(orders, "host string, content long, text long, page_chars long, cls long, pages long, order long, blocks array<long>, spot array<long>, below array<long>, kept array<long>"), "placed")
     usual = placed.groupBy(F.col("host").alias("of"), F.col("cls").alias("c"), F.col("order").alias("o")).agg((2 * F.count("*") > F.first("pages")).alias("most")).filter("most")
     usual = staged(usual, "usual")
     out = placed.join(usual, (F.col("host") == F.col("of")) & (F.col("cls") == F.col("c")) & (F.col("order") == F.col("o")), "left_semi")
-    own = contents.select("host", "content", "text", "page_chars", F.explode(F.arrays_zip("spot", "below", "kept")).alias("x")).select("host", "content", "text", "page_chars", "x.*")
+    own = out.select("host", "content", "text", "page_chars", F.explode(F.arrays_zip("spot", "below", "kept")).alias("x")).select("host", "content", "text", "page_chars", "x.*")
     main = own.groupBy(F.col("host").alias("of"), F.col("spot").alias("s")).agg(F.count("*").alias("pages"), F.sum("below").alias("below"), F.sum("text").alias("text"))
     main = staged(main.filter((F.col("pages") >= PAGES) & (4 * F.col("below") >= 3 * F.col("text"))).select("of", "s"), "main")
     slots = own.join(main, (F.col("host") == F.col("of")) & (F.col("spot") == F.col("s")), "left_semi").select("host", "content", F.lit(None).cast("array<long>").alias("blocks"), "spot", (F.col("kept") < F.col("page_chars")).alias("cuts"))
     both = out.select("host", "content", "blocks", F.lit(None).cast("long").alias("spot"), F.lit(False).alias("cuts")).unionByName(slots)
     # where no main slot leaves out any text that hints leave, the slots change nothing and the page needs no row
     both = both.groupBy("host", "content").agg(F.flatten(F.collect_list("blocks")).alias("template"), F.collect_list("spot").alias("main"), F.max("cuts").alias("cuts"))
-    found = staged(both.filter(F.col("cuts") | (F.size("template") > 0)).drop("cuts"), "templates")
+    kept = staged(both.filter(F.col("cuts") | (F.size("template") > 0)).drop("cuts"), "templates")
     for table in (contents, seen, valid, members, placed, usual, main):
         discard(table)
-    return found
+    return kept
 
 
 def within(page: Page, template: set[int], main: set[int]) -> list[Block]:
@@ -354,7 +395,7 @@ def within(page: Page, template: set[int], main: set[int]) -> list[Block]:
     headed: set[int] = set()  # sections around a main headline
     for b in page.blocks:
         spot = b.spot
-        while b.head and b.token not in template and spot not in headed:
+        while b.head and not b.hint and b.token not in template and spot not in headed:
             headed.add(spot)
             spot = page.spots[spot].around
     chosen = max([i for i in around if i in headed] or around)
@@ -364,27 +405,27 @@ def within(page: Page, template: set[int], main: set[int]) -> list[Block]:
     return [b for b in page.blocks if own[b.spot]]
 
 
-def extract(text: str, template: set[int], main: set[int] = frozenset()) -> str:
-    """The blocks of the main slot that vary; an article or main element that has at least half of their text is all
-    of it."""
-    page = parse(text)
-    kept = [b for b in within(page, template, main) if b.token not in template]
+def extract(text: str, template: set[int], main: set[int] = frozenset(), hints: bool = True) -> str:
+    """The blocks of the main slot that vary and have no hint; an article or main element that has at least half of their
+    text is all of it."""
+    page = parse(text, hints)
+    kept = [b for b in within(page, template, main) if not b.hint and b.token not in template]
     articles = [b for b in kept if b.main]
     if 2 * sum(len(b.text) for b in articles) >= sum(len(b.text) for b in kept):
         kept = articles
     return "\n\n".join(b.text for b in kept)
 
 
-def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5) -> DataFrame:
+def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5, hints: bool = True) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
     pages = df.select(column(id_col).alias("page"), column(url_col).cast("string").alias("url"), host_of(column(url_col).cast("string")).alias("host"), column(html_col).cast("string").alias("html")).withColumn("content", content_of(F.col("html")))
-    found = templates(pages.select("host", "content", "html"), support).select(F.col("host").alias("of"), F.col("content").alias("c"), "template", "main")
+    found = templates(pages.select("host", "content", "html"), support, hints).select(F.col("host").alias("of"), F.col("content").alias("c"), "template", "main")
     joined = pages.join(found, (F.col("host") == F.col("of")) & (F.col("content") == F.col("c")), "left").select("page", "url", "html", "template", "main")
     id_type = pages.schema["page"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html"):
-            texts = [extract(h or "", set(t or ()), set(m or ())) for h, t, m in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "main")), strict=True)]
+            texts = [extract(h or "", set(t or ()), set(m or ()), hints) for h, t, m in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "main")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")

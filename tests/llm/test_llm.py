@@ -455,45 +455,81 @@ def test_a_headline_of_the_site_opens_no_main_slot(spark):
     assert html_text.within(html_text.parse("<div>" * 20_000 + "<h1>x</h1>" + "y</div>z" * 20_000), set(), set())
 
 
-def brute_templates(pages, support=0.5):
+def test_slots_come_from_valid_classes(spark):
+    """Names aside, a menu and an end that vary leave with the slots of the template; where the sections are in no
+    class of three tokens there is no slot, and where a notice shifts them the page keeps its story."""
+    df = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    text = lambda rows: {r.page_id: r.text for r in html_text.main_text(df(rows), hints=False).collect()}
+    named = [(i, "http://h.org/", f"<body><nav><p>menu {i}</p></nav><article><h1>Head {i}</h1><p>{'story ' * 30}{i}</p></article><footer>{i} end</footer></body>") for i in range(6)]
+    got = text(named)
+    assert all(got[i] == f"Head {i}\n\n{'story ' * 30}{i}" for i in got)
+    notice = (9, "http://h.org/", "<body><nav><p>Read this</p></nav>" + named[0][2].replace("<body>", "").replace("0", "9"))
+    got = text([*named, notice])
+    assert f"{'story ' * 30}9" in got[9] and all(got[i] == f"Head {i}\n\n{'story ' * 30}{i}" for i in range(6))
+    few = [(i, "http://h.org/", f"<b>{i}</b><div>{'story ' * 30}{i}</div>") for i in range(6)]
+    assert all(t == f"{i}\n\n{'story ' * 30}{i}" for i, t in text(few).items())
+
+
+def test_fixed_furniture_is_a_class_without_any_section(spark):
+    """Blocks in elements that names call boilerplate are tokens too: without names their class goes, main slots aside."""
+    fixed = "<p>Home</p><p>About us</p><p>Write to us</p>"
+    rows = [(i, "http://h.org/", f"{fixed}<p>story {i} begins here</p><p>and {i} ends there</p>") for i in range(6)]
+    rows += [(10 + i, "http://n.org/", f"<nav>{fixed}</nav><p>story {i} begins here</p><p>and {i} ends there</p>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for hints in (True, False):
+        got = {r.page_id: r.text for r in html_text.main_text(df, hints=hints).collect()}
+        assert all(t == f"story {i % 10} begins here\n\nand {i % 10} ends there" for i, t in got.items())
+
+
+def brute_templates(pages, support=0.5, hints=True):
     """Per content its template blocks and main slots, from whole occurrence vectors."""
-    parsed = {h: html_text.parse(h) for h in dict.fromkeys(pages)}
-    vectors, n_of, chars, slot_of = defaultdict(dict), Counter(), {}, {}
+    parsed = {h: html_text.parse(h, hints) for h in dict.fromkeys(pages)}
+    vectors, n_of, chars, path, plain, slotted = defaultdict(dict), Counter(), {}, {}, Counter(), set()
     for h, p in parsed.items():
         for t, k in Counter(p.tokens).items():
             vectors[t][h] = k
             n_of[t] += k
         for b in p.blocks:
-            chars[b.token], slot_of[b.token] = len(b.text), b.slot
+            chars[b.token], path[b.token] = len(b.text), b.slot
+            plain[b.token] += not b.hint
+        slotted |= {p.spots[i].token for i in p.slots()}
     repeats = defaultdict(lambda: [0, 0])
     for t in chars:
-        repeats[slot_of[t]][0] += n_of[t] * (len(vectors[t]) > 1)
-        repeats[slot_of[t]][1] += n_of[t]
-    fixed = lambda t: len(vectors[t]) >= support * len(parsed) or 2 * repeats[slot_of[t]][0] >= repeats[slot_of[t]][1]
+        repeats[path[t]][0] += n_of[t] * (len(vectors[t]) > 1)
+        repeats[path[t]][1] += n_of[t]
+    fixed = lambda t: len(vectors[t]) >= support * len(parsed) or 2 * repeats[path[t]][0] >= repeats[path[t]][1]
     classes = defaultdict(list)
     for t, v in vectors.items():
         if len(v) >= 3 and (t not in chars or fixed(t)):
             classes[tuple(sorted(v.items()))].append(t)
     good = {}
     for v, ts in classes.items():
-        blocks, held = sum(n_of[t] for t in ts if t in chars), sum(chars.get(t, 0) * n_of[t] for t in ts)
-        text, every = sum(len(b.text) for h, _ in v for b in parsed[h].blocks), sum(len(parsed[h].blocks) for h, _ in v)
-        if len(ts) >= 3 and blocks and (2 * held <= text or 2 * blocks <= every):
+        blocks, held = sum(plain[t] for t in ts), sum(chars.get(t, 0) * plain[t] for t in ts)
+        own = [len(b.text) for h, _ in v for b in parsed[h].blocks if not b.hint]
+        if len(ts) >= 3 and (blocks or slotted & set(ts)) and (2 * held <= sum(own) or 2 * blocks <= len(own)):
             good |= {t: (min(ts), len(ts), len(v)) for t in ts}
     orders, found = defaultdict(Counter), {}
     for h, p in parsed.items():
-        seen = [{"at": i, "token": t, "cls": good[t][0], "size": good[t][1], "chars": chars.get(t, 0)} for i, t in enumerate(Counter(p.tokens)) if t in good]
+        ends = {p.spots[i].token: p.spots[i].end for i in p.slots()}
+        events = [(i, 1, i, t) for t, i in {t: p.tokens.index(t) for t in p.tokens}.items() if t in good]
+        events += [(ends[t], 0, -i, ~t) for _, _, i, t in list(events) if t in ends]
+        seen = []
+        for i, (_, opens, _, t) in enumerate(sorted(events)):
+            own = good[t if opens else ~t]
+            seen.append({"at": i, "token": t, "cls": own[0], "size": own[1], "chars": chars.get(t, 0)})
         found[h] = html_text.judged(seen)
         for c, o, _ in found[h]:
             orders[c][o] += 1
     pages_of = {c: n for c, _, n in good.values()}
+    usual = {h: [(c, ts) for c, o, ts in found[h] if 2 * orders[c][o] > pages_of[c]] for h in parsed}
     below, text, count = Counter(), Counter(), Counter()
-    for p in parsed.values():
-        for i in p.slots():
-            s = p.spots[i].token
-            below[s], text[s], count[s] = below[s] + p.spots[i].chars, text[s] + p.spots[0].chars, count[s] + 1
+    slots = {h: {p.spots[i].token for i in p.slots() if good.get(p.spots[i].token, (None,))[0] in {c for c, _ in usual[h]}} for h, p in parsed.items()}
+    for h, p in parsed.items():
+        for s in p.spots:
+            if s.token in slots[h]:
+                below[s.token], text[s.token], count[s.token] = below[s.token] + s.chars, text[s.token] + p.spots[0].chars, count[s.token] + 1
     main = {s for s in count if count[s] >= 3 and 4 * below[s] >= 3 * text[s]}
-    return {h: html_text.extract(h, {t for c, o, ts in found[h] if 2 * orders[c][o] > pages_of[c] for t in ts}, main) for h in parsed}
+    return {h: html_text.extract(h, {t for _, ts in usual[h] for t in ts}, main & slots[h], hints) for h in parsed}
 
 
 def test_main_text_matches_brute_force(spark):
@@ -505,12 +541,14 @@ def test_main_text_matches_brute_force(spark):
         frame = ["".join(pick() for _ in range(rng.randint(1, 4))) for _ in range(3)]
         pages.append([frame[0] + "<div class=m>" + "".join(pick() for _ in range(rng.randint(1, 8))) + "</div>" + rng.choice([frame[1], frame[2], ""]) + frame[rng.choice([1, 2])] for _ in range(rng.choice([2, 6, 15]))])
     rows = [(k * 100 + i, f"http://h{k}.org/", h) for k, ps in enumerate(pages) for i, h in enumerate(ps)]
-    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
-    for k, ps in enumerate(pages):
-        want = brute_templates(ps)
-        for i, h in enumerate(ps):
-            assert got[k * 100 + i] == want[h]
-            changed += want[h] != html_text.extract(h, set())
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for hints in (True, False):
+        got = {r.page_id: r.text for r in html_text.main_text(df, hints=hints).collect()}
+        for k, ps in enumerate(pages):
+            want = brute_templates(ps, hints=hints)
+            for i, h in enumerate(ps):
+                assert got[k * 100 + i] == want[h]
+                changed += hints and want[h] != html_text.extract(h, set())
     assert changed > len(rows) / 4
 
 
