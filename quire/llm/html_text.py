@@ -32,6 +32,7 @@ import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -58,6 +59,8 @@ SECTIONS = frozenset("body div section article main table tbody tr td center asi
 SALTS = 32
 # A class has so many tokens and is on so many contents at least.
 SIZE, PAGES = 3, 3
+#: Attributes of a tag that are longer aren't kept from tag to tag.
+LONG = 200
 WORDS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 
 
@@ -107,7 +110,8 @@ class Node(NamedTuple):
     spot: int  # the innermost section
 
 
-def marks(name: str, attrs: str, parent: Node) -> tuple[str, bool, bool, bool]:
+@lru_cache(4096)
+def marks(name: str, attrs: str, in_main: bool) -> tuple[str, bool, bool, bool]:
     """Signature of a tag, whether it opens boilerplate, whether it opens the article, whether its names say boilerplate."""
     got: dict[str, str] = {}
     if attrs and ("=" in attrs or "hidden" in attrs):
@@ -117,8 +121,8 @@ def marks(name: str, attrs: str, parent: Node) -> tuple[str, bool, bool, bool]:
     words = {w.lower() for w in WORDS.findall(named)} if named else set()
     role = got.get("role", "").lower()
     boiler = name in BOILER or role in BOILER_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true"
-    boiler = boiler or name == "header" and not parent.main
-    called = bool(words & BOILER_WORDS) and name not in ("html", "body") or "header" in words and name not in INLINE and name[:1] + name[1:].strip("123456") != "h" and not parent.main
+    boiler = boiler or name == "header" and not in_main
+    called = bool(words & BOILER_WORDS) and name not in ("html", "body") or "header" in words and name not in INLINE and name[:1] + name[1:].strip("123456") != "h" and not in_main
     main = name in ("article", "main") or role == "main" or "articlebody" in got.get("itemprop", "").lower()
     return f"{name}.{re.sub(r'[0-9]+', '0', named)}" if named else name, boiler, main, called and not main
 
@@ -129,7 +133,7 @@ def parse(page: str, hints: bool = True) -> Page:
     any, isn't what its names say. Without ``hints`` no block has any."""
     root = Node("", 0, False, False, -1, 0)
     stack: list[Node] = [root]
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, int] = defaultdict(int)
     tokens: list[int] = []
     blocks: list[Block] = []
     owners: list[int] = []  # of each block its innermost named element
@@ -140,14 +144,14 @@ def parse(page: str, hints: bool = True) -> Page:
     owner = root
 
     def flush() -> None:
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            held.clear()
+        raw = "".join(held)
+        text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+        held.clear()
+        if text:
             places_of[owner.spot][2] += len(text)
-            if text:
-                blocks.append(Block(text, hashed(str(owner.token), text), owner.token, owner.main, owner.spot, opened["h1"] > 0, owner.boiler))
-                owners.append(owner.named)
-                tokens.append(blocks[-1].token)
+            blocks.append(Block(text, hashed(str(owner.token), text), owner.token, owner.main, owner.spot, opened["h1"] > 0, owner.boiler))
+            owners.append(owner.named)
+            tokens.append(blocks[-1].token)
 
     def add(text: str) -> None:
         nonlocal owner
@@ -156,12 +160,10 @@ def parse(page: str, hints: bool = True) -> Page:
         held.append(text)
 
     def pop(names: set[str] | frozenset[str], bound: frozenset[str]) -> None:
-        if not any(opened[n] for n in names):
-            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
-                opened.subtract(n.name for n in stack[k:])
                 for n in stack[k:]:
+                    opened[n.name] -= 1
                     if n.name in SECTIONS:
                         places_of[n.spot][4] = len(tokens)
                 del stack[k:]
@@ -183,9 +185,10 @@ def parse(page: str, hints: bool = True) -> Page:
             continue
         name = name.lower()
         if m["end"]:
-            if name not in INLINE:
+            if held and name not in INLINE:
                 flush()
-            pop({name}, frozenset() if name not in INLINE else BOUND)
+            if opened[name]:
+                pop({name}, frozenset() if name not in INLINE else BOUND)
             if held and (owner.boiler, owner.named) != (stack[-1].boiler, stack[-1].named):
                 flush()
             continue
@@ -193,12 +196,15 @@ def parse(page: str, hints: bool = True) -> Page:
             held and held.append(" ")
             continue
         if name not in INLINE:
-            flush()
-            pop({"p"}, BOUND)
-            if name in CLOSES:
+            if held:
+                flush()
+            if opened["p"]:
+                pop({"p"}, BOUND)
+            if name in CLOSES and any(opened[n] for n in CLOSES[name]):
                 pop(CLOSES[name], frozenset(("ul", "ol", "dl", "table", "select")) - {name})
         parent = stack[-1]
-        sign, boiler, main, called = marks(name, m["attrs"] or "", parent)
+        attrs = m["attrs"] or ""
+        sign, boiler, main, called = (marks if len(attrs) < LONG else marks.__wrapped__)(name, attrs if "=" in attrs or "hidden" in attrs else "", parent.main)
         if not hints:
             boiler = main = called = False
         token = hashed(str(parent.token), sign) if name not in INLINE else parent.token
@@ -214,14 +220,15 @@ def parse(page: str, hints: bool = True) -> Page:
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
-        elif name not in VOID and not (m["attrs"] or "").endswith("/"):
+        elif name not in VOID and not attrs.endswith("/"):
             if called:
                 named.append([parent.named, 0, 0])
-            if node.boiler != parent.boiler or called:
+            if held and (node.boiler != parent.boiler or called):
                 flush()
             stack.append(node)
             opened[name] += 1
-    flush()
+    if held:
+        flush()
     weighed = [(b, k) for b, k in zip(blocks, owners, strict=True) if not b.hint]
     drop = iter(dropped([b for b, _ in weighed], [k for _, k in weighed], named))
     blocks = [b if b.hint else b._replace(hint=next(drop)) for b in blocks]
