@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import fixed, quota
 from quire.functions.text import has_any, masked, or_empty, strip, truthy
-from quire.operators.numbering import RANGES, numbered, running
+from quire.operators.numbering import RANGES, along, dealt, numbered, running, split_by
 
 STATE = "struct<state: string, used_on: date, used_today: long, rpd_limit: long, refusals: int, cooldown_until: double, last_used_at: double, last_error: string>"
 
@@ -107,25 +107,28 @@ def fold_by_ranges(keys: DataFrame, outcomes: DataFrame, ranges: int = RANGES) -
     """``fold_outcomes`` for keys of any number of outcomes, whose times follow ``seq``: no key's outcomes are on one task or in one array.
 
     What an outcome does depends on few numbers, each of them running: whether the key was dead (the last of dead and
-    revive), the day's successes, the day's refusals since the last success, and the limit, which is the smallest of what was
-    given last and what was learned since. Ranges of a key carry them on. With these each outcome says by itself what it sets, and a
-    key is what was set last; a spent one is back after a later day's outcome or an edit above its use."""
+    revive), the day's successes, the day's refusals since the last success, and the limit, which is the smaller of what was
+    given last and what was learned since. Outcomes are dealt to ranges once, after a row that gives the key its first limit; only keys
+    in several ranges carry numbers on. With these each outcome says by itself what it sets, and a key is what was set last; a spent one
+    is back after a later day's outcome or an edit above its use."""
     c, kind = F.col, F.col("outcome")
     by_hand = kind.isin("revive", "edit")
-    o = outcomes.select("key_id", "seq", (F.unix_micros(c("ts").cast("timestamp")) / 1e6).alias("at"), quota.quota_day(c("ts").cast("timestamp_ntz")).alias("day"), has_any(c("message"), fixed.DAILY_MARKERS).alias("daily"), "outcome", "message", "retry_after", c("rpd").cast("long").alias("rpd"))
-    o = o.withColumn("mark", F.when(kind.isin("dead", "revive"), 2 * c("seq") + (kind == "dead").cast("int")))
-    o = running(o, ["key_id"], ["seq"], tops={"marked": "mark"}, ranges=ranges, own=False)
-    o = o.filter(by_hand | ~F.coalesce(c("marked") % 2 == 1, F.lit(False)))  # a dead key only answers to hands
-    o = o.withColumns({"is_success": (kind == "success").cast("long"), "is_refusal": (kind == "rate_limited").cast("long"), "is_edit": (kind == "edit").cast("long")})
-    o = running(o, ["key_id"], ["seq"], sums={"epoch": "is_edit"}, ranges=ranges)
-    o = running(o, ["key_id", "day"], ["seq"], sums={"used": "is_success", "refused": "is_refusal"}, ranges=ranges)
-    o = running(o.withColumn("base", F.when(kind.isin("success", "revive"), c("refused"))), ["key_id", "day"], ["seq"], tops={"based": "base"}, ranges=ranges)
+    o = outcomes.select("key_id", c("seq").cast("long").alias("seq"), (F.unix_micros(c("ts").cast("timestamp")) / 1e6).alias("at"), quota.quota_day(c("ts").cast("timestamp_ntz")).alias("day"), has_any(c("message"), fixed.DAILY_MARKERS).alias("daily"), "outcome", F.left("message", F.lit(200)).alias("message"), "retry_after", c("rpd").cast("long").alias("rpd"), F.lit(False).alias("begins"))
+    first = keys.select("key_id", F.lit(-(2**63)).alias("seq"), c("rpd_limit").cast("long").alias("rpd"), F.lit(True).alias("begins"))
+    o = dealt(o.unionByName(first, allowMissingColumns=True), ["key_id", "day", "seq"], ranges)
+    split = split_by(o, "key_id")
+    # days follow seq, so all of these have one order
+    o = o.withColumns({"mark": F.when(kind.isin("dead", "revive"), 2 * c("seq") + (kind == "dead").cast("int")), "grant": F.when(c("begins") | (kind == "edit"), F.struct("seq", "rpd"))})
+    o = along(o, ["key_id"], ["day", "seq"], split, tops={"marked": "mark", "given": "grant"}, own=False)
+    o = o.filter(c("begins") | (c("given").isNotNull() & (by_hand | ~F.coalesce(c("marked") % 2 == 1, F.lit(False)))))  # a dead key only answers to hands
+    o = o.withColumns({"is_success": F.coalesce(kind == "success", F.lit(False)).cast("long"), "is_refusal": F.coalesce(kind == "rate_limited", F.lit(False)).cast("long")})
+    o = along(o, ["key_id", "day"], ["seq"], split, sums={"used": "is_success", "refused": "is_refusal"})
+    o = along(o.withColumn("base", F.when(kind.isin("success", "revive"), c("refused"))), ["key_id", "day"], ["seq"], split, tops={"based": "base"})
     o = o.withColumn("runs", c("refused") - F.coalesce("based", F.lit(0)))
-    o = o.withColumns({"minus": F.when((kind == "rate_limited") & (c("runs") >= fixed.REFUSALS) & (c("used") >= fixed.LEARN_FROM), -c("used")), "granted": F.when(kind == "edit", c("rpd"))})
-    # an edit is the first of its epoch, so what comes later has its limit before it
-    o = running(o, ["key_id", "epoch"], ["seq"], tops={"given": "granted", "learned": "minus"}, ranges=ranges, own=False)
-    limits = keys.select(c("key_id").alias("of"), c("rpd_limit").cast("long").alias("first_limit"))
-    o = o.join(limits, c("key_id") == c("of")).withColumn("limit", F.least(F.coalesce("given", "first_limit"), F.coalesce(-c("learned"), F.lit(2**62))))
+    o = o.withColumn("lesson", F.when((kind == "rate_limited") & (c("runs") >= fixed.REFUSALS) & (c("used") >= fixed.LEARN_FROM), F.struct(c("given.seq").alias("since"), (-c("used")).alias("minus"))))
+    o = along(o, ["key_id"], ["day", "seq"], split, tops={"lessons": "lesson"}, own=False).filter(~c("begins"))
+    learned_since = (c("lessons.since") == c("given.seq")) & (-c("lessons.minus") < c("given.rpd"))
+    o = o.withColumn("limit", F.when(learned_since, -c("lessons.minus")).otherwise(c("given.rpd")))
     refused, at_limit = c("runs") >= fixed.REFUSALS, c("used") >= c("limit")
     success, limited, transient = kind == "success", kind == "rate_limited", kind == "transient"
     spent, few = c("daily") | at_limit | refused, refused & ~at_limit
@@ -146,15 +149,17 @@ def fold_by_ranges(keys: DataFrame, outcomes: DataFrame, ranges: int = RANGES) -
             "frees": (kind == "edit") & (c("used") < c("rpd")),
         }
     )
-    latest = lambda value, ok: F.max_by(value, F.when(ok, c("seq")))
-    ends = o.groupBy(c("key_id").alias("of")).agg(
-        latest(F.struct("seq", "sets", "day"), c("sets").isNotNull()).alias("set"),
-        latest(F.struct("says", "day"), c("says").isNotNull()).alias("said"),
-        latest(F.struct("seq", "day"), c("frees")).alias("freed"),
-        latest(c("cools"), c("cools").isNotNull()).alias("cool"),
-        F.max(F.when(~by_hand, c("at"))).alias("last_at"),
-        F.max_by(F.struct("used", "runs", "day", "leaves"), "seq").alias("end"),
-    )
+    latest = {
+        "set": F.when(c("sets").isNotNull(), F.struct("seq", "sets", "day")),
+        "said": F.when(c("says").isNotNull(), F.struct("seq", "says", "day")),
+        "freed": F.when(c("frees"), F.struct("seq", "day")),
+        "cool": F.when(c("cools").isNotNull(), F.struct("seq", "cools")),
+        "last_at": F.when(~by_hand, c("at")),
+        "end": F.struct("seq", "used", "runs", "day", "leaves"),
+    }
+    # first where a key's outcomes already are, so that a row for each range and key is shuffled
+    ends = o.groupBy("__range", c("key_id").alias("of")).agg(*[F.max(value).alias(name) for name, value in latest.items()])
+    ends = ends.groupBy("of").agg(*[F.max(name).alias(name) for name in latest])
     was_spent = F.coalesce(c("set.sets") == "exhausted", F.lit(False))
     freed = F.coalesce((c("freed.seq") > c("set.seq")) & (c("freed.day") == c("set.day")), F.lit(False))
     rolled = was_spent & ~freed & (c("end.day") != c("set.day"))
@@ -164,7 +169,7 @@ def fold_by_ranges(keys: DataFrame, outcomes: DataFrame, ranges: int = RANGES) -
         c("end.used").alias("used_today"),
         c("end.leaves").alias("rpd_limit"),
         c("end.runs").cast("int").alias("refusals"),
-        F.coalesce("cool", F.lit(0.0)).alias("cooldown_until"),
+        F.coalesce("cool.cools", F.lit(0.0)).alias("cooldown_until"),
         F.coalesce("last_at", F.lit(0.0)).alias("last_used_at"),
         F.when(rolled & (c("said.day") == c("set.day")), "").otherwise(F.coalesce("said.says", F.lit(""))).alias("last_error"),
     ).cast(STATE)
@@ -324,9 +329,11 @@ def refusals_by_ranges(outcomes: DataFrame, ranges: int = RANGES) -> DataFrame:
     """``refusals_in_a_row`` for keys of any number of outcomes: the refusals so far less those by the last success, both
     running numbers that ranges of one key carry on."""
     o = outcomes.withColumn("__refused", (F.col("outcome") == "rate_limited").cast("long"))
-    o = running(o, ["key_id"], ["seq"], sums={"__so_far": "__refused"}, ranges=ranges)
+    o = dealt(o, ["key_id", "seq"], ranges)
+    split = split_by(o, "key_id")
+    o = along(o, ["key_id"], ["seq"], split, sums={"__so_far": "__refused"})
     o = o.withColumn("__by_success", F.when(F.col("outcome") == "success", F.col("__so_far")))
-    o = running(o, ["key_id"], ["seq"], tops={"__before": "__by_success"}, ranges=ranges)
+    o = along(o, ["key_id"], ["seq"], split, tops={"__before": "__by_success"})
     return o.withColumn("run", F.col("__so_far") - F.coalesce("__before", F.lit(0))).select(*outcomes.columns, "run")
 
 

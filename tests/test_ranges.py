@@ -3,8 +3,8 @@
 import datetime as dt
 import random
 
-from quire.operators import keys as K
-from quire.operators.numbering import ranged, running
+from quire.operators import keys as K, numbering
+from quire.operators.numbering import dealt, ranged, running, split_by
 
 
 def test_running_equals_a_plain_one(spark):
@@ -49,3 +49,37 @@ def test_the_fold_of_a_key_over_ranges(spark):
         assert sorted(tuple(r) for r in K.fold_by_ranges(keys, o).select(*names).collect()) == want
         learned += sum(r[4] not in (12, 30) for r in want)
     assert learned
+
+
+def test_a_range_is_found_by_halving(spark):
+    df = spark.range(500).repartition(3).withColumnRenamed("id", "k")
+    cut = ranged(df, ["k"])
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count(">=") == 1  # not one for each cut
+    found = sorted((r["k"], r["__range"]) for r in cut.collect())
+    assert [r for _, r in found] == sorted(r for _, r in found) and {r for _, r in found} == set(range(64))
+
+
+def test_rows_are_dealt_in_order(spark):
+    rows = [(None, k) for k in range(9)] + [(k // 100, k) for k in range(600)]
+    cut = dealt(spark.createDataFrame(rows, "g long, k long").repartition(5), ["g", "k"])
+    found = sorted((r["__range"], -1 if r.g is None else r.g, r.k) for r in cut.collect())
+    assert [r[1:] for r in found] == sorted((-1 if g is None else g, k) for g, k in rows) and len({r[0] for r in found}) > 30
+    assert cut.filter(split_by(cut, "g")).filter("g IS NOT NULL").count() == 600
+    single = dealt(spark.createDataFrame([(k, 0) for k in range(100)], "g long, k long"), ["g", "k"])
+    assert split_by(single, "g") is None
+
+
+def test_a_fold_deals_its_outcomes_once(spark, monkeypatch):
+    """One table, whatever is carried on, and equal to the other fold: where a key isn't known, an edit has no limit, keys are in several ranges."""
+    start, made = dt.datetime(2026, 3, 1, 12), []
+    kinds = [*["success"] * 11, "edit", *["rate_limited"] * 5, "dead", "transient", "revive"]
+    rows = [(k, s, start + dt.timedelta(minutes=20 * s), kinds[(s + k) % len(kinds)], "m", None, 30 if s % 3 else None) for k in range(6) for s in range(90 + k)]
+    o = spark.createDataFrame(rows, "key_id long, seq long, ts timestamp, outcome string, message string, retry_after double, rpd long").repartition(4)
+    keys = spark.createDataFrame([(k, 12) for k in (0, 1, 2, 4, 5, 9)], "key_id long, rpd_limit long")
+    keep = numbering.written
+    monkeypatch.setattr(numbering, "written", lambda df, name: made.append(name) or keep(df, name))
+    names = ["key_id", *K.STATE_FIELDS]
+    got = K.fold_by_ranges(keys, o)
+    want = sorted((tuple(r) for r in K.fold_outcomes(keys, o).select(*names).collect()), key=repr)
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=repr) == want and len(want) == 6
+    assert made == ["dealt"]
